@@ -140,3 +140,43 @@ def lenient_object_sql(x: str) -> str:
     alt = f"replace({x}, '''', '\"')"
     parsed = f"(CASE WHEN json_valid({x}) THEN {x} WHEN json_valid({alt}) THEN {alt} END)"
     return f"(CASE WHEN json_type({parsed}) = 'OBJECT' THEN {parsed} END)"
+
+
+def entries_sql() -> str:
+    """CTE body: one row per (example_id, field) with the JSON value and its type."""
+    return (f"SELECT example_id, field, json_extract(j, '$.\"' || field || '\"') AS v, "
+            f"json_type(json_extract(j, '$.\"' || field || '\"')) AS jt "
+            f"FROM (SELECT example_id, j, unnest(json_keys(j)) AS field FROM "
+            f"(SELECT example_id, {lenient_object_sql('permissions')} AS j FROM ({examples_sql()})) "
+            f"WHERE j IS NOT NULL)")
+
+
+def py_text_sql(v: str, jt: str) -> str:
+    return (f"(CASE {jt} WHEN 'BOOLEAN' THEN (CASE WHEN json_extract_string({v}, '$') = 'true' THEN 'True' ELSE 'False' END) "
+            f"WHEN 'NULL' THEN 'None' WHEN 'OBJECT' THEN CAST({v} AS VARCHAR) WHEN 'ARRAY' THEN CAST({v} AS VARCHAR) "
+            f"ELSE json_extract_string({v}, '$') END)")
+
+
+def type_name_sql(jt: str) -> str:
+    return (f"(CASE {jt} WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' WHEN 'BOOLEAN' THEN 'bool' "
+            f"WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' "
+            f"WHEN 'VARCHAR' THEN 'str' WHEN 'NULL' THEN 'NoneType' ELSE lower({jt}) END)")
+
+
+def value_counts_sql() -> str:
+    """P2 counting rule as SQL: field, value, value_kind, n."""
+    return f"""
+SELECT field, value, value_kind, count(*) AS n FROM (
+  SELECT field, {py_text_sql('v', 'jt')} AS value,
+         CASE WHEN jt IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' ELSE 'text' END AS value_kind
+  FROM ({entries_sql()}) WHERE jt <> 'ARRAY'
+  UNION ALL
+  SELECT field, {py_text_sql('x', 'json_type(x)')}, 'text' FROM (
+    SELECT field, unnest(from_json(v, '["JSON"]')) AS x FROM ({entries_sql()}) WHERE jt = 'ARRAY')
+  UNION ALL
+  SELECT field || '_count', CAST(json_array_length(v) AS VARCHAR), 'number' FROM ({entries_sql()}) WHERE jt = 'ARRAY'
+) GROUP BY ALL"""
+
+
+def pct_sql(n: str, total: str) -> str:
+    return f"round(CAST({n} AS DOUBLE) / {total} * 100.0, 6)"

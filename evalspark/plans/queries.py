@@ -264,3 +264,145 @@ def _paired(spark, d):
 register("error_categories", f"""
 SELECT truth, prediction, count(*) AS n FROM ({O.scored_sql()}) WHERE truth <> prediction GROUP BY ALL
 """)(lambda spark, d: M.error_categories(scored(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# semi-structured profiling: C4 P1-P8 K4
+# ---------------------------------------------------------------------------
+
+from ..operators import profile as P  # noqa: E402
+
+_ex = O.examples_sql()
+_alt = "replace(permissions, '''', '\"')"
+register("lenient_json_parse", f"""
+SELECT example_id,
+  CASE WHEN permissions IS NULL OR permissions = '' THEN 'empty'
+       WHEN json_valid(permissions) AND json_type(permissions) = 'OBJECT' THEN 'object'
+       WHEN json_valid(permissions) THEN 'not_object'
+       WHEN json_valid({_alt}) AND json_type({_alt}) = 'OBJECT' THEN 'object_requoted'
+       WHEN json_valid({_alt}) THEN 'not_object' ELSE 'invalid' END AS parse_status,
+  coalesce(CAST(len(json_keys({O.lenient_object_sql('permissions')})) AS INTEGER), 0) AS n_fields,
+  coalesce(array_to_string(list_sort(json_keys({O.lenient_object_sql('permissions')})), ','), '') AS field_names
+FROM ({_ex})
+""")(lambda spark, d: P.lenient_json_parse(B.examples(spark, d), "example_id", "permissions"))
+
+
+def _topn_sql(counts: str, part: str, value: str, top: int, tail_suffix: str, extra_cols: str = "") -> str:
+    """Rank ``counts`` (value, n) within ``part`` and append the tail row."""
+    pby = f"PARTITION BY {part}" if part else ""
+    sel = f"{part}, " if part else ""
+    return f"""
+WITH c AS ({counts}),
+r AS (SELECT *, row_number() OVER ({pby} ORDER BY n DESC, {value} ASC NULLS FIRST) AS rank,
+             count(*) OVER ({pby}) AS n_values, sum(n) OVER ({pby}) AS group_total FROM c)
+SELECT {sel}CAST(rank AS BIGINT) AS rank, {extra_cols}{value} AS value, CAST(n AS BIGINT) AS n,
+       CAST(n_values AS BIGINT) AS n_values, CAST(group_total AS BIGINT) AS group_total, false AS is_tail
+FROM r WHERE rank <= {top}
+UNION ALL
+SELECT {sel}CAST({top + 1} AS BIGINT), {'NULL, ' if extra_cols else ''}'... and ' || CAST(max(n_values) - {top} AS VARCHAR) || '{tail_suffix}',
+       CAST(sum(n) AS BIGINT), CAST(max(n_values) AS BIGINT), CAST(max(group_total) AS BIGINT), true
+FROM r WHERE rank > {top} {('GROUP BY ' + part) if part else 'HAVING count(*) > 0'}"""
+
+
+register("role_top_n_with_tail", f"""
+SELECT rank, value AS role, n, {O.pct_sql('n', 'group_total')} AS pct, n_values AS n_roles FROM (
+{_topn_sql(f"SELECT user_role AS role, count(*) AS n FROM ({_ex}) GROUP BY 1", '', 'role', 30, ' more roles')})
+""")(lambda spark, d: P.role_top_n(B.examples(spark, d), "user_role"))
+
+register("field_value_top_n", f"""
+SELECT field, rank, CASE WHEN is_tail THEN value ELSE split_part(value, chr(1), 1) END AS value,
+       CASE WHEN is_tail THEN 'tail' ELSE split_part(value, chr(1), 2) END AS value_kind,
+       n, {O.pct_sql('n', 'group_total')} AS pct, n_values, group_total AS total_occurrences FROM (
+{_topn_sql(f"SELECT field, value || chr(1) || value_kind AS vkey, n FROM ({O.value_counts_sql()})", 'field', 'vkey', 20, ' more')})
+""")(lambda spark, d: P.field_value_top_n(B.examples(spark, d), "example_id", "permissions"))
+
+register("field_list_lengths", f"""
+SELECT field || '_count' AS field, CAST(json_array_length(v) AS INTEGER) AS list_length, count(*) AS n
+FROM ({O.entries_sql()}) WHERE jt = 'ARRAY' GROUP BY ALL
+""")(lambda spark, d: P.field_list_lengths(B.examples(spark, d), "example_id", "permissions"))
+
+register("field_types", f"""
+SELECT field, string_agg(DISTINCT {O.type_name_sql('jt')}, ', ' ORDER BY {O.type_name_sql('jt')}) AS types
+FROM ({O.entries_sql()}) GROUP BY field
+""")(lambda spark, d: P.field_types(B.examples(spark, d), "example_id", "permissions"))
+
+register("field_distinct", f"""
+WITH per AS (SELECT field, count(*) AS unique_values, sum(n) AS total_occurrences FROM ({O.value_counts_sql()}) GROUP BY field)
+SELECT field, CAST(unique_values AS BIGINT) AS unique_values, CAST(total_occurrences AS BIGINT) AS total_occurrences,
+       CAST((SELECT count(*) FROM per) AS BIGINT) AS n_fields FROM per
+""")(lambda spark, d: P.field_distinct(B.examples(spark, d), "example_id", "permissions"))
+
+register("mean_fields", f"""
+SELECT count(*) AS n_rows_with_fields, round(avg(k), 6) AS mean_fields FROM (
+  SELECT len(json_keys({O.lenient_object_sql('permissions')})) AS k FROM ({_ex})) WHERE k > 0
+""")(lambda spark, d: P.mean_fields(B.examples(spark, d), "permissions"))
+
+
+def _tokens_binding(spark, d):
+    """Examples plus a free-text request naming permissions in brackets on some rows."""
+    ex = B.examples(spark, d)
+    req = F.when(F.col("example_id") % 3 == 0,
+                 F.concat(F.col("query"), F.lit(" with permissions_requested: [\"view_"),
+                          F.lower(F.split(F.col("user_role"), "_")[0]), F.lit("\", 'export' , audit]")))
+    return ex.withColumn("user_request", req)
+
+
+def _tokens_sql(split_mode: str) -> str:
+    req = ("CASE WHEN example_id % 3 = 0 THEN query || ' with permissions_requested: [\"view_' || "
+           "lower(split_part(user_role, '_', 1)) || '\", ''export'' , audit]' END")
+    ws = O.WS
+    fallback = ("[permissions]" if split_mode == "json"
+                else f"list_transform(string_split(permissions, ','), lambda x: trim(x, {ws}))")
+    return f"""
+WITH e AS (SELECT *, {req} AS user_request FROM ({_ex})),
+p AS (SELECT *, CASE WHEN permissions IS NULL OR permissions = '' THEN []::VARCHAR[]
+                     WHEN json_valid(permissions) AND json_type(permissions) = 'ARRAY'
+                       THEN list_transform(from_json(permissions, '["JSON"]'), lambda x: json_extract_string(x, '$'))
+                     WHEN NOT json_valid(permissions) THEN {fallback}
+                     ELSE []::VARCHAR[] END AS t1,
+             regexp_extract(user_request, '(?i)permissions[^:]*:\\s*\\[([^\\]]+)\\]', 1) AS m FROM e),
+t AS (SELECT CASE WHEN len(t1) > 0 THEN t1
+                  WHEN coalesce(m, '') <> '' THEN list_transform(string_split(m, ','), lambda x: trim(trim(x, {ws}), '"'''))
+                  ELSE []::VARCHAR[] END AS tokens FROM p),
+rows AS (SELECT count(*) AS n_rows FROM t),
+c AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM t) GROUP BY token),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, token ASC NULLS FIRST) AS rank,
+             count(*) OVER () AS n_tokens, sum(n) OVER () AS total FROM c)
+SELECT CAST(rank AS BIGINT) AS rank, token, CAST(n AS BIGINT) AS n, {O.pct_sql('n', 'n_rows')} AS pct,
+       CAST(n_tokens AS BIGINT) AS n_tokens, CAST(total AS BIGINT) AS total_occurrences,
+       round(CAST(total AS DOUBLE) / n_rows, 6) AS mean_per_row
+FROM r, rows WHERE rank <= 20"""
+
+
+register("permission_tokens", _tokens_sql("json"))(
+    lambda spark, d: P.permission_tokens(_tokens_binding(spark, d), perm_col="permissions",
+                                         request_col="user_request", split_mode="json"))
+register("permission_tokens_comma", _tokens_sql("comma"))(
+    lambda spark, d: P.permission_tokens(_tokens_binding(spark, d), perm_col="permissions",
+                                         request_col="user_request", split_mode="comma"))
+
+register("permission_database_roles", f"""
+SELECT user_role AS role, count(*) AS count,
+       round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM ({_ex})) * 100.0, 6) AS percentage
+FROM ({_ex}) WHERE user_role IS NOT NULL AND user_role <> '' GROUP BY 1
+""")(lambda spark, d: P.permission_database(B.examples(spark, d))["roles"])
+
+_k4_vals = f"""
+SELECT field, value, count(*) AS count FROM (
+  SELECT field, {O.py_text_sql('v', 'jt')} AS value FROM ({O.entries_sql()}) WHERE jt <> 'ARRAY'
+  UNION ALL
+  SELECT field, {O.py_text_sql('x', 'json_type(x)')} FROM (
+    SELECT field, unnest(from_json(v, '["JSON"]')) AS x FROM ({O.entries_sql()}) WHERE jt = 'ARRAY')
+) GROUP BY ALL"""
+register("permission_database_values", f"""
+WITH v AS ({_k4_vals}), t AS (SELECT field, sum(count) AS tot FROM v GROUP BY field)
+SELECT field, value, count, {O.pct_sql('count', 'tot')} AS percentage FROM v JOIN t USING (field)
+""")(lambda spark, d: P.permission_database(B.examples(spark, d))["values"])
+
+register("permission_database_fields", f"""
+WITH v AS ({_k4_vals}),
+u AS (SELECT field, count(*) AS unique_values FROM v GROUP BY field),
+ty AS (SELECT field, string_agg(DISTINCT {O.type_name_sql('jt')}, ', ' ORDER BY {O.type_name_sql('jt')}) AS types
+       FROM ({O.entries_sql()}) GROUP BY field)
+SELECT field, types, CAST(unique_values AS BIGINT) AS unique_values FROM ty JOIN u USING (field)
+""")(lambda spark, d: P.permission_database(B.examples(spark, d))["fields"])
