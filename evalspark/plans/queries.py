@@ -406,3 +406,65 @@ ty AS (SELECT field, string_agg(DISTINCT {O.type_name_sql('jt')}, ', ' ORDER BY
        FROM ({O.entries_sql()}) GROUP BY field)
 SELECT field, types, CAST(unique_values AS BIGINT) AS unique_values FROM ty JOIN u USING (field)
 """)(lambda spark, d: P.permission_database(B.examples(spark, d))["fields"])
+
+
+# ---------------------------------------------------------------------------
+# splits: T1-T5, K6
+# ---------------------------------------------------------------------------
+
+from ..operators import split as T  # noqa: E402
+
+
+def _h_sql(*parts) -> str:
+    return "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
+
+
+_SPLIT_SQL = f"""
+WITH d AS (SELECT doc_id, lang FROM documents),
+h AS (SELECT doc_id, lang, {_h_sql("'42'", 'lang', 'CAST(doc_id AS VARCHAR)')} AS h FROM d WHERE lang <> 'es'),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS rn,
+             count(*) OVER (PARTITION BY lang) AS n FROM h),
+pool AS (SELECT doc_id, lang, {_h_sql("'42'", "'pool'", "'pool'", 'CAST(doc_id AS VARCHAR)')} AS h2
+         FROM r WHERE rn <= floor(n * 0.7::DOUBLE)),
+p2 AS (SELECT *, row_number() OVER (ORDER BY h2, doc_id) AS rn2, count(*) OVER () AS n2 FROM pool)
+SELECT doc_id, lang, 'test' AS split FROM d WHERE lang = 'es'
+UNION ALL SELECT doc_id, lang, 'test' FROM r WHERE rn > floor(n * 0.7::DOUBLE)
+UNION ALL SELECT doc_id, lang, CASE WHEN rn2 <= floor(n2 * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END FROM p2"""
+
+
+def _split_docs(spark, d):
+    docs = B.read(spark, d, "documents").select("doc_id", "lang")
+    return T.three_way_split(docs, "doc_id", "lang", holdout_strata=["es"], pool_fraction=0.70,
+                             train_fraction=0.80, seed=42)
+
+
+register("exact_split", _SPLIT_SQL)(lambda spark, d: _split_docs(spark, d).select("doc_id", "lang", "split"))
+
+register("exact_cut_part_types", f"""
+SELECT p_partkey, p_type, rn <= floor(n * 0.7::DOUBLE) AS in_first FROM (
+  SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY
+         {_h_sql("'7'", 'p_type', 'CAST(p_partkey AS VARCHAR)')}, p_partkey) AS rn,
+         count(*) OVER (PARTITION BY p_type) AS n FROM part)
+""")(lambda spark, d: T.exact_cut(B.read(spark, d, "part").select("p_partkey", "p_type"),
+                                  "p_partkey", "p_type", 0.70, seed=7).select("p_partkey", "p_type", "in_first"))
+
+@register("split_manifest", f"""
+WITH s AS ({_SPLIT_SQL}), t AS ({O.truth_sql()})
+SELECT split, CAST(42 AS BIGINT) AS seed, count(*) AS total,
+       count(*) FILTER (WHERE truth_raw = 'full') AS "full",
+       count(*) FILTER (WHERE truth_raw = 'partial') AS "partial",
+       count(*) FILTER (WHERE truth_raw = 'rejected') AS "rejected",
+       {O.pct_sql("count(*) FILTER (WHERE truth_raw = 'full')", 'count(*)')} AS full_pct,
+       {O.pct_sql("count(*) FILTER (WHERE truth_raw = 'partial')", 'count(*)')} AS partial_pct,
+       {O.pct_sql("count(*) FILTER (WHERE truth_raw = 'rejected')", 'count(*)')} AS rejected_pct
+FROM s LEFT JOIN t ON s.doc_id = t.id GROUP BY split
+""")
+def _split_manifest(spark, d):
+    s = _split_docs(spark, d).join(B.truth(spark, d).withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    st = L.split_label_stats(s, "split", "truth_raw")
+    return st.select("split", F.lit(42).cast("bigint").alias("seed"), *[c for c in st.columns if c != "split"])
+
+
+register("head_n", """
+SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 25
+""")(lambda spark, d: T.head_n(B.read(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id", 25))
