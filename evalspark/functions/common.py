@@ -62,3 +62,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     from pyspark import StorageLevel
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def evaluate_once(df: DataFrame, **cols) -> DataFrame:
+    """Add expensive columns (JSON parses, regex chains) evaluated once per row.
+
+    A projected expression can be copied by the optimizer into every later
+    reference (filters are pushed through projections by alias substitution).
+    Columns produced by a generator are not substituted, so the values are
+    projected through a one-element ``inline`` and later operators read them.
+    """
+    keep = [F.col(c) for c in df.columns if c not in cols]
+    packed = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return df.select(*keep, F.inline(packed))

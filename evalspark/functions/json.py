@@ -65,13 +65,17 @@ CONTROL_CHARS = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 
 
 def extract_json_text(c) -> Column:
-    """C11 cleaning: strip, drop a leading ```json / ``` and a trailing ```,
-    strip again, remove control characters (keeps \\t \\n \\r)."""
+    """C11 cleaning: strip, drop a leading ```json then a leading ```, drop a
+    trailing ```, strip again, remove control characters (keeps \\t \\n \\r).
+
+    Written as a linear chain (each step reads the previous one once) so the
+    expression stays small inside whole-stage codegen.
+    """
     from .labels import py_strip
     t = py_strip(col(c))
-    t = F.when(t.startswith(FENCE_JSON), F.substring(t, len(FENCE_JSON) + 1, 1 << 30)).otherwise(t)
-    t = F.when(t.startswith(FENCE), F.substring(t, len(FENCE) + 1, 1 << 30)).otherwise(t)
-    t = F.when(t.endswith(FENCE), F.left(t, F.length(t) - F.lit(len(FENCE)))).otherwise(t)
+    t = F.regexp_replace(t, "^" + FENCE_JSON, "")
+    t = F.regexp_replace(t, "^" + FENCE, "")
+    t = F.regexp_replace(t, FENCE + "\\z", "")
     t = py_strip(t)
     return F.regexp_replace(t, CONTROL_CHARS, "")
 

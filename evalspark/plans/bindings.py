@@ -26,11 +26,6 @@ DIRTY_LABELS = [
     "rejected",
 ]
 
-# Fixed values (test inputs): list members used in the permission JSON.
-ACTIONS = ["read", "write", "approve", "export", "delete"]
-EXTRA_DEPARTMENTS = ["Ops", "Finance", "Legal"]
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -142,3 +137,36 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("c_custkey").alias("example_id"), role.alias("user_role"),
                     permission_json().alias("permissions"), query.alias("query"),
                     label.alias("expected_response"))
+
+
+# Fixed values (test inputs): label spellings in generated outputs by ``doc_id % 7``.
+GENERATED_LABELS = ["full", "F", " Approve ", "allow", "partial", "rejected", "FULL"]
+
+
+def generated_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-output texts (one per document) for C9-C12.
+
+    The payload is a JSON object with the whole document text as ``query``;
+    variations by ``doc_id``: label spelling (% 7), no rationale (% 11),
+    permissions not an object (% 13), markdown fences (% 3), a control character
+    (% 5), a truncated payload (% 17) and a JSON list instead of an object (% 19).
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    k = F.col("doc_id")
+    label = _case(k % 7, GENERATED_LABELS, F.lit(None))
+    perms = F.struct(F.array(F.col("lang")).alias("department"), F.lit("standard").alias("access_level"))
+    base = [F.concat(F.lit("Analyst_"), F.col("lang")).alias("user_role")]
+    rest = [F.col("text").alias("query"), label.alias("expected_response")]
+    rationale = F.concat(F.lit("Granted for "), F.col("source")).alias("rationale")
+    with_obj = F.when(k % 11 == 0, F.to_json(F.struct(*base, perms.alias("permissions"), *rest))) \
+                .otherwise(F.to_json(F.struct(*base, perms.alias("permissions"), *rest, rationale)))
+    with_str = F.to_json(F.struct(*base, F.lit("none").alias("permissions"), *rest, rationale))
+    # staged projections: each step reads the previous column once
+    d = d.withColumn("__p", F.when(k % 13 == 0, with_str).otherwise(with_obj))
+    p = F.col("__p")
+    d = d.withColumn("__p", F.when(k % 19 == 0, F.lit('["not", "an", "object"]'))
+                     .otherwise(F.substring(p, F.lit(1), F.length(p) - F.when(k % 17 == 0, 1).otherwise(0))))
+    d = d.withColumn("__p", F.concat(F.when(k % 5 == 0, F.lit("\x07")).otherwise(F.lit("")), p))
+    text = F.concat(F.when(k % 3 == 0, F.lit("```json\n")).when(k % 3 == 1, F.lit("```\n")).otherwise(F.lit("")),
+                    p, F.when(k % 3 == 2, F.lit("")).otherwise(F.lit("\n```")))
+    return d.select(F.col("doc_id"), F.col("source"), text.alias("model_output"))

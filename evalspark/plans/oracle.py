@@ -180,3 +180,39 @@ SELECT field, value, value_kind, count(*) AS n FROM (
 
 def pct_sql(n: str, total: str) -> str:
     return f"round(CAST({n} AS DOUBLE) / {total} * 100.0, 6)"
+
+
+def generated_sql() -> str:
+    """SQL twin of ``bindings.generated_outputs``."""
+    k = "doc_id"
+    from .bindings import GENERATED_LABELS
+    label = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {q(v)}" for i, v in enumerate(GENERATED_LABELS)) + " END"
+    perms = "struct_pack(department := [lang], access_level := 'standard')"
+    head = "user_role := 'Analyst_' || lang"
+    rest = f"query := text, expected_response := {label}"
+    rat = "rationale := 'Granted for ' || source"
+    with_obj = (f"CASE WHEN {k} % 11 = 0 THEN to_json(struct_pack({head}, permissions := {perms}, {rest}))::VARCHAR "
+                f"ELSE to_json(struct_pack({head}, permissions := {perms}, {rest}, {rat}))::VARCHAR END")
+    with_str = f"to_json(struct_pack({head}, permissions := 'none', {rest}, {rat}))::VARCHAR"
+    p1 = f"(CASE WHEN {k} % 13 = 0 THEN {with_str} ELSE {with_obj} END)"
+    p2 = f"(CASE WHEN {k} % 17 = 0 THEN left({p1}, length({p1}) - 1) ELSE {p1} END)"
+    p3 = f"(CASE WHEN {k} % 19 = 0 THEN '[\"not\", \"an\", \"object\"]' ELSE {p2} END)"
+    p4 = f"(CASE WHEN {k} % 5 = 0 THEN chr(7) || {p3} ELSE {p3} END)"
+    text = (f"CASE WHEN {k} % 3 = 0 THEN '```json' || chr(10) || {p4} || chr(10) || '```' "
+            f"WHEN {k} % 3 = 1 THEN '```' || chr(10) || {p4} || chr(10) || '```' ELSE {p4} END")
+    return f"SELECT doc_id, source, {text} AS model_output FROM documents"
+
+
+def extract_json_sql(x: str) -> str:
+    """C11 cleaning + parse in SQL: JSON text or NULL."""
+    t0 = f"trim({x}, {WS})"
+    t1 = f"(CASE WHEN starts_with({t0}, '```json') THEN substr({t0}, 8) ELSE {t0} END)"
+    t2 = f"(CASE WHEN starts_with({t1}, '```') THEN substr({t1}, 4) ELSE {t1} END)"
+    t3 = f"(CASE WHEN ends_with({t2}, '```') THEN left({t2}, length({t2}) - 3) ELSE {t2} END)"
+    t4 = f"regexp_replace(trim({t3}, {WS}), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
+    nl = "chr(10)"
+    r = f"replace({t4}, {nl}, '\\n')"
+    for a, b in ((f"'\\n  '", f"{nl} || '  '"), (f"'\\n}}'", f"{nl} || '}}'"), (f"'\\n{{'", f"{nl} || '{{'"),
+                 (f"'[\\n'", f"'[' || {nl}"), (f"'\\n]'", f"{nl} || ']'")):
+        r = f"replace({r}, {a}, {b})"
+    return f"(CASE WHEN json_valid({t4}) THEN {t4} WHEN json_valid({r}) THEN {r} END)"

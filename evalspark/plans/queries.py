@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import evaluate_once
 from ..functions.labels import DIALECTS, normalize_label
 from ..operators import labels as L
 from ..operators import metrics as M
@@ -468,3 +469,63 @@ def _split_manifest(spark, d):
 register("head_n", """
 SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 25
 """)(lambda spark, d: T.head_n(B.read(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id", 25))
+
+
+# ---------------------------------------------------------------------------
+# model output cleaning: C9 C10 C11
+# ---------------------------------------------------------------------------
+
+from ..operators import clean as C  # noqa: E402
+
+
+def generated_checked(spark, d):
+    """Generated outputs parsed (C11) and validated (C9): adds ``generated`` and ``reject_reason``."""
+    g = C.parse_model_output(B.generated_outputs(spark, d), "model_output", "generated")
+    reason = F.when(F.col("generated").isNull(), F.lit("unparseable")).otherwise(
+        C.validate_generated(F.col("generated")))
+    return evaluate_once(g, reject_reason=reason)
+
+
+_GEN = f"SELECT doc_id, source, {O.extract_json_sql('model_output')} AS g FROM ({O.generated_sql()})"
+
+register("extract_json", f"""
+SELECT doc_id, g IS NOT NULL AS parse_ok,
+       CASE WHEN g IS NULL THEN 'none' WHEN json_type(g) = 'OBJECT' THEN 'object'
+            WHEN json_type(g) = 'ARRAY' THEN 'array' ELSE 'scalar' END AS kind,
+       CAST(CASE WHEN json_type(g) = 'OBJECT' THEN len(json_keys(g)) END AS INTEGER) AS n_keys
+FROM ({_GEN})
+""")(lambda spark, d: C.parse_model_output(B.generated_outputs(spark, d), "model_output", "g").select(
+    "doc_id", F.col("g").isNotNull().alias("parse_ok"),
+    F.when(F.col("g").isNull(), "none").when(F.schema_of_variant("g").startswith("OBJECT"), "object")
+     .when(F.schema_of_variant("g").startswith("ARRAY"), "array").otherwise("scalar").alias("kind"),
+    F.size(C.record_keys(F.col("g"))).alias("n_keys")).withColumn(
+    "n_keys", F.when(F.col("kind") == "object", F.col("n_keys"))))
+
+_ws = O.WS
+_REASON_SQL = f"""
+SELECT doc_id, source, g,
+  CASE WHEN g IS NULL THEN 'unparseable'
+       WHEN json_type(g) <> 'OBJECT' THEN 'not_object'
+       WHEN NOT list_has_all(json_keys(g), ['user_role', 'permissions', 'query', 'expected_response', 'rationale']) THEN 'missing_fields'
+       WHEN coalesce(lower(trim(json_extract_string(g, '$.expected_response'), {_ws})), 'none') NOT IN ('full', 'f', 'allow', 'approve') THEN 'bad_label'
+       WHEN length(coalesce(trim(json_extract_string(g, '$.query'), {_ws}), '')) < 20 THEN 'short_query'
+       WHEN json_type(g, '$.permissions') <> 'OBJECT' THEN 'permissions_not_object'
+  END AS reject_reason
+FROM ({_GEN})"""
+
+register("validate_generated", f"SELECT doc_id, reject_reason FROM ({_REASON_SQL})")(
+    lambda spark, d: generated_checked(spark, d).select("doc_id", "reject_reason"))
+
+register("dedup_exact", f"""
+WITH v AS (SELECT doc_id, md5(lower(trim(json_extract_string(g, '$.query'), {_ws}))) AS query_hash
+           FROM ({_REASON_SQL}) WHERE reject_reason IS NULL)
+SELECT min(doc_id) AS doc_id, query_hash FROM v GROUP BY query_hash
+""")(lambda spark, d: C.dedup_exact(
+    generated_checked(spark, d).filter(F.col("reject_reason").isNull())
+    .select("doc_id", F.variant_get("generated", "$.query", "string").alias("query")), "query", "doc_id")
+    .select("doc_id", "query_hash"))
+
+register("duplicate_report", f"""
+SELECT count(*) AS n_rows, count(DISTINCT h) AS n_unique, count(*) - count(DISTINCT h) AS n_duplicates
+FROM (SELECT md5(lower(trim(text, {_ws}))) AS h FROM documents)
+""")(lambda spark, d: C.duplicate_report(B.read(spark, d, "documents"), "text"))
