@@ -529,3 +529,139 @@ register("duplicate_report", f"""
 SELECT count(*) AS n_rows, count(DISTINCT h) AS n_unique, count(*) - count(DISTINCT h) AS n_duplicates
 FROM (SELECT md5(lower(trim(text, {_ws}))) AS h FROM documents)
 """)(lambda spark, d: C.duplicate_report(B.read(spark, d, "documents"), "text"))
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks round trips: S2 S3 S4 S5 S6 K1-K5 C1-C3 I4
+# Files are written below the session's spark.checkpoint.dir and read back.
+# ---------------------------------------------------------------------------
+
+from ..operators.profile import permission_database  # noqa: E402
+from ..functions.json import lenient_object  # noqa: E402
+from ..session import shared_dir  # noqa: E402
+from ..sources import readers as R  # noqa: E402
+from ..sources import sinks as K  # noqa: E402
+
+_NO_NULL_DROP = {"ignoreNullFields": "false"}
+
+
+def _jsonl_lines(spark, d):
+    """Examples as JSON Lines with defects: blank (% 43), truncated (% 41), no ``query`` key (% 37)."""
+    ex = B.examples(spark, d)
+    k = F.col("example_id")
+    idc = k.cast("string").alias("id")
+    full = F.to_json(F.struct(idc, "user_role", "permissions", "query", "expected_response"), _NO_NULL_DROP)
+    noq = F.to_json(F.struct(idc, "user_role", "permissions", "expected_response"), _NO_NULL_DROP)
+    line = (F.when(k % 43 == 0, F.lit("")).when(k % 41 == 0, F.regexp_replace(full, "}$", ""))
+            .when(k % 37 == 0, noq).otherwise(full))
+    diff = F.when(F.col("expected_response") == "rejected", "hard").when(
+        F.col("expected_response") == "partial", "medium").otherwise("easy")
+    return ex.select(line.alias("line"), diff.alias("difficulty"))
+
+
+def _jsonl_outcome(good, quarantine):
+    g = good.select("id", F.lit("ok").alias("status"), F.lit("").alias("missing"), "user_role", "query",
+                    "expected_response")
+    q = quarantine.select(F.try_variant_get(F.try_parse_json("line"), "$.id", "string").alias("id"),
+                          F.col("reason").alias("status"), "missing",
+                          *[F.lit(None).cast("string").alias(c) for c in ("user_role", "query", "expected_response")])
+    return g.unionByName(q)
+
+
+@register("jsonl_quarantine", f"""
+SELECT CASE WHEN example_id % 41 = 0 THEN NULL ELSE CAST(example_id AS VARCHAR) END AS id,
+       CASE WHEN example_id % 41 = 0 THEN 'malformed' WHEN example_id % 37 = 0 THEN 'missing_fields' ELSE 'ok' END AS status,
+       CASE WHEN example_id % 41 <> 0 AND example_id % 37 = 0 THEN 'query' ELSE '' END AS missing,
+       CASE WHEN example_id % 41 <> 0 AND example_id % 37 <> 0 THEN user_role END AS user_role,
+       CASE WHEN example_id % 41 <> 0 AND example_id % 37 <> 0 THEN query END AS query,
+       CASE WHEN example_id % 41 <> 0 AND example_id % 37 <> 0 THEN expected_response END AS expected_response
+FROM ({_ex}) WHERE example_id % 43 <> 0
+""")
+def _jsonl_quarantine(spark, d):
+    path = shared_dir(spark, "jsonl-quarantine")
+    _jsonl_lines(spark, d).select("line").write.mode("overwrite").text(path)
+    from ..operators.clean import EXAMPLE_SCHEMA
+    good, quarantine = R.jsonl_records(spark, path, schema=EXAMPLE_SCHEMA)
+    return _jsonl_outcome(good, quarantine)
+
+
+@register("jsonl_multi_file", f"""
+SELECT CAST(example_id AS VARCHAR) AS id, user_role, query
+FROM ({_ex}) WHERE expected_response = 'rejected' AND example_id % 43 <> 0 AND example_id % 41 <> 0
+  AND example_id % 37 <> 0
+""")
+def _jsonl_multi_file(spark, d):
+    path = shared_dir(spark, "jsonl-multi")
+    _jsonl_lines(spark, d).write.mode("overwrite").partitionBy("difficulty").text(path)
+    from ..operators.clean import EXAMPLE_SCHEMA
+    good, _ = R.jsonl_records(spark, path, glob="*.txt", name_filter="hard", schema=EXAMPLE_SCHEMA)
+    return good.select("id", "user_role", "query")
+
+
+@register("conform_and_merge", f"""
+SELECT CAST(example_id AS VARCHAR) AS id, user_role, permissions, query, expected_response FROM ({_ex})
+""")
+def _conform_and_merge(spark, d):
+    from ..operators.clean import EXAMPLE_SCHEMA, conform
+    base = shared_dir(spark, "merge")
+    ex = B.examples(spark, d)
+    rec = F.to_json(F.struct(F.col("example_id").cast("string").alias("id"), "user_role", "permissions", "query",
+                             "expected_response", F.col("example_id").alias("source_index"),
+                             F.lit("subset").alias("generation_strategy"), F.lit(True).alias("synthetic")),
+                    _NO_NULL_DROP)
+    existing_rows = ex.filter(F.col("example_id") % 2 == 0).select(
+        *conform(F.parse_json(rec), EXAMPLE_SCHEMA))
+    existing_rows.write.mode("overwrite").parquet(f"{base}/v0")
+    existing = spark.read.parquet(f"{base}/v0")
+    new = ex.filter(F.col("example_id") % 2 == 1).select(F.parse_json(rec).alias("record"))
+    K.merge_into(existing, new, "record", f"{base}/v1")
+    return spark.read.parquet(f"{base}/v1").select("id", "user_role", "permissions", "query", "expected_response")
+
+
+register("versioned_replace", f"""
+SELECT id, {O.normalize('expected_response', 'repair')} AS expected_response, expected_response AS expected_response_raw
+FROM ({O.labelled_orders_sql()})
+""")(lambda spark, d: _versioned_replace(spark, d))
+
+
+def _versioned_replace(spark, d):
+    base = shared_dir(spark, "versions")
+    lo = B.labelled_orders(spark, d).select("id", "expected_response")
+    K.versioned_write(spark, lo, base)                      # original version (the backup)
+    K.versioned_write(spark, L.repair_labels(K.read_current(spark, base), "expected_response", "repair"), base)
+    return K.read_current(spark, base).select("id", "expected_response", "expected_response_raw")
+
+
+_DIFF_SQL = "CASE WHEN right(run, 1) IN ('0', '2', '4', '6', '8') THEN 'easy' ELSE 'hard' END"
+@register("results_flatten", f"""
+SELECT run AS model_name, {_DIFF_SQL} AS difficulty, id AS "index", prediction, truth_raw AS ground_truth_raw,
+       truth AS ground_truth, prediction = truth_raw AS correct, prediction = truth AS correct_norm
+FROM ({O.scored_sql()})
+""")
+def _results_flatten(spark, d):
+    path = shared_dir(spark, "results")
+    s = scored(spark, d)
+    docs_in = s.select(F.col("run"), F.when(F.substring("run", -1, 1).isin("0", "2", "4", "6", "8"), "easy")
+                       .otherwise("hard").alias("difficulty"), F.col("id").alias("index"), "prediction",
+                       F.col("truth_raw").alias("ground_truth"),
+                       (F.col("prediction") == F.col("truth_raw")).alias("correct"),
+                       F.col("run").endswith("7").alias("legacy"))
+    K.write_results_documents(docs_in, path, "run", "difficulty", "index", legacy_col="legacy")
+    flat, _ = R.read_results(spark, path, glob="*.txt", multi_line=False)
+    return flat.select("model_name", "difficulty", "index", "prediction",
+                       F.col("ground_truth_raw"), "ground_truth", "correct",
+                       (F.col("prediction") == F.col("ground_truth")).alias("correct_norm"))
+
+
+register("permission_database_examples", f"""
+SELECT example_id AS "index", user_role, CAST(len(json_keys({O.lenient_object_sql('permissions')})) AS INTEGER) AS n_fields
+FROM ({_ex}) WHERE len(json_keys({O.lenient_object_sql('permissions')})) >= 5
+""")(lambda spark, d: _permission_db_examples(spark, d))
+
+
+def _permission_db_examples(spark, d):
+    path = shared_dir(spark, "permission-db")
+    K.write_permission_database(permission_database(B.examples(spark, d)), path)
+    ex = R.read_permission_examples(spark, path)
+    n = F.size(lenient_object("permissions"))
+    return ex.select("index", "user_role", n.alias("n_fields")).filter(F.col("n_fields") >= 5)

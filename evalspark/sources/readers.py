@@ -111,16 +111,17 @@ RESULTS_DOC = T.StructType([
 ])
 
 
-def read_results(spark: SparkSession, path: str, glob: str = "*results*.json") -> tuple:
+def read_results(spark: SparkSession, path: str, glob: str = "*results*.json", multi_line: bool = True) -> tuple:
     """S4 + S5: flatten result documents to one row per prediction.
 
-    All files are read in one job (``multiLine``); the file path is the run key.
+    All files are read in one job (one document per file with ``multi_line``,
+    else one per line); the file path is the run key.
     Per document the first of easy/medium/hard present is used, its
     ``predictions`` array or else the legacy ``details``; missing labels become
     ``''``; both labels are normalised in the ``results`` dialect.  Returns
     ``(predictions, bad_files)``; a document matching no layout is a bad file.
     """
-    docs = (spark.read.schema(RESULTS_DOC).option("multiLine", "true").option("mode", "PERMISSIVE")
+    docs = (spark.read.schema(RESULTS_DOC).option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", glob)
             .option("recursiveFileLookup", "true").json(path)
             .withColumn("file_path", F.col("_metadata.file_path")))

@@ -78,3 +78,27 @@ def write_permission_database(db: dict, path: str) -> None:
     """K4: each table of the permission database side by side below ``path``."""
     for name, frame in db.items():
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_results_documents(df: DataFrame, path: str, run_col: str = "run", difficulty_col: str = "difficulty",
+                            index_col: str = "index", rows_per_doc: int = 5000,
+                            legacy_col: str | None = None) -> None:
+    """Write evaluation result documents (F4 layout) as JSON Lines, one document per
+    line: ``{model_name, results: {<difficulty>: {total_samples, predictions}}}``.
+
+    A run is cut into documents of at most ``rows_per_doc`` predictions (by index
+    range), so no single task has to hold a whole run.  When ``legacy_col`` is
+    true for a row's run the array is written under the old key ``details``.
+    """
+    chunk = F.floor(F.col(index_col) / F.lit(rows_per_doc))
+    pred = F.struct(F.col(index_col).alias("index"), "prediction", "ground_truth", "correct")
+    keys = [run_col, difficulty_col, chunk.alias("__chunk")] + ([legacy_col] if legacy_col else [])
+    docs = df.groupBy(*keys).agg(F.sort_array(F.collect_list(pred)).alias("preds"))
+    body_new = F.struct(F.size("preds").alias("total_samples"), F.col("preds").alias("predictions"))
+    body_old = F.struct(F.size("preds").alias("total_samples"), F.col("preds").alias("details"))
+    doc_new = F.to_json(F.struct(F.col(run_col).alias("model_name"),
+                                 F.create_map(F.col(difficulty_col), body_new).alias("results")))
+    doc_old = F.to_json(F.struct(F.col(run_col).alias("model_name"),
+                                 F.create_map(F.col(difficulty_col), body_old).alias("results")))
+    line = F.when(F.col(legacy_col), doc_old).otherwise(doc_new) if legacy_col else doc_new
+    docs.select(line.alias("value")).write.mode("overwrite").text(path)
