@@ -170,3 +170,31 @@ def generated_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.when(k % 3 == 0, F.lit("```json\n")).when(k % 3 == 1, F.lit("```\n")).otherwise(F.lit("")),
                     p, F.when(k % 3 == 2, F.lit("")).otherwise(F.lit("\n```")))
     return d.select(F.col("doc_id"), F.col("source"), text.alias("model_output"))
+
+
+# Fixed values (test inputs) of the offline generation stand-in.
+REPLY_API_FAILURE_SHARE = 0.05
+REPLY_WRONG_LABEL_SHARE = 0.10
+REPLY_RATIONALE = "All requested actions are within the granted permissions."
+
+
+def rule_reply(seed: int = 42):
+    """Offline stand-in for the generation model (reads the row, not the prompt
+    text): a JSON reply built from the source row; no reply for ~5 % of draws
+    and a non-``full`` label for ~10 %, both decided by md5 draws."""
+    from ..functions.common import md5_uniform
+    d = F.col("draw_no")
+    reply = F.to_json(F.struct(
+        F.col("user_role"), F.parse_json(F.col("modified_permissions")).alias("permissions"),
+        F.concat(F.col("query"), F.lit(" ["), F.col("strategy_used"), F.lit("]")).alias("query"),
+        F.when(md5_uniform(F.lit(str(seed)), F.lit("label"), d) < REPLY_WRONG_LABEL_SHARE, "partial")
+         .otherwise("full").alias("expected_response"),
+        F.lit(REPLY_RATIONALE).alias("rationale")))
+    return F.when(md5_uniform(F.lit(str(seed)), F.lit("api"), d) < REPLY_API_FAILURE_SHARE,
+                  F.lit(None).cast("string")).otherwise(reply)
+
+
+def used_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources used by an earlier run: customers that already have a fulfilled order."""
+    o = read(spark, sf_dir, "orders")
+    return o.filter(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("source_id")).distinct()

@@ -665,3 +665,204 @@ def _permission_db_examples(spark, d):
     ex = R.read_permission_examples(spark, path)
     n = F.size(lenient_object("permissions"))
     return ex.select("index", "user_role", n.alias("n_fields")).filter(F.col("n_fields") >= 5)
+
+
+# ---------------------------------------------------------------------------
+# augmentation: A1-A9, C12, G5
+# ---------------------------------------------------------------------------
+
+from ..operators import augment as A  # noqa: E402
+from ..operators import prompts as G  # noqa: E402
+
+
+def _unused(spark, d):
+    ex = B.examples(spark, d)
+    elig = A.eligible_sources(ex, "permissions", "hard")
+    track = shared_dir(spark, "tracking")
+    key = A.tracking_key("examples.parquet")
+    A.record_attempts(B.used_sources(spark, d), track, key)
+    return ex, elig, A.unused_sources(elig, A.read_used(spark, track, key), "example_id")
+
+
+def augment_run(spark, d, seed: int = 42):
+    """Draw sources (n = number of unused sources), sample permissions, build the
+    generation prompt, get the offline reply and classify each attempt."""
+    ex, elig, unused = _unused(spark, d)
+    n_examples = unused.count()
+    draws = A.draw_sources(spark, unused, elig, "example_id", n_examples, seed)
+    src = draws.join(ex.withColumnRenamed("example_id", "source_id"), "source_id")
+    s = A.sample_permissions(A.assign_strategy(src, "draw_no", seed, "hard"), "permissions", "strategy",
+                             "draw_no", seed, "hard")
+    s = s.withColumn("prompt", G.generation_prompt("user_role", "modified_permissions"))
+    s = s.withColumn("response", B.rule_reply(seed))
+    return A.generation_outcomes(s, "response", "draw_no"), n_examples
+
+
+def _u_sql(*parts) -> str:
+    return "(('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 8))::BIGINT / 4294967296.0)"
+
+
+_LEN = f"len(json_keys({O.lenient_object_sql('permissions')}))"
+register("eligible_sources", f"""
+SELECT example_id, CAST({_LEN} AS INTEGER) AS n_fields FROM ({_ex}) WHERE {_LEN} >= 5
+""")(lambda spark, d: A.eligible_sources(B.examples(spark, d)).select("example_id", "n_fields"))
+
+register("eligible_sources_medium", f"""
+SELECT example_id, CAST({_LEN} AS INTEGER) AS n_fields FROM ({_ex}) WHERE {_LEN} BETWEEN 6 AND 7
+""")(lambda spark, d: A.eligible_sources(B.examples(spark, d), level="medium").select("example_id", "n_fields"))
+
+_ELIG = f"SELECT example_id, user_role, permissions, query FROM ({_ex}) WHERE {_LEN} >= 5"
+_UNUSED = (f"SELECT example_id FROM ({_ELIG}) WHERE example_id NOT IN "
+           f"(SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+register("unused_sources", f"SELECT example_id FROM ({_UNUSED})")(
+    lambda spark, d: _unused(spark, d)[2].select("example_id"))
+
+_DRAWS = f"""
+WITH un AS ({_UNUSED}), el AS ({_ELIG}),
+nu AS (SELECT count(*) AS n FROM un), ne AS (SELECT count(*) AS n FROM el),
+uniq AS (SELECT example_id AS source_id, row_number() OVER (ORDER BY {_h_sql("'42'", "'draw'", 'CAST(example_id AS VARCHAR)')}, example_id) - 1 AS draw_no, false AS reused FROM un),
+pool AS (SELECT example_id AS source_id, row_number() OVER (ORDER BY {_h_sql("'42'", "'pool'", 'CAST(example_id AS VARCHAR)')}, example_id) - 1 AS pool_pos FROM el),
+rd AS (SELECT unnest(generate_series(nu.n, 2 * nu.n - 1)) AS draw_no FROM nu),
+rp AS (SELECT draw_no, {_h_sql("'42'", "'reuse'", 'CAST(draw_no AS VARCHAR)')} % (SELECT n FROM ne) AS pool_pos FROM rd)
+SELECT draw_no, source_id, reused FROM uniq
+UNION ALL SELECT rp.draw_no, pool.source_id, true FROM rp JOIN pool USING (pool_pos)"""
+
+register("draw_sources", f"SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, reused FROM ({_DRAWS})")(
+    lambda spark, d: _draw(spark, d))
+
+
+def _draw(spark, d):
+    ex, elig, unused = _unused(spark, d)
+    return A.draw_sources(spark, unused, elig, "example_id", unused.count(), 42)
+
+
+_CORE = "('department', 'access_level', 'allowed_actions')"
+_AUG = f"""
+WITH dr AS ({_DRAWS}),
+src AS (SELECT dr.draw_no, dr.source_id, dr.reused, e.user_role, e.query, {O.lenient_object_sql('e.permissions')} AS j,
+          CASE WHEN {_u_sql("'42'", "'strategy'", 'CAST(dr.draw_no AS VARCHAR)')} < 0.35::DOUBLE THEN 'all_active'
+               WHEN {_u_sql("'42'", "'strategy'", 'CAST(dr.draw_no AS VARCHAR)')} < 0.75::DOUBLE THEN 'subset'
+               ELSE 'reduced' END AS strategy
+        FROM dr JOIN ({_ex}) e ON e.example_id = dr.source_id),
+fl AS (SELECT draw_no, field, json_extract(j, '$."' || field || '"') AS v,
+              json_type(json_extract(j, '$."' || field || '"')) AS jt
+       FROM (SELECT draw_no, j, unnest(json_keys(j)) AS field FROM src)),
+cnt AS (SELECT draw_no, count(*) AS n, count(*) FILTER (WHERE field NOT IN {_CORE}) AS dn FROM fl GROUP BY draw_no),
+tag AS (SELECT s.*, c.n, c.dn,
+          least(1 + floor({_u_sql("'42'", "'ndrop'", 'CAST(s.draw_no AS VARCHAR)')} * 2), c.dn, c.n - 5) AS k_drop,
+          CASE WHEN s.strategy <> 'reduced' THEN s.strategy WHEN c.n <= 5 THEN 'reduced_minimal'
+               WHEN c.dn = 0 THEN 'reduced_no_drop' ELSE 'reduced' END AS strategy_used
+        FROM src s JOIN cnt c USING (draw_no)),
+rk AS (SELECT fl.*, t.strategy_used, t.k_drop,
+          CASE WHEN field NOT IN {_CORE} THEN row_number() OVER (PARTITION BY fl.draw_no, field NOT IN {_CORE}
+               ORDER BY {_h_sql("'42'", "'drop'", 'CAST(fl.draw_no AS VARCHAR)', 'field')}) END AS drop_rank
+       FROM fl JOIN tag t USING (draw_no)),
+kept AS (SELECT * FROM rk WHERE NOT (strategy_used = 'reduced' AND drop_rank IS NOT NULL AND drop_rank <= k_drop)),
+per AS (SELECT draw_no,
+          count(*) AS n_after,
+          string_agg(field, ',' ORDER BY field) AS fields_after,
+          sum(CASE WHEN jt = 'ARRAY' THEN
+                CASE WHEN strategy_used = 'subset' AND json_array_length(v) > 2
+                     THEN 2 + floor({_u_sql("'42'", "'k'", 'CAST(draw_no AS VARCHAR)', 'field')} * (least(4, json_array_length(v)) - 1))
+                     ELSE json_array_length(v) END ELSE 0 END) AS list_items_after,
+          count(*) FILTER (WHERE jt = 'BOOLEAN' AND CASE WHEN strategy_used = 'subset'
+                THEN {_u_sql("'42'", "'bool'", 'CAST(draw_no AS VARCHAR)', 'field')} < 0.75::DOUBLE
+                ELSE json_extract_string(v, '$') = 'true' END) AS true_bools_after
+        FROM kept GROUP BY draw_no)
+SELECT t.draw_no, t.source_id, t.reused, t.user_role, t.query, t.strategy, t.strategy_used, t.n AS n_fields_before,
+       p.n_after AS n_fields_after, p.fields_after, p.list_items_after, p.true_bools_after
+FROM tag t JOIN per p USING (draw_no)"""
+
+register("augment_permissions", f"""
+SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, strategy, strategy_used, CAST(n_fields_before AS INTEGER) AS n_fields_before,
+       CAST(n_fields_after AS INTEGER) AS n_fields_after, fields_after, CAST(list_items_after AS BIGINT) AS list_items_after,
+       CAST(true_bools_after AS BIGINT) AS true_bools_after FROM ({_AUG})
+""")(lambda spark, d: _augment_permissions(spark, d))
+
+
+def _augment_permissions(spark, d):
+    ex, elig, unused = _unused(spark, d)
+    draws = A.draw_sources(spark, unused, elig, "example_id", unused.count(), 42)
+    src = draws.join(ex.withColumnRenamed("example_id", "source_id"), "source_id")
+    s = A.sample_permissions(A.assign_strategy(src, "draw_no", 42, "hard"), "permissions", "strategy", "draw_no", 42, "hard")
+    before = lenient_object("permissions")
+    after = lenient_object("modified_permissions")
+    vals = F.map_values(after)
+    items = F.aggregate(vals, F.lit(0).cast("bigint"), lambda acc, v: acc + F.coalesce(
+        F.size(v.try_cast("array<variant>")).cast("bigint"), F.lit(0).cast("bigint")))
+    trues = F.aggregate(vals, F.lit(0).cast("bigint"), lambda acc, v: acc + F.when(
+        (F.schema_of_variant(v) == "BOOLEAN") & F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(False)), 1)
+        .otherwise(0).cast("bigint"))
+    return s.select("draw_no", "source_id", "strategy", "strategy_used", F.size(before).alias("n_fields_before"),
+                    F.size(after).alias("n_fields_after"), F.array_join(F.array_sort(F.map_keys(after)), ",")
+                    .alias("fields_after"), items.alias("list_items_after"), trues.alias("true_bools_after"))
+
+
+_OUT = f"""
+WITH a AS ({_AUG}),
+r AS (SELECT a.*, CASE WHEN {_u_sql("'42'", "'api'", 'CAST(draw_no AS VARCHAR)')} < 0.05::DOUBLE THEN 'failed_api'
+                       WHEN {_u_sql("'42'", "'label'", 'CAST(draw_no AS VARCHAR)')} < 0.1::DOUBLE THEN 'failed_validation'
+                  END AS fail,
+          md5(lower(trim(query || ' [' || strategy_used || ']', {_ws}))) AS query_hash FROM a),
+w AS (SELECT query_hash, min(draw_no) AS first_draw FROM r WHERE fail IS NULL GROUP BY query_hash)
+SELECT r.*, coalesce(fail, CASE WHEN r.draw_no = w.first_draw THEN 'success' ELSE 'duplicate' END) AS outcome
+FROM r LEFT JOIN w USING (query_hash)"""
+
+register("attempt_outcomes", f"""
+SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, reused, strategy_used, outcome FROM ({_OUT})
+""")(lambda spark, d: augment_run(spark, d)[0].select("draw_no", "source_id", "reused", "strategy_used", "outcome"))
+
+register("attempt_summary", f"""
+WITH o AS ({_OUT}), t AS (SELECT count(*) AS attempts FROM o),
+m AS (SELECT 'attempts' AS metric, count(*) AS value FROM o
+      UNION ALL SELECT 'success', count(*) FILTER (WHERE outcome = 'success') FROM o
+      UNION ALL SELECT 'failed_api', count(*) FILTER (WHERE outcome = 'failed_api') FROM o
+      UNION ALL SELECT 'failed_validation', count(*) FILTER (WHERE outcome = 'failed_validation') FROM o
+      UNION ALL SELECT 'duplicate', count(*) FILTER (WHERE outcome = 'duplicate') FROM o
+      UNION ALL SELECT 'reused', count(*) FILTER (WHERE reused) FROM o
+      UNION ALL SELECT 'strategy:' || strategy_used, count(*) FROM o GROUP BY strategy_used)
+SELECT metric, CAST(value AS BIGINT) AS value, {O.pct_sql('value', 'attempts')} AS pct FROM m, t
+""")(lambda spark, d: A.attempt_summary(augment_run(spark, d)[0]))
+
+register("first_n_successes", f"""
+WITH o AS ({_OUT}), n AS (SELECT count(*) // 4 AS k FROM o)
+SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id FROM (
+  SELECT draw_no, source_id, row_number() OVER (ORDER BY draw_no) AS rn FROM o WHERE outcome = 'success'), n
+WHERE rn <= n.k
+""")(lambda spark, d: _first_n(spark, d))
+
+
+def _first_n(spark, d):
+    att, n_examples = augment_run(spark, d)
+    return A.first_n_successes(att, (2 * n_examples) // 4).select("draw_no", "source_id")
+
+
+register("provenance", f"""
+SELECT CAST(draw_no AS BIGINT) AS draw_no, CAST(source_id AS INTEGER) AS source_index, strategy_used AS generation_strategy,
+       true AS synthetic FROM ({_OUT}) WHERE outcome = 'success'
+""")(lambda spark, d: C.tag_provenance(augment_run(spark, d)[0].filter(F.col("outcome") == "success"),
+                                       "source_id", "strategy_used")
+     .select("draw_no", "source_index", "generation_strategy", "synthetic"))
+
+register("balanced_union", f"""
+WITH u AS (SELECT expected_response FROM ({_ex})
+           UNION ALL SELECT 'full' FROM ({_OUT}) WHERE outcome = 'success'),
+lab AS (SELECT {O.normalize(O.normalize('expected_response', 'repair'), 'distribution')} AS label FROM u),
+per AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
+tot AS (SELECT sum(n) AS n_total, sum(CASE WHEN label IS NOT NULL THEN n ELSE 0 END) AS n_labelled FROM per)
+SELECT label, n, round({_pct}, 6) AS pct, repeat('█', CAST(floor({_pct} / 2.0) AS INTEGER)) AS bar,
+       CAST(n_labelled AS BIGINT) AS n_labelled, CAST(n_total AS BIGINT) AS n_total FROM per, tot WHERE label IS NOT NULL
+""")(lambda spark, d: _balanced(spark, d))
+
+
+def _balanced(spark, d):
+    att, _ = augment_run(spark, d)
+    syn = att.filter(F.col("outcome") == "success").select(
+        F.variant_get("generated", "$.expected_response", "string").alias("expected_response"))
+    orig = B.examples(spark, d).select("expected_response")
+    _, _, after = A.balanced_union(orig, syn, "expected_response", "repair")
+    return after
+
+
+register("generation_prompts")(
+    lambda spark, d: augment_run(spark, d)[0].select("draw_no", "source_id", "strategy_used", "prompt"))
