@@ -198,3 +198,34 @@ def used_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources used by an earlier run: customers that already have a fulfilled order."""
     o = read(spark, sf_dir, "orders")
     return o.filter(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("source_id")).distinct()
+
+
+# Fixed values (test inputs) of the offline predictor.
+RULE_REPLIES = ["Decision: Fully approved.", "Partially allowed: only the read part.", "Rejected: not permitted."]
+ALWAYS_FAIL_MOD = 97
+TRANSIENT_FAIL_MOD = 13
+
+
+class RulePredictor:
+    """Offline stand-in for a served model (picklable).
+
+    The reply depends on the length of the last message; a length divisible by
+    97 always fails, one divisible by 13 fails on the first attempt only.
+    """
+
+    def __call__(self, messages, attempt):
+        n = len(messages[-1]["content"])
+        if n % ALWAYS_FAIL_MOD == 0:
+            raise RuntimeError("model unavailable")
+        if n % TRANSIENT_FAIL_MOD == 0 and attempt == 1:
+            raise TimeoutError("request timed out")
+        return RULE_REPLIES[n % 3]
+
+
+def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as evaluation rows: ``id, run, permissions, query, truth_raw``."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    perms = F.concat(F.lit('{"department": ["'), F.col("lang"), F.lit('"], "access_level": "standard"}'))
+    rows = d.select(F.col("doc_id").alias("id"), F.col("source").alias("run"), perms.alias("permissions"),
+                    F.col("text").alias("query"))
+    return rows.join(truth(spark, sf_dir), "id")

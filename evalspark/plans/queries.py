@@ -866,3 +866,149 @@ def _balanced(spark, d):
 
 register("generation_prompts")(
     lambda spark, d: augment_run(spark, d)[0].select("draw_no", "source_id", "strategy_used", "prompt"))
+
+
+# ---------------------------------------------------------------------------
+# prompts and inference: G1-G4 G6 I1-I4 M12
+# ---------------------------------------------------------------------------
+
+from ..operators import infer as I  # noqa: E402
+from ..functions.labels import extract_label  # noqa: E402
+
+_NL = "chr(10)"
+_USER_SQL = f"'Role permissions:' || {_NL} || coalesce(permissions, 'None') || {_NL} || {_NL} || 'Request:' || {_NL} || coalesce(query, 'None')"
+_ASSIST_SQL = f"'Response type: ' || coalesce(expected_response, 'None') || {_NL} || {_NL} || 'Rationale: ' || coalesce(rationale, 'None')"
+_EX_R = f"SELECT *, CASE WHEN example_id % 5 = 0 THEN NULL ELSE 'Balance band ' || expected_response END AS rationale FROM ({_ex})"
+
+
+def _examples_r(spark, d):
+    ex = B.examples(spark, d)
+    return ex.withColumn("rationale", F.when(F.col("example_id") % 5 == 0, F.lit(None).cast("string"))
+                         .otherwise(F.concat(F.lit("Balance band "), F.col("expected_response"))))
+
+
+register("eval_prompts", f"""
+SELECT example_id, 2 AS n_messages, 'system,user' AS roles, {_USER_SQL} AS user_content FROM ({_ex})
+""")(lambda spark, d: B.examples(spark, d).select("example_id", G.eval_messages().alias("m")).select(
+    "example_id", F.size("m").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"),
+    F.col("m")[1]["content"].alias("user_content")))
+
+register("train_messages", f"""
+SELECT example_id, 3 AS n_messages, {_ASSIST_SQL} AS assistant_content FROM ({_EX_R})
+""")(lambda spark, d: _examples_r(spark, d).select("example_id", G.train_messages().alias("m")).select(
+    "example_id", F.size("m").alias("n_messages"), F.col("m")[2]["content"].alias("assistant_content")))
+
+_SYS = G.SYSTEM_PROMPT.replace("'", "''")
+register("prompt_formats", f"""
+SELECT example_id, f.format, f.n_messages, f.first_role, length(f.last_content) AS last_content_chars FROM ({_ex}),
+LATERAL (VALUES ('with_system', 2, 'system', {_USER_SQL}),
+                ('without_system', 1, 'user', {_USER_SQL}),
+                ('instructions_in_user', 1, 'user', 'Instructions: ' || '{_SYS}' || {_NL} || {_NL} || {_USER_SQL})
+        ) f(format, n_messages, first_role, last_content)
+""")(lambda spark, d: G.prompt_formats(B.examples(spark, d)).select(
+    "example_id", "format", F.size("messages").alias("n_messages"), F.col("messages")[0]["role"].alias("first_role"),
+    F.length(F.element_at("messages", -1)["content"]).alias("last_content_chars")))
+
+
+@register("chat_export", f"""
+SELECT 3 AS n_messages, {_ASSIST_SQL} AS assistant_content FROM ({_EX_R})
+""")
+def _chat_export(spark, d):
+    path = shared_dir(spark, "chat")
+    G.chat_export(_examples_r(spark, d).select(G.train_messages().alias("messages")), path)
+    back = spark.read.schema("messages array<struct<role string, content string>>").json(path)
+    return back.select(F.size("messages").alias("n_messages"), F.col("messages")[2]["content"].alias("assistant_content"))
+
+
+_RENDER_SQL = (f"'<system>: {_SYS}' || {_NL} || '<user>: ' || {_USER_SQL} || {_NL} || '<assistant>: ' || {_ASSIST_SQL}")
+register("sequence_lengths", f"""
+WITH t AS (SELECT expected_response, len(regexp_extract_all({_RENDER_SQL}, '[^ \\t\\n\\r]+')) AS n FROM ({_EX_R}))
+SELECT expected_response, count(*) AS n_rows, round(avg(n), 6) AS mean_tokens, CAST(min(n) AS BIGINT) AS min_tokens,
+       CAST(max(n) AS BIGINT) AS max_tokens, count(*) FILTER (WHERE n > 2048) AS n_over_cap,
+       round(avg(least(n, 2048)), 6) AS mean_truncated FROM t GROUP BY expected_response
+""")(lambda spark, d: G.sequence_lengths(
+    _examples_r(spark, d).select("expected_response", G.render_chat(G.train_messages()).alias("text")), "text",
+    by=["expected_response"]))
+
+register("sequence_lengths_conversations", """
+WITH t AS (SELECT conv_id, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS n FROM conversations),
+c AS (SELECT conv_id, sum(n) AS n FROM t GROUP BY conv_id)
+SELECT count(*) AS n_rows, round(avg(n), 6) AS mean_tokens, CAST(min(n) AS BIGINT) AS min_tokens,
+       CAST(max(n) AS BIGINT) AS max_tokens, count(*) FILTER (WHERE n > 2048) AS n_over_cap,
+       round(avg(least(n, 2048)), 6) AS mean_truncated FROM c
+""")(lambda spark, d: G.sequence_lengths(
+    B.read(spark, d, "conversations").groupBy("conv_id").agg(F.sum(G.word_tokens("text")).alias("tok")),
+    "tok", tokens_col="tok"))
+
+_DOC_PERMS = "'{\"department\": [\"' || lang || '\"], \"access_level\": \"standard\"}'"
+_EVAL_SQL = (f"SELECT d.doc_id AS id, d.source AS run, {_DOC_PERMS} AS permissions, d.text AS query, t.truth_raw, "
+             f"{O.normalize('t.truth_raw', 'results')} AS truth FROM documents d JOIN ({O.truth_sql()}) t ON t.id = d.doc_id")
+_INFER_SQL = f"""
+WITH e AS ({_EVAL_SQL}), l AS (SELECT e.*, length({_USER_SQL}) AS n FROM e)
+SELECT id, run, truth_raw, truth,
+  n % 97 <> 0 AS success,
+  CASE WHEN n % 97 = 0 THEN 'RuntimeError: model unavailable' END AS error,
+  CAST(CASE WHEN n % 97 = 0 THEN 5 WHEN n % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+  CASE WHEN n % 97 = 0 THEN 'rejected' WHEN n % 3 = 0 THEN 'full' WHEN n % 3 = 1 THEN 'partial' ELSE 'rejected' END AS prediction
+FROM l"""
+
+
+def inference_run(spark, d):
+    rows = B.eval_rows(spark, d)
+    rows = rows.withColumn("truth", normalize_label("truth_raw", "results"))
+    res = I.batch_inference(rows.select("id", G.eval_messages().alias("messages")), B.RulePredictor(), "id",
+                            "messages", retry_delay=0.0)
+    return res.join(rows.select("id", "run", "truth_raw", "truth"), "id")
+
+
+register("batch_inference", f"SELECT id, prediction, success, error, attempts FROM ({_INFER_SQL})")(
+    lambda spark, d: inference_run(spark, d).select("id", "prediction", "success", "error", "attempts"))
+
+register("inference_errors", f"""
+SELECT id AS "index", error, attempts, 'unknown' AS user_role FROM ({_INFER_SQL}) WHERE NOT success ORDER BY id LIMIT 5
+""")(lambda spark, d: I.inference_errors(inference_run(spark, d), "id"))
+
+register("detailed_predictions", f"""
+SELECT id AS "index", prediction, truth_raw AS ground_truth, prediction = truth_raw AS correct_raw,
+       prediction = truth AS correct_norm FROM ({_INFER_SQL})
+""")(lambda spark, d: I.detailed_predictions(inference_run(spark, d)))
+
+register("inference_metrics", f"""
+SELECT * FROM ({_summary_sql().replace(O.scored_sql(), _INFER_SQL)})
+""")(lambda spark, d: M.summary_metrics(inference_run(spark, d)))
+
+_WORDS = ["Rejected: partial access only", "partially", "Fully granted", "no idea"]
+register("extract_label", f"""
+SELECT doc_id, CASE WHEN strpos(lower(r), 'rejected') > 0 THEN 'rejected' WHEN strpos(lower(r), 'partial') > 0 THEN 'partial'
+                    WHEN strpos(lower(r), 'full') > 0 THEN 'full' ELSE 'rejected' END AS label
+FROM (SELECT doc_id, CASE doc_id % 4 {' '.join(f"WHEN {i} THEN {O.q(w)}" for i, w in enumerate(_WORDS))} END
+      || ' ' || text AS r FROM documents)
+""")(lambda spark, d: B.read(spark, d, "documents").select(
+    "doc_id", extract_label(F.concat(B._case(F.col("doc_id") % 4, _WORDS, F.lit(None)), F.lit(" "), F.col("text")))
+    .alias("label")))
+
+
+def format_comparison_rows(spark, d):
+    rows = B.eval_rows(spark, d).withColumn("truth", normalize_label("truth_raw", "results"))
+    f = G.prompt_formats(rows.select("id", "permissions", "query", "truth"))
+    f = f.withColumn("fid", F.col("id") * 10 + F.when(F.col("format") == "with_system", 0)
+                     .when(F.col("format") == "without_system", 1).otherwise(2))
+    res = I.batch_inference(f.select("fid", "messages"), B.RulePredictor(), "fid", "messages", retry_delay=0.0)
+    return res.join(f.select("fid", "format", "truth"), "fid").withColumn(
+        "correct", F.col("prediction") == F.col("truth"))
+
+
+register("prompt_format_comparison", f"""
+WITH e AS ({_EVAL_SQL}),
+f AS (SELECT e.truth, v.format, v.n FROM e, LATERAL (VALUES
+        ('with_system', length({_USER_SQL})), ('without_system', length({_USER_SQL})),
+        ('instructions_in_user', length('Instructions: ' || '{_SYS}' || {_NL} || {_NL} || {_USER_SQL}))) v(format, n)),
+p AS (SELECT format, (CASE WHEN n % 97 = 0 THEN 'rejected' WHEN n % 3 = 0 THEN 'full' WHEN n % 3 = 1 THEN 'partial'
+                          ELSE 'rejected' END) = truth AS correct FROM f),
+a AS (SELECT avg(CASE WHEN format = 'with_system' AND correct THEN 1.0 WHEN format = 'with_system' THEN 0.0 END) AS ws,
+             avg(CASE WHEN format = 'without_system' AND correct THEN 1.0 WHEN format = 'without_system' THEN 0.0 END) AS wo,
+             avg(CASE WHEN format = 'instructions_in_user' AND correct THEN 1.0 WHEN format = 'instructions_in_user' THEN 0.0 END) AS iu FROM p)
+SELECT round(iu, 6) AS acc_instructions_in_user, round(ws, 6) AS acc_with_system, round(wo, 6) AS acc_without_system,
+       round(ws - wo, 6) AS drop_without_system,
+       CASE WHEN abs(ws - wo) < 0.05 THEN 'LOW' WHEN abs(ws - wo) < 0.15 THEN 'MODERATE' ELSE 'HIGH' END AS dependency FROM a
+""")(lambda spark, d: M.prompt_format_comparison(format_comparison_rows(spark, d), "format", "correct"))
