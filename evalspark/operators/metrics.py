@@ -122,8 +122,13 @@ def summary_metrics(df: DataFrame, truth: str = "truth", pred: str = "prediction
     ``f1_score(average='macro')`` does without ``labels=``).  Weighted F1 weights
     by support.
     """
+    return summary_from_counts(confusion_counts(df, truth, pred, by), by)
+
+
+def summary_from_counts(w: DataFrame, by=()) -> DataFrame:
+    """M5/M7 from wide counts (the output of :func:`confusion_counts`), so a
+    streaming aggregate can feed it batch by batch."""
     by = list(by)
-    w = confusion_counts(df, truth, pred, by)
     diag = sum((F.col(_cell(c, c)) for c in CLASSES), F.lit(0))
     n_present = sum((F.when((_row_sum(c) + _col_sum(c)) > 0, 1).otherwise(0) for c in CLASSES), F.lit(0))
     sum_f1 = sum((_f1(c) for c in CLASSES), F.lit(0.0))

@@ -1012,3 +1012,35 @@ SELECT round(iu, 6) AS acc_instructions_in_user, round(ws, 6) AS acc_with_system
        round(ws - wo, 6) AS drop_without_system,
        CASE WHEN abs(ws - wo) < 0.05 THEN 'LOW' WHEN abs(ws - wo) < 0.15 THEN 'MODERATE' ELSE 'HIGH' END AS dependency FROM a
 """)(lambda spark, d: M.prompt_format_comparison(format_comparison_rows(spark, d), "format", "correct"))
+
+
+# ---------------------------------------------------------------------------
+# streaming: R1 R2 (availableNow over files written from the tables)
+# ---------------------------------------------------------------------------
+
+from ..streaming import running as S  # noqa: E402
+
+
+@register("stream_running_metrics", f"SELECT run, n_total, accuracy, f1_macro, f1_weighted, precision_macro, recall_macro FROM ({_summary_sql('run')})")
+def _stream_running_metrics(spark, d):
+    base = shared_dir(spark, "stream-metrics")
+    sc = scored(spark, d).select("id", "run", "truth", "prediction")
+    sc.repartition(8, "id").write.mode("overwrite").parquet(f"{base}/in")
+    stream = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    q = S.start_running_metrics(stream, f"{base}/ckpt", f"{base}/snapshot", by=["run"])
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/snapshot").select(
+        "run", "n_total", "accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
+
+
+@register("stream_dedup", f"""
+SELECT DISTINCT md5(lower(trim(text, {_ws}))) AS query_hash FROM documents
+""")
+def _stream_dedup(spark, d):
+    base = shared_dir(spark, "stream-dedup")
+    docs = B.read(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(8, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    q = S.start_dedup(stream, "text", f"{base}/ckpt", f"{base}/out")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("query_hash")
