@@ -182,14 +182,19 @@ def permission_token_lists(df: DataFrame, perm_col: str = "permissions", request
                            messages_col: str | None = None, split_mode: str = "json") -> DataFrame:
     """Per row, the token list P7 would count (``tokens`` array, possibly empty).
 
-    Order of sources: a JSON list in ``perm_col``; else (``split_mode='json'``)
-    the whole string when it is not JSON, or (``'comma'``, P8) the string split on
-    commas; then the bracket pattern in ``request_col``; then the first message
-    mentioning "permissions" whose content matches.
+    Order of sources: ``perm_col`` - a JSON list gives its items, a non-JSON
+    string gives itself (``split_mode='json'``) or its comma-split parts
+    (``'comma'``, P8), a non-empty object gives nothing (objects belong to P2);
+    only when that value is empty (null, ``''``, ``[]``, ``{}``) the bracket
+    pattern in ``request_col`` is tried, then the first message mentioning
+    "permissions" whose content matches.
     """
     p = F.col(perm_col)
     v = F.try_parse_json(p)
     as_list = v.try_cast("array<variant>")
+    as_obj = v.try_cast("map<string,variant>")
+    empty = F.array().cast("array<string>")
+    none = F.lit(None).cast("array<string>")
     list_tokens = F.transform(as_list, lambda x: x.cast("string"))
     if split_mode == "json":
         fallback = F.array(p)
@@ -197,24 +202,22 @@ def permission_token_lists(df: DataFrame, perm_col: str = "permissions", request
         fallback = F.transform(F.split(p, ","), lambda x: F.btrim(x, F.lit(PY_WHITESPACE)))
     else:
         raise ValueError(split_mode)
-    from_perm = (F.when(p.isNull() | (p == ""), F.array().cast("array<string>"))
-                 .when(as_list.isNotNull(), list_tokens)
-                 .when(v.isNull(), fallback)
-                 .otherwise(F.array().cast("array<string>")))
-    tokens = from_perm
+    # null = undecided (falsy in the reference): try the next source
+    tokens = (F.when(p.isNull() | (p == ""), none)
+              .when(v.isNull(), fallback)
+              .when(as_list.isNotNull(), F.when(F.size(as_list) > 0, list_tokens).otherwise(none))
+              .when(as_obj.isNotNull(), F.when(F.size(as_obj) > 0, empty).otherwise(none))
+              .otherwise(empty))
     if request_col:
         m = F.regexp_extract(F.col(request_col), PERMISSION_LIST_PATTERN, 1)
-        from_req = F.when(F.coalesce(m, F.lit("")) != "", _split_tokens(m))
-        tokens = F.when(F.size(tokens) > 0, tokens).otherwise(
-            F.coalesce(from_req, F.array().cast("array<string>")))
+        tokens = F.coalesce(tokens, F.when(F.coalesce(m, F.lit("")) != "", _split_tokens(m)))
     if messages_col:
         hit = F.filter(F.col(messages_col), lambda x: F.lower(x["content"]).contains("permissions")
                        & (F.regexp_extract(x["content"], PERMISSION_LIST_PATTERN, 1) != ""))
         first = F.get(hit, 0)
-        from_msg = F.when(first.isNotNull(),
-                          _split_tokens(F.regexp_extract(first["content"], PERMISSION_LIST_PATTERN, 1)))
-        tokens = F.when(F.size(tokens) > 0, tokens).otherwise(
-            F.coalesce(from_msg, F.array().cast("array<string>")))
+        tokens = F.coalesce(tokens, F.when(first.isNotNull(), _split_tokens(
+            F.regexp_extract(first["content"], PERMISSION_LIST_PATTERN, 1))))
+    tokens = F.coalesce(tokens, empty)
     return df.withColumn("tokens", tokens)
 
 

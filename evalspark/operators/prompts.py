@@ -83,8 +83,9 @@ def prompt_formats(df: DataFrame, perm_col="permissions", query_col="query") ->
 
 
 def chat_export(df: DataFrame, path: str, messages_col: str = "messages") -> None:
-    """``{"messages": [...]}`` per line."""
-    df.select(F.col(messages_col).alias("messages")).write.mode("overwrite").json(path)
+    """``{"messages": [...]}`` per line (K2 JSON Lines writer)."""
+    from ..sources.sinks import save_output
+    save_output(df.select(F.col(messages_col).alias("messages")), path, "jsonl")
 
 
 def generation_prompt(role_col="user_role", perm_json_col="modified_permissions") -> Column:
@@ -108,8 +109,9 @@ def word_tokens(text) -> Column:
 
 def sequence_lengths(df: DataFrame, text_col: str, max_len: int = MAX_SEQ_LENGTH, tokens_col: str | None = None,
                      by=()) -> DataFrame:
-    """Length profile over **all** rows: mean / min / max / p50 / p95 of the
-    token count, rows over the cap and mean after truncation to ``max_len``.
+    """Length profile over **all** rows: mean / min / max of the token count,
+    rows over the cap and mean after truncation to ``max_len`` (percentiles:
+    :func:`sequence_percentiles`).
 
     ``tokens_col`` lets a caller pass counts from a pluggable tokenizer (for
     example a ``pandas_udf``); the default is :func:`word_tokens`.

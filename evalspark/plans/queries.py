@@ -356,13 +356,14 @@ def _tokens_sql(split_mode: str) -> str:
                 else f"list_transform(string_split(permissions, ','), lambda x: trim(x, {ws}))")
     return f"""
 WITH e AS (SELECT *, {req} AS user_request FROM ({_ex})),
-p AS (SELECT *, CASE WHEN permissions IS NULL OR permissions = '' THEN []::VARCHAR[]
-                     WHEN json_valid(permissions) AND json_type(permissions) = 'ARRAY'
-                       THEN list_transform(from_json(permissions, '["JSON"]'), lambda x: json_extract_string(x, '$'))
+p AS (SELECT *, CASE WHEN permissions IS NULL OR permissions = '' THEN NULL
                      WHEN NOT json_valid(permissions) THEN {fallback}
+                     WHEN json_type(permissions) = 'ARRAY' THEN CASE WHEN json_array_length(permissions) > 0
+                       THEN list_transform(from_json(permissions, '["JSON"]'), lambda x: json_extract_string(x, '$')) END
+                     WHEN json_type(permissions) = 'OBJECT' THEN CASE WHEN len(json_keys(permissions)) > 0 THEN []::VARCHAR[] END
                      ELSE []::VARCHAR[] END AS t1,
              regexp_extract(user_request, '(?i)permissions[^:]*:\\s*\\[([^\\]]+)\\]', 1) AS m FROM e),
-t AS (SELECT CASE WHEN len(t1) > 0 THEN t1
+t AS (SELECT CASE WHEN t1 IS NOT NULL THEN t1
                   WHEN coalesce(m, '') <> '' THEN list_transform(string_split(m, ','), lambda x: trim(trim(x, {ws}), '"'''))
                   ELSE []::VARCHAR[] END AS tokens FROM p),
 rows AS (SELECT count(*) AS n_rows FROM t),
@@ -1044,3 +1045,26 @@ def _stream_dedup(spark, d):
     q = S.start_dedup(stream, "text", f"{base}/ckpt", f"{base}/out")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("query_hash")
+
+
+# ---------------------------------------------------------------------------
+# split files: K1 write, S1 named-split load, K6 manifest
+# ---------------------------------------------------------------------------
+
+@register("split_roundtrip", f"SELECT doc_id, lang, split FROM ({_SPLIT_SQL})")
+def _split_roundtrip(spark, d):
+    base = shared_dir(spark, "splits")
+    K.write_splits(_split_docs(spark, d), f"{base}/data", "split")
+    paths = {s: f"{base}/data/split={s}" for s in ("train", "validation", "test", "extra")}
+    frame, missing = R.load_splits(spark, paths, schema=None)
+    assert missing == ["extra"], missing  # an absent split is skipped and reported
+    K.write_manifest(L.split_label_stats(frame, "split", "lang"), f"{base}/manifest")
+    return frame.select("doc_id", "lang", "split")
+
+
+register("invalid_policy_default_rejected", f"""
+SELECT CASE WHEN r IN ('full', 'partial', 'rejected') THEN r ELSE 'rejected' END AS label, count(*) AS n
+FROM (SELECT {O.normalize('expected_response', 'results')} AS r FROM ({O.labelled_orders_sql()})) GROUP BY 1
+""")(lambda spark, d: L.apply_invalid_policy(
+    B.labelled_orders(spark, d).select(normalize_label("expected_response", "results").alias("label")),
+    "label", "default_rejected").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
