@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import attach_one_row, ratio
+from ..functions.common import attach_one_row, evaluate_once, ratio
 from ..functions.labels import CLASSES, is_canonical, normalize_label
 
 LABEL_CANDIDATES = ("expected_response", "label", "ground_truth")
@@ -28,6 +28,16 @@ def with_normalized(df: DataFrame, label_col: str, dialect: str, out: str = "lab
     return df.withColumn(out, normalize_label(label_col, dialect))
 
 
+def raw_label_counts(df: DataFrame, label_col: str) -> DataFrame:
+    """Rows per distinct raw label (``raw``, ``n``).
+
+    Every dialect is a pure function of the raw value, so the operators below
+    count first (partial aggregation on the map side) and normalise only the
+    distinct values: the per-row work is a hash-aggregate update.
+    """
+    return df.groupBy(F.col(label_col).alias("raw")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_distribution(df: DataFrame, label_col: str | None = None,
                        dialect: str = "distribution") -> DataFrame:
     """L1: count and percent **of all rows** per normalised label, plus a bar.
@@ -36,14 +46,15 @@ def label_distribution(df: DataFrame, label_col: str | None = None,
     or empty are not counted as a label but do count in ``n_total``.
     """
     label_col = label_col or choose_label_column(df)
-    per = (df.select(normalize_label(label_col, dialect).alias("label"))
-             .groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    raw = raw_label_counts(df, label_col)
+    per = (raw.select(normalize_label("raw", dialect).alias("label"), "n")
+              .groupBy("label").agg(F.sum("n").alias("n")))
     totals = per.agg(F.sum("n").alias("n_total"),
                      F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("n_labelled"))
     out = attach_one_row(per.filter(F.col("label").isNotNull()), totals)
     pct = (F.col("n") / F.col("n_total")) * F.lit(100.0)
     return out.select(
-        "label", "n",
+        "label", F.col("n").cast("bigint").alias("n"),
         F.round(pct, 6).alias("pct"),
         F.repeat(F.lit("█"), F.floor(pct / F.lit(2.0)).cast("int")).alias("bar"),
         F.col("n_labelled").cast("bigint").alias("n_labelled"),
@@ -70,16 +81,21 @@ def split_label_stats(df: DataFrame, split_col: str = "split", label_col: str =
                     *[ratio(c, "total", 100.0).alias(f"{c}_pct") for c in CLASSES])
 
 
+def _normalized_distinct(df: DataFrame, label_col: str, dialect: str) -> DataFrame:
+    """Distinct raw labels with counts and their normalised value, evaluated once
+    per distinct value (kept behind a generator so filters stay above it)."""
+    return evaluate_once(raw_label_counts(df, label_col), normalized=normalize_label("raw", dialect))
+
+
 def label_change_log(df: DataFrame, label_col: str = "expected_response", dialect: str = "repair") -> DataFrame:
     """One row per ``original -> normalised`` pair that differs, with counts.
 
     The comparison is null-safe, so a null label repaired to ``rejected`` is a
     change.  Output: ``original, normalized, n`` (order by ``n`` desc to report).
     """
-    norm = normalize_label(label_col, dialect)
-    return (df.select(F.col(label_col).alias("original"), norm.alias("normalized"))
-              .filter(~F.col("original").eqNullSafe(F.col("normalized")))
-              .groupBy("original", "normalized").agg(F.count(F.lit(1)).alias("n")))
+    d = _normalized_distinct(df, label_col, dialect)
+    return (d.filter(~F.col("raw").eqNullSafe(F.col("normalized")))
+             .select(F.col("raw").alias("original"), "normalized", "n"))
 
 
 def label_dry_run(df: DataFrame, label_col: str = "expected_response", dialect: str = "repair") -> DataFrame:
@@ -88,12 +104,11 @@ def label_dry_run(df: DataFrame, label_col: str = "expected_response", dialect:
     Output: one row ``n_rows, n_changed, n_distinct_changes``.  The caller decides
     whether to write :func:`repair_labels` afterwards.
     """
-    norm = normalize_label(label_col, dialect)
-    changed = ~F.col(label_col).eqNullSafe(norm)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.count_if(changed).alias("n_changed"),
-                  F.count_distinct(F.when(changed, F.concat_ws("→", F.coalesce(F.col(label_col), F.lit("None")), norm)))
-                  .alias("n_distinct_changes"))
+    d = _normalized_distinct(df, label_col, dialect)
+    changed = ~F.col("raw").eqNullSafe(F.col("normalized"))
+    return d.agg(F.sum("n").cast("bigint").alias("n_rows"),
+                 F.sum(F.when(changed, F.col("n")).otherwise(0)).cast("bigint").alias("n_changed"),
+                 F.count_if(changed).alias("n_distinct_changes"))
 
 
 def repair_labels(df: DataFrame, label_col: str = "expected_response", dialect: str = "repair",

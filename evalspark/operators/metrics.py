@@ -96,16 +96,14 @@ def per_class_stats(df: DataFrame, truth: str = "truth", pred: str = "prediction
     """M6/M8: per class precision, recall, F1, support and per-class accuracy.
 
     Undefined ratios are 0 (``zero_division=0``).  Per-class accuracy is the
-    diagonal over the row sum, i.e. recall.
+    diagonal over the row sum, i.e. recall.  One aggregate; the three class rows
+    come from one ``inline`` of that row.
     """
     by = list(by)
     w = confusion_counts(df, truth, pred, by)
-    parts = []
-    for c in CLASSES:
-        tp, sup, prd = F.col(_cell(c, c)), _row_sum(c), _col_sum(c)
-        parts.append(w.select(*by, F.lit(c).alias("label"), tp.alias("tp"), sup.alias("support"),
-                              prd.alias("predicted")))
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = F.array(*[F.struct(F.lit(c).alias("label"), F.col(_cell(c, c)).alias("tp"),
+                              _row_sum(c).alias("support"), _col_sum(c).alias("predicted")) for c in CLASSES])
+    u = w.select(*by, F.inline(rows))
     return u.select(*by, "label",
                     ratio0("tp", "predicted").alias("precision"),
                     ratio0("tp", "support").alias("recall"),
@@ -150,28 +148,34 @@ def classification_report(df: DataFrame, truth: str = "truth", pred: str = "pred
 
     The report always lists the three classes, and its averages run over those
     three (as ``classification_report(labels=[0,1,2])`` does).  The accuracy row
-    carries accuracy in ``f1`` and the total in ``support``.
+    carries accuracy in ``f1`` and the total in ``support``.  One aggregate; all
+    six rows are projected from it.
     """
     by = list(by)
-    cls = per_class_stats(df, truth, pred, by).select(*by, "label", "precision", "recall", "f1", "support")
-    # averages come from the unrounded per-class values of the same wide counts
     w = confusion_counts(df, truth, pred, by)
     n = sum((_row_sum(c) for c in CLASSES), F.lit(0))
+    nd = n.cast("double")
     diag = sum((F.col(_cell(c, c)) for c in CLASSES), F.lit(0))
-    acc = w.select(*by, F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                   F.lit(None).cast("double").alias("recall"), ratio0(diag, n).alias("f1"),
-                   n.cast("bigint").alias("support"))
-    macro = w.select(*by, F.lit("macro avg").alias("label"),
-                     F.round(sum((_prec(c) for c in CLASSES), F.lit(0.0)) / 3.0, 6).alias("precision"),
-                     F.round(sum((_rec(c) for c in CLASSES), F.lit(0.0)) / 3.0, 6).alias("recall"),
-                     F.round(sum((_f1(c) for c in CLASSES), F.lit(0.0)) / 3.0, 6).alias("f1"),
-                     n.cast("bigint").alias("support"))
-    weighted = w.select(*by, F.lit("weighted avg").alias("label"),
-                        F.round(F.coalesce(F.try_divide(sum((_prec(c) * _row_sum(c) for c in CLASSES), F.lit(0.0)), n.cast("double")), F.lit(0.0)), 6).alias("precision"),
-                        F.round(F.coalesce(F.try_divide(sum((_rec(c) * _row_sum(c) for c in CLASSES), F.lit(0.0)), n.cast("double")), F.lit(0.0)), 6).alias("recall"),
-                        F.round(F.coalesce(F.try_divide(sum((_f1(c) * _row_sum(c) for c in CLASSES), F.lit(0.0)), n.cast("double")), F.lit(0.0)), 6).alias("f1"),
-                        n.cast("bigint").alias("support"))
-    return cls.unionByName(acc).unionByName(macro).unionByName(weighted)
+
+    def r6(x):
+        return F.round(x, 6)
+
+    def wavg(f):
+        return r6(F.coalesce(F.try_divide(sum((f(c) * _row_sum(c) for c in CLASSES), F.lit(0.0)), nd), F.lit(0.0)))
+
+    none = F.lit(None).cast("double")
+    rows = [F.struct(F.lit(c).alias("label"), r6(_prec(c)).alias("precision"), r6(_rec(c)).alias("recall"),
+                     r6(_f1(c)).alias("f1"), _row_sum(c).cast("bigint").alias("support")) for c in CLASSES]
+    rows.append(F.struct(F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"),
+                         ratio0(diag, n).alias("f1"), n.cast("bigint").alias("support")))
+    rows.append(F.struct(F.lit("macro avg").alias("label"),
+                         r6(sum((_prec(c) for c in CLASSES), F.lit(0.0)) / 3.0).alias("precision"),
+                         r6(sum((_rec(c) for c in CLASSES), F.lit(0.0)) / 3.0).alias("recall"),
+                         r6(sum((_f1(c) for c in CLASSES), F.lit(0.0)) / 3.0).alias("f1"),
+                         n.cast("bigint").alias("support")))
+    rows.append(F.struct(F.lit("weighted avg").alias("label"), wavg(_prec).alias("precision"),
+                         wavg(_rec).alias("recall"), wavg(_f1).alias("f1"), n.cast("bigint").alias("support")))
+    return w.select(*by, F.inline(F.array(*rows)))
 
 
 def compare_runs(df: DataFrame, truth: str = "truth", pred: str = "prediction", run: str = "run") -> DataFrame:

@@ -80,26 +80,37 @@ def permission_entries(df: DataFrame, id_col: str, perm_col: str) -> DataFrame:
     return e.withColumn("tname", type_name(F.schema_of_variant("v")))
 
 
+def _value_rows(field, v, tname, with_lengths: bool = True, with_kind: bool = True):
+    """Per (field, value) entry, the value rows it contributes, as one array:
+    each list element as text (plus ``<field>_count`` with the list length), or
+    the scalar itself (numbers keep kind ``number``)."""
+    arr = v.try_cast("array<variant>")
+
+    def row(f, val, kind):
+        parts = [f.alias("field"), val.alias("value")]
+        if with_kind:
+            parts.append(kind.alias("value_kind"))
+        return F.struct(*parts)
+
+    items = F.transform(arr, lambda x: row(field, py_text(x, type_name(F.schema_of_variant(x))), F.lit("text")))
+    if with_lengths:
+        items = F.concat(items, F.array(row(F.concat(field, F.lit("_count")), F.size(arr).cast("string"),
+                                            F.lit("number"))))
+    scalar = F.array(row(field, py_text(v, tname),
+                         F.when(tname.isin("int", "float"), F.lit("number")).otherwise(F.lit("text"))))
+    return F.when(tname == "list", items).otherwise(scalar)
+
+
 def field_value_counts(entries: DataFrame) -> DataFrame:
     """P2/P3 counting rule: ``field, value, value_kind, n``.
 
     Lists count each element as text and add pseudo-field ``<field>_count`` with
     the list length (a number); booleans count as ``True``/``False``; numbers
     count by value (kind ``number``, so ``30`` and ``"30"`` differ); other values
-    as text.
+    as text.  One pass: each entry emits its rows through one ``inline``.
     """
-    scal = entries.filter(F.col("tname") != "list").select(
-        "field", py_text(F.col("v"), F.col("tname")).alias("value"),
-        F.when(F.col("tname").isin("int", "float"), "number").otherwise("text").alias("value_kind"))
-    lists = entries.filter(F.col("tname") == "list").select(
-        "field", F.col("v").try_cast("array<variant>").alias("arr"))
-    items = lists.select("field", F.explode("arr").alias("x")).select(
-        "field", F.col("x"), type_name(F.schema_of_variant("x")).alias("xt"))
-    items = items.select("field", py_text(F.col("x"), F.col("xt")).alias("value"), F.lit("text").alias("value_kind"))
-    lengths = lists.select(F.concat(F.col("field"), F.lit("_count")).alias("field"),
-                           F.size("arr").cast("string").alias("value"), F.lit("number").alias("value_kind"))
-    allv = scal.unionByName(items).unionByName(lengths)
-    return allv.groupBy("field", "value", "value_kind").agg(F.count(F.lit(1)).alias("n"))
+    rows = entries.select(F.inline(_value_rows(F.col("field"), F.col("v"), F.col("tname"))))
+    return rows.groupBy("field", "value", "value_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def field_value_top_n(df: DataFrame, id_col: str, perm_col: str, top: int = TOP_VALUES) -> DataFrame:
@@ -253,11 +264,8 @@ def permission_database(df: DataFrame, id_col: str = "example_id", role_col: str
                .groupBy(F.col(role_col).alias("role")).agg(F.count(F.lit(1)).alias("count")))
     roles = attach_one_row(roles, meta).select("role", "count", ratio("count", "total_samples", 100.0).alias("percentage"))
     e = permission_entries(df, id_col, perm_col)
-    scal = e.filter(F.col("tname") != "list").select("field", py_text(F.col("v"), F.col("tname")).alias("value"))
-    items = (e.filter(F.col("tname") == "list")
-              .select("field", F.explode(F.col("v").try_cast("array<variant>")).alias("x"))
-              .select("field", py_text(F.col("x"), type_name(F.schema_of_variant("x"))).alias("value")))
-    vals = scal.unionByName(items).groupBy("field", "value").agg(F.count(F.lit(1)).alias("count"))
+    vals = (e.select(F.inline(_value_rows(F.col("field"), F.col("v"), F.col("tname"), False, False)))
+             .groupBy("field", "value").agg(F.count(F.lit(1)).alias("count")))
     per_field = vals.groupBy("field").agg(F.count(F.lit(1)).alias("unique_values"), F.sum("count").alias("field_total"))
     values = vals.join(per_field, "field").select(
         "field", "value", "count", ratio("count", "field_total", 100.0).alias("percentage"))

@@ -66,15 +66,14 @@ SELECT expected_response AS raw_label, {_dialect_cols_sql()}, count(*) AS n
 FROM ({O.labelled_orders_sql()}) b GROUP BY ALL
 """)
 def _label_dialects(spark, d):
-    b = B.labelled_orders(spark, d)
+    raw = L.raw_label_counts(B.labelled_orders(spark, d), "expected_response")
     cols = []
     for dl in DIALECTS:
-        e = normalize_label("expected_response", dl)
+        e = normalize_label("raw", dl)
         if dl == "results":
             e = F.when(e.isin("full", "partial", "rejected"), e).otherwise(F.lit("error"))
         cols.append(e.alias(dl))
-    return (b.select(F.col("expected_response").alias("raw_label"), *cols)
-             .groupBy("raw_label", *DIALECTS).agg(F.count(F.lit(1)).alias("n")))
+    return raw.select(F.col("raw").alias("raw_label"), *cols, "n")
 
 
 register("label_change_log", f"""
