@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.common import attach_one_row, md5_bigint, md5_uniform, ratio
+from ..functions.common import attach_one_row, evaluate_once, md5_bigint, md5_uniform, ratio
 from ..functions.json import lenient_object
 from ..operators.labels import label_distribution, repair_labels
 
@@ -39,8 +39,9 @@ def eligible_sources(df: DataFrame, perm_col: str = "permissions", level: str =
 
     hard: at least 5 fields; medium: 6 or 7.  Adds ``n_fields``.
     """
-    n = F.size(lenient_object(perm_col))
-    out = df.withColumn("n_fields", F.when(lenient_object(perm_col).isNotNull(), n))
+    # parsed once per row; the filter below reads the result instead of re-parsing
+    out = evaluate_once(df, __m=lenient_object(perm_col))
+    out = out.withColumn("n_fields", F.when(F.col("__m").isNotNull(), F.size("__m"))).drop("__m")
     if level == "hard":
         return out.filter(F.col("n_fields") >= HARD_MIN_FIELDS)
     if level == "medium":
@@ -103,25 +104,26 @@ def dense_rank_by_hash(df: DataFrame, h_col: str, id_col: str, out: str = "pos")
 
 
 def draw_sources(spark: SparkSession, unused: DataFrame, eligible: DataFrame, id_col: str, n_examples: int,
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, n_unused: int | None = None, n_eligible: int | None = None) -> DataFrame:
     """A3: ``2 * n_examples`` draws: without replacement while unused sources
     last, then with replacement from all eligible sources (``reused = true``).
 
     Output: ``draw_no`` (attempt order, 0-based), ``source_id``, ``reused``.
+    Pass ``n_unused`` / ``n_eligible`` when known to skip the two counts.
     """
     n_draws = DRAW_FACTOR * n_examples
     u = unused.select(F.col(id_col).alias("source_id"))
     u = u.withColumn("__h", md5_bigint(F.lit(str(seed)), F.lit("draw"), F.col("source_id")))
     ranked = dense_rank_by_hash(u, "__h", "source_id", "draw_no").filter(F.col("draw_no") < n_draws)
     unique = ranked.select("draw_no", "source_id", F.lit(False).alias("reused"))
-    n_unique = u.count()
+    n_unique = n_unused if n_unused is not None else u.count()
     n_reuse = max(0, n_draws - n_unique)
     if n_reuse == 0:
         return unique
     e = eligible.select(F.col(id_col).alias("source_id"))
     e = e.withColumn("__h", md5_bigint(F.lit(str(seed)), F.lit("pool"), F.col("source_id")))
     indexed = dense_rank_by_hash(e, "__h", "source_id", "pool_pos").drop("__h")
-    n_elig = e.count()
+    n_elig = n_eligible if n_eligible is not None else e.count()
     if n_elig == 0:
         return unique
     draws = spark.range(n_unique, n_draws).withColumnRenamed("id", "draw_no")

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.common import evaluate_once
+
 # ---------------------------------------------------------------------------
 # Fixed values (test inputs): dirty label strings by ``o_orderkey % 16``; keys
 # 14 and 15 use the order status letter itself.
@@ -134,9 +136,12 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lower(F.col("c_mktsegment")), F.lit(" account ledger"))
     label = (F.when(F.col("c_acctbal") < 0, "rejected").when(F.col("c_acctbal") < 5000, "partial")
              .otherwise("full"))
-    return j.select(F.col("c_custkey").alias("example_id"), role.alias("user_role"),
-                    permission_json().alias("permissions"), query.alias("query"),
-                    label.alias("expected_response"))
+    out = j.select(F.col("c_custkey").alias("example_id"), role.alias("user_role"), query.alias("query"),
+                   label.alias("expected_response"), "c_custkey", "c_mktsegment", "n_name", "c_acctbal",
+                   "c_nationkey")
+    # the permission text is built once per row (a stored column in real data)
+    out = evaluate_once(out, permissions=permission_json())
+    return out.select("example_id", "user_role", "permissions", "query", "expected_response")
 
 
 # Fixed values (test inputs): label spellings in generated outputs by ``doc_id % 7``.

@@ -676,8 +676,12 @@ from ..operators import prompts as G  # noqa: E402
 
 
 def _unused(spark, d):
+    """Examples, eligible sources (checkpointed once) and the unused ones."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     ex = B.examples(spark, d)
-    elig = A.eligible_sources(ex, "permissions", "hard")
+    elig = A.eligible_sources(ex, "permissions", "hard").select(
+        "example_id", "user_role", "permissions", "query", "n_fields").checkpoint()
     track = shared_dir(spark, "tracking")
     key = A.tracking_key("examples.parquet")
     A.record_attempts(B.used_sources(spark, d), track, key)
@@ -686,16 +690,17 @@ def _unused(spark, d):
 
 def augment_run(spark, d, seed: int = 42):
     """Draw sources (n = number of unused sources), sample permissions, build the
-    generation prompt, get the offline reply and classify each attempt."""
+    generation prompt, get the offline reply and classify each attempt.  The
+    attempt log is checkpointed: every report reads it instead of re-running it."""
     ex, elig, unused = _unused(spark, d)
     n_examples = unused.count()
-    draws = A.draw_sources(spark, unused, elig, "example_id", n_examples, seed)
-    src = draws.join(ex.withColumnRenamed("example_id", "source_id"), "source_id")
+    draws = A.draw_sources(spark, unused, elig, "example_id", n_examples, seed, n_unused=n_examples)
+    src = draws.join(elig.withColumnRenamed("example_id", "source_id"), "source_id")
     s = A.sample_permissions(A.assign_strategy(src, "draw_no", seed, "hard"), "permissions", "strategy",
                              "draw_no", seed, "hard")
     s = s.withColumn("prompt", G.generation_prompt("user_role", "modified_permissions"))
     s = s.withColumn("response", B.rule_reply(seed))
-    return A.generation_outcomes(s, "response", "draw_no"), n_examples
+    return A.generation_outcomes(s, "response", "draw_no").checkpoint(), n_examples
 
 
 def _u_sql(*parts) -> str:
@@ -733,7 +738,8 @@ register("draw_sources", f"SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id,
 
 def _draw(spark, d):
     ex, elig, unused = _unused(spark, d)
-    return A.draw_sources(spark, unused, elig, "example_id", unused.count(), 42)
+    n = unused.count()
+    return A.draw_sources(spark, unused, elig, "example_id", n, 42, n_unused=n)
 
 
 _CORE = "('department', 'access_level', 'allowed_actions')"
@@ -782,8 +788,9 @@ SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, strategy, strategy_used, C
 
 def _augment_permissions(spark, d):
     ex, elig, unused = _unused(spark, d)
-    draws = A.draw_sources(spark, unused, elig, "example_id", unused.count(), 42)
-    src = draws.join(ex.withColumnRenamed("example_id", "source_id"), "source_id")
+    n = unused.count()
+    draws = A.draw_sources(spark, unused, elig, "example_id", n, 42, n_unused=n)
+    src = draws.join(elig.withColumnRenamed("example_id", "source_id"), "source_id")
     s = A.sample_permissions(A.assign_strategy(src, "draw_no", 42, "hard"), "permissions", "strategy", "draw_no", 42, "hard")
     before = lenient_object("permissions")
     after = lenient_object("modified_permissions")

@@ -42,6 +42,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder (``spark.checkpoint.dir``), registered for
+    ``DataFrame.checkpoint()``; a scratch folder is created only when unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="evalspark-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory below the cluster's shared checkpoint folder.
 
@@ -49,10 +61,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     from the session.  Only when it is unset (local tests) a scratch folder is
     created and registered.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="evalspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
+    base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
     return path
