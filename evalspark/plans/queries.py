@@ -1033,7 +1033,7 @@ def _stream_running_metrics(spark, d):
     base = shared_dir(spark, "stream-metrics")
     sc = scored(spark, d).select("id", "run", "truth", "prediction")
     sc.repartition(8, "id").write.mode("overwrite").parquet(f"{base}/in")
-    stream = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stream = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     q = S.start_running_metrics(stream, f"{base}/ckpt", f"{base}/snapshot", by=["run"])
     q.awaitTermination()
     return spark.read.parquet(f"{base}/snapshot").select(
@@ -1047,7 +1047,7 @@ def _stream_dedup(spark, d):
     base = shared_dir(spark, "stream-dedup")
     docs = B.read(spark, d, "documents").select("doc_id", "text")
     docs.repartition(8, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     q = S.start_dedup(stream, "text", f"{base}/ckpt", f"{base}/out")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("query_hash")
