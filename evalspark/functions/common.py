@@ -28,13 +28,11 @@ def ratio0(num, den, scale: float = 1.0) -> Column:
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame (a global aggregate) to every row.
 
-    The one-row side has a proven size (exactly one row), so it is broadcast and
-    joined on a constant key; no shuffle of ``df`` happens.
+    Each column becomes a scalar subquery: evaluated once, its value is a
+    constant in the outer plan, so ``df`` is neither joined nor shuffled (the
+    optimizer merges subqueries over the same aggregate into one).
     """
-    k = "__one_row_key"
-    return (df.withColumn(k, F.lit(1))
-              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k)
-              .drop(k))
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def md5_uniform(*parts) -> Column:
