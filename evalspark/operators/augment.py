@@ -86,14 +86,15 @@ def unused_sources(eligible: DataFrame, used: DataFrame, id_col: str) -> DataFra
 # A3: draw sources
 # ---------------------------------------------------------------------------
 
-def dense_rank_by_hash(df: DataFrame, h_col: str, id_col: str, out: str = "pos") -> DataFrame:
+def dense_rank_by_hash(df: DataFrame, h_col: str, id_col: str, out: str = "pos", bucket_bits: int = 16) -> DataFrame:
     """0-based position of each row in (hash, id) order without a global sort.
 
-    Rows are counted per 16-bit hash bucket (at most 65,536 counts, a proven
+    Rows are counted per hash bucket (at most 2^bucket_bits counts, a proven
     bound, broadcast back as offsets); positions inside a bucket come from a
-    window over that bucket only.
+    window over that bucket only (about n / 2^bucket_bits rows each, spread over
+    all tasks).
     """
-    b = F.shiftright(F.col(h_col), 44).alias("__b")
+    b = F.shiftright(F.col(h_col), 60 - bucket_bits).alias("__b")
     keyed = df.withColumn("__b", b)
     counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__nb"))
     offs = counts.withColumn("__off", F.sum("__nb").over(

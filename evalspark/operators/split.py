@@ -5,11 +5,14 @@ global sort per stratum would funnel a stratum through one task, so the cut is
 found on a small table instead:
 
 1. every row gets ``h`` = first 15 hex digits of md5(seed:stratum:id) as BIGINT
-   (the shuffle order, ties broken by id) and ``bucket = h >> 44`` (16 bits);
-2. rows are counted per (stratum, bucket) - at most 65,536 rows per stratum;
+   (the shuffle order, ties broken by id) and ``bucket`` = its top
+   ``bucket_bits`` bits (default 20);
+2. rows are counted per (stratum, bucket) - at most 2^20 (about 1M) rows per
+   stratum, only non-empty buckets appear;
 3. a running sum over that small table finds, per stratum, the boundary bucket
    that holds position ``k``; buckets below are in, buckets above are out;
-4. only rows of the boundary bucket (about n / 65,536 per stratum) are ranked.
+4. only rows of the boundary bucket (about n / 2^20 per stratum, ~1M rows at
+   10^12 rows) are ranked.
 
 The result equals ``row_number() over (partition by stratum order by h, id) <= k``
 for any partitioning of the input.
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions.common import broadcast_if_small, md5_bigint
 
-BUCKET_SHIFT = 44  # 60-bit hash -> 16-bit bucket
+HASH_BITS = 60     # md5 prefix of 15 hex digits
+BUCKET_BITS = 20   # per-stratum bucket table <= 2^20 rows; boundary bucket ~ n / 2^20 rows
 
 
 def shuffle_key(seed, stratum_col, id_col, salt: str | None = None):
@@ -32,7 +36,7 @@ def shuffle_key(seed, stratum_col, id_col, salt: str | None = None):
 
 
 def exact_cut(df: DataFrame, id_col: str, stratum_col: str, fraction: float, seed: int = 42,
-              salt: str | None = None, out_col: str = "in_first") -> DataFrame:
+              salt: str | None = None, out_col: str = "in_first", bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """Flag the first ``floor(n * fraction)`` rows of each stratum's seeded shuffle.
 
     Adds boolean ``out_col``; ``n`` is the stratum size.  Exact, no global sort.
@@ -40,7 +44,7 @@ def exact_cut(df: DataFrame, id_col: str, stratum_col: str, fraction: float, see
     h = "__h"
     b = "__bucket"
     keyed = df.withColumn(h, shuffle_key(seed, F.col(stratum_col), F.col(id_col), salt)) \
-              .withColumn(b, F.shiftright(F.col(h), BUCKET_SHIFT))
+              .withColumn(b, F.shiftright(F.col(h), HASH_BITS - bucket_bits))
     per_bucket = keyed.groupBy(stratum_col, b).agg(F.count(F.lit(1)).alias("__nb"))
     w = Window.partitionBy(stratum_col).orderBy(b)
     cum = (per_bucket
