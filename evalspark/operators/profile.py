@@ -20,24 +20,32 @@ TOP_VALUES = 20
 TOP_TOKENS = 20
 
 
+WINDOW_GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
+
+
 def top_n_with_tail(counts: DataFrame, group_cols, value_col: str, n_col: str, top: int,
                     tail_text, buckets: int = 64) -> DataFrame:
     """Exact top-``top`` rows per group by (count desc, value asc) plus one tail row.
 
-    Skew-safe: ranks are first computed inside (group, hash-bucket of value), so a
-    group with millions of distinct values is spread over ``buckets`` tasks; only
-    the at most ``buckets * top`` survivors per group meet in the final rank.  The
-    tail row (rank ``top + 1``) carries the number of remaining values and the sum
-    of their counts.
+    Skew-safe: for ``top`` up to the window-group-limit threshold Spark keeps
+    at most ``top`` rows per group in every map partition before the shuffle
+    (``WindowGroupLimit``), so a group with millions of distinct values never
+    meets in one task.  Above the threshold ranks are first taken inside
+    (group, hash bucket of the value) and only ``buckets * top`` candidates per
+    group meet.  The tail row (rank ``top + 1``) carries the number of remaining
+    values and the sum of their counts; group totals are attached as scalar
+    subqueries (no group) or a join on the group keys.
 
     Output: ``group_cols..., rank, value, n, n_values, group_total, is_tail``.
     ``tail_text(k)`` builds the tail row's value from the column of remaining count.
     """
     g = list(group_cols)
     order = [F.desc(n_col), F.asc_nulls_first(value_col)]
-    bucket = F.pmod(F.xxhash64(value_col), F.lit(buckets))
-    w1 = Window.partitionBy(*g, bucket).orderBy(*order)
-    cand = counts.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= top).drop("__r")
+    cand = counts
+    if top > WINDOW_GROUP_LIMIT:
+        bucket = F.pmod(F.xxhash64(value_col), F.lit(buckets))
+        w1 = Window.partitionBy(*g, bucket).orderBy(*order)
+        cand = counts.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= top).drop("__r")
     w2 = Window.partitionBy(*g).orderBy(*order) if g else Window.orderBy(*order)
     ranked = cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= top)
     stats = (counts.groupBy(*g) if g else counts.groupBy()).agg(

@@ -49,8 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    try:  # classic sessions register the folder on the SparkContext as well
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(base)
+    except Exception:  # noqa: BLE001 - Spark Connect: the conf above is enough
+        pass
     return base
 
 
