@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import broadcast_if_small, md5_bigint
+from ..functions.common import attach_one_row, broadcast_if_small, md5_bigint
 
 HASH_BITS = 60     # md5 prefix of 15 hex digits
 BUCKET_BITS = 20   # per-stratum bucket table <= 2^20 rows; boundary bucket ~ n / 2^20 rows
@@ -35,32 +35,40 @@ def shuffle_key(seed, stratum_col, id_col, salt: str | None = None):
     return md5_bigint(*parts)
 
 
-def exact_cut(df: DataFrame, id_col: str, stratum_col: str, fraction: float, seed: int = 42,
-              salt: str | None = None, out_col: str = "in_first", bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def exact_cut(df: DataFrame, id_col: str, stratum_col: str | None, fraction: float, seed: int = 42,
+              salt: str | None = None, out_col: str = "in_first", bucket_bits: int = BUCKET_BITS,
+              stratum_label: str = "all") -> DataFrame:
     """Flag the first ``floor(n * fraction)`` rows of each stratum's seeded shuffle.
 
     Adds boolean ``out_col``; ``n`` is the stratum size.  Exact, no global sort.
+    ``stratum_col=None`` treats the whole frame as one stratum named
+    ``stratum_label`` (its boundary is attached as scalar subqueries).
     """
-    h = "__h"
-    b = "__bucket"
-    keyed = df.withColumn(h, shuffle_key(seed, F.col(stratum_col), F.col(id_col), salt)) \
+    h, b = "__h", "__bucket"
+    g = [stratum_col] if stratum_col else []
+    strat = F.col(stratum_col) if stratum_col else F.lit(stratum_label)
+    keyed = df.withColumn(h, shuffle_key(seed, strat, F.col(id_col), salt)) \
               .withColumn(b, F.shiftright(F.col(h), HASH_BITS - bucket_bits))
-    per_bucket = keyed.groupBy(stratum_col, b).agg(F.count(F.lit(1)).alias("__nb"))
-    w = Window.partitionBy(stratum_col).orderBy(b)
+    per_bucket = keyed.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__nb"))
+    # running sum over the bucket table (<= 2^bucket_bits rows per stratum)
+    w = (Window.partitionBy(*g) if g else Window).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
     cum = (per_bucket
-           .withColumn("__cum", F.sum("__nb").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("__n", F.sum("__nb").over(Window.partitionBy(stratum_col)))
-           .withColumn("__k", F.floor(F.col("__n") * F.lit(float(fraction))).cast("bigint")))
+           .withColumn("__cum", F.sum("__nb").over(w))
+           .withColumn("__n", F.sum("__nb").over(Window.partitionBy(*g) if g else Window.partitionBy())))
+    cum = cum.withColumn("__k", F.floor(F.col("__n") * F.lit(float(fraction))).cast("bigint"))
     # one row per stratum: the bucket holding position k and how many of its rows go in
     boundary = (cum.filter((F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__nb") < F.col("__k")))
-                   .select(stratum_col, F.col(b).alias("__bb"),
+                   .select(*g, F.col(b).alias("__bb"),
                            (F.col("__k") - (F.col("__cum") - F.col("__nb"))).alias("__need")))
-    # one row per stratum, size checked before broadcasting: a shuffle join on a
-    # handful of strata would put a whole stratum in one task
-    j = keyed.join(broadcast_if_small(boundary), stratum_col, "left")
+    if g:
+        # size checked before broadcasting: a shuffle join on a handful of
+        # strata would put a whole stratum in one task
+        j = keyed.join(broadcast_if_small(boundary), g, "left")
+    else:
+        j = attach_one_row(keyed, boundary)  # zero rows (k = 0) attach as nulls
     in_bucket = j.filter(F.col(b) == F.col("__bb"))
     rest = j.filter(~(F.col(b) == F.col("__bb")) | F.col("__bb").isNull())
-    rw = Window.partitionBy(stratum_col).orderBy(F.col(h), F.col(id_col))
+    rw = (Window.partitionBy(*g) if g else Window).orderBy(F.col(h), F.col(id_col))
     ranked = in_bucket.withColumn(out_col, F.row_number().over(rw) <= F.col("__need"))
     rest = rest.withColumn(out_col, F.coalesce(F.col(b) < F.col("__bb"), F.lit(False)))
     return ranked.unionByName(rest).drop(h, b, "__bb", "__need")
@@ -77,9 +85,9 @@ def three_way_split(df: DataFrame, id_col: str, stratum_col: str, holdout_strata
     held = df.filter(hold).withColumn("split", F.lit("test"))
     rest = exact_cut(df.filter(~hold), id_col, stratum_col, pool_fraction, seed, out_col="__pool")
     test = rest.filter(~F.col("__pool")).drop("__pool").withColumn("split", F.lit("test"))
-    pool = rest.filter(F.col("__pool")).drop("__pool").withColumn("__one", F.lit("pool"))
-    tv = exact_cut(pool, id_col, "__one", train_fraction, seed, salt="pool", out_col="__train")
-    tv = tv.withColumn("split", F.when(F.col("__train"), "train").otherwise("validation")).drop("__train", "__one")
+    pool = rest.filter(F.col("__pool")).drop("__pool")
+    tv = exact_cut(pool, id_col, None, train_fraction, seed, salt="pool", out_col="__train", stratum_label="pool")
+    tv = tv.withColumn("split", F.when(F.col("__train"), "train").otherwise("validation")).drop("__train")
     return held.unionByName(test).unionByName(tv)
 
 
