@@ -69,3 +69,29 @@ def start_dedup(stream: DataFrame, text_col: str, checkpoint: str, out_path: str
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def stop_running_metrics(spark, query: StreamingQuery, snapshot_path: str, out_path: str) -> str:
+    """R1 on shutdown: stop the query and write the last snapshot with a final
+    status to ``out_path``.
+
+    ``complete`` when the query had already finished on its own, otherwise
+    ``interrupted``; ``interrupted_no_metrics`` when a snapshot exists but holds
+    no rows, ``interrupted_no_data`` when no batch was ever published.  Resuming
+    is real: restart with the same checkpoint.
+    """
+    from pyspark.sql.utils import AnalysisException
+    finished = not query.isActive
+    if not finished:
+        query.stop()
+    try:
+        snap = spark.read.parquet(snapshot_path)
+    except AnalysisException:
+        spark.createDataFrame([("interrupted_no_data",)], "status string").write.mode("overwrite").parquet(out_path)
+        return "interrupted_no_data"
+    if snap.limit(1).count() == 0:
+        status = "interrupted_no_metrics"
+    else:
+        status = "complete" if finished else "interrupted"
+    snap.withColumn("status", F.lit(status)).write.mode("overwrite").parquet(out_path)
+    return status
