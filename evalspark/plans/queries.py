@@ -675,24 +675,30 @@ from ..operators import augment as A  # noqa: E402
 from ..operators import prompts as G  # noqa: E402
 
 
-def _unused(spark, d):
-    """Examples, eligible sources (checkpointed once) and the unused ones."""
+TRACKING_KEY = A.tracking_key("examples.parquet")
+
+
+def _unused(spark, d, track: str | None = None):
+    """Examples, eligible sources (checkpointed once) and the unused ones.
+
+    The tracking table starts with the sources an earlier run used (customers
+    with a fulfilled order)."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     ex = B.examples(spark, d)
     elig = A.eligible_sources(ex, "permissions", "hard").select(
         "example_id", "user_role", "permissions", "query", "n_fields").checkpoint()
-    track = shared_dir(spark, "tracking")
-    key = A.tracking_key("examples.parquet")
-    A.record_attempts(B.used_sources(spark, d), track, key)
-    return ex, elig, A.unused_sources(elig, A.read_used(spark, track, key), "example_id")
+    track = track or shared_dir(spark, "tracking")
+    A.record_attempts(B.used_sources(spark, d), track, TRACKING_KEY)
+    return ex, elig, A.unused_sources(elig, A.read_used(spark, track, TRACKING_KEY), "example_id")
 
 
 def augment_run(spark, d, seed: int = 42):
     """Draw sources (n = number of unused sources), sample permissions, build the
     generation prompt, get the offline reply and classify each attempt.  The
     attempt log is checkpointed: every report reads it instead of re-running it."""
-    ex, elig, unused = _unused(spark, d)
+    track = shared_dir(spark, "tracking")
+    ex, elig, unused = _unused(spark, d, track)
     n_examples = unused.count()
     draws = A.draw_sources(spark, unused, elig, "example_id", n_examples, seed, n_unused=n_examples)
     src = draws.join(elig.withColumnRenamed("example_id", "source_id"), "source_id")
@@ -700,7 +706,9 @@ def augment_run(spark, d, seed: int = 42):
                              "draw_no", seed, "hard")
     s = s.withColumn("prompt", G.generation_prompt("user_role", "modified_permissions"))
     s = s.withColumn("response", B.rule_reply(seed))
-    return A.generation_outcomes(s, "response", "draw_no").checkpoint(), n_examples
+    attempts = A.generation_outcomes(s, "response", "draw_no").checkpoint()
+    A.record_attempts(attempts, track, TRACKING_KEY)  # failed attempts count as used too
+    return attempts, n_examples
 
 
 def _u_sql(*parts) -> str:
