@@ -678,7 +678,7 @@ from ..operators import prompts as G  # noqa: E402
 TRACKING_KEY = A.tracking_key("examples.parquet")
 
 
-def _unused(spark, d, track: str | None = None):
+def _unused(spark, d, track: str | None = None, level: str = "hard"):
     """Examples, eligible sources (checkpointed once) and the unused ones.
 
     The tracking table starts with the sources an earlier run used (customers
@@ -686,7 +686,7 @@ def _unused(spark, d, track: str | None = None):
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     ex = B.examples(spark, d)
-    elig = A.eligible_sources(ex, "permissions", "hard").select(
+    elig = A.eligible_sources(ex, "permissions", level).select(
         "example_id", "user_role", "permissions", "query", "n_fields").checkpoint()
     track = track or shared_dir(spark, "tracking")
     A.record_attempts(B.used_sources(spark, d), track, TRACKING_KEY)
@@ -724,14 +724,24 @@ register("eligible_sources_medium", f"""
 SELECT example_id, CAST({_LEN} AS INTEGER) AS n_fields FROM ({_ex}) WHERE {_LEN} BETWEEN 6 AND 7
 """)(lambda spark, d: A.eligible_sources(B.examples(spark, d), level="medium").select("example_id", "n_fields"))
 
-_ELIG = f"SELECT example_id, user_role, permissions, query FROM ({_ex}) WHERE {_LEN} >= 5"
-_UNUSED = (f"SELECT example_id FROM ({_ELIG}) WHERE example_id NOT IN "
-           f"(SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def _elig_sql(level: str = "hard") -> str:
+    cond = f"{_LEN} >= 5" if level == "hard" else f"{_LEN} BETWEEN 6 AND 7"
+    return f"SELECT example_id, user_role, permissions, query FROM ({_ex}) WHERE {cond}"
+
+
+def _unused_sql(level: str = "hard") -> str:
+    return (f"SELECT example_id FROM ({_elig_sql(level)}) WHERE example_id NOT IN "
+            f"(SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+
+
+_ELIG = _elig_sql("hard")
+_UNUSED = _unused_sql("hard")
 register("unused_sources", f"SELECT example_id FROM ({_UNUSED})")(
     lambda spark, d: _unused(spark, d)[2].select("example_id"))
 
-_DRAWS = f"""
-WITH un AS ({_UNUSED}), el AS ({_ELIG}),
+def _draws_sql(level: str = "hard") -> str:
+    return f"""
+WITH un AS ({_unused_sql(level)}), el AS ({_elig_sql(level)}),
 nu AS (SELECT count(*) AS n FROM un), ne AS (SELECT count(*) AS n FROM el),
 uniq AS (SELECT example_id AS source_id, row_number() OVER (ORDER BY {_h_sql("'42'", "'draw'", 'CAST(example_id AS VARCHAR)')}, example_id) - 1 AS draw_no, false AS reused FROM un),
 pool AS (SELECT example_id AS source_id, row_number() OVER (ORDER BY {_h_sql("'42'", "'pool'", 'CAST(example_id AS VARCHAR)')}, example_id) - 1 AS pool_pos FROM el),
@@ -740,6 +750,9 @@ rp AS (SELECT draw_no, {_h_sql("'42'", "'reuse'", 'CAST(draw_no AS VARCHAR)')} %
 SELECT draw_no, source_id, reused FROM uniq
 UNION ALL SELECT rp.draw_no, pool.source_id, true FROM rp JOIN pool USING (pool_pos)"""
 
+
+_DRAWS = _draws_sql("hard")
+
 register("draw_sources", f"SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, reused FROM ({_DRAWS})")(
     lambda spark, d: _draw(spark, d))
 
@@ -751,33 +764,42 @@ def _draw(spark, d):
 
 
 _CORE = "('department', 'access_level', 'allowed_actions')"
-_AUG = f"""
-WITH dr AS ({_DRAWS}),
+def _aug_sql(level: str = "hard") -> str:
+    if level == "hard":
+        cut1, cut2, red, max_items = 0.35, 0.75, "reduced", 4
+        kdrop = f"least(1 + floor({_u_sql(chr(39) + '42' + chr(39), chr(39) + 'ndrop' + chr(39), 'CAST(s.draw_no AS VARCHAR)')} * 2), c.dn, c.n - 5)"
+        skip_cond, skip_tag = "c.n <= 5", "reduced_minimal"
+    else:
+        cut1, cut2, red, max_items = 0.50, 0.90, "minimal_reduce", 3
+        kdrop = "1"
+        skip_cond, skip_tag = "c.n < 7", "minimal_reduce_skip"
+    return f"""
+WITH dr AS ({_draws_sql(level)}),
 src AS (SELECT dr.draw_no, dr.source_id, dr.reused, e.user_role, e.query, {O.lenient_object_sql('e.permissions')} AS j,
-          CASE WHEN {_u_sql("'42'", "'strategy'", 'CAST(dr.draw_no AS VARCHAR)')} < 0.35::DOUBLE THEN 'all_active'
-               WHEN {_u_sql("'42'", "'strategy'", 'CAST(dr.draw_no AS VARCHAR)')} < 0.75::DOUBLE THEN 'subset'
-               ELSE 'reduced' END AS strategy
+          CASE WHEN {_u_sql("'42'", "'strategy'", 'CAST(dr.draw_no AS VARCHAR)')} < {cut1}::DOUBLE THEN 'all_active'
+               WHEN {_u_sql("'42'", "'strategy'", 'CAST(dr.draw_no AS VARCHAR)')} < {cut2}::DOUBLE THEN 'subset'
+               ELSE '{red}' END AS strategy
         FROM dr JOIN ({_ex}) e ON e.example_id = dr.source_id),
 fl AS (SELECT draw_no, field, json_extract(j, '$."' || field || '"') AS v,
               json_type(json_extract(j, '$."' || field || '"')) AS jt
        FROM (SELECT draw_no, j, unnest(json_keys(j)) AS field FROM src)),
 cnt AS (SELECT draw_no, count(*) AS n, count(*) FILTER (WHERE field NOT IN {_CORE}) AS dn FROM fl GROUP BY draw_no),
 tag AS (SELECT s.*, c.n, c.dn,
-          least(1 + floor({_u_sql("'42'", "'ndrop'", 'CAST(s.draw_no AS VARCHAR)')} * 2), c.dn, c.n - 5) AS k_drop,
-          CASE WHEN s.strategy <> 'reduced' THEN s.strategy WHEN c.n <= 5 THEN 'reduced_minimal'
-               WHEN c.dn = 0 THEN 'reduced_no_drop' ELSE 'reduced' END AS strategy_used
+          {kdrop} AS k_drop,
+          CASE WHEN s.strategy <> '{red}' THEN s.strategy WHEN {skip_cond} THEN '{skip_tag}'
+               WHEN c.dn = 0 THEN '{red}_no_drop' ELSE '{red}' END AS strategy_used
         FROM src s JOIN cnt c USING (draw_no)),
 rk AS (SELECT fl.*, t.strategy_used, t.k_drop,
           CASE WHEN field NOT IN {_CORE} THEN row_number() OVER (PARTITION BY fl.draw_no, field NOT IN {_CORE}
                ORDER BY {_h_sql("'42'", "'drop'", 'CAST(fl.draw_no AS VARCHAR)', 'field')}) END AS drop_rank
        FROM fl JOIN tag t USING (draw_no)),
-kept AS (SELECT * FROM rk WHERE NOT (strategy_used = 'reduced' AND drop_rank IS NOT NULL AND drop_rank <= k_drop)),
+kept AS (SELECT * FROM rk WHERE NOT (strategy_used = '{red}' AND drop_rank IS NOT NULL AND drop_rank <= k_drop)),
 per AS (SELECT draw_no,
           count(*) AS n_after,
           string_agg(field, ',' ORDER BY field) AS fields_after,
           sum(CASE WHEN jt = 'ARRAY' THEN
                 CASE WHEN strategy_used = 'subset' AND json_array_length(v) > 2
-                     THEN 2 + floor({_u_sql("'42'", "'k'", 'CAST(draw_no AS VARCHAR)', 'field')} * (least(4, json_array_length(v)) - 1))
+                     THEN 2 + floor({_u_sql("'42'", "'k'", 'CAST(draw_no AS VARCHAR)', 'field')} * (least({max_items}, json_array_length(v)) - 1))
                      ELSE json_array_length(v) END ELSE 0 END) AS list_items_after,
           count(*) FILTER (WHERE jt = 'BOOLEAN' AND CASE WHEN strategy_used = 'subset'
                 THEN {_u_sql("'42'", "'bool'", 'CAST(draw_no AS VARCHAR)', 'field')} < 0.75::DOUBLE
@@ -787,19 +809,29 @@ SELECT t.draw_no, t.source_id, t.reused, t.user_role, t.query, t.strategy, t.str
        p.n_after AS n_fields_after, p.fields_after, p.list_items_after, p.true_bools_after
 FROM tag t JOIN per p USING (draw_no)"""
 
-register("augment_permissions", f"""
+
+_AUG = _aug_sql("hard")
+
+def _aug_out_sql(level: str) -> str:
+    return f"""
 SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, strategy, strategy_used, CAST(n_fields_before AS INTEGER) AS n_fields_before,
        CAST(n_fields_after AS INTEGER) AS n_fields_after, fields_after, CAST(list_items_after AS BIGINT) AS list_items_after,
-       CAST(true_bools_after AS BIGINT) AS true_bools_after FROM ({_AUG})
-""")(lambda spark, d: _augment_permissions(spark, d))
+       CAST(true_bools_after AS BIGINT) AS true_bools_after FROM ({_aug_sql(level)})
+"""
 
 
-def _augment_permissions(spark, d):
-    ex, elig, unused = _unused(spark, d)
+register("augment_permissions", _aug_out_sql("hard"))(lambda spark, d: _augment_permissions(spark, d, "hard"))
+register("augment_permissions_medium", _aug_out_sql("medium"))(
+    lambda spark, d: _augment_permissions(spark, d, "medium"))
+
+
+def _augment_permissions(spark, d, level: str = "hard"):
+    ex, elig, unused = _unused(spark, d, level=level)
     n = unused.count()
     draws = A.draw_sources(spark, unused, elig, "example_id", n, 42, n_unused=n)
     src = draws.join(elig.withColumnRenamed("example_id", "source_id"), "source_id")
-    s = A.sample_permissions(A.assign_strategy(src, "draw_no", 42, "hard"), "permissions", "strategy", "draw_no", 42, "hard")
+    s = A.sample_permissions(A.assign_strategy(src, "draw_no", 42, level), "permissions", "strategy", "draw_no", 42,
+                             level)
     before = lenient_object("permissions")
     after = lenient_object("modified_permissions")
     vals = F.map_values(after)
