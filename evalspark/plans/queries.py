@@ -1114,3 +1114,12 @@ FROM (SELECT {O.normalize('expected_response', 'results')} AS r FROM ({O.labelle
 """)(lambda spark, d: L.apply_invalid_policy(
     B.labelled_orders(spark, d).select(normalize_label("expected_response", "results").alias("label")),
     "label", "default_rejected").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+
+
+register("label_distribution_lineitem", f"""
+WITH lab AS (SELECT {O.normalize('l_returnflag', 'distribution')} AS label FROM lineitem),
+per AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
+tot AS (SELECT sum(n) AS n_total, sum(CASE WHEN label IS NOT NULL THEN n ELSE 0 END) AS n_labelled FROM per)
+SELECT label, n, round({_pct}, 6) AS pct, repeat('█', CAST(floor({_pct} / 2.0) AS INTEGER)) AS bar,
+       CAST(n_labelled AS BIGINT) AS n_labelled, CAST(n_total AS BIGINT) AS n_total FROM per, tot WHERE label IS NOT NULL
+""")(lambda spark, d: L.label_distribution(B.read(spark, d, "lineitem"), "l_returnflag", "distribution"))
