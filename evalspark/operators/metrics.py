@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import ratio, ratio0
+from ..functions.common import ratio0
 from ..functions.labels import CLASSES
 
 _IDX = {c: i for i, c in enumerate(CLASSES)}

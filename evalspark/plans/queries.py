@@ -149,7 +149,6 @@ UNION ALL
 SELECT id, 'truth_only' AS side FROM ({O.truth_sql()}) t WHERE id NOT IN (SELECT id FROM ({O.predictions_sql()}))
 """)(lambda spark, d: M.pair_predictions(B.predictions(spark, d), B.truth(spark, d), "id")[1])
 
-_CL = ["full", "partial", "rejected"]
 
 
 def _grid_sql(by: str = "") -> str:
