@@ -88,15 +88,17 @@ def query_hash(text) -> Column:
     return F.md5(lower_strip(col(text)))
 
 
-def dedup_exact(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def dedup_exact(df: DataFrame, text_col: str, id_col: str, columns=None) -> DataFrame:
     """Keep one row per ``md5(lower(strip(text)))``, the one with the smallest id.
 
     One aggregate: ``min_by(row, id)`` is combined partially on the map side, so a
     hot duplicate group sends one row per partition through the shuffle, and the
-    input is read once.  Adds ``query_hash``.
+    input is read once.  Adds ``query_hash``.  ``columns`` limits what travels
+    through the shuffle (default: every column).
     """
     keyed = df.withColumn("query_hash", query_hash(text_col))
-    best = keyed.groupBy("query_hash").agg(F.min_by(F.struct(*keyed.columns), F.col(id_col)).alias("__row"))
+    keep = list(dict.fromkeys([id_col, *(columns or keyed.columns), "query_hash"]))
+    best = keyed.groupBy("query_hash").agg(F.min_by(F.struct(*keep), F.col(id_col)).alias("__row"))
     return best.select("__row.*")
 
 

@@ -521,8 +521,8 @@ WITH v AS (SELECT doc_id, md5(lower(trim(json_extract_string(g, '$.query'), {_ws
 SELECT min(doc_id) AS doc_id, query_hash FROM v GROUP BY query_hash
 """)(lambda spark, d: C.dedup_exact(
     generated_checked(spark, d).filter(F.col("reject_reason").isNull())
-    .select("doc_id", F.variant_get("generated", "$.query", "string").alias("query")), "query", "doc_id")
-    .select("doc_id", "query_hash"))
+    .select("doc_id", F.variant_get("generated", "$.query", "string").alias("query")), "query", "doc_id",
+    columns=["doc_id"]).select("doc_id", "query_hash"))
 
 register("duplicate_report", f"""
 SELECT count(*) AS n_rows, count(DISTINCT h) AS n_unique, count(*) - count(DISTINCT h) AS n_duplicates
@@ -1122,3 +1122,12 @@ tot AS (SELECT sum(n) AS n_total, sum(CASE WHEN label IS NOT NULL THEN n ELSE 0
 SELECT label, n, round({_pct}, 6) AS pct, repeat('█', CAST(floor({_pct} / 2.0) AS INTEGER)) AS bar,
        CAST(n_labelled AS BIGINT) AS n_labelled, CAST(n_total AS BIGINT) AS n_total FROM per, tot WHERE label IS NOT NULL
 """)(lambda spark, d: L.label_distribution(B.read(spark, d, "lineitem"), "l_returnflag", "distribution"))
+
+
+register("balanced_union_before", f"""
+WITH lab AS (SELECT {O.normalize('expected_response', 'distribution')} AS label FROM ({_ex})),
+per AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
+tot AS (SELECT sum(n) AS n_total, sum(CASE WHEN label IS NOT NULL THEN n ELSE 0 END) AS n_labelled FROM per)
+SELECT label, n, round({_pct}, 6) AS pct, repeat('█', CAST(floor({_pct} / 2.0) AS INTEGER)) AS bar,
+       CAST(n_labelled AS BIGINT) AS n_labelled, CAST(n_total AS BIGINT) AS n_total FROM per, tot WHERE label IS NOT NULL
+""")(lambda spark, d: L.label_distribution(B.examples(spark, d).select("expected_response"), "expected_response"))
