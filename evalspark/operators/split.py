@@ -35,60 +35,89 @@ def shuffle_key(seed, stratum_col, id_col, salt: str | None = None):
     return md5_bigint(*parts)
 
 
-def exact_cut(df: DataFrame, id_col: str, stratum_col: str | None, fraction: float, seed: int = 42,
-              salt: str | None = None, out_col: str = "in_first", bucket_bits: int = BUCKET_BITS,
-              stratum_label: str = "all") -> DataFrame:
-    """Flag the first ``floor(n * fraction)`` rows of each stratum's seeded shuffle.
+def _keyed(df: DataFrame, id_col: str, strat, seed, salt, bucket_bits: int, h: str, b: str) -> DataFrame:
+    return (df.withColumn(h, shuffle_key(seed, strat, F.col(id_col), salt))
+              .withColumn(b, F.shiftright(F.col(h), HASH_BITS - bucket_bits)))
+
+
+def _cut_tables(members: DataFrame, g, id_col: str, h: str, b: str, fraction: float):
+    """The two small tables of one cut, computed over ``members`` (the rows of
+    the strata being cut) and materialised behind a size check:
 
-    Adds boolean ``out_col``; ``n`` is the stratum size.  Exact, no global sort.
-    ``stratum_col=None`` treats the whole frame as one stratum named
-    ``stratum_label`` (its boundary is attached as scalar subqueries).
+    * ``boundary``: per stratum the bucket holding position k (``__bb``) and how
+      many of its rows are in (``__need``);
+    * ``winners``: ids of the boundary-bucket rows that are in (at most
+      n / 2^bucket_bits per stratum), flagged ``__win``.
     """
-    h, b = "__h", "__bucket"
-    g = [stratum_col] if stratum_col else []
-    strat = F.col(stratum_col) if stratum_col else F.lit(stratum_label)
-    keyed = df.withColumn(h, shuffle_key(seed, strat, F.col(id_col), salt)) \
-              .withColumn(b, F.shiftright(F.col(h), HASH_BITS - bucket_bits))
-    per_bucket = keyed.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__nb"))
+    per_bucket = members.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__nb"))
     # running sum over the bucket table (<= 2^bucket_bits rows per stratum)
     w = (Window.partitionBy(*g) if g else Window).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
-    cum = (per_bucket
-           .withColumn("__cum", F.sum("__nb").over(w))
-           .withColumn("__n", F.sum("__nb").over(Window.partitionBy(*g) if g else Window.partitionBy())))
+    cum = (per_bucket.withColumn("__cum", F.sum("__nb").over(w))
+                     .withColumn("__n", F.sum("__nb").over(Window.partitionBy(*g))))
     cum = cum.withColumn("__k", F.floor(F.col("__n") * F.lit(float(fraction))).cast("bigint"))
-    # one row per stratum: the bucket holding position k and how many of its rows go in
     boundary = (cum.filter((F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__nb") < F.col("__k")))
                    .select(*g, F.col(b).alias("__bb"),
                            (F.col("__k") - (F.col("__cum") - F.col("__nb"))).alias("__need")))
-    if g:
-        # size checked before broadcasting: a shuffle join on a handful of
-        # strata would put a whole stratum in one task
-        j = keyed.join(broadcast_if_small(boundary), g, "left")
-    else:
-        j = attach_one_row(keyed, boundary)  # zero rows (k = 0) attach as nulls
-    in_bucket = j.filter(F.col(b) == F.col("__bb"))
-    rest = j.filter(~(F.col(b) == F.col("__bb")) | F.col("__bb").isNull())
+    boundary = broadcast_if_small(boundary)
+    in_bb = members.join(boundary, g) if g else attach_one_row(members, boundary)
+    in_bb = in_bb.filter(F.col(b) == F.col("__bb"))
     rw = (Window.partitionBy(*g) if g else Window).orderBy(F.col(h), F.col(id_col))
-    ranked = in_bucket.withColumn(out_col, F.row_number().over(rw) <= F.col("__need"))
-    rest = rest.withColumn(out_col, F.coalesce(F.col(b) < F.col("__bb"), F.lit(False)))
-    return ranked.unionByName(rest).drop(h, b, "__bb", "__need")
+    winners = (in_bb.withColumn("__r", F.row_number().over(rw)).filter(F.col("__r") <= F.col("__need"))
+                    .select(id_col, F.lit(True).alias("__win")))
+    return boundary, broadcast_if_small(winners)
+
+
+def _apply_cut(keyed: DataFrame, boundary: DataFrame, winners: DataFrame, g, id_col: str, b: str,
+               out_col: str) -> DataFrame:
+    """Row-wise flag: bucket below the boundary, or a winner of the boundary bucket."""
+    j = keyed.join(boundary, g, "left") if g else attach_one_row(keyed, boundary)
+    j = j.join(winners, id_col, "left")
+    flag = F.coalesce(F.col(b) < F.col("__bb"), F.lit(False)) | F.coalesce(F.col("__win"), F.lit(False))
+    return j.withColumn(out_col, flag).drop("__bb", "__need", "__win")
+
+
+def exact_cut(df: DataFrame, id_col: str, stratum_col: str | None, fraction: float, seed: int = 42,
+              salt: str | None = None, out_col: str = "in_first", bucket_bits: int = BUCKET_BITS,
+              stratum_label: str = "all") -> DataFrame:
+    """Flag the first ``floor(n * fraction)`` rows of each stratum's seeded shuffle.
+
+    Adds boolean ``out_col``; ``n`` is the stratum size.  Exact, no global sort,
+    and the output is one row-wise pass over ``df`` with two small broadcast
+    lookups.  ``stratum_col=None`` treats the whole frame as one stratum named
+    ``stratum_label``.  Ids must be unique.
+    """
+    h, b = "__h", "__bucket"
+    g = [stratum_col] if stratum_col else []
+    strat = F.col(stratum_col) if stratum_col else F.lit(stratum_label)
+    keyed = _keyed(df, id_col, strat, seed, salt, bucket_bits, h, b)
+    boundary, winners = _cut_tables(keyed.select(id_col, *g, h, b), g, id_col, h, b, fraction)
+    return _apply_cut(keyed, boundary, winners, g, id_col, b, out_col).drop(h, b)
 
 
 def three_way_split(df: DataFrame, id_col: str, stratum_col: str, holdout_strata=(),
-                    pool_fraction: float = 0.70, train_fraction: float = 0.80, seed: int = 42) -> DataFrame:
+                    pool_fraction: float = 0.70, train_fraction: float = 0.80, seed: int = 42,
+                    bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """Per stratum keep ``floor(n*pool_fraction)`` for the pool, rest is
     test; the pooled rows are cut again (one stratum, second salt) into train /
     validation with ``floor(n_pool*train_fraction)`` train rows; holdout strata go
     to test whole.  Adds column ``split``.
+
+    The cut tables are computed over the key columns only; the final assignment
+    is a single row-wise pass over ``df`` (no union, no shuffle of rows).
     """
     hold = F.col(stratum_col).isin(*holdout_strata) if holdout_strata else F.lit(False)
-    held = df.filter(hold).withColumn("split", F.lit("test"))
-    rest = exact_cut(df.filter(~hold), id_col, stratum_col, pool_fraction, seed, out_col="__pool")
-    test = rest.filter(~F.col("__pool")).drop("__pool").withColumn("split", F.lit("test"))
-    pool = rest.filter(F.col("__pool")).drop("__pool")
-    tv = exact_cut(pool, id_col, None, train_fraction, seed, salt="pool", out_col="__train", stratum_label="pool")
-    tv = tv.withColumn("split", F.when(F.col("__train"), "train").otherwise("validation")).drop("__train")
-    return held.unionByName(test).unionByName(tv)
+    base = df.withColumn("__hold", hold)
+    k1 = _keyed(base, id_col, F.col(stratum_col), seed, None, bucket_bits, "__h1", "__b1")
+    keys1 = k1.filter(~F.col("__hold")).select(id_col, stratum_col, "__h1", "__b1")
+    bound1, win1 = _cut_tables(keys1, [stratum_col], id_col, "__h1", "__b1", pool_fraction)
+    f1 = _apply_cut(k1, bound1, win1, [stratum_col], id_col, "__b1", "__pool")
+    k2 = _keyed(f1, id_col, F.lit("pool"), seed, "pool", bucket_bits, "__h2", "__b2")
+    keys2 = k2.filter(~F.col("__hold") & F.col("__pool")).select(id_col, "__h2", "__b2")
+    bound2, win2 = _cut_tables(keys2, [], id_col, "__h2", "__b2", train_fraction)
+    f2 = _apply_cut(k2, bound2, win2, [], id_col, "__b2", "__train")
+    split = (F.when(F.col("__hold") | ~F.col("__pool"), "test")
+             .when(F.col("__train"), "train").otherwise("validation"))
+    return f2.withColumn("split", split).drop("__hold", "__h1", "__b1", "__pool", "__h2", "__b2", "__train")
 
 
 def head_n(df: DataFrame, order_col: str, n: int) -> DataFrame:
