@@ -73,3 +73,15 @@ def evaluate_once(df: DataFrame, **cols) -> DataFrame:
     keep = [F.col(c) for c in df.columns if c not in cols]
     packed = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
     return df.select(*keep, F.inline(packed))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a derived table that several branches consume.
+
+    A reliable checkpoint below ``spark.checkpoint.dir``: the source is read
+    once, and a lost executor re-reads the checkpoint instead of recomputing.
+    Meant for aggregates (small next to their input).
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -39,13 +39,18 @@ def _call_with_retries(predict_fn, messages, max_retries: int, delay: float):
 
 
 def batch_inference(df: DataFrame, predict_fn, id_col: str = "id", messages_col: str = "messages",
-                    max_retries: int = MAX_RETRIES, retry_delay: float = RETRY_DELAY_SEC) -> DataFrame:
+                    max_retries: int = MAX_RETRIES, retry_delay: float = RETRY_DELAY_SEC,
+                    passthrough=()) -> DataFrame:
     """Run ``predict_fn`` over every row; one bad row never fails the job.
 
-    Output ``id, response, success, error, attempts, prediction``: on success the
-    prediction is I2 of the response; after ``max_retries + 1`` failed attempts it
-    is ``rejected`` with ``success = false`` and the last error.
+    Output ``id, response, success, error, attempts, prediction`` plus the
+    ``passthrough`` columns (carried through the batch, so nothing is joined
+    back): on success the prediction is I2 of the response; after
+    ``max_retries + 1`` failed attempts it is ``rejected`` with
+    ``success = false`` and the last error.
     """
+    keep = [c for c in passthrough if c not in (id_col, messages_col)]
+
     def run(batches):
         for pdf in batches:
             out = {"id": [], "response": [], "success": [], "error": [], "attempts": []}
@@ -57,10 +62,14 @@ def batch_inference(df: DataFrame, predict_fn, id_col: str = "id", messages_col:
                 out["success"].append(err is None)
                 out["error"].append(err)
                 out["attempts"].append(n)
-            yield pd.DataFrame(out)
-
-    res = df.select(F.col(id_col).cast("long").alias("id"), F.col(messages_col).alias("messages")).mapInPandas(
-        run, INFER_SCHEMA)
+            res = pd.DataFrame(out)
+            for c in keep:
+                res[c] = pdf[c].values
+            yield res
+
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(messages_col).alias("messages"), *keep)
+    schema = INFER_SCHEMA + "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in keep)
+    res = src.mapInPandas(run, schema)
     pred = F.when(F.col("success"), F.coalesce(extract_label("response"), F.lit(FAILED_PREDICTION))) \
             .otherwise(F.lit(FAILED_PREDICTION))
     return res.withColumn("prediction", pred).withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import attach_one_row, evaluate_once, ratio
+from ..functions.common import attach_one_row, evaluate_once, materialize, ratio
 from ..functions.labels import CLASSES, is_canonical, normalize_label
 
 LABEL_CANDIDATES = ("expected_response", "label", "ground_truth")
@@ -47,8 +47,8 @@ def label_distribution(df: DataFrame, label_col: str | None = None,
     """
     label_col = label_col or choose_label_column(df)
     raw = raw_label_counts(df, label_col)
-    per = (raw.select(normalize_label("raw", dialect).alias("label"), "n")
-              .groupBy("label").agg(F.sum("n").alias("n")))
+    per = materialize(raw.select(normalize_label("raw", dialect).alias("label"), "n")
+                         .groupBy("label").agg(F.sum("n").alias("n")))  # rows and totals read it
     totals = per.agg(F.sum("n").alias("n_total"),
                      F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("n_labelled"))
     out = attach_one_row(per.filter(F.col("label").isNotNull()), totals)

@@ -28,9 +28,13 @@ def pair_predictions(pred: DataFrame, truth: DataFrame, key: str = "id"):
     only, with ``side`` = ``prediction_only`` / ``truth_only``.
     """
     paired = pred.join(truth, key, "inner")
-    only_p = pred.select(key).join(truth.select(key), key, "left_anti").withColumn("side", F.lit("prediction_only"))
-    only_t = truth.select(key).join(pred.select(key), key, "left_anti").withColumn("side", F.lit("truth_only"))
-    return paired, only_p.unionByName(only_t)
+    # one full outer join on the keys finds both kinds of unmatched rows
+    p = pred.select(key, F.lit(True).alias("__p"))
+    t = truth.select(key, F.lit(True).alias("__t"))
+    both = p.join(t, key, "full_outer")
+    unmatched = both.filter(F.col("__p").isNull() | F.col("__t").isNull()).select(
+        key, F.when(F.col("__t").isNull(), "prediction_only").otherwise("truth_only").alias("side"))
+    return paired, unmatched
 
 
 def confusion_counts(df: DataFrame, truth: str = "truth", pred: str = "prediction", by=()) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import attach_one_row, ratio
+from ..functions.common import attach_one_row, materialize, ratio
 from ..functions.json import lenient_object, lenient_variant, parse_status, py_text, type_name
 from ..functions.labels import PY_WHITESPACE
 
@@ -34,13 +34,16 @@ def top_n_with_tail(counts: DataFrame, group_cols, value_col: str, n_col: str, t
     (group, hash bucket of the value) and only ``buckets * top`` candidates per
     group meet.  The tail row (rank ``top + 1``) carries the number of remaining
     values and the sum of their counts; group totals are attached as scalar
-    subqueries (no group) or a join on the group keys.
+    subqueries (no group) or a join on the group keys.  ``counts`` is
+    materialised once (checkpoint), so every branch reads the aggregate, not
+    the source.
 
     Output: ``group_cols..., rank, value, n, n_values, group_total, is_tail``.
     ``tail_text(k)`` builds the tail row's value from the column of remaining count.
     """
     g = list(group_cols)
     order = [F.desc(n_col), F.asc_nulls_first(value_col)]
+    counts = materialize(counts)  # ranks, totals and the tail all read it: one pass over the source
     cand = counts
     if top > WINDOW_GROUP_LIMIT:
         bucket = F.pmod(F.xxhash64(value_col), F.lit(buckets))
@@ -159,8 +162,8 @@ def field_distinct(df: DataFrame, id_col: str, perm_col: str) -> DataFrame:
     ``n_fields`` repeats the number of unique fields on every row.
     """
     counts = field_value_counts(permission_entries(df, id_col, perm_col))
-    per = counts.groupBy("field").agg(F.count(F.lit(1)).alias("unique_values"),
-                                      F.sum("n").alias("total_occurrences"))
+    per = materialize(counts.groupBy("field").agg(F.count(F.lit(1)).alias("unique_values"),
+                                                  F.sum("n").alias("total_occurrences")))
     nf = per.agg(F.count(F.lit(1)).alias("n_fields"))
     return attach_one_row(per, nf)
 
@@ -246,8 +249,12 @@ def permission_tokens(df: DataFrame, top: int = TOP_TOKENS, **kw) -> DataFrame:
     Output: ``rank, token, n, pct, n_tokens, total_occurrences, mean_per_row``.
     """
     t = permission_token_lists(df, **kw)
-    rows = t.agg(F.count(F.lit(1)).alias("n_rows"))
-    counts = t.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # one pass: every row adds a marker (null token), so the marker's count is
+    # the row count and the other groups are the token counts
+    marked = t.select(F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("token"))
+    all_counts = materialize(marked.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    rows = all_counts.filter(F.col("token").isNull()).select(F.col("n").alias("n_rows"))
+    counts = all_counts.filter(F.col("token").isNotNull())
     ranked = top_n_with_tail(counts, [], "token", "n", top,
                              lambda k: F.concat(F.lit("... and "), k.cast("string"), F.lit(" more permissions")))
     ranked = attach_one_row(ranked.filter(~F.col("is_tail")), rows)
@@ -272,12 +279,13 @@ def permission_database(df: DataFrame, id_col: str = "example_id", role_col: str
                .groupBy(F.col(role_col).alias("role")).agg(F.count(F.lit(1)).alias("count")))
     roles = attach_one_row(roles, meta).select("role", "count", ratio("count", "total_samples", 100.0).alias("percentage"))
     e = permission_entries(df, id_col, perm_col)
-    vals = (e.select(F.inline(_value_rows(F.col("field"), F.col("v"), F.col("tname"), False, False)))
-             .groupBy("field", "value").agg(F.count(F.lit(1)).alias("count")))
+    vals = materialize(e.select(F.inline(_value_rows(F.col("field"), F.col("v"), F.col("tname"), False, False)))
+                        .groupBy("field", "value").agg(F.count(F.lit(1)).alias("count")))
     per_field = vals.groupBy("field").agg(F.count(F.lit(1)).alias("unique_values"), F.sum("count").alias("field_total"))
     values = vals.join(per_field, "field").select(
         "field", "value", "count", ratio("count", "field_total", 100.0).alias("percentage"))
-    types = e.groupBy("field").agg(F.array_join(F.array_sort(F.collect_set("tname")), ", ").alias("types"))
+    types = e.groupBy("field").agg(F.array_sort(F.collect_set("tname")).alias("types"))
+    types = types.select("field", F.array_join("types", ", ").alias("types"))
     fields = types.join(per_field, "field").select("field", "types", "unique_values")
     m = lenient_object(perm_col)
     examples = df.select(F.col(id_col).alias("index"), F.col(role_col).alias("user_role"),

@@ -558,15 +558,6 @@ def _jsonl_lines(spark, d):
     return ex.select(line.alias("line"), diff.alias("difficulty"))
 
 
-def _jsonl_outcome(good, quarantine):
-    g = good.select("id", F.lit("ok").alias("status"), F.lit("").alias("missing"), "user_role", "query",
-                    "expected_response")
-    q = quarantine.select(F.try_variant_get(F.try_parse_json("line"), "$.id", "string").alias("id"),
-                          F.col("reason").alias("status"), "missing",
-                          *[F.lit(None).cast("string").alias(c) for c in ("user_role", "query", "expected_response")])
-    return g.unionByName(q)
-
-
 @register("jsonl_quarantine", f"""
 SELECT CASE WHEN example_id % 41 = 0 THEN NULL ELSE CAST(example_id AS VARCHAR) END AS id,
        CASE WHEN example_id % 41 = 0 THEN 'malformed' WHEN example_id % 37 = 0 THEN 'missing_fields' ELSE 'ok' END AS status,
@@ -580,8 +571,10 @@ def _jsonl_quarantine(spark, d):
     path = shared_dir(spark, "jsonl-quarantine")
     _jsonl_lines(spark, d).select("line").write.mode("overwrite").text(path)
     from ..operators.clean import EXAMPLE_SCHEMA
-    good, quarantine = R.jsonl_records(spark, path, schema=EXAMPLE_SCHEMA)
-    return _jsonl_outcome(good, quarantine)
+    t = R.conform_tagged(R.jsonl_tagged(spark, path), EXAMPLE_SCHEMA)  # one scan of the files
+    return t.select(F.try_variant_get("record", "$.id", "string").alias("id"),
+                    F.coalesce("reason", F.lit("ok")).alias("status"), "missing", "user_role", "query",
+                    "expected_response")
 
 
 @register("jsonl_multi_file", f"""
@@ -1002,9 +995,9 @@ FROM l"""
 def inference_run(spark, d):
     rows = B.eval_rows(spark, d)
     rows = rows.withColumn("truth", normalize_label("truth_raw", "results"))
-    res = I.batch_inference(rows.select("id", G.eval_messages().alias("messages")), B.RulePredictor(), "id",
-                            "messages", retry_delay=0.0)
-    return res.join(rows.select("id", "run", "truth_raw", "truth"), "id")
+    return I.batch_inference(rows.select("id", "run", "truth_raw", "truth", G.eval_messages().alias("messages")),
+                             B.RulePredictor(), "id", "messages", retry_delay=0.0,
+                             passthrough=("run", "truth_raw", "truth"))
 
 
 register("batch_inference", f"SELECT id, prediction, success, error, attempts FROM ({_INFER_SQL})")(
@@ -1039,9 +1032,9 @@ def format_comparison_rows(spark, d):
     f = G.prompt_formats(rows.select("id", "permissions", "query", "truth"))
     f = f.withColumn("fid", F.col("id") * 10 + F.when(F.col("format") == "with_system", 0)
                      .when(F.col("format") == "without_system", 1).otherwise(2))
-    res = I.batch_inference(f.select("fid", "messages"), B.RulePredictor(), "fid", "messages", retry_delay=0.0)
-    return res.join(f.select("fid", "format", "truth"), "fid").withColumn(
-        "correct", F.col("prediction") == F.col("truth"))
+    res = I.batch_inference(f.select("fid", "format", "truth", "messages"), B.RulePredictor(), "fid", "messages",
+                            retry_delay=0.0, passthrough=("format", "truth"))
+    return res.withColumn("correct", F.col("prediction") == F.col("truth"))
 
 
 register("prompt_format_comparison", f"""

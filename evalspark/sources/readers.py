@@ -65,6 +65,28 @@ def read_jsonl_lines(spark: SparkSession, path: str, glob: str | None = None,
     return lines.withColumn("record", F.try_parse_json("line"))
 
 
+def jsonl_tagged(spark: SparkSession, path: str, glob: str | None = None, name_filter: str | None = None,
+                 required=REQUIRED_FIELDS) -> DataFrame:
+    """S2 + C1 in one pass: every non-blank line with ``record`` (VARIANT),
+    ``reason`` (null, ``malformed`` or ``missing_fields``) and ``missing``."""
+    lines = read_jsonl_lines(spark, path, glob, name_filter)
+    is_obj = F.col("record").try_cast("map<string,variant>").isNotNull()
+    miss = missing_fields(F.col("record"), required)
+    return lines.withColumn("missing", F.when(is_obj, miss)).withColumn(
+        "reason", F.when(~is_obj | F.col("record").isNull(), "malformed")
+                  .when(F.size("missing") > 0, "missing_fields"))
+
+
+def conform_tagged(tagged: DataFrame, schema: T.StructType = CORE_SCHEMA) -> DataFrame:
+    """C2/C3 on a tagged frame, one row per line: conformed columns for good rows
+    (null for quarantined ones) next to ``reason`` and the ``missing`` list."""
+    good = F.col("reason").isNull()
+    cols = [F.when(good, c).alias(f.name) for f, c in zip(schema.fields, conform(F.col("record"), schema))]
+    return tagged.select("file_path", "line", "record", "reason",
+                         F.array_join(F.coalesce("missing", F.array().cast("array<string>")), ",").alias("missing"),
+                         *cols)
+
+
 def jsonl_records(spark: SparkSession, path: str, glob: str | None = None, name_filter: str | None = None,
                   required=REQUIRED_FIELDS, schema: T.StructType = CORE_SCHEMA):
     """S2 + C1 + C2/C3: ``(good, quarantine)``.
@@ -72,13 +94,10 @@ def jsonl_records(spark: SparkSession, path: str, glob: str | None = None, name_
     ``good`` holds conformed rows (``schema`` order; objects become JSON text).
     ``quarantine`` holds ``file_path, line, reason, missing`` for malformed lines
     (reason ``malformed``: not JSON or not an object) and rows with absent keys.
+    Both are filters of :func:`jsonl_tagged`; use :func:`conform_tagged` to get
+    them from a single scan.
     """
-    lines = read_jsonl_lines(spark, path, glob, name_filter)
-    is_obj = F.col("record").try_cast("map<string,variant>").isNotNull()
-    miss = missing_fields(F.col("record"), required)
-    tagged = lines.withColumn("missing", F.when(is_obj, miss)).withColumn(
-        "reason", F.when(~is_obj | F.col("record").isNull(), "malformed")
-                  .when(F.size("missing") > 0, "missing_fields"))
+    tagged = jsonl_tagged(spark, path, glob, name_filter, required)
     good = tagged.filter(F.col("reason").isNull()).select("file_path", *conform(F.col("record"), schema))
     quarantine = tagged.filter(F.col("reason").isNotNull()).select(
         "file_path", "line", "reason", F.array_join(F.coalesce("missing", F.array().cast("array<string>")), ",")
