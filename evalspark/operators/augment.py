@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.common import attach_one_row, evaluate_once, md5_bigint, md5_uniform, ratio
+from ..functions.common import attach_one_row, evaluate_once, materialize, md5_bigint, md5_uniform, ratio
 from ..functions.json import lenient_object
 from ..operators.labels import label_distribution, repair_labels
 
@@ -113,7 +113,8 @@ def draw_sources(spark: SparkSession, unused: DataFrame, eligible: DataFrame, id
     Pass ``n_unused`` / ``n_eligible`` when known to skip the two counts.
     """
     n_draws = DRAW_FACTOR * n_examples
-    u = unused.select(F.col(id_col).alias("source_id"))
+    # the unused-id set feeds the count, the bucket counts and the ranks: read it once
+    u = materialize(unused.select(F.col(id_col).alias("source_id")))
     u = u.withColumn("__h", md5_bigint(F.lit(str(seed)), F.lit("draw"), F.col("source_id")))
     ranked = dense_rank_by_hash(u, "__h", "source_id", "draw_no").filter(F.col("draw_no") < n_draws)
     unique = ranked.select("draw_no", "source_id", F.lit(False).alias("reused"))

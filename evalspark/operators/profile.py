@@ -274,9 +274,11 @@ def permission_database(df: DataFrame, id_col: str = "example_id", role_col: str
     Unlike P2, every value counts by its text (``30`` and ``"30"`` are one key),
     there are no ``_count`` pseudo-fields, and empty roles are skipped.
     """
-    meta = df.agg(F.count(F.lit(1)).alias("total_samples"))
-    roles = (df.filter(F.col(role_col).isNotNull() & (F.col(role_col) != ""))
-               .groupBy(F.col(role_col).alias("role")).agg(F.count(F.lit(1)).alias("count")))
+    # one aggregate over every role (empty ones included) gives both the role
+    # counts and the row total
+    all_roles = materialize(df.groupBy(F.col(role_col).alias("role")).agg(F.count(F.lit(1)).alias("count")))
+    meta = all_roles.agg(F.sum("count").cast("bigint").alias("total_samples"))
+    roles = all_roles.filter(F.col("role").isNotNull() & (F.col("role") != ""))
     roles = attach_one_row(roles, meta).select("role", "count", ratio("count", "total_samples", 100.0).alias("percentage"))
     e = permission_entries(df, id_col, perm_col)
     vals = materialize(e.select(F.inline(_value_rows(F.col("field"), F.col("v"), F.col("tname"), False, False)))
