@@ -67,6 +67,8 @@ def batch_inference(df: DataFrame, predict_fn, id_col: str = "id", messages_col:
                 res[c] = pdf[c].values
             yield res
 
+    from ..session import ship_package
+    ship_package(df.sparkSession)  # workers unpickle this module's code and the predictor
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(messages_col).alias("messages"), *keep)
     schema = INFER_SCHEMA + "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in keep)
     res = src.mapInPandas(run, schema)

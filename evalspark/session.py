@@ -67,3 +67,34 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers (``mapInPandas``).
+
+    Zips the package once per application and hands it to Spark, which serves
+    it to every executor (the same mechanism as ``--py-files``).
+    """
+    import zipfile
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        app = "connect:" + str(id(spark))
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="evalspark-pkg-"), "evalspark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    try:
+        spark.sparkContext.addPyFile(zpath)
+    except Exception:  # noqa: BLE001 - Spark Connect
+        spark.addArtifacts(zpath, pyfile=True)
+    _SHIPPED.add(app)
