@@ -61,9 +61,9 @@ def top_n_with_tail(counts: DataFrame, group_cols, value_col: str, n_col: str, t
         head = attach_one_row(ranked, stats)
         tails = attach_one_row(stats, top_sum)
     tails = tails.filter(F.col("n_values") > top).select(
-        *g, F.lit(top + 1).alias("rank"), tail_text(F.col("n_values") - top).alias(value_col),
+        *g, F.lit(top + 1).cast("bigint").alias("rank"), tail_text(F.col("n_values") - top).alias(value_col),
         (F.col("group_total") - F.col("top_sum")).alias(n_col), "n_values", "group_total")
-    head = head.select(*g, F.col("rank"), value_col, n_col, "n_values", "group_total")
+    head = head.select(*g, F.col("rank").cast("bigint").alias("rank"), value_col, n_col, "n_values", "group_total")
     return (head.withColumn("is_tail", F.lit(False))
                 .unionByName(tails.withColumn("is_tail", F.lit(True))))
 

@@ -946,7 +946,7 @@ LATERAL (VALUES ('with_system', 2, 'system', {_USER_SQL}),
         ) f(format, n_messages, first_role, last_content)
 """)(lambda spark, d: G.prompt_formats(B.examples(spark, d)).select(
     "example_id", "format", F.size("messages").alias("n_messages"), F.col("messages")[0]["role"].alias("first_role"),
-    F.length(F.element_at("messages", -1)["content"]).alias("last_content_chars")))
+    F.length(F.element_at("messages", -1)["content"]).cast("bigint").alias("last_content_chars")))
 
 
 @register("chat_export", f"""

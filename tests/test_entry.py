@@ -47,6 +47,7 @@ def test_every_query_has_oracle_or_is_listed():
     assert set(q) - set(o) == {"generation_prompts"}
 
 
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 FORBIDDEN_IN_PLAN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
@@ -74,3 +75,7 @@ def test_query_matches_oracle(spark, duck, name):
     drows = res.fetchall()
     assert len(srows) == len(drows)
     assert _digest(sdf.columns, srows) == _digest(dcols, drows)
+    # column types agree as well (bigint/int/double/string/boolean)
+    dtypes = dict(zip(dcols, [str(t) for t in duck.sql(E.oracle_sql()[name]).types]))
+    stypes = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert stypes == dtypes
