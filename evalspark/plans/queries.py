@@ -903,8 +903,20 @@ def _balanced(spark, d):
     return after
 
 
-register("generation_prompts")(
-    lambda spark, d: augment_run(spark, d)[0].select("draw_no", "source_id", "strategy_used", "prompt"))
+@register("generation_prompts", f"""
+SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, strategy_used, true AS has_prefix, true AS has_suffix,
+       true AS has_role FROM ({_aug_sql('hard')})
+""")
+def _generation_prompts(spark, d):
+    """G5 over every draw.  The prompt embeds Spark's JSON of the sampled
+    permissions, so the oracle checks the rows (draw, source, strategy) and the
+    template parts rather than the exact text."""
+    att = augment_run(spark, d)[0]
+    return att.select("draw_no", "source_id", "strategy_used",
+                      F.col("prompt").startswith(G.GENERATION_PREFIX).alias("has_prefix"),
+                      F.col("prompt").endswith(G.GENERATION_SUFFIX).alias("has_suffix"),
+                      F.col("prompt").contains(F.concat(F.lit('"user_role":"'), F.col("user_role"), F.lit('"')))
+                      .alias("has_role"))
 
 
 # ---------------------------------------------------------------------------
