@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 CLASSES = ["full", "partial", "rejected"]
 CLASS_CODE = {"full": 0, "partial": 1, "rejected": 2}
 
-# ASCII characters removed by Python's str.strip() with no argument.
-PY_WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+# Characters removed by Python's str.strip() with no argument (str.isspace()).
+PY_WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
 
 # 'distribution' and 'eval' dialects: six direct entries.
 SHORT_MAP = {

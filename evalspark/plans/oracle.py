@@ -8,12 +8,12 @@ the Spark query registered under the same name.
 from __future__ import annotations
 
 from ..functions.labels import (
-    REPAIR_APPROVE_WORDS, REPAIR_HINT_WORDS, REPAIR_MAP, REPAIR_PARTIAL_WORDS, REPAIR_REJECT_WORDS,
+    PY_WHITESPACE, REPAIR_APPROVE_WORDS, REPAIR_HINT_WORDS, REPAIR_MAP, REPAIR_PARTIAL_WORDS, REPAIR_REJECT_WORDS,
     RESULTS_FULL_WORDS, RESULTS_MAP, RESULTS_PARTIAL_WORDS, RESULTS_REJECT_WORDS, SHORT_MAP,
 )
 from .bindings import DIRTY_LABELS
 
-WS = "chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(28)||chr(29)||chr(30)||chr(31)"
+WS = "||".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
 
 
 def q(s) -> str:

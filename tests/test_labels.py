@@ -85,3 +85,10 @@ def test_invalid_policy_raise(spark):
         L.apply_invalid_policy(df, "t", "raise")
     fixed = [r["t"] for r in L.apply_invalid_policy(df, "t", "default_rejected").collect()]
     assert sorted(fixed) == ["full", "rejected"]
+
+
+def test_strip_matches_python_whitespace(spark):
+    raws = [" Full　", " p\x85", "\x1cr "]
+    got = _apply(spark, raws, "repair")
+    assert got == ["full", "partial", "rejected"]
+    assert [x.lower().strip() for x in raws] == ["full", "p", "r"]
