@@ -6,6 +6,7 @@ with native expressions; the wording of the templates is this library's own.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,3 +131,23 @@ def sequence_percentiles(df: DataFrame, text_col: str, tokens_col: str | None =
     """G6 distribution: approximate p50/p95/p99 of the token count (mergeable sketch)."""
     n = F.col(tokens_col) if tokens_col else word_tokens(text_col)
     return df.select(n.alias("n")).agg(F.percentile_approx("n", [0.5, 0.95, 0.99], 10000).alias("p"))
+
+
+def token_counter(encode_fn):
+    """Pluggable tokenizer for G6: a ``pandas_udf`` (Arrow batches) returning
+    ``len(encode_fn(text))`` per row, for use as ``tokens_col``.
+
+    ``encode_fn`` must be picklable (e.g. a model tokenizer's ``encode``); the
+    package ships to executors the same way as for I1.
+    """
+    from ..session import ship_package
+    from pyspark.sql import SparkSession
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else len(encode_fn(t))).astype("Int64")
+
+    return count

@@ -67,3 +67,13 @@ def test_permission_tokens_sources(spark):
     m = P.permission_token_lists(msgs.withColumn("permissions", F.lit(None).cast("string")),
                                  messages_col="messages").collect()[0]
     assert m["tokens"] == ["x", "y"]
+
+
+def test_pluggable_token_counter(spark):
+    from evalspark.operators import prompts as G
+    df = spark.createDataFrame([("a bb  ccc",), ("",), (None,)], "t string")
+    counter = G.token_counter(str.split)
+    rows = [r["n"] for r in df.select(counter("t").alias("n")).collect()]
+    assert rows == [3, 0, None]
+    stats = G.sequence_lengths(df.withColumn("n", counter("t")), "t", max_len=2, tokens_col="n").collect()[0]
+    assert stats["max_tokens"] == 3 and stats["n_over_cap"] == 1
