@@ -15,9 +15,8 @@ from ..functions.common import col, evaluate_once
 from ..functions.json import extract_json
 from ..functions.labels import GENERATED_FULL_WORDS, lower_strip, py_strip
 
-# Required record fields and the optional one kept by C2.
+# Required record fields (C2 also keeps ``rationale`` when present).
 REQUIRED_FIELDS = ["user_role", "permissions", "query", "expected_response"]
-OPTIONAL_FIELDS = ["rationale"]
 GENERATED_REQUIRED = ["user_role", "permissions", "query", "expected_response", "rationale"]
 MIN_QUERY_CHARS = 20
 

@@ -193,7 +193,7 @@ def dependency_level(drop_col) -> F.Column:
     return F.when(a < 0.05, "LOW").when(a < 0.15, "MODERATE").otherwise("HIGH")
 
 
-PROMPT_FORMATS = ["instructions_in_user", "with_system", "without_system"]
+from .prompts import PROMPT_FORMATS  # noqa: E402
 
 
 def prompt_format_comparison(df: DataFrame, fmt: str = "format", correct: str = "correct",
@@ -205,7 +205,7 @@ def prompt_format_comparison(df: DataFrame, fmt: str = "format", correct: str =
     pivot values are given, so no extra job collects the distinct formats.
     """
     by = list(by)
-    acc = (df.groupBy(*by).pivot(fmt, list(formats)).agg(F.avg(F.col(correct).cast("double"))))
+    acc = (df.groupBy(*by).pivot(fmt, sorted(formats)).agg(F.avg(F.col(correct).cast("double"))))
     fmts = [c for c in acc.columns if c not in by]
     drop = F.col(base) - F.col(other)
     return acc.select(*by, *[F.round(F.col(c), 6).alias(f"acc_{c}") for c in fmts],

@@ -77,3 +77,10 @@ def test_pluggable_token_counter(spark):
     assert rows == [3, 0, None]
     stats = G.sequence_lengths(df.withColumn("n", counter("t")), "t", max_len=2, tokens_col="n").collect()[0]
     assert stats["max_tokens"] == 3 and stats["n_over_cap"] == 1
+
+
+def test_sequence_percentiles(spark):
+    from evalspark.operators import prompts as G
+    df = spark.createDataFrame([(" ".join(["w"] * n),) for n in range(1, 101)], "t string")
+    p = G.sequence_percentiles(df, "t").collect()[0]["p"]
+    assert p == [50, 95, 99]
