@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, url_filter
+from . import chat, decontam, mixing, simhash, url_filter
 from .util import table
 
 QUERIES: dict = {}
@@ -120,3 +120,23 @@ FROM b JOIN slots USING (i), d, h WHERE k = block % p
 def q_pfair_mix(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     return mixing.pfair_mix(docs, MIX_PARTS, MIX_DEFAULT, block_rows=MIX_BLOCK).drop("text")
+
+
+# --- 7: SimHash near-duplicates ---------------------------------------------
+
+SIMHASH = {"shingle": 3, "max_bits": 2}
+
+
+@register("op7_simhash")
+def q_simhash(spark, d):
+    out = simhash.near_duplicates(table(spark, d, "documents"), **SIMHASH)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- 8: benchmark decontamination -------------------------------------------
+
+@register("op8_decontaminate")
+def q_decontaminate(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = docs.select("doc_id", decontam.leaks(docs, table(spark, d, "benchmark")).alias("item_ids"))
+    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
