@@ -114,80 +114,99 @@ def band_distance(pattern: np.ndarray, regions: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
-def _verify(ix: Index, text: str, c: np.ndarray, w: int, diagonals: np.ndarray) -> bool:
-    """True if window ``w`` aligns within its budget in one of the bands that start there."""
-    if ix.windows[w] in text:
-        return True
-    e, n = int(ix.budget[w]), len(ix.windows[w])
-    pattern = codes(ix.windows[w])
-    width = n + 4 * (e + 1)
-    for i in range(0, len(diagonals), 64):
-        lo = diagonals[i:i + 64, None] - (e + 1)
-        at = lo + np.arange(width)
-        regions = np.where((at >= 0) & (at < len(c)), c[np.clip(at, 0, len(c) - 1)], 0xFFFFFFFF)
-        if (band_distance(pattern, regions) <= e).any():
-            return True
-    return False
-
-
-def leaked(ix: Index, text: str | None) -> list[int]:
-    """Ids of the items that a text leaks, ascending."""
-    t, found = normal(text), set()
-    if len(t) < ix.q or not ix.windows:
-        return []
-    overlap = 2 * ix.longest
-    for start in range(0, len(t), CHUNK):
-        found |= _leaked(ix, t[start:start + CHUNK + overlap])
-    return sorted(found)
-
-
-def _leaked(ix: Index, t: str) -> set[int]:
+def _verify(ix: Index, c: np.ndarray, w: int, lows: np.ndarray) -> np.ndarray:
+    """For bands of window ``w`` that start at the diagonals ``lows``: does it align there?"""
+    e, pattern = int(ix.budget[w]), codes(ix.windows[w])
+    at = lows[:, None] - (e + 1) + np.arange(len(pattern) + 4 * (e + 1))
+    regions = np.where((at >= 0) & (at < len(c)), c[np.clip(at, 0, len(c) - 1)], 0)
+    found = np.array([ix.windows[w] in "".join(map(chr, r)) for r in regions.tolist()], bool)
+    left = np.flatnonzero(~found)
+    for i in range(0, len(left), 256):
+        found[left[i:i + 256]] = band_distance(pattern, regions[left[i:i + 256]]) <= e
+    return found
+
+
+def leaked(ix: Index, texts: list[str | None]) -> list[list[int]]:
+    """For each text the ids of the items that it leaks, ascending.  Texts are laid end to
+    end, in chunks, with gaps wider than any band's region; long texts go in pieces that overlap."""
+    found: list[set[int]] = [set() for _ in texts]
+    gap = "\0" * (ix.longest + 8 * (int(ix.budget.max(initial=0)) + 1))
+    own, pieces, size = [], [], 0
+
+    def flush() -> None:
+        nonlocal own, pieces, size
+        if pieces:
+            starts = np.cumsum([0] + [len(p) + len(gap) for p in pieces[:-1]])
+            for doc, item in _leaked(ix, gap.join(pieces), starts):
+                found[own[doc]].add(item)
+        own, pieces, size = [], [], 0
+
+    for i, text in enumerate(texts):
+        t = normal(text)
+        for start in range(0, len(t) if len(t) >= ix.q and ix.windows else 0, CHUNK):
+            own.append(i)
+            pieces.append(t[start:start + CHUNK + 2 * len(gap)])
+            size += len(pieces[-1])
+            if size >= CHUNK:
+                flush()
+    flush()
+    return [sorted(f) for f in found]
+
+
+def _leaked(ix: Index, t: str, starts: np.ndarray) -> set[tuple[int, int]]:
+    """(piece, item) of all verified bands."""
     c, longest = codes(t), ix.longest
-    if len(c) < ix.q:
-        return set()
     h = gram_hashes(c, ix.q)
-    is_known = ix.known[(h >> np.uint64(ix.shift)).astype(np.int64)]
-    at = np.flatnonzero(is_known)
+    at = np.flatnonzero(ix.known[(h >> np.uint64(ix.shift)).astype(np.int64)])
+    g = np.minimum(np.searchsorted(ix.grams, h[at]), len(ix.grams) - 1)
+    ok = ix.grams[g] == h[at]
+    at, g = at[ok], g[ok]
     least = int(ix.need.min())
     if len(at) < least:
         return set()
-    # a region spans at most the window and its edits: `least` known q-grams within that reach
-    reach, near = longest + int(ix.budget.max()), np.zeros(len(at), bool)
+    # a band's hits lie within the window and its edits: keep places with `least` hits in that reach
+    reach = longest + int(ix.budget.max())
     tight = at[least - 1:] - at[:len(at) - least + 1] <= reach
     mark = np.zeros(len(at) + 1, np.int64)
     mark[:len(tight)] += tight
     mark[least:least + len(tight)] -= tight
-    at = at[np.cumsum(mark[:-1]) > 0]
-    if not len(at):
-        return set()
-    g = np.searchsorted(ix.grams, h[at])
-    ok = (g < len(ix.grams)) & (ix.grams[np.minimum(g, len(ix.grams) - 1)] == h[at])
-    at, g = at[ok], g[ok]
-    if not len(at):
-        return set()
-    found, step = set(), 1 << 16
-    keys = []
-    for i in range(0, len(at), step):  # places of each hit
-        a, n = at[i:i + step], (ix.first[g[i:i + step] + 1] - ix.first[g[i:i + step]])
-        place = np.repeat(ix.first[g[i:i + step]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    dense = np.cumsum(mark[:-1]) > 0
+    at, g = at[dense], g[dense]
+    keys, counts, span = [], [], len(c) + 4 * longest
+    for i in range(0, len(at), 1 << 15):  # places of each hit
+        a, n = at[i:i + (1 << 15)], ix.first[g[i:i + (1 << 15)] + 1] - ix.first[g[i:i + (1 << 15)]]
+        place = np.repeat(ix.first[g[i:i + (1 << 15)]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         w = ix.where[place]
-        diagonal = np.repeat(a, n) - ix.offset[place]
-        band = (diagonal + longest) // (ix.budget[w] + 1)
-        part = np.concatenate([w * (1 << 40) + band, w * (1 << 40) + band - 1])
-        keys.append(np.stack(np.unique(part, return_counts=True)))
-    keys = np.concatenate(keys, axis=1)
-    key, inverse = np.unique(keys[0], return_inverse=True)
-    count = np.bincount(inverse, weights=keys[1]).astype(np.int64)
-    w = (key + 1) >> 40  # band - 1 may be -1
-    enough = count >= ix.need[w]
-    key, w = key[enough], w[enough]
-    for one in np.unique(w):
-        item = int(ix.items[one])
-        if item not in found and _verify(ix, t, c, int(one), (key[w == one] - (one << 40)) * (ix.budget[one] + 1) - longest):
-            found.add(item)
+        band = (np.repeat(a, n) - ix.offset[place] + longest) // (ix.budget[w] + 1) + 1
+        k, m = np.unique(w * span + band, return_counts=True)
+        keys.append(k)
+        counts.append(m)
+    if not keys:
+        return set()
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+    # a band of 2 (e + 1) diagonals holds this stretch and the next one
+    following = np.searchsorted(key, key + 1)
+    both = count + np.where(key[np.minimum(following, len(key) - 1)] == key + 1, count[np.minimum(following, len(key) - 1)], 0)
+    w = key // span
+    pick = both >= ix.need[w]
+    key, w = key[pick], w[pick]
+    found = set()
+    for one in np.unique(w).tolist():
+        lows = (key[w == one] - one * span - 1) * (int(ix.budget[one]) + 1) - longest
+        hit = lows[_verify(ix, c, one, lows)]
+        docs = np.searchsorted(starts, hit + len(ix.windows[one]) // 2, side="right") - 1
+        found |= {(int(d), int(ix.items[one])) for d in np.maximum(docs, 0)}
     return found
 
 
+def _column(index: Index, text: str) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def leaked_items(texts: pd.Series) -> pd.Series:
+        return pd.Series(leaked(index, texts.tolist()), dtype=object)
+    return leaked_items(F.col(text))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
           window: int = 120, rate: float = 0.1, min_chars: int = 40, block_chars: int = 1_000_000) -> Column:
     """Column for ``docs``: ascending ids of the benchmark items that the row's text leaks."""
@@ -198,10 +217,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     found = []
     for b in range(blocks):  # each block is bounded by block_chars, give or take one item
         rows = bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()
-        index = build_index([(r["item"], r["t"]) for r in rows], window, rate, min_chars)
-
-        @F.pandas_udf("array<bigint>")
-        def leaked_items(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([leaked(index, t) for t in texts], dtype=object)
-        found.append(leaked_items(F.col(text)))
+        found.append(_column(build_index([(r["item"], r["t"]) for r in rows], window, rate, min_chars), text))
     return found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)))

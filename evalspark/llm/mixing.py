@@ -77,7 +77,7 @@ def pfair_mix(docs: DataFrame, parts: dict | None = None, default_parts: int = 1
              .join(F.broadcast(index), "__i").select("__i", "__s", "__p", "__k", "__at"))  # at most MAX_PERIOD rows
 
     total = sum(sizes.values())
-    buckets = max(16, -(-total // bucket_rows))
+    buckets = max(256, -(-total // bucket_rows))
     h = md5_bigint(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("mix"))  # 60 bits
     rows = docs.select(*keep, h.alias("__h"), F.col(source).alias("__s"))
     rows = rows.withColumn("__b", F.floor(F.shiftright("__h", 30) * buckets / (1 << 30)))  # rises with the hash
