@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, simhash, url_filter
+from . import chat, decontam, mixing, multiset, simhash, url_filter
 from .util import table
 
 QUERIES: dict = {}
@@ -140,3 +140,10 @@ def q_decontaminate(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     out = docs.select("doc_id", decontam.leaks(docs, table(spark, d, "benchmark")).alias("item_ids"))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+
+
+# --- 9: document fingerprints -----------------------------------------------
+
+@register("op9_multiset_hash")
+def q_multiset_hash(spark, d):
+    return multiset.edit_report(table(spark, d, "documents"))
