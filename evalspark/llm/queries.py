@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, multiset, simhash, url_filter
+from . import chat, decontam, mixing, multiset, pii, simhash, url_filter
 from .util import table
 
 QUERIES: dict = {}
@@ -147,3 +147,13 @@ def q_decontaminate(spark, d):
 @register("op9_multiset_hash")
 def q_multiset_hash(spark, d):
     return multiset.edit_report(table(spark, d, "documents"))
+
+
+# --- 2: personal data -------------------------------------------------------
+
+@register("op2_pii")
+def q_pii(spark, d):
+    out = pii.sanitise(table(spark, d, "documents").select("doc_id", "text"), keep_text=False)
+    base = F.sha2(pii.span_text(), 256)
+    return out.select("doc_id", *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS], base.alias("base_sha256"),
+                      pii.span_text((*pii.KINDS, "term")).alias("spans"), F.size("__term").cast("long").alias("n_term"))
