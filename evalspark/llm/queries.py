@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, multiset, pii, simhash, url_filter
-from .util import table
+from . import chat, decontam, langid, mixing, multiset, pii, simhash, url_filter
+from .util import crc_mod, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -157,3 +157,14 @@ def q_pii(spark, d):
     base = F.sha2(pii.span_text(), 256)
     return out.select("doc_id", *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS], base.alias("base_sha256"),
                       pii.span_text((*pii.KINDS, "term")).alias("spans"), F.size("__term").cast("long").alias("n_term"))
+
+
+# --- 5: language identification ---------------------------------------------
+
+@register("op5_langid")
+def q_langid(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    out = docs.select("doc_id", (F.coalesce(crc_mod("doc_id", 4), F.lit(-1)) == 2).alias("held_out"),
+                      langid.predict(model, F.col("text"), spark).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
