@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, multiset, pii, simhash, url_filter
+from . import chat, decontam, langid, mixing, multiset, pii, simhash, toxicity, url_filter
 from .util import crc_mod, table
 
 QUERIES: dict = {}
@@ -168,3 +168,14 @@ def q_langid(spark, d):
     out = docs.select("doc_id", (F.coalesce(crc_mod("doc_id", 4), F.lit(-1)) == 2).alias("held_out"),
                       langid.predict(model, F.col("text"), spark).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+# --- 3: toxicity ------------------------------------------------------------
+
+@register("op3_toxicity")
+def q_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, d, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (F.coalesce(crc_mod("doc_id", 3), F.lit(-1)) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
