@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, multiset, pii, simhash, toxicity, url_filter
+from . import chat, decontam, langid, mixing, multiset, pii, simhash, suffixes, toxicity, url_filter
 from .util import crc_mod, table
 
 QUERIES: dict = {}
@@ -179,3 +182,19 @@ def q_toxicity(spark, d):
     return toxicity.score(docs, model).select(
         "doc_id", (F.coalesce(crc_mod("doc_id", 3), F.lit(-1)) == 1).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+# --- 10: repeated passages --------------------------------------------------
+
+@register("op10_repeated_bytes")
+def q_repeated_bytes(spark, d):
+    @F.pandas_udf("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    def digest(texts: pd.Series, removed: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, r in zip(texts, removed):
+            raw = (t or "").encode()
+            left = suffixes.kept(raw, r)
+            rows.append((len(raw), len(raw) - len(left), len(r), hashlib.sha256(left).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    out = suffixes.repeated(table(spark, d, "documents"))
+    return out.select("doc_id", digest("text", "removed").alias("x")).select("doc_id", "x.*")
