@@ -120,18 +120,23 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", cont
     near = near.select("__row", "x.e", "x.c", F.explode("x.t").alias("t"))
     seen = near.groupBy("e", "t", "c").agg(F.count_distinct("__row").alias("n"))
     seen = seen.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    seen = written(seen, "pii-pairs")
     n_e = found.select(F.explode(F.array_distinct(F.transform("__spans", _entity))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    n = docs.count()
+
+    def share(n_t: str) -> Column:
+        own = F.log2(F.lit(float(n)) / F.col("n_e"))
+        n_te = F.least("n_te", n_t, "n_e")  # several contexts of one document count once
+        return F.when(own > 0, F.log2(n_te * F.lit(float(n)) / (F.col(n_t) * F.col("n_e"))) / own).otherwise(F.lit(0.0))
+
+    # a term is in at least as many documents as it is in contexts of: what falls short even so can't disclose
+    least_t = near.select("__row", "t").distinct().groupBy("t").agg(F.count("*").alias("least_t"))
+    seen = seen.join(n_e, "e").join(least_t, "t").where(share("least_t") >= generalise_at).drop("least_t")
+    seen = written(seen, "pii-pairs")
     terms = seen.select("t").distinct()
     in_doc = docs.select(F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))).alias("t"))
     n_t = in_doc.join(terms, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
-    n = docs.count()
-    scored = seen.join(n_e, "e").join(n_t, "t")
-    own = F.log2(F.lit(float(n)) / F.col("n_e"))
-    n_te = F.least("n_te", "n_t", "n_e")  # several contexts of one document count once
-    share = F.when(own > 0, F.log2(n_te * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / own).otherwise(F.lit(0.0))
-    return (scored.select(F.col("e").alias("entity"), F.col("t").alias("term"), share.alias("disclosure"))
+    return (seen.join(n_t, "t").select(F.col("e").alias("entity"), F.col("t").alias("term"), share("n_t").alias("disclosure"))
             .where(F.col("disclosure") >= generalise_at)
             .withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")))
 
