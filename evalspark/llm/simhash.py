@@ -286,10 +286,8 @@ def components(edges: DataFrame) -> DataFrame:
         label = step.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row per document: ``doc_id, fp, component_id`` (smallest id reachable) and
-    ``component_fp`` (smallest fingerprint reachable)."""
-    prints = written(fingerprints(docs, key, text, shingle), "simhash")
+def assign(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``doc_id, fp`` rows with ``component_id`` and ``component_fp``."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     parts, thresholds = choose_parts(distinct, max_bits)
     comp = components(links(distinct, parts, thresholds, max_bits))
@@ -298,3 +296,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     ids = of.groupBy("component_fp").agg(F.min("least").alias("component_id"))
     of = of.join(ids, "component_fp").select("fp", "component_fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id", "component_fp")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row per document: ``doc_id, fp, component_id`` (smallest id reachable) and
+    ``component_fp`` (smallest fingerprint reachable)."""
+    return assign(written(fingerprints(docs, key, text, shingle), "simhash"), max_bits)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (of rows with one id the
+    smallest fingerprint, of rows equal in both any)."""
+    workers(docs.sparkSession)
+
+    @F.pandas_udf("bigint")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+    keyed = written(docs.withColumn("__fp", fp(F.col(text))), "simhash-docs")
+    of = written(assign(keyed.select(F.col(key).alias("doc_id"), F.col("__fp").alias("fp")), max_bits), "simhash-of")
+    least = of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_fp").agg(F.min("fp").alias("rep"))
+    judged = of.join(least, "component_fp")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("rep"))
+    out = judged.where(~stays).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__other")).distinct()
+    again = judged.where(stays).groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__other")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    same = keyed[key].eqNullSafe(F.col("__id")) & (keyed["__fp"] == F.col("__other"))
+    kept = keyed.join(out.unionByName(again), same, "left_anti")
+    more = keyed.join(again, same, "left_semi").dropDuplicates([key, "__fp"])
+    return kept.unionByName(more).drop("__fp")
