@@ -46,7 +46,7 @@ tú ti tus usted ustedes vosotros vuestro vuestra
 """.split())
 UNDO = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"(?<![\w@$*])(?=[^\s]*[@$*!|0134570._-][^\s]*[A-Za-z])[A-Za-z@$*!|0-9][A-Za-z@$*!|0-9._-]{2,30}")
+SIGN, LATIN, MAX_MIXED = re.compile(r"[@$*!|0134570._-]"), re.compile("[A-Za-z]"), 32
 RUNS = re.compile(r"[!?.]{2,}|[*#$%&@]{2,}")
 MAX_LEXICON, MAX_CANDIDATES, NEAR, DEPTH = 200, 20_000, 5, 2
 STEMS = (4, 5, 6)
@@ -86,7 +86,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     hits = sorted({*insult, *learned})
     at = np.array(person)
     near = sum(bool(len(at)) and bool(np.abs(at - i).min() <= NEAR) for i in hits)
-    mixed = MIXED.findall(text) if _may_mix(raw) else []
+    mixed = [c for t in text.split() if not t.isalpha() and _is_mixed(c := t.strip(".,;:!?\"'()"))] if _may_mix(raw) else []
     undone = [re.sub(r"[^a-z]", "", m.lower().translate(UNDO)) for m in mixed]
     hidden = sum(u in INSULTS or bool(weight(u, lexicon)) for u in undone)
     shouted = sum(len(w) > 2 and w.isupper() for w in words)
@@ -97,6 +97,10 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
             100.0 * len(mixed) / n, math.log1p(hidden), math.log1p(len(low))]
 
 
+def _is_mixed(token: str) -> bool:
+    return 3 <= len(token) <= MAX_MIXED and not token.isalpha() and bool(SIGN.search(token)) and bool(LATIN.search(token))
+
+
 def _may_mix(raw: np.ndarray) -> bool:
     return bool((((raw >= 48) & (raw <= 57)) | (raw == 64) | (raw == 36) | (raw == 42) | (raw == 33) | (raw == 124) | (raw == 45)
                  | (raw == 95) | (raw == 46)).any())
