@@ -47,21 +47,6 @@ def md5_bigint(*parts) -> Column:
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
 
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count against ``max_rows``.
-
-    Meant for small derived tables (one row per stratum / group).  The frame is
-    persisted first so the count and the later join read it once.  Above the
-    bound it is returned as is and the planner shuffles (AQE splits skew).
-    """
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def evaluate_once(df: DataFrame, **cols) -> DataFrame:
     """Add expensive columns (JSON parses, regex chains) evaluated once per row.
 

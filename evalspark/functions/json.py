@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col
 
 
+#: stands after the value in the array that a text is parsed in; what it closes can't be text
+_END = "3f0c8a52-end-of-value"
+
+
+def parse_json(c, control_chars: bool = False) -> Column:
+    """The whole text as one JSON value (VARIANT), else null.
+
+    Spark's parsers stop after the first value; here the text is parsed as the
+    first of two elements, so anything after the value leaves null.  Repeated
+    keys keep the last value in any session.  ``control_chars`` accepts raw
+    control characters inside strings.  ``NaN`` and single quotes are not JSON.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:  # read when the plan is made
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    held = F.concat(F.lit("["), col(c), F.lit(f',"{_END}"]'))
+    if control_chars:
+        v = F.from_json(held, "variant", {"allowUnquotedControlChars": "true", "allowNonNumericNumbers": "false",
+                                          "allowSingleQuotes": "false"})
+    else:
+        v = F.try_parse_json(held)
+    parts = F.try_variant_get(v, "$", "array<variant>")
+    whole = (F.size(parts) == 2) & (F.try_variant_get(F.get(parts, 1), "$", "string") == _END)
+    return F.when(whole, F.get(parts, 0))
+
+
 def lenient_variant(c) -> Column:
     """C4 parse: JSON as is, else with every ``'`` replaced by ``"``; else null."""
     c = col(c)
-    return F.coalesce(F.try_parse_json(c), F.try_parse_json(F.replace(c, F.lit("'"), F.lit('"'))))
+    return F.coalesce(parse_json(c), parse_json(F.replace(c, F.lit("'"), F.lit('"'))))
 
 
 def lenient_object(c) -> Column:
@@ -24,8 +50,8 @@ def lenient_object(c) -> Column:
 def parse_status(c) -> Column:
     """How C4 resolved the text: empty / object / object_requoted / not_object / invalid."""
     c = col(c)
-    direct = F.try_parse_json(c)
-    requoted = F.try_parse_json(F.replace(c, F.lit("'"), F.lit('"')))
+    direct = parse_json(c)
+    requoted = parse_json(F.replace(c, F.lit("'"), F.lit('"')))
     is_obj = lambda v: v.try_cast("map<string,variant>").isNotNull()
     return (F.when(c.isNull() | (c == ""), "empty")
             .when(direct.isNotNull() & is_obj(direct), "object")
@@ -51,10 +77,13 @@ def py_text(v: Column, tname: Column) -> Column:
     """``str(value)`` for a scalar variant: booleans True/False, null None.
 
     Objects and lists render as compact JSON (Python would print its repr).
+    A float keeps its fraction: ``30.0`` is not ``30``.
     """
+    number = v.cast("string")
     return (F.when(tname == "bool", F.when(F.try_variant_get(v, "$", "boolean"), "True").otherwise("False"))
             .when(tname == "NoneType", "None")
             .when(tname.isin("dict", "list"), F.to_json(v))
+            .when((tname == "float") & number.rlike(r"^-?[0-9]+$"), F.concat(number, F.lit(".0")))
             .otherwise(v.cast("string")))
 
 
@@ -81,14 +110,5 @@ def extract_json_text(c) -> Column:
 
 
 def extract_json(c) -> Column:
-    """C11: parsed model output as VARIANT; one retry escaping newlines; else null.
-
-    ``strict=False`` in Python accepts raw control characters inside strings;
-    the retry turns raw newlines inside values into ``\\n`` like the reference's
-    newline fix-up.
-    """
-    t = extract_json_text(c)
-    retry = F.replace(t, F.lit("\n"), F.lit("\\n"))
-    for a, b in (("\\n  ", "\n  "), ("\\n}", "\n}"), ("\\n{", "\n{"), ("[\\n", "[\n"), ("\\n]", "\n]")):
-        retry = F.replace(retry, F.lit(a), F.lit(b))
-    return F.coalesce(F.try_parse_json(t), F.try_parse_json(retry))
+    """C11: parsed model output as VARIANT, raw control characters inside strings accepted; else null."""
+    return parse_json(extract_json_text(c), control_chars=True)

@@ -66,7 +66,9 @@ def read_used(spark: SparkSession, tracking_path: str, key: str, reset: bool = F
         return empty
     try:
         t = spark.read.parquet(tracking_path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty
     return t.filter(F.col("tracking_key") == key).select("source_id").distinct()
 
@@ -263,8 +265,8 @@ def balanced_union(original: DataFrame, synthetic: DataFrame, label_col: str = "
 def generation_outcomes(df: DataFrame, response_col: str = "response", draw_col: str = "draw_no") -> DataFrame:
     """Attempt outcomes for one generation run.
 
-    ``failed_api`` (no response), ``failed_validation`` (unparseable or C9
-    reject), ``duplicate`` (same C10 key as an earlier valid attempt of this run)
+    ``failed_api`` (no response, or one without a parseable, non-empty value),
+    ``failed_validation`` (C9 reject), ``duplicate`` (same C10 key as an earlier valid attempt of this run)
     or ``success``.  The first valid attempt per key wins; winners are matched
     back on (key, draw), which is unique, so a hot key never meets in one task.
     """
@@ -279,7 +281,8 @@ def generation_outcomes(df: DataFrame, response_col: str = "response", draw_col:
     winners = (g.filter(valid).groupBy("query_hash").agg(F.min(draw_col).alias(draw_col))
                 .withColumn("__first", F.lit(True)))
     j = g.join(winners, ["query_hash", draw_col], "left")
-    outcome = (F.when(F.col(response_col).isNull(), "failed_api")
+    nothing = F.col("generated").isNull() | F.to_json("generated").isin("{}", "[]", "null", '""', "0", "false")
+    outcome = (F.when(F.col(response_col).isNull() | nothing, "failed_api")
                .when(F.col("reject_reason").isNotNull(), "failed_validation")
                .when(F.col("__first"), "success").otherwise("duplicate"))
     return j.withColumn("outcome", outcome).drop("__first")

@@ -90,15 +90,17 @@ def query_hash(text) -> Column:
 def dedup_exact(df: DataFrame, text_col: str, id_col: str, columns=None) -> DataFrame:
     """Keep one row per ``md5(lower(strip(text)))``, the one with the smallest id.
 
-    One aggregate: ``min_by(row, id)`` is combined partially on the map side, so a
-    hot duplicate group sends one row per partition through the shuffle, and the
-    input is read once.  Adds ``query_hash``.  ``columns`` limits what travels
-    through the shuffle (default: every column).
+    A hash aggregate finds the smallest id of each key (combined on the map side, so
+    a hot group sends one small row per partition).  Adds ``query_hash``.  With
+    ``columns`` beyond the id, rows are then picked by a semi join on (key, id);
+    ids must be unique.
     """
     keyed = df.withColumn("query_hash", query_hash(text_col))
     keep = list(dict.fromkeys([id_col, *(columns or keyed.columns), "query_hash"]))
-    best = keyed.groupBy("query_hash").agg(F.min_by(F.struct(*keep), F.col(id_col)).alias("__row"))
-    return best.select("__row.*")
+    best = keyed.groupBy("query_hash").agg(F.min(id_col).alias(id_col))
+    if set(keep) == {id_col, "query_hash"}:
+        return best.select(*keep)
+    return keyed.select(*keep).join(best, ["query_hash", id_col], "left_semi").select(*keep)
 
 
 def duplicate_report(df: DataFrame, text_col: str) -> DataFrame:

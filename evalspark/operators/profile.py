@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import attach_one_row, materialize, ratio
-from ..functions.json import lenient_object, lenient_variant, parse_status, py_text, type_name
+from ..functions.json import lenient_object, lenient_variant, parse_json, parse_status, py_text, type_name
 from ..functions.labels import PY_WHITESPACE
 
 TOP_ROLES = 30
@@ -20,52 +20,43 @@ TOP_VALUES = 20
 TOP_TOKENS = 20
 
 
-WINDOW_GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
-
-
 def top_n_with_tail(counts: DataFrame, group_cols, value_col: str, n_col: str, top: int,
-                    tail_text, buckets: int = 64) -> DataFrame:
-    """Exact top-``top`` rows per group by (count desc, value asc) plus one tail row.
-
-    Skew-safe: for ``top`` up to the window-group-limit threshold Spark keeps
-    at most ``top`` rows per group in every map partition before the shuffle
-    (``WindowGroupLimit``), so a group with millions of distinct values never
-    meets in one task.  Above the threshold ranks are first taken inside
-    (group, hash bucket of the value) and only ``buckets * top`` candidates per
-    group meet.  The tail row (rank ``top + 1``) carries the number of remaining
-    values and the sum of their counts; group totals are attached as scalar
-    subqueries (no group) or a join on the group keys.  ``counts`` is
-    materialised once (checkpoint), so every branch reads the aggregate, not
-    the source.
-
-    Output: ``group_cols..., rank, value, n, n_values, group_total, is_tail``.
-    ``tail_text(k)`` builds the tail row's value from the column of remaining count.
+                    tail_text, extra=(), buckets: int = 64) -> DataFrame:
+    """Exact top-``top`` rows per group by (count desc, value asc, ``extra`` asc) plus one tail row.
+
+    Skew-safe: ranks are first taken inside (group, hash bucket of the value), so
+    a group with millions of distinct values never meets in one task, and only
+    ``buckets * top`` candidates per group meet.  The tail row (rank ``top + 1``)
+    carries the number of remaining values and the sum of their counts: group
+    totals less what is ranked.  ``counts`` is materialised once (checkpoint), so
+    ranks and totals read the aggregate, not the source.
+
+    Output: ``group_cols..., rank, value, extra..., n, n_values, group_total, is_tail``
+    (``extra`` is null in the tail).  ``tail_text(k)`` builds the tail row's value
+    from the column of remaining count.
     """
-    g = list(group_cols)
-    order = [F.desc(n_col), F.asc_nulls_first(value_col)]
-    counts = materialize(counts)  # ranks, totals and the tail all read it: one pass over the source
-    cand = counts
-    if top > WINDOW_GROUP_LIMIT:
-        bucket = F.pmod(F.xxhash64(value_col), F.lit(buckets))
-        w1 = Window.partitionBy(*g, bucket).orderBy(*order)
-        cand = counts.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= top).drop("__r")
+    g, extra = list(group_cols), list(extra)
+    order = [F.desc(n_col), F.asc_nulls_first(value_col), *[F.asc_nulls_first(x) for x in extra]]
+    counts = materialize(counts)  # ranks and totals read it: one pass over the source
+    bucket = F.pmod(F.xxhash64(value_col, *extra), F.lit(buckets))
+    w1 = Window.partitionBy(*g, bucket).orderBy(*order)
+    cand = counts.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= top).drop("__r")
     w2 = Window.partitionBy(*g).orderBy(*order) if g else Window.orderBy(*order)
     ranked = cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= top)
+    ranked = ranked.withColumn("__top", F.sum(n_col).over(Window.partitionBy(*g)))
     stats = (counts.groupBy(*g) if g else counts.groupBy()).agg(
         F.count(F.lit(1)).alias("n_values"), F.sum(n_col).alias("group_total"))
-    top_sum = (ranked.groupBy(*g) if g else ranked.groupBy()).agg(F.sum(n_col).alias("top_sum"))
-    if g:
-        head = ranked.join(stats, g)
-        tails = stats.join(top_sum, g)
-    else:
-        head = attach_one_row(ranked, stats)
-        tails = attach_one_row(stats, top_sum)
-    tails = tails.filter(F.col("n_values") > top).select(
-        *g, F.lit(top + 1).cast("bigint").alias("rank"), tail_text(F.col("n_values") - top).alias(value_col),
-        (F.col("group_total") - F.col("top_sum")).alias(n_col), "n_values", "group_total")
-    head = head.select(*g, F.col("rank").cast("bigint").alias("rank"), value_col, n_col, "n_values", "group_total")
-    return (head.withColumn("is_tail", F.lit(False))
-                .unionByName(tails.withColumn("is_tail", F.lit(True))))
+    out = ranked.join(stats, g) if g else attach_one_row(ranked, stats)
+
+    def row(rank, value, others, n, tail: bool):
+        return F.struct(rank.cast("bigint").alias("rank"), value.alias(value_col), *[o.alias(x) for x, o in zip(extra, others)],
+                        n.alias(n_col), "n_values", "group_total", F.lit(tail).alias("is_tail"))
+    own = row(F.col("rank"), F.col(value_col), [F.col(x) for x in extra], F.col(n_col), False)
+    types = dict(counts.dtypes)
+    tail = row(F.lit(top + 1), tail_text(F.col("n_values") - top), [F.lit(None).cast(types[x]) for x in extra],
+               F.col("group_total") - F.col("__top"), True)
+    # the first ranked row of a group brings the group's tail along
+    return out.select(*g, F.inline(F.when((F.col("rank") == 1) & (F.col("n_values") > top), F.array(own, tail)).otherwise(F.array(own))))
 
 
 # ---------------------------------------------------------------------------
@@ -107,7 +98,9 @@ def _value_rows(field, v, tname, with_lengths: bool = True, with_kind: bool = Tr
     if with_lengths:
         items = F.concat(items, F.array(row(F.concat(field, F.lit("_count")), F.size(arr).cast("string"),
                                             F.lit("number"))))
-    scalar = F.array(row(field, py_text(v, tname),
+    # numbers that count by value have one text for 30 and 30.0
+    text = F.when(tname.isin("int", "float"), v.cast("string")).otherwise(py_text(v, tname)) if with_kind else py_text(v, tname)
+    scalar = F.array(row(field, text,
                          F.when(tname.isin("int", "float"), F.lit("number")).otherwise(F.lit("text"))))
     return F.when(tname == "list", items).otherwise(scalar)
 
@@ -131,13 +124,10 @@ def field_value_top_n(df: DataFrame, id_col: str, perm_col: str, top: int = TOP_
     Values are ranked by (count desc, value asc, kind asc).
     """
     counts = field_value_counts(permission_entries(df, id_col, perm_col))
-    counts = counts.withColumn("vkey", F.concat_ws("\u0001", "value", "value_kind"))
-    t = top_n_with_tail(counts.select("field", "vkey", "n"), ["field"], "vkey", "n", top,
-                        lambda k: F.concat(F.lit("... and "), k.cast("string"), F.lit(" more")))
-    parts = F.split(F.col("vkey"), "\u0001")
-    return t.select("field", "rank",
-                    F.when(F.col("is_tail"), F.col("vkey")).otherwise(parts[0]).alias("value"),
-                    F.when(F.col("is_tail"), F.lit("tail")).otherwise(parts[1]).alias("value_kind"),
+    t = top_n_with_tail(counts, ["field"], "value", "n", top,
+                        lambda k: F.concat(F.lit("... and "), k.cast("string"), F.lit(" more")), extra=["value_kind"])
+    return t.select("field", "rank", "value",
+                    F.when(F.col("is_tail"), F.lit("tail")).otherwise(F.col("value_kind")).alias("value_kind"),
                     "n", ratio("n", "group_total", 100.0).alias("pct"),
                     "n_values", F.col("group_total").alias("total_occurrences"))
 
@@ -212,7 +202,7 @@ def permission_token_lists(df: DataFrame, perm_col: str = "permissions", request
     "permissions" whose content matches.
     """
     p = F.col(perm_col)
-    v = F.try_parse_json(p)
+    v = parse_json(p)
     as_list = v.try_cast("array<variant>")
     as_obj = v.try_cast("map<string,variant>")
     empty = F.array().cast("array<string>")

@@ -10,9 +10,11 @@ found on a small table instead:
 2. rows are counted per (stratum, bucket) - at most 2^20 (about 1M) rows per
    stratum, only non-empty buckets appear;
 3. a running sum over that small table finds, per stratum, the boundary bucket
-   that holds position ``k``; buckets below are in, buckets above are out;
+   that holds position ``k``;
 4. only rows of the boundary bucket (about n / 2^20 per stratum, ~1M rows at
-   10^12 rows) are ranked.
+   10^12 rows) are ranked, to find the k-th pair (h, id);
+5. every row is flagged by comparing its own pair with its stratum's: one row per
+   stratum is attached, and no row of the table is joined by id.
 
 The result equals ``row_number() over (partition by stratum order by h, id) <= k``
 for any partitioning of the input.
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import attach_one_row, broadcast_if_small, md5_bigint
+from ..functions.common import attach_one_row, materialize, md5_bigint
 
 HASH_BITS = 60     # md5 prefix of 15 hex digits
 BUCKET_BITS = 20   # per-stratum bucket table <= 2^20 rows; boundary bucket ~ n / 2^20 rows
@@ -40,15 +42,9 @@ def _keyed(df: DataFrame, id_col: str, strat, seed, salt, bucket_bits: int, h: s
               .withColumn(b, F.shiftright(F.col(h), HASH_BITS - bucket_bits)))
 
 
-def _cut_tables(members: DataFrame, g, id_col: str, h: str, b: str, fraction: float):
-    """The two small tables of one cut, computed over ``members`` (the rows of
-    the strata being cut) and materialised behind a size check:
-
-    * ``boundary``: per stratum the bucket holding position k (``__bb``) and how
-      many of its rows are in (``__need``);
-    * ``winners``: ids of the boundary-bucket rows that are in (at most
-      n / 2^bucket_bits per stratum), flagged ``__win``.
-    """
+def _threshold(members: DataFrame, g, id_col: str, h: str, b: str, fraction: float) -> DataFrame:
+    """Per stratum the k-th pair ``__cut`` (h, id) of the seeded order, over ``members`` (the
+    rows of the strata being cut); null where k is 0."""
     per_bucket = members.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__nb"))
     # running sum over the bucket table (<= 2^bucket_bits rows per stratum)
     w = (Window.partitionBy(*g) if g else Window).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
@@ -56,24 +52,19 @@ def _cut_tables(members: DataFrame, g, id_col: str, h: str, b: str, fraction: fl
                      .withColumn("__n", F.sum("__nb").over(Window.partitionBy(*g))))
     cum = cum.withColumn("__k", F.floor(F.col("__n") * F.lit(float(fraction))).cast("bigint"))
     boundary = (cum.filter((F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__nb") < F.col("__k")))
-                   .select(*g, F.col(b).alias("__bb"),
-                           (F.col("__k") - (F.col("__cum") - F.col("__nb"))).alias("__need")))
-    boundary = broadcast_if_small(boundary)
+                   .select(*g, F.col(b).alias("__bb"), (F.col("__k") - (F.col("__cum") - F.col("__nb"))).alias("__need")))
     in_bb = members.join(boundary, g) if g else attach_one_row(members, boundary)
     in_bb = in_bb.filter(F.col(b) == F.col("__bb"))
     rw = (Window.partitionBy(*g) if g else Window).orderBy(F.col(h), F.col(id_col))
-    winners = (in_bb.withColumn("__r", F.row_number().over(rw)).filter(F.col("__r") <= F.col("__need"))
-                    .select(id_col, F.lit(True).alias("__win")))
-    return boundary, broadcast_if_small(winners)
+    last = in_bb.withColumn("__r", F.row_number().over(rw)).filter(F.col("__r") == F.col("__need"))
+    return materialize(last.select(*g, F.struct(F.col(h).alias("h"), F.col(id_col).alias("i")).alias("__cut")))
 
 
-def _apply_cut(keyed: DataFrame, boundary: DataFrame, winners: DataFrame, g, id_col: str, b: str,
-               out_col: str) -> DataFrame:
-    """Row-wise flag: bucket below the boundary, or a winner of the boundary bucket."""
-    j = keyed.join(boundary, g, "left") if g else attach_one_row(keyed, boundary)
-    j = j.join(winners, id_col, "left")
-    flag = F.coalesce(F.col(b) < F.col("__bb"), F.lit(False)) | F.coalesce(F.col("__win"), F.lit(False))
-    return j.withColumn(out_col, flag).drop("__bb", "__need", "__win")
+def _apply_cut(keyed: DataFrame, cut: DataFrame, g, id_col: str, h: str, out_col: str) -> DataFrame:
+    """Row-wise flag: the row's pair is not above its stratum's threshold."""
+    j = keyed.join(cut, g, "left") if g else attach_one_row(keyed, cut)
+    flag = F.struct(F.col(h).alias("h"), F.col(id_col).alias("i")) <= F.col("__cut")
+    return j.withColumn(out_col, F.coalesce(flag, F.lit(False))).drop("__cut")
 
 
 def exact_cut(df: DataFrame, id_col: str, stratum_col: str | None, fraction: float, seed: int = 42,
@@ -82,16 +73,16 @@ def exact_cut(df: DataFrame, id_col: str, stratum_col: str | None, fraction: flo
     """Flag the first ``floor(n * fraction)`` rows of each stratum's seeded shuffle.
 
     Adds boolean ``out_col``; ``n`` is the stratum size.  Exact, no global sort,
-    and the output is one row-wise pass over ``df`` with two small broadcast
-    lookups.  ``stratum_col=None`` treats the whole frame as one stratum named
+    and the output is one row-wise pass over ``df`` with one row per stratum
+    attached.  ``stratum_col=None`` treats the whole frame as one stratum named
     ``stratum_label``.  Ids must be unique.
     """
     h, b = "__h", "__bucket"
     g = [stratum_col] if stratum_col else []
     strat = F.col(stratum_col) if stratum_col else F.lit(stratum_label)
     keyed = _keyed(df, id_col, strat, seed, salt, bucket_bits, h, b)
-    boundary, winners = _cut_tables(keyed.select(id_col, *g, h, b), g, id_col, h, b, fraction)
-    return _apply_cut(keyed, boundary, winners, g, id_col, b, out_col).drop(h, b)
+    cut = _threshold(keyed.select(id_col, *g, h, b), g, id_col, h, b, fraction)
+    return _apply_cut(keyed, cut, g, id_col, h, out_col).drop(h, b)
 
 
 def three_way_split(df: DataFrame, id_col: str, stratum_col: str, holdout_strata=(),
@@ -102,19 +93,17 @@ def three_way_split(df: DataFrame, id_col: str, stratum_col: str, holdout_strata
     validation with ``floor(n_pool*train_fraction)`` train rows; holdout strata go
     to test whole.  Adds column ``split``.
 
-    The cut tables are computed over the key columns only; the final assignment
+    The thresholds are computed over the key columns only; the final assignment
     is a single row-wise pass over ``df`` (no union, no shuffle of rows).
     """
     hold = F.col(stratum_col).isin(*holdout_strata) if holdout_strata else F.lit(False)
     base = df.withColumn("__hold", hold)
     k1 = _keyed(base, id_col, F.col(stratum_col), seed, None, bucket_bits, "__h1", "__b1")
     keys1 = k1.filter(~F.col("__hold")).select(id_col, stratum_col, "__h1", "__b1")
-    bound1, win1 = _cut_tables(keys1, [stratum_col], id_col, "__h1", "__b1", pool_fraction)
-    f1 = _apply_cut(k1, bound1, win1, [stratum_col], id_col, "__b1", "__pool")
+    f1 = _apply_cut(k1, _threshold(keys1, [stratum_col], id_col, "__h1", "__b1", pool_fraction), [stratum_col], id_col, "__h1", "__pool")
     k2 = _keyed(f1, id_col, F.lit("pool"), seed, "pool", bucket_bits, "__h2", "__b2")
     keys2 = k2.filter(~F.col("__hold") & F.col("__pool")).select(id_col, "__h2", "__b2")
-    bound2, win2 = _cut_tables(keys2, [], id_col, "__h2", "__b2", train_fraction)
-    f2 = _apply_cut(k2, bound2, win2, [], id_col, "__b2", "__train")
+    f2 = _apply_cut(k2, _threshold(keys2, [], id_col, "__h2", "__b2", train_fraction), [], id_col, "__h2", "__train")
     split = (F.when(F.col("__hold") | ~F.col("__pool"), "test")
              .when(F.col("__train"), "train").otherwise("validation"))
     return f2.withColumn("split", split).drop("__hold", "__h1", "__b1", "__pool", "__h2", "__b2", "__train")

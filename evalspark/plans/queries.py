@@ -583,8 +583,16 @@ FROM ({_ex}) WHERE expected_response = 'rejected' AND example_id % 43 <> 0 AND e
   AND example_id % 37 <> 0
 """)
 def _jsonl_multi_file(spark, d):
-    path = shared_dir(spark, "jsonl-multi")
-    _jsonl_lines(spark, d).write.mode("overwrite").partitionBy("difficulty").text(path)
+    # files named after their difficulty, below a folder whose name misleads
+    base = shared_dir(spark, "jsonl-multi")
+    path = f"{base}/hard-drive"
+    _jsonl_lines(spark, d).write.mode("overwrite").partitionBy("difficulty").text(f"{base}/parts")
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(to(path))
+    for level in R.DIFFICULTIES:
+        for i, f in enumerate(fs.globStatus(to(f"{base}/parts/difficulty={level}/part-*")) or []):
+            fs.rename(f.getPath(), to(f"{path}/{level}_{i}.txt"))
     from ..operators.clean import EXAMPLE_SCHEMA
     good, _ = R.jsonl_records(spark, path, glob="*.txt", name_filter="hard", schema=EXAMPLE_SCHEMA)
     return good.select("id", "user_role", "query")
@@ -864,7 +872,7 @@ SELECT metric, CAST(value AS BIGINT) AS value, {O.pct_sql('value', 'attempts')}
 """)(lambda spark, d: A.attempt_summary(augment_run(spark, d)[0]))
 
 register("first_n_successes", f"""
-WITH o AS ({_OUT}), n AS (SELECT count(*) // 4 AS k FROM o)
+WITH o AS ({_OUT}), n AS (SELECT count(*) // 2 AS k FROM o)
 SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id FROM (
   SELECT draw_no, source_id, row_number() OVER (ORDER BY draw_no) AS rn FROM o WHERE outcome = 'success'), n
 WHERE rn <= n.k
@@ -873,7 +881,7 @@ WHERE rn <= n.k
 
 def _first_n(spark, d):
     att, n_examples = augment_run(spark, d)
-    return A.first_n_successes(att, (2 * n_examples) // 4).select("draw_no", "source_id")
+    return A.first_n_successes(att, n_examples).select("draw_no", "source_id")
 
 
 register("provenance", f"""
@@ -1016,8 +1024,8 @@ register("batch_inference", f"SELECT id, prediction, success, error, attempts FR
     lambda spark, d: inference_run(spark, d).select("id", "prediction", "success", "error", "attempts"))
 
 register("inference_errors", f"""
-SELECT id AS "index", error, attempts, 'unknown' AS user_role FROM ({_INFER_SQL}) WHERE NOT success ORDER BY id LIMIT 5
-""")(lambda spark, d: I.inference_errors(inference_run(spark, d), "id"))
+SELECT id AS "index", error, attempts, 'unknown' AS user_role FROM ({_INFER_SQL}) WHERE NOT success
+""")(lambda spark, d: I.inference_errors(inference_run(spark, d), "id", top=None))
 
 register("detailed_predictions", f"""
 SELECT id AS "index", prediction, truth_raw AS ground_truth, prediction = truth_raw AS correct_raw,
@@ -1076,7 +1084,7 @@ from ..streaming import running as S  # noqa: E402
 def _stream_running_metrics(spark, d):
     base = shared_dir(spark, "stream-metrics")
     sc = scored(spark, d).select("id", "run", "truth", "prediction")
-    sc.repartition(8, "id").write.mode("overwrite").parquet(f"{base}/in")
+    sc.write.mode("overwrite").parquet(f"{base}/in")
     stream = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     q = S.start_running_metrics(stream, f"{base}/ckpt", f"{base}/snapshot", by=["run"])
     q.awaitTermination()
@@ -1090,7 +1098,7 @@ SELECT DISTINCT md5(lower(trim(text, {_ws}))) AS query_hash FROM documents
 def _stream_dedup(spark, d):
     base = shared_dir(spark, "stream-dedup")
     docs = B.read(spark, d, "documents").select("doc_id", "text")
-    docs.repartition(8, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
+    docs.write.mode("overwrite").parquet(f"{base}/in")
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     q = S.start_dedup(stream, "text", f"{base}/ckpt", f"{base}/out")
     q.awaitTermination()
@@ -1136,3 +1144,91 @@ tot AS (SELECT sum(n) AS n_total, sum(CASE WHEN label IS NOT NULL THEN n ELSE 0
 SELECT label, n, round({_pct}, 6) AS pct, repeat('█', CAST(floor({_pct} / 2.0) AS INTEGER)) AS bar,
        CAST(n_labelled AS BIGINT) AS n_labelled, CAST(n_total AS BIGINT) AS n_total FROM per, tot WHERE label IS NOT NULL
 """)(lambda spark, d: L.label_distribution(B.examples(spark, d).select("expected_response"), "expected_response"))
+
+
+# ---------------------------------------------------------------------------
+# traps of the text rules: S2 C4 C11 P2 K4 (expected values by rule from the row id)
+# ---------------------------------------------------------------------------
+
+def _by_id(spark, d, texts):
+    """``id, t``: customers with a text chosen by ``id % len(texts)``; ``@`` stands for the id."""
+    k = F.col("c_custkey")
+    t = F.lit(None).cast("string")
+    for i, text in enumerate(texts):
+        t = F.when(k % len(texts) == i, F.replace(F.lit(text), F.lit("@"), k.cast("string"))).otherwise(t)
+    return B.read(spark, d, "customer").select(k.alias("id"), t.alias("t"))
+
+
+_JSON_TRAPS = ['{"a": @}', '{"a": @} oops', '{"a": @}{"b": 2}', '[@] x', '{"a": 1, "a": @}', '{"a": "x\t@"}', '{"a": "x\r\n  @"}',
+               "{'a': @}", '{"a": NaN}', '@', '{"a": @}, "b": 2', '@, "x"]']
+
+
+@register("json_text_traps", """
+SELECT CAST(c_custkey AS BIGINT) AS id,
+       CASE c_custkey % 12 WHEN 0 THEN 'object' WHEN 4 THEN 'object' WHEN 7 THEN 'object_requoted' WHEN 9 THEN 'not_object' ELSE 'invalid' END AS status,
+       CASE WHEN c_custkey % 12 IN (0, 4, 7) THEN CAST(c_custkey AS VARCHAR) END AS lenient,
+       CASE WHEN c_custkey % 12 IN (0, 4) THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey % 12 = 5 THEN 'x' || chr(9) || c_custkey
+            WHEN c_custkey % 12 = 6 THEN 'x' || chr(13) || chr(10) || '  ' || c_custkey END AS model
+FROM customer
+""")
+def _json_text_traps(spark, d):
+    from ..functions.json import extract_json, lenient_variant, parse_status
+    a = lambda v: F.try_variant_get(v, "$.a", "string")
+    return _by_id(spark, d, _JSON_TRAPS).select("id", parse_status("t").alias("status"), a(lenient_variant("t")).alias("lenient"),
+                                                a(extract_json("t")).alias("model"))
+
+
+@register("jsonl_trailing_text", """
+SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 12 IN (0, 4, 8) THEN 'ok' ELSE 'malformed' END AS status FROM customer
+""")
+def _jsonl_trailing_text(spark, d):
+    path = shared_dir(spark, "jsonl-trailing")
+    texts = ['{"id": @}', '{"id": @} oops #@', '{"id": @}{"id": 2} #@', '[@] x #@', '{"id": 1, "id": @}', "{'id': @} #@", '@ #@', '#@',
+             ' {"id": @, "x": {"y": [1, {}]}} ', '{"id": @ #@', '{"id": @}, "b": 2 #@', '{"id": @}, "x"] #@']
+    _by_id(spark, d, texts).select("t").write.mode("overwrite").text(path)
+    t = R.jsonl_tagged(spark, path, required=["id"])
+    key = F.coalesce(F.try_variant_get("record", "$.id", "bigint"), F.regexp_extract("line", "#([0-9]+)$", 1).try_cast("bigint"),
+                     F.regexp_extract("line", '"id": ([0-9]+)', 1).try_cast("bigint"))
+    return t.select(key.alias("id"), F.coalesce("reason", F.lit("ok")).alias("status"))
+
+
+_VALUE_TRAPS = ['{"v": 30}', '{"v": 30.0}', '{"v": [1, 1.0, 2.50, 2.5]}', '{"v": "x\\u0001y"}', '{"v": "30 days, read"}']
+_VALUE_N = "n AS (SELECT " + ", ".join(f"count(*) FILTER (c_custkey % 5 = {i}) AS n{i}" for i in range(5)) + " FROM customer)"
+
+
+@register("field_value_text_rules", f"""
+WITH {_VALUE_N},
+c AS (SELECT 'v' AS field, '30' AS value, 'number' AS value_kind, n0 + n1 AS n FROM n UNION ALL SELECT 'v', '1', 'text', n2 FROM n
+      UNION ALL SELECT 'v', '1.0', 'text', n2 FROM n UNION ALL SELECT 'v', '2.5', 'text', 2 * n2 FROM n
+      UNION ALL SELECT 'v_count', '4', 'number', n2 FROM n UNION ALL SELECT 'v', 'x' || chr(1) || 'y', 'text', n3 FROM n
+      UNION ALL SELECT 'v', '30 days, read', 'text', n4 FROM n),
+t AS (SELECT field, count(*) AS n_values, sum(n)::BIGINT AS total_occurrences FROM c GROUP BY field)
+SELECT field, row_number() OVER (PARTITION BY field ORDER BY n DESC, value, value_kind) AS rank, value, value_kind, n::BIGINT AS n,
+       round(100.0 * n / total_occurrences, 6) AS pct, n_values, total_occurrences
+FROM c JOIN t USING (field)
+""")
+def _field_value_text_rules(spark, d):
+    return P.field_value_top_n(_by_id(spark, d, _VALUE_TRAPS), "id", "t")
+
+
+@register("permission_database_text_rules", f"""
+WITH {_VALUE_N},
+c AS (SELECT '30' AS value, n0 AS n FROM n UNION ALL SELECT '30.0', n1 FROM n UNION ALL SELECT '1', n2 FROM n UNION ALL SELECT '1.0', n2 FROM n
+      UNION ALL SELECT '2.5', 2 * n2 FROM n UNION ALL SELECT 'x' || chr(1) || 'y', n3 FROM n UNION ALL SELECT '30 days, read', n4 FROM n)
+SELECT 'v' AS field, value, n::BIGINT AS count, round(100.0 * n / (SELECT sum(n) FROM c), 6) AS percentage FROM c
+""")
+def _permission_database_text_rules(spark, d):
+    df = _by_id(spark, d, _VALUE_TRAPS).select(F.col("id").alias("example_id"), F.lit("r").alias("user_role"), F.col("t").alias("permissions"))
+    return P.permission_database(df)["values"]
+
+
+@register("token_text_rules", f"""
+WITH {_VALUE_N}, c AS (SELECT '30 days' AS token, n4 AS n FROM n UNION ALL SELECT 'read', n4 FROM n)
+SELECT row_number() OVER (ORDER BY n DESC, token) AS rank, token, n::BIGINT AS n,
+       round(100.0 * n / (SELECT count(*) FROM customer), 6) AS pct, 2::BIGINT AS n_tokens, (SELECT sum(n) FROM c)::BIGINT AS total_occurrences,
+       round((SELECT sum(n) FROM c)::DOUBLE / (SELECT count(*) FROM customer), 6) AS mean_per_row
+FROM c
+""")
+def _token_text_rules(spark, d):
+    texts = ['{"v": 30}', '30.0', '[]', '', "30 days, read"]
+    return P.permission_tokens(_by_id(spark, d, texts), perm_col="t", split_mode="comma")

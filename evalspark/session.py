@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,9 +45,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder (``spark.checkpoint.dir``), registered for
-    ``DataFrame.checkpoint()``; a scratch folder is created only when unset."""
+    ``DataFrame.checkpoint()``.  Unset, a local master gets a scratch folder; on a
+    cluster that would not be shared, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     try:  # classic sessions register the folder on the SparkContext as well

@@ -6,11 +6,14 @@ rows (quarantine), never as a driver-side loop over files.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.json import parse_json
 from ..functions.labels import PY_WHITESPACE, normalize_label
 from ..operators.clean import CORE_SCHEMA, REQUIRED_FIELDS, conform, missing_fields
 
@@ -31,7 +34,7 @@ def load_splits(spark: SparkSession, paths: dict, schema: T.StructType | None =
         try:
             r = spark.read.schema(schema) if schema is not None else spark.read
             frames.append(r.parquet(path).withColumn("split", F.lit(name)))
-        except AnalysisException:
+        except (PySparkException, Py4JJavaError):  # no such path, or no Parquet footer
             missing.append(name)
     if not frames:
         return None, missing
@@ -52,17 +55,18 @@ def read_jsonl_lines(spark: SparkSession, path: str, glob: str | None = None,
     """S2/S3 scan: one row per non-blank line with ``file_path`` and ``record``.
 
     ``record`` is the strict parse (single quotes are not JSON); ``name_filter``
-    keeps files whose lower-cased path contains it (S3's difficulty filter).
+    keeps files whose lower-cased name contains it (S3's difficulty filter).
     """
     r = spark.read
     if glob:
         r = r.option("pathGlobFilter", glob)
     lines = r.option("recursiveFileLookup", "true").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line"))
+    lines = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("__name"),
+                         F.col("value").alias("line"))
     lines = lines.filter(F.btrim(F.col("line"), F.lit(PY_WHITESPACE)) != "")
     if name_filter:
-        lines = lines.filter(F.lower(F.col("file_path")).contains(name_filter.lower()))
-    return lines.withColumn("record", F.try_parse_json("line"))
+        lines = lines.filter(F.lower(F.col("__name")).contains(name_filter.lower()))
+    return lines.drop("__name").withColumn("record", parse_json("line"))
 
 
 def jsonl_tagged(spark: SparkSession, path: str, glob: str | None = None, name_filter: str | None = None,

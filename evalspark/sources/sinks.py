@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.clean import conform
+from ..functions.common import materialize
+from ..operators.clean import REQUIRED_FIELDS, conform, missing_fields
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
@@ -28,19 +29,19 @@ def save_output(df: DataFrame, path: str, fmt: str = "jsonl", mode: str = "overw
     raise ValueError(f"unknown output format {fmt!r}")
 
 
-def merge_into(existing: DataFrame, new_records: DataFrame, record_col: str, out_path: str) -> int:
-    """K3: conform new variant records to the existing schema (C3), append them
-    after the existing rows and write the result to ``out_path`` (a new version
-    directory, since Spark cannot overwrite a path it reads).
+def merge_into(existing: DataFrame, new_records: DataFrame, record_col: str, out_path: str, required=REQUIRED_FIELDS) -> int:
+    """K3: reject records without the required fields (C1), conform the others to
+    the existing schema (C3), and write them with the existing rows to ``out_path``
+    (a new version directory, since Spark cannot overwrite a path it reads).
 
     Returns the number of appended rows; zero valid rows means nothing is written.
     """
-    conformed = new_records.select(*conform(F.col(record_col), existing.schema))
+    known = F.col(record_col).isNotNull() & (F.size(missing_fields(F.col(record_col), required)) == 0)
+    conformed = materialize(new_records.where(known).select(*conform(F.col(record_col), existing.schema)))  # parsed once
     n_new = conformed.count()
     if n_new == 0:
         return 0
-    existing.withColumn("__order", F.lit(0)).unionByName(conformed.withColumn("__order", F.lit(1))) \
-        .drop("__order").write.mode("errorifexists").parquet(out_path)
+    existing.unionByName(conformed).write.mode("errorifexists").parquet(out_path)
     return n_new
 
 

@@ -71,3 +71,37 @@ def test_versioned_write_and_formats(spark, tmp_path):
         K.save_output(spark.range(1), str(tmp_path / "x"), "json")
     with pytest.raises(ValueError):
         K.save_output(spark.range(1), str(tmp_path / "y"), "xml")
+
+
+def test_merge_rejects_records_without_required_fields(spark, tmp_path):
+    from evalspark.functions.json import parse_json
+    from evalspark.operators.clean import CORE_SCHEMA
+    from evalspark.sources import sinks as K
+    old = spark.createDataFrame([("r", "{}", "q", "full", None)], CORE_SCHEMA)
+    good = '{"user_role": "x", "permissions": {"a": 1}, "query": null, "expected_response": "full"}'
+    recs = spark.createDataFrame([(good,), ('{"user_role": "x"}',), (good + " oops",), ("[]",)], "t string")
+    recs = recs.select(parse_json("t").alias("rec"))
+    assert K.merge_into(old, recs, "rec", str(tmp_path / "v1")) == 1
+    assert spark.read.parquet(str(tmp_path / "v1")).count() == 2
+    assert K.merge_into(old, recs.limit(0), "rec", str(tmp_path / "v2")) == 0 and not (tmp_path / "v2").exists()
+
+
+def test_corrupt_parquet_split_is_reported(spark, tmp_path):
+    from evalspark.sources import readers as R
+    (tmp_path / "bad.parquet").write_bytes(b"not parquet at all")
+    spark.range(3).write.parquet(str(tmp_path / "good.parquet"))
+    out, missing = R.load_splits(spark, {"a": str(tmp_path / "bad.parquet"), "b": str(tmp_path / "good.parquet"), "c": str(tmp_path / "none")})
+    assert missing == ["a", "c"] and out.count() == 3
+
+
+def test_checkpoint_folder_is_not_made_up_on_a_cluster():
+    import pytest
+    from evalspark.session import ensure_checkpoint_dir
+
+    class Conf(dict):
+        get = dict.get
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())

@@ -5,8 +5,8 @@ from collections import Counter
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from evalspark.plans.queries import QUERIES
 
 # two predictors compared on the same rows come from the same table by design
 SELF_JOINS = {"paired_comparison"}
@@ -31,9 +31,9 @@ def _scans(node, acc):
     return acc
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SELF_JOINS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SELF_JOINS))
 def test_each_source_read_once(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     df.write.format("noop").mode("overwrite").save()
     scans = _scans(df._jdf.queryExecution().executedPlan(), Counter())
     assert all(n == 1 for n in scans.values()), dict(scans)

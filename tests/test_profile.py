@@ -40,18 +40,12 @@ def test_top_n_with_tail_matches_brute_force_under_skew(spark):
     counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
     c = Counter(values)
     ranked = sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))
-    old = P.WINDOW_GROUP_LIMIT
-    try:
-        for limit in (old, 5):  # window-group-limit path, then the bucketed path
-            P.WINDOW_GROUP_LIMIT = limit
-            out = P.top_n_with_tail(counts, ["g"], "v", "n", 20,
-                                    lambda k: F.concat(F.lit("more "), k.cast("string")), buckets=8)
-            for g in ("x", "y"):
-                got = [(r["v"], r["n"]) for r in out.filter(F.col("g") == g).orderBy("rank").collect()]
-                assert got[:20] == ranked[:20]
-                assert got[20] == (f"more {len(ranked) - 20}", sum(n for _, n in ranked[20:]))
-    finally:
-        P.WINDOW_GROUP_LIMIT = old
+    for buckets in (1, 8, 64):
+        out = P.top_n_with_tail(counts, ["g"], "v", "n", 20, lambda k: F.concat(F.lit("more "), k.cast("string")), buckets=buckets)
+        for g in ("x", "y"):
+            got = [(r["v"], r["n"]) for r in out.filter(F.col("g") == g).orderBy("rank").collect()]
+            assert got[:20] == ranked[:20]
+            assert got[20] == (f"more {len(ranked) - 20}", sum(n for _, n in ranked[20:]))
 
 
 def test_permission_tokens_sources(spark):
