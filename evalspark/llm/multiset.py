@@ -107,8 +107,9 @@ def likeness(a: Column, b: Column) -> Column:
             .otherwise(F.round(F.greatest(F.lit(0.0), 1 - apart / both), 6)))
 
 
-def with_next(docs: DataFrame, key: str, order: list[str], carry: list[str], bucket_rows: int = 2000) -> DataFrame:
-    """``docs`` with ``next_<c>`` for each carried column, from the next row by ``key`` and ``order``."""
+def with_next(docs: DataFrame, key: str, order: list[str], carry: dict[str, Column], bucket_rows: int = 2000) -> DataFrame:
+    """``docs`` with the carried columns (name to expression, taken once for each row) and
+    ``next_<name>`` for each, from the next row by ``key`` and ``order``."""
     stats = docs.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     n, lo, hi = stats["n"], stats["lo"] or 0, stats["hi"] or 0
     n_cells = min(MAX_CELLS, max(1, n * 64 // bucket_rows))
@@ -125,10 +126,9 @@ def with_next(docs: DataFrame, key: str, order: list[str], carry: list[str], buc
                          F.coalesce(F.lag("__bucket").over(around), F.max("__bucket").over(Window.partitionBy())).alias("__to"))
     least = broadcast_under(least, max(1, n // bucket_rows) * 64 + 2, 48)
     firsts = (bucketed.join(least, (F.col("__bucket") == F.col("__of")) & keyed.eqNullSafe(F.col("__k")))
-              .groupBy("__to").agg(F.min(F.struct(*dict.fromkeys(order + carry))).alias("__f"))
-              .select(F.col("__to").alias("__bucket"), *[F.col(f"__f.{c}").alias(c) for c in dict.fromkeys(order + carry)],
-                      F.lit(True).alias("__end")))
-    rows = bucketed.withColumn("__end", F.lit(False)).unionByName(firsts, allowMissingColumns=True)
+              .groupBy("__to").agg(F.min(F.struct(*order, *[c for c in docs.columns if c not in order])).alias("__f"))
+              .select(F.col("__to").alias("__bucket"), "__f.*", F.lit(True).alias("__end")))
+    rows = bucketed.withColumn("__end", F.lit(False)).unionByName(firsts).withColumns(carry)
     w = Window.partitionBy("__bucket").orderBy("__end", F.col(key).asc_nulls_last(), *order)
     return (rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
             .where("not __end").drop("__end", "__bucket"))
@@ -137,7 +137,7 @@ def with_next(docs: DataFrame, key: str, order: list[str], carry: list[str], buc
 def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_rows: int = 2000) -> DataFrame:
     """Fingerprint of every text and of its edited text (last half replaced from the next document)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("fp", fingerprint(F.col("text"))), "doc_id", ["text"], ["text", "fp"], bucket_rows)
+    rows = with_next(rows, "doc_id", ["text"], {"text": F.col("text"), "fp": fingerprint(F.col("text"))}, bucket_rows)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
