@@ -11,6 +11,7 @@ native expression.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ from ..functions.labels import extract_label
 
 MAX_RETRIES = 4          # attempts = MAX_RETRIES + 1
 RETRY_DELAY_SEC = 40.0
+WORKERS = 8              # calls under way at a time in one task
 FAILED_PREDICTION = "rejected"
 UNKNOWN_ROLE = "unknown"
 
@@ -40,9 +42,13 @@ def _call_with_retries(predict_fn, messages, max_retries: int, delay: float):
 
 def batch_inference(df: DataFrame, predict_fn, id_col: str = "id", messages_col: str = "messages",
                     max_retries: int = MAX_RETRIES, retry_delay: float = RETRY_DELAY_SEC,
-                    passthrough=()) -> DataFrame:
+                    passthrough=(), workers: int = WORKERS, partitions: int | None = None) -> DataFrame:
     """Run ``predict_fn`` over every row; one bad row never fails the job.
 
+    A task keeps up to ``workers`` calls under way at a time (the predictor must
+    allow that; retries of a row stay in its own call, and rows keep their order).
+    ``partitions`` spreads a table of few files over more tasks first.
+
     Output ``id, response, success, error, attempts, prediction`` plus the
     ``passthrough`` columns (carried through the batch, so nothing is joined
     back): on success the prediction is I2 of the response; after
@@ -53,16 +59,13 @@ def batch_inference(df: DataFrame, predict_fn, id_col: str = "id", messages_col:
 
     def run(batches):
         for pdf in batches:
-            out = {"id": [], "response": [], "success": [], "error": [], "attempts": []}
-            for rid, msgs in zip(pdf["id"], pdf["messages"]):
+            def call(msgs):
                 messages = [{"role": m["role"], "content": m["content"]} for m in msgs]
-                resp, err, n = _call_with_retries(predict_fn, messages, max_retries, retry_delay)
-                out["id"].append(int(rid))
-                out["response"].append(resp)
-                out["success"].append(err is None)
-                out["error"].append(err)
-                out["attempts"].append(n)
-            res = pd.DataFrame(out)
+                return _call_with_retries(predict_fn, messages, max_retries, retry_delay)
+            with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+                done = list(pool.map(call, pdf["messages"]))
+            res = pd.DataFrame({"id": pdf["id"].astype("int64"), "response": [d[0] for d in done], "success": [d[1] is None for d in done],
+                                "error": [d[1] for d in done], "attempts": [d[2] for d in done]})
             for c in keep:
                 res[c] = pdf[c].values
             yield res
@@ -70,6 +73,8 @@ def batch_inference(df: DataFrame, predict_fn, id_col: str = "id", messages_col:
     from ..session import ship_package
     ship_package(df.sparkSession)  # workers unpickle this module's code and the predictor
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(messages_col).alias("messages"), *keep)
+    if partitions:
+        src = src.repartition(partitions)
     schema = INFER_SCHEMA + "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in keep)
     res = src.mapInPandas(run, schema)
     pred = F.when(F.col("success"), F.coalesce(extract_label("response"), F.lit(FAILED_PREDICTION))) \

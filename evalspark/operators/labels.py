@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import attach_one_row, evaluate_once, materialize, ratio
-from ..functions.labels import CLASSES, is_canonical, normalize_label
+from ..functions.labels import CLASSES, is_canonical, lower_strip, normalize_label
 
 LABEL_CANDIDATES = ("expected_response", "label", "ground_truth")
 
@@ -98,6 +98,17 @@ def label_change_log(df: DataFrame, label_col: str = "expected_response", dialec
              .select(F.col("raw").alias("original"), "normalized", "n"))
 
 
+def corrupted_tally(df: DataFrame, label_col: str = "expected_response", dialect: str = "distribution") -> DataFrame:
+    """How often each of the clipped labels p, r and f (any case, blanks around) was
+    repaired to another value.  Output: ``original, normalized, n, pct`` (of all rows)."""
+    counts = materialize(df.groupBy(F.col(label_col).alias("raw")).agg(F.count(F.lit(1)).alias("n")))
+    d = evaluate_once(counts, original=lower_strip(F.col("raw")), normalized=normalize_label("raw", dialect))
+    total = counts.agg(F.sum("n").alias("n_rows"))
+    hit = d.where(F.col("original").isin("p", "r", "f") & ~F.col("original").eqNullSafe(F.col("normalized")))
+    hit = hit.groupBy("original", "normalized").agg(F.sum("n").alias("n"))
+    return attach_one_row(hit, total).select("original", "normalized", "n", ratio("n", "n_rows", 100.0).alias("pct"))
+
+
 def label_dry_run(df: DataFrame, label_col: str = "expected_response", dialect: str = "repair") -> DataFrame:
     """The change summary a dry run reports; nothing is written.
 
@@ -130,6 +141,7 @@ def apply_invalid_policy(df: DataFrame, cols, policy: str = "default_rejected")
     * ``default_rejected``: replaced by ``rejected``.
     * ``raise``: a bounded check (top-10 offenders per column) raises
       :class:`InvalidLabelError` if any exist.
+    * ``key_error``: the same check raises ``KeyError`` with the most frequent offender.
     * ``keep``: left as they are (they then count in no matrix cell).
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
@@ -144,6 +156,12 @@ def apply_invalid_policy(df: DataFrame, cols, policy: str = "default_rejected")
                 listing = ", ".join(f"{r['label']!r}: {r['n']}" for r in bad)
                 raise InvalidLabelError(f"invalid labels in {c}: {listing}")
         return df
+    if policy == "key_error":
+        for c in cols:
+            bad = invalid_label_offenders(df, c, 1).collect()
+            if bad:
+                raise KeyError(bad[0]["label"])
+        return df
     if policy == "keep":
         return df
     raise ValueError(f"unknown policy {policy!r}")

@@ -83,6 +83,13 @@ WHERE expected_response IS DISTINCT FROM {O.normalize('expected_response', 'repa
 GROUP BY ALL
 """)(lambda spark, d: L.label_change_log(B.labelled_orders(spark, d), "expected_response", "repair"))
 
+register("corrupted_tally", f"""
+WITH b AS (SELECT lower(trim(expected_response, {O.WS})) AS original, {O.normalize('expected_response', 'distribution')} AS normalized
+           FROM ({O.labelled_orders_sql()}) x)
+SELECT original, normalized, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM b), 6) AS pct
+FROM b WHERE original IN ('p', 'r', 'f') AND original IS DISTINCT FROM normalized GROUP BY ALL
+""")(lambda spark, d: L.corrupted_tally(B.labelled_orders(spark, d)))
+
 register("label_change_log_conservative", f"""
 SELECT expected_response AS original, {O.normalize('expected_response', 'conservative')} AS normalized, count(*) AS n
 FROM ({O.labelled_orders_sql()}) b
@@ -1088,7 +1095,7 @@ def _stream_running_metrics(spark, d):
     stream = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     q = S.start_running_metrics(stream, f"{base}/ckpt", f"{base}/snapshot", by=["run"])
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/snapshot").select(
+    return S.read_snapshot(spark, f"{base}/snapshot").select(
         "run", "n_total", "accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
 
 

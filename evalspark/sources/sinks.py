@@ -3,8 +3,6 @@ is collected.  Versioned outputs never overwrite the path being read."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -52,10 +50,10 @@ def versioned_write(spark: SparkSession, df: DataFrame, base: str, keep_backup:
     only records that it may be dropped (deleting is left to the storage's
     lifecycle rules).  Returns the new version path.
     """
-    version = uuid.uuid4().hex[:12]
-    path = f"{base}/v-{version}"
+    version = (_last_version(spark, base) or 0) + 1
+    path = f"{base}/v-{version:08d}"  # of two writers of one version the later fails
     df.write.mode("errorifexists").parquet(path)
-    pointer = spark.createDataFrame([(version, path, keep_backup)], "version string, path string, keep_previous boolean") \
+    pointer = spark.createDataFrame([(version, path, keep_backup)], "version long, path string, keep_previous boolean") \
         .withColumn("written_at", F.current_timestamp())
     pointer.coalesce(1).write.mode("append").parquet(f"{base}/_current")
     return path
@@ -63,11 +61,20 @@ def versioned_write(spark: SparkSession, df: DataFrame, base: str, keep_backup:
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
     """K5 read side: the newest version named by the ``_current`` pointer table."""
+    last = _last_version(spark, base)
+    if last is None:
+        raise ValueError(f"no versions under {base}")
+    return spark.read.parquet(f"{base}/v-{last:08d}")
+
+
+def _last_version(spark: SparkSession, base: str) -> int | None:
+    """The largest version number in the pointer table; None where there is none."""
     try:
-        ptr = spark.read.parquet(f"{base}/_current").orderBy(F.desc("written_at")).limit(1).collect()
+        return spark.read.parquet(f"{base}/_current").agg(F.max("version")).first()[0]
     except AnalysisException as e:
-        raise ValueError(f"no versions under {base}") from e
-    return spark.read.parquet(ptr[0]["path"])
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

@@ -26,19 +26,20 @@ def running_confusion(stream: DataFrame, truth: str = "truth", pred: str = "pred
 def start_running_metrics(stream: DataFrame, checkpoint: str, snapshot_path: str, truth: str = "truth",
                           pred: str = "prediction", by=(), available_now: bool = True,
                           processing_time: str | None = None) -> StreamingQuery:
-    """Running accuracy / F1 per group, snapshot rewritten after every batch.
+    """Running accuracy / F1 per group, a snapshot after every batch.
 
-    The snapshot carries ``batch_id`` and ``status`` (``running``); a run that
-    is stopped leaves the last complete snapshot, and restarting with the same
-    checkpoint continues from the committed offsets.
+    Each batch writes a folder of its own, ``batch=<id>``, with ``status``
+    (``running``); files appear in it when the write commits, so a run that is
+    stopped at any moment leaves the earlier snapshots whole
+    (:func:`read_snapshot`).  Restarting with the same checkpoint continues from
+    the committed offsets.
     """
     by = list(by)
     counts = running_confusion(stream, truth, pred, by)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        snap = summary_from_counts(batch, by).withColumn("batch_id", F.lit(batch_id)) \
-            .withColumn("status", F.lit("running"))
-        snap.write.mode("overwrite").parquet(snapshot_path)
+        snap = summary_from_counts(batch, by).withColumn("status", F.lit("running"))
+        snap.write.mode("overwrite").parquet(f"{snapshot_path}/batch={batch_id}")
 
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish)
     if available_now:
@@ -48,6 +49,13 @@ def start_running_metrics(stream: DataFrame, checkpoint: str, snapshot_path: str
     return w.start()
 
 
+def read_snapshot(spark, snapshot_path: str) -> DataFrame:
+    """The last snapshot that was written whole (column ``batch`` is its id)."""
+    every = spark.read.parquet(snapshot_path)
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == F.lit(last))
+
+
 def dedup_stream(stream: DataFrame, text_col: str, watermark_col: str | None = None,
                  watermark_delay: str = "1 hour") -> DataFrame:
     """R2: drop rows whose C10 key was seen before in this stream.
@@ -85,8 +93,10 @@ def stop_running_metrics(spark, query: StreamingQuery, snapshot_path: str, out_p
     if not finished:
         query.stop()
     try:
-        snap = spark.read.parquet(snapshot_path)
-    except AnalysisException:
+        snap = read_snapshot(spark, snapshot_path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         spark.createDataFrame([("interrupted_no_data",)], "status string").write.mode("overwrite").parquet(out_path)
         return "interrupted_no_data"
     if snap.limit(1).count() == 0:

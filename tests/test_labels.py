@@ -92,3 +92,12 @@ def test_strip_matches_python_whitespace(spark):
     got = _apply(spark, raws, "repair")
     assert got == ["full", "partial", "rejected"]
     assert [x.lower().strip() for x in raws] == ["full", "p", "r"]
+
+
+def test_key_error_policy(spark):
+    import pytest
+    from evalspark.operators import labels as L
+    df = spark.createDataFrame([("full",), ("odd",), ("odd",)], "y string")
+    with pytest.raises(KeyError, match="odd"):
+        L.apply_invalid_policy(df, "y", "key_error")
+    assert L.apply_invalid_policy(df.where("y = 'full'"), "y", "key_error").count() == 1
