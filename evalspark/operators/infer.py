@@ -14,7 +14,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import extract_label
@@ -93,10 +93,27 @@ def inference_errors(results: DataFrame, id_col: str = "id", role_col: str | Non
     return e.orderBy("index").limit(top) if top else e
 
 
+def full_details(columns) -> Column:
+    """I4: what a saved prediction keeps of its row, as a struct: role (default
+    ``unknown``), permissions, query, the model's response and the expected rationale
+    (default empty); null for failed calls."""
+    def own(c, default):
+        return F.coalesce(F.col(c).cast("string"), F.lit(default)) if c in columns else F.lit(default)
+    return F.when(F.col("success"), F.struct(
+        own("user_role", UNKNOWN_ROLE).alias("user_role"), own("permissions", None).alias("permissions"), own("query", None).alias("query"),
+        F.col("response").alias("model_response"), own("rationale", "").alias("expected_rationale")))
+
+
 def detailed_predictions(results: DataFrame, truth_raw_col: str = "truth_raw", truth_col: str = "truth",
-                         id_col: str = "id") -> DataFrame:
+                         id_col: str = "id", details: bool = False) -> DataFrame:
     """I4: per prediction ``correct_raw`` (against the raw label, as the reference
-    stores it) and ``correct_norm`` (against the normalised label)."""
+    stores it) and ``correct_norm`` (against the normalised label); with ``details``
+    also :func:`full_details`."""
+    if details:
+        results = results.withColumn("full_details", full_details(results.columns))
+        return results.select(F.col(id_col).alias("index"), "prediction", F.col(truth_raw_col).alias("ground_truth"),
+                              (F.col("prediction") == F.col(truth_raw_col)).alias("correct_raw"),
+                              (F.col("prediction") == F.col(truth_col)).alias("correct_norm"), "full_details")
     return results.select(F.col(id_col).alias("index"), "prediction", F.col(truth_raw_col).alias("ground_truth"),
                           (F.col("prediction") == F.col(truth_raw_col)).alias("correct_raw"),
                           (F.col("prediction") == F.col(truth_col)).alias("correct_norm"))

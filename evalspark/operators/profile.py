@@ -75,9 +75,14 @@ def lenient_json_parse(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # entries: one row per (example, field)
 # ---------------------------------------------------------------------------
 
+def _permissions(df: DataFrame, perm_col: str) -> str:
+    """The permissions column, or the one kept in ``full_details`` where the table has none."""
+    return perm_col if perm_col in df.columns or "full_details" not in df.columns else f"full_details.{perm_col}"
+
+
 def permission_entries(df: DataFrame, id_col: str, perm_col: str) -> DataFrame:
     """``id, field, v (variant), tname`` for every field of every object."""
-    m = lenient_object(perm_col)
+    m = lenient_object(_permissions(df, perm_col))
     e = df.select(id_col, F.explode(m).alias("field", "v"))
     return e.withColumn("tname", type_name(F.schema_of_variant("v")))
 
@@ -160,7 +165,7 @@ def field_distinct(df: DataFrame, id_col: str, perm_col: str) -> DataFrame:
 
 def mean_fields(df: DataFrame, perm_col: str) -> DataFrame:
     """Mean number of fields over rows whose parse gave a non-empty object."""
-    sz = F.size(lenient_object(perm_col))
+    sz = F.size(lenient_object(_permissions(df, perm_col)))
     return df.select(sz.alias("k")).filter(F.col("k") > 0).agg(
         F.count(F.lit(1)).alias("n_rows_with_fields"), F.round(F.avg("k"), 6).alias("mean_fields"))
 

@@ -1019,12 +1019,12 @@ SELECT id, run, truth_raw, truth,
 FROM l"""
 
 
-def inference_run(spark, d):
+def inference_run(spark, d, more=()):
     rows = B.eval_rows(spark, d)
     rows = rows.withColumn("truth", normalize_label("truth_raw", "results"))
-    return I.batch_inference(rows.select("id", "run", "truth_raw", "truth", G.eval_messages().alias("messages")),
+    return I.batch_inference(rows.select("id", "run", "truth_raw", "truth", *more, G.eval_messages().alias("messages")),
                              B.RulePredictor(), "id", "messages", retry_delay=0.0,
-                             passthrough=("run", "truth_raw", "truth"))
+                             passthrough=("run", "truth_raw", "truth", *more))
 
 
 register("batch_inference", f"SELECT id, prediction, success, error, attempts FROM ({_INFER_SQL})")(
@@ -1239,3 +1239,50 @@ FROM c
 def _token_text_rules(spark, d):
     texts = ['{"v": 30}', '30.0', '[]', '', "30 days, read"]
     return P.permission_tokens(_by_id(spark, d, texts), perm_col="t", split_mode="comma")
+
+
+_REPLIES = ["Decision: Fully approved.", "Partially allowed: only the read part.", "Rejected: not permitted."]
+
+
+@register("batch_inference_details", f"""
+SELECT i.id AS "index", prediction, CASE WHEN success THEN md5(e.query) END AS query_md5, CASE WHEN success THEN e.permissions END AS permissions,
+       CASE WHEN success THEN 'unknown' END AS user_role, CASE WHEN success THEN '' END AS expected_rationale,
+       CASE WHEN NOT success THEN NULL WHEN prediction = 'full' THEN '{_REPLIES[0]}' WHEN prediction = 'partial' THEN '{_REPLIES[1]}' ELSE '{_REPLIES[2]}' END AS model_response
+FROM ({_INFER_SQL}) i JOIN ({_EVAL_SQL}) e ON i.id = e.id
+""")
+def _batch_inference_details(spark, d):
+    det = I.detailed_predictions(inference_run(spark, d, ("permissions", "query")), details=True)
+    f = "full_details."
+    return det.select("index", "prediction", F.md5(f + "query").alias("query_md5"), F.col(f + "permissions").alias("permissions"),
+                      F.col(f + "user_role").alias("user_role"), F.col(f + "expected_rationale").alias("expected_rationale"),
+                      F.col(f + "model_response").alias("model_response"))
+
+
+@register("details_profile", f"""
+SELECT count(*) AS n_rows_with_fields, 2.0::DOUBLE AS mean_fields FROM ({_INFER_SQL}) WHERE success
+""")
+def _details_profile(spark, d):
+    """I4 to K, S4 to P6: permissions are found in the details of saved predictions."""
+    path = shared_dir(spark, "results-details")
+    det = I.detailed_predictions(inference_run(spark, d, ("permissions", "query")), details=True)
+    docs = det.select("index", "prediction", "ground_truth", F.col("correct_raw").alias("correct"), "full_details",
+                      F.lit("m").alias("run"), F.lit("easy").alias("difficulty"))
+    K.write_results_documents(docs, path)
+    flat, _ = R.read_results(spark, path, glob="*.txt", multi_line=False)
+    return P.mean_fields(flat, "permissions")
+
+
+@register("results_bad_files", """
+WITH s AS (SELECT DISTINCT source FROM documents)
+SELECT 'unreadable' AS reason, count(*) AS n FROM s WHERE source LIKE '%3' HAVING count(*) > 0
+UNION ALL SELECT 'no_layout', count(*) FROM s WHERE source LIKE '%5' HAVING count(*) > 0
+""")
+def _results_bad_files(spark, d):
+    path = shared_dir(spark, "results-bad")
+    runs = B.read(spark, d, "documents").select(F.col("source").alias("run")).distinct()
+    good = F.concat(F.lit('{"model_name": "'), "run", F.lit('", "results": {"easy": {"predictions": []}}}'))
+    line = (F.when(F.col("run").endswith("3"), F.lit('{"model_name": "cut off'))
+            .when(F.col("run").endswith("5"), F.lit('{"model_name": "x", "results": {"other": {}}}')).otherwise(good))
+    runs.select(line.alias("value")).write.text(path)
+    _, bad = R.read_results(spark, path, glob="*.txt", multi_line=False)
+    return bad.groupBy("reason").agg(F.count("*").alias("n"))

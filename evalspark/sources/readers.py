@@ -113,11 +113,14 @@ def jsonl_records(spark: SparkSession, path: str, glob: str | None = None, name_
 # Evaluation result documents
 # ---------------------------------------------------------------------------
 
+DETAILS = T.StructType([T.StructField(c, T.StringType()) for c in (
+    "user_role", "permissions", "query", "model_response", "expected_rationale")])
 PREDICTION = T.StructType([
     T.StructField("index", T.LongType()),
     T.StructField("prediction", T.StringType()),
     T.StructField("ground_truth", T.StringType()),
     T.StructField("correct", T.BooleanType()),
+    T.StructField("full_details", DETAILS),
 ])
 SPLIT_RESULT = T.StructType([
     T.StructField("file", T.StringType()),
@@ -161,7 +164,7 @@ def read_results(spark: SparkSession, path: str, glob: str = "*results*.json", m
     flat = flat.select("file_path", "model_name", "difficulty", F.col("p.index").alias("index"),
                        F.coalesce(F.col("p.prediction"), F.lit("")).alias("prediction_raw"),
                        F.coalesce(F.col("p.ground_truth"), F.lit("")).alias("ground_truth_raw"),
-                       F.col("p.correct").alias("correct"))
+                       F.col("p.correct").alias("correct"), F.col("p.full_details").alias("full_details"))
     flat = flat.withColumn("prediction", normalize_label("prediction_raw", "results")) \
                .withColumn("ground_truth", normalize_label("ground_truth_raw", "results"))
     return flat, bad

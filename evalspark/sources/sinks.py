@@ -99,7 +99,8 @@ def write_results_documents(df: DataFrame, path: str, run_col: str = "run", diff
     true for a row's run the array is written under the old key ``details``.
     """
     chunk = F.floor(F.col(index_col) / F.lit(rows_per_doc))
-    pred = F.struct(F.col(index_col).alias("index"), "prediction", "ground_truth", "correct")
+    extra = ["full_details"] if "full_details" in df.columns else []
+    pred = F.struct(F.col(index_col).alias("index"), "prediction", "ground_truth", "correct", *extra)
     keys = [run_col, difficulty_col, chunk.alias("__chunk")] + ([legacy_col] if legacy_col else [])
     docs = df.groupBy(*keys).agg(F.sort_array(F.collect_list(pred)).alias("preds"))
     body_new = F.struct(F.size("preds").alias("total_samples"), F.col("preds").alias("predictions"))
