@@ -1286,3 +1286,26 @@ def _results_bad_files(spark, d):
     runs.select(line.alias("value")).write.text(path)
     _, bad = R.read_results(spark, path, glob="*.txt", multi_line=False)
     return bad.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+_STRATEGY = {"training": "70% of each language but the held-out one, split 80/20 for train and validation",
+             "benchmark": "the other 30% and the held-out language"}
+_OUTPUTS = {"train": "train.parquet", "validation": "validation.parquet", "test": "test.parquet"}
+
+
+@register("manifest_full", f"""
+WITH s AS ({_SPLIT_SQL}), t AS ({O.truth_sql()})
+SELECT 42::BIGINT AS seed, '{_STRATEGY["training"]}' AS training, '{_STRATEGY["benchmark"]}' AS benchmark, split || '.parquet' AS output,
+       count(*) AS "rows", count(*) FILTER (WHERE truth_raw = 'full') AS "full", count(*) FILTER (WHERE truth_raw = 'partial') AS "partial",
+       count(*) FILTER (WHERE truth_raw = 'rejected') AS rejected
+FROM s LEFT JOIN t ON s.doc_id = t.id GROUP BY split
+""")
+def _manifest_full(spark, d):
+    s = _split_docs(spark, d).join(B.truth(spark, d).withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    path = shared_dir(spark, "manifest")
+    K.write_manifest(K.manifest(L.split_label_stats(s, "split", "truth_raw"), _OUTPUTS, _STRATEGY, 42), path)
+    m = spark.read.json(path)
+    rows = m.select("seed", "split_strategy.*", F.explode("datasets").alias("o"), "label_distributions")
+    own = F.get(F.filter("label_distributions", lambda x: F.concat(x["split"], F.lit(".parquet")) == F.col("o.output")), 0)
+    return rows.select("seed", "training", "benchmark", F.col("o.output").alias("output"), F.col("o.rows").alias("rows"),
+                       own["full"].alias("full"), own["partial"].alias("partial"), own["rejected"].alias("rejected"))

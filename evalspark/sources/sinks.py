@@ -82,6 +82,17 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def manifest(stats: DataFrame, outputs: dict, strategy: dict, seed: int, split_col: str = "split") -> DataFrame:
+    """K6: the whole manifest as one row: time, seed, strategy texts, rows of every output
+    (``outputs``: split -> file name) and the label distribution of every split (L3)."""
+    names = F.create_map(*[F.lit(x) for kv in sorted(outputs.items()) for x in kv])
+    each = F.struct(F.try_element_at(names, F.col(split_col)).alias("output"), F.col("total").alias("rows"))
+    row = stats.agg(F.array_sort(F.collect_list(each)).alias("datasets"),
+                    F.array_sort(F.collect_list(F.struct(split_col, *[c for c in stats.columns if c != split_col]))).alias("label_distributions"))
+    return row.select(F.current_timestamp().cast("string").alias("timestamp"), F.lit(seed).alias("seed"),
+                      F.struct(*[F.lit(v).alias(k) for k, v in strategy.items()]).alias("split_strategy"), "datasets", "label_distributions")
+
+
 def write_permission_database(db: dict, path: str) -> None:
     """K4: each table of the permission database side by side below ``path``."""
     for name, frame in db.items():
