@@ -6,11 +6,14 @@ with native expressions; the wording of the templates is this library's own.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import col
+from ..functions.json import parse_json
 
 # ---------------------------------------------------------------------------
 # Template texts.
@@ -28,8 +31,16 @@ GENERATION_PREFIX = (
     "Write one new access request that the role below may fully perform with "
     "these permissions. Reply with a JSON object with the keys user_role, "
     "permissions, query, expected_response (always \"full\") and rationale.\n\n"
-    "Role and permissions:\n"
 )
+GENERATION_EXAMPLES = (
+    ({"user_role": "Shift_Planner", "permissions": {"access_level": "elevated", "department": ["planning"]}},
+     {"query": "Please list this week's open shifts in planning.", "expected_response": "full",
+      "rationale": "The planning department is within the role's reach."}),
+    ({"user_role": "Store_Clerk", "permissions": {"budget": 50}},
+     {"query": "May I order printer paper for 30 from the office budget?", "expected_response": "full",
+      "rationale": "The amount is below the budget."}),
+)
+GENERATION_HEAD = "Role and permissions:\n"
 GENERATION_SUFFIX = "\n\nJSON:"
 UNKNOWN_ROLE = "Unknown_Role"
 MAX_SEQ_LENGTH = 2048
@@ -90,11 +101,19 @@ def chat_export(df: DataFrame, path: str, messages_col: str = "messages") -> Non
 
 
 def generation_prompt(role_col="user_role", perm_json_col="modified_permissions") -> Column:
-    """Few-shot-free generation prompt with role + permissions as JSON."""
+    """Few-shot generation prompt; the role and its permissions stand last, as
+    indented JSON."""
     role = F.coalesce(col(role_col), F.lit(UNKNOWN_ROLE))
-    payload = F.to_json(F.struct(role.alias("user_role"),
-                                 F.parse_json(col(perm_json_col)).alias("permissions")))
-    return F.concat(F.lit(GENERATION_PREFIX), payload, F.lit(GENERATION_SUFFIX))
+    payload = F.to_json(F.struct(role.alias("user_role"), F.parse_json(col(perm_json_col)).alias("permissions")), {"pretty": "true"})
+    shots = "".join(f"{GENERATION_HEAD}{json.dumps(given, indent=2)}{GENERATION_SUFFIX}\n{json.dumps({**given, **answer}, indent=2)}\n\n"
+                    for given, answer in GENERATION_EXAMPLES)
+    return F.concat(F.lit(GENERATION_PREFIX + shots + GENERATION_HEAD), payload, F.lit(GENERATION_SUFFIX))
+
+
+def prompt_payload(prompt) -> Column:
+    """The JSON part of a generation prompt (VARIANT): what stands between the last head and the end."""
+    last = F.substring_index(col(prompt), GENERATION_HEAD, -1)
+    return parse_json(F.substring_index(last, GENERATION_SUFFIX, 1))
 
 
 def render_chat(messages_col="messages") -> Column:

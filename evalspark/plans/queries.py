@@ -919,19 +919,15 @@ def _balanced(spark, d):
 
 
 @register("generation_prompts", f"""
-SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, strategy_used, true AS has_prefix, true AS has_suffix,
-       true AS has_role FROM ({_aug_sql('hard')})
+SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, strategy_used, user_role, fields_after AS fields,
+       CAST(n_fields_after AS INTEGER) AS n_fields FROM ({_aug_sql('hard')})
 """)
 def _generation_prompts(spark, d):
-    """G5 over every draw.  The prompt embeds Spark's JSON of the sampled
-    permissions, so the oracle checks the rows (draw, source, strategy) and the
-    template parts rather than the exact text."""
-    att = augment_run(spark, d)[0]
-    return att.select("draw_no", "source_id", "strategy_used",
-                      F.col("prompt").startswith(G.GENERATION_PREFIX).alias("has_prefix"),
-                      F.col("prompt").endswith(G.GENERATION_SUFFIX).alias("has_suffix"),
-                      F.col("prompt").contains(F.concat(F.lit('"user_role":"'), F.col("user_role"), F.lit('"')))
-                      .alias("has_role"))
+    """G5 over every draw: the role and the permission fields read back from the JSON part of the prompt."""
+    att = augment_run(spark, d)[0].withColumn("payload", G.prompt_payload("prompt"))
+    fields = F.map_keys(F.try_variant_get("payload", "$.permissions", "map<string,variant>"))
+    return att.select("draw_no", "source_id", "strategy_used", F.try_variant_get("payload", "$.user_role", "string").alias("user_role"),
+                      F.array_join(F.array_sort(fields), ",").alias("fields"), F.size(fields).alias("n_fields"))
 
 
 # ---------------------------------------------------------------------------
@@ -1057,9 +1053,7 @@ FROM (SELECT doc_id, CASE doc_id % 4 {' '.join(f"WHEN {i} THEN {O.q(w)}" for i,
 def format_comparison_rows(spark, d):
     rows = B.eval_rows(spark, d).withColumn("truth", normalize_label("truth_raw", "results"))
     f = G.prompt_formats(rows.select("id", "permissions", "query", "truth"))
-    f = f.withColumn("fid", F.col("id") * 10 + F.when(F.col("format") == "with_system", 0)
-                     .when(F.col("format") == "without_system", 1).otherwise(2))
-    res = I.batch_inference(f.select("fid", "format", "truth", "messages"), B.RulePredictor(), "fid", "messages",
+    res = I.batch_inference(f.select("id", "format", "truth", "messages"), B.RulePredictor(), "id", "messages",
                             retry_delay=0.0, passthrough=("format", "truth"))
     return res.withColumn("correct", F.col("prediction") == F.col("truth"))
 
