@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import workers, written
+from .util import broadcast_under, workers, written
 
 SEED = 42
 
@@ -319,7 +319,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("rep"))
     out = judged.where(~stays).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__other")).distinct()
     again = judged.where(stays).groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__other")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = written(again, "simhash-again")
+    gone = written(out.unionByName(again), "simhash-gone")
     same = keyed[key].eqNullSafe(F.col("__id")) & (keyed["__fp"] == F.col("__other"))
-    kept = keyed.join(out.unionByName(again), same, "left_anti")
-    more = keyed.join(again, same, "left_semi").dropDuplicates([key, "__fp"])
-    return kept.unionByName(more).drop("__fp")
+    kept = keyed.join(broadcast_under(gone, gone.count(), 32), same, "left_anti")
+    if again.limit(1).count():  # rows of one id and one fingerprint: any one of them
+        kept = kept.unionByName(keyed.join(again, same, "left_semi").dropDuplicates([key, "__fp"]))
+    return kept.drop("__fp")
