@@ -43,14 +43,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import broadcast_under, workers, written
+from .util import workers, written
 
 LENGTH, GRAM = 400, 200
 SIDE = LENGTH - GRAM
 WINDOW = LENGTH - GRAM + 1   # places of an anchor in a window
 WIDTH = GRAM + 2 * SIDE
 PIECE = 1 << 19
-MAX_GROUP, BATCH = 2000, 16_384
+MAX_GROUP, BATCH = 32_768, 8192  # contexts of WIDTH bytes: a task holds a batch or one larger group, 100 MB at most
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -225,7 +225,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "suffix-docs")
     plain = rows.select("uid", "text")
 
-    again = _anchors(plain, False).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # written, so that the join reads two plain exchanges and a common anchor's rows can be split
+    again = written(_anchors(plain, False).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "suffix-again")
     hits = written(_anchors(plain, True).join(again, "h"), "suffix-hits")
     contexts = written(hits.groupBy("h", "l", "r").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos", "nl", "nr")).alias("x")), "suffix-contexts")
     whole = (hits.join(contexts.where("n > 1").select("h", "l", "r"), ["h", "l", "r"])
@@ -234,7 +235,6 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     groups = contexts.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", "k")
     asked = contexts.join(groups, "h").select("h", "k", "x.*", (F.col("n") == 1).alias("single"))
     per_doc = written(asked.groupBy("uid").agg(F.collect_list(F.struct("h", "k", "pos", "nl", "nr", "single")).alias("at")), "suffix-asked")
-    n_asked = per_doc.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("a")).first()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -245,8 +245,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     out += [(a["h"], a["k"], u, a["pos"], a["nl"], a["nr"], a["single"], raw[a["pos"] - a["nl"]:a["pos"] + GRAM + a["nr"]]) for a in at]
                 yield pd.DataFrame(out, columns=["h", "k", "uid", "pos", "nl", "nr", "single", "ctx"])
 
-    small = broadcast_under(per_doc, 1, 24 * n_asked["n"] + 32 * n_asked["a"])
-    items = plain.join(small, "uid").mapInPandas(
+    items = plain.join(per_doc.hint("merge"), "uid").mapInPandas(  # the same plan at every size
         cut, "h bigint, k bigint, uid bigint, pos bigint, nl smallint, nr smallint, single boolean, ctx binary")
     items = items.select("*", F.col("h").alias("g"), F.lit(0).alias("first"), F.lit(SIDE).alias("last"))
     hot = groups.where(f"k > {MAX_GROUP}").limit(1).count() > 0
@@ -265,9 +264,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         spans = spans.unionByName(d)
     spans = written(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("uid", merged(F.col("s")).alias("removed")),
                     "suffix-spans")
-    n_spans = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("s")).first()
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return rows.join(broadcast_under(spans, 1, 24 * n_spans["n"] + 16 * n_spans["s"]), "uid", "left").select(
+    return rows.join(spans.hint("merge"), "uid", "left").select(
         key, "text", F.coalesce("removed", none).alias("removed"))
 
 
