@@ -10,14 +10,16 @@ holding the term, n_e the entity and n_te both in context, the point-wise mutual
 information log2(n_te N / (n_t n_e)) over the entity's information log2(N / n_e) is the
 share of the entity that the term discloses, at most 1.  Terms seen with the entity in
 at least ``support`` different contexts (copies of a text are one) are generalised from
-``generalise_at`` on and removed from ``remove_at`` on, in documents that hold the entity.
+``generalise_at`` on and removed from ``remove_at`` on, in every document that holds the
+term, with or without the entity; of two actions the stronger is taken.
 
-Everything is DataFrame functions.  Only documents with base spans take part in joins
-with their text; corpus counts of terms scan all texts and aggregate before the shuffle.
+Everything is DataFrame functions.  The words of all texts are exploded once and only those
+that may disclose are kept (joined by term; salted where the terms are too many to
+broadcast); corpus counts and each row's own terms come from what is kept.
 
 Defined cases: null text is empty (no spans); an entity in every document has nothing to
-disclose; rows of one id share the terms of that id, null ids count as one id; repeated
-rows are kept and counted; an empty table gives no rows.
+disclose; every row has the terms of its own text, whatever its id; repeated rows are kept
+and counted; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import written
+from .util import broadcast_under, written
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 #: the four kinds in order.  A match starts where its run of characters starts, or where the
@@ -40,7 +42,8 @@ KINDS = tuple(PATTERNS)
 _MAY = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
         "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda t: t.contains("+")}
 WORD = r"(?<!\S)\p{L}[\p{L}'-]{2,}(?=[\s.,;:!?]|$)"
-ACTIONS = {"generalise": "[TERM]", "remove": ""}
+ACTIONS = {"generalise": "[TERM]", "remove": ""}  # the stronger sorts last
+SALT = 64
 
 
 def _digits(m: Column) -> Column:
@@ -99,10 +102,24 @@ def _entity(s: Column) -> Column:
     return F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", context: int = 48, support: int = 2,
-                     generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
-    """``entity, term, disclosure, action`` from the rows with spans (``found``) and all ``docs``."""
-    def words(s: Column) -> Column:
+def words(t: Column) -> Column:
+    """Distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+
+
+def by_term(held: DataFrame, terms: DataFrame, how: str) -> DataFrame:
+    """Join rows with a word ``t`` to the few ``terms``; beyond a broadcast a frequent word is dealt over ``SALT`` tasks."""
+    n = terms.count()
+    small = broadcast_under(terms, n, 100)
+    if small is not terms:
+        return held.join(small, "t", how)
+    salted = terms.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return held.withColumn("__salt", F.pmod("__row", F.lit(SALT)).cast("int")).join(salted, ["t", "__salt"], how).drop("__salt")
+
+
+def candidates(found: DataFrame, n: int, text: str, context: int, support: int, generalise_at: float) -> DataFrame:
+    """``e, t, n_te, n_e`` that may disclose, from the rows with spans (``found``) among ``n`` rows."""
+    def near_text(s: Column) -> Column:
         from_ = F.greatest(F.lit(1), s["start"] + 1 - context)
         left = F.substring(F.col(text), from_, s["start"] + 1 - from_)
         right = F.substring(F.col(text), s["end"] + 1, F.lit(context))
@@ -111,57 +128,68 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", cont
         return F.concat(left, F.lit(" "), right)
 
     def pairs(s: Column) -> Column:
-        return F.struct(_entity(s).alias("e"), words(s).alias("c"))
+        return F.struct(_entity(s).alias("e"), near_text(s).alias("c"))
 
-    near = found.select(F.monotonically_increasing_id().alias("__row"), F.array_distinct(F.transform("__spans", pairs)).alias("x"))
+    near = found.select("__row", F.array_distinct(F.transform("__spans", pairs)).alias("x"))
     near = near.select(F.explode(F.transform("x", lambda p: F.struct(
-        p["e"].alias("e"), F.xxhash64(p["c"]).alias("c"), F.array_distinct(F.transform(
-            F.regexp_extract_all(p["c"], F.lit(WORD), F.lit(0)), lambda w: F.lower(w))).alias("t")))).alias("x"), "__row")
+        p["e"].alias("e"), F.xxhash64(p["c"]).alias("c"), words(p["c"]).alias("t")))).alias("x"), "__row")
     near = near.select("__row", "x.e", "x.c", F.explode("x.t").alias("t"))
     seen = near.groupBy("e", "t", "c").agg(F.count_distinct("__row").alias("n"))
     seen = seen.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     n_e = found.select(F.explode(F.array_distinct(F.transform("__spans", _entity))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    n = docs.count()
-
-    def share(n_t: str) -> Column:
-        own = F.log2(F.lit(float(n)) / F.col("n_e"))
-        n_te = F.least("n_te", n_t, "n_e")  # several contexts of one document count once
-        return F.when(own > 0, F.log2(n_te * F.lit(float(n)) / (F.col(n_t) * F.col("n_e"))) / own).otherwise(F.lit(0.0))
-
     # a term is in at least as many documents as it is in contexts of: what falls short even so can't disclose
     least_t = near.select("__row", "t").distinct().groupBy("t").agg(F.count("*").alias("least_t"))
-    seen = seen.join(n_e, "e").join(least_t, "t").where(share("least_t") >= generalise_at).drop("least_t")
-    seen = written(seen, "pii-pairs")
-    terms = seen.select("t").distinct()
-    in_doc = docs.select(F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))).alias("t"))
-    n_t = in_doc.join(terms, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
-    return (seen.join(n_t, "t").select(F.col("e").alias("entity"), F.col("t").alias("term"), share("n_t").alias("disclosure"))
-            .where(F.col("disclosure") >= generalise_at)
-            .withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")))
-
-
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True, **limits) -> DataFrame:
-    """``docs`` with ``__email .. __phone``, ``__term`` spans; rows without base spans keep their
+    return seen.join(n_e, "e").join(least_t, "t").where(_share(n, "least_t") >= generalise_at).select("e", "t", "n_te", "n_e")
+
+
+def _share(n: int, n_t: str) -> Column:
+    own = F.log2(F.lit(float(n)) / F.col("n_e"))
+    n_te = F.least("n_te", n_t, "n_e")  # several contexts of one document count once
+    return F.when(own > 0, F.log2(n_te * F.lit(float(n)) / (F.col(n_t) * F.col("n_e"))) / own).otherwise(F.lit(0.0))
+
+
+def _scored(base: DataFrame, text: str, context: int = 48, support: int = 2,
+            generalise_at: float = 0.7, remove_at: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """The scored terms, and ``__row, t`` for every candidate in the text of every row of ``base``."""
+    n = base.count()
+    seen = written(candidates(base.where(F.size("__spans") > 0), n, text, context, support, generalise_at), "pii-pairs")
+    every = base.select("__row", F.explode(words(F.col(text))).alias("t"))
+    held = written(by_term(every, seen.select("t").distinct(), "left_semi"), "pii-held")
+    n_t = held.groupBy("t").agg(F.count("*").alias("n_t"))
+    terms = (seen.join(n_t, "t").select(F.col("e").alias("entity"), F.col("t").alias("term"), _share(n, "n_t").alias("disclosure"))
+             .where(F.col("disclosure") >= generalise_at)
+             .withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")))
+    return terms, held
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", **limits) -> DataFrame:
+    """``entity, term, disclosure, action`` over all ``docs`` (``found``, the rows with spans, follow from them)."""
+    return _scored(_base(docs, text), text, **limits)[0]
+
+
+def _base(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with base spans and a number for each row."""
+    return written(detect(docs, text).withColumn("__spans", _all()).withColumn("__row", F.monotonically_increasing_id()), "pii-base")
+
+
+def sanitise(docs: DataFrame, text: str = "text", keep_text: bool = True, **limits) -> DataFrame:
+    """``docs`` with ``__email .. __phone``, ``__term`` spans; rows without any spans keep their
     text only if ``keep_text``."""
-    base = detect(docs, text).withColumn("__spans", _all())
-    if not keep_text:
-        base = base.withColumn(text, F.when(F.size("__spans") > 0, F.col(text)))
-    base = written(base, "pii-base")
-    found = base.where(F.size("__spans") > 0)
-    terms = written(disclosing_terms(found, docs, text, **limits), "pii-terms")
-    of_doc = (found.select(F.col(key).alias("__k"), F.explode(F.array_distinct(F.transform("__spans", _entity))).alias("entity"))
-              .join(terms, "entity").groupBy("__k").agg(F.collect_set(F.struct("term", "action")).alias("__terms")))
-    quoted = F.array_join(F.array_sort(F.transform("__terms", lambda t: F.concat(F.lit(r"\Q"), t["term"], F.lit(r"\E")))), "|")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}'-])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}'-])"))
-    in_text = spans(F.col(text), pattern, lambda m: F.lit(True))
+    base = _base(docs, text)
+    scored, held = _scored(base, text, **limits)
+    terms = written(scored.groupBy(F.col("term").alias("t")).agg(F.max("action").alias("action")), "pii-terms")
+    of_row = (by_term(held, terms, "inner").groupBy("__row")
+              .agg(F.collect_list(F.struct(F.col("t").alias("term"), "action")).alias("__terms")))
+    of_row = written(of_row, "pii-rows").withColumnRenamed("__row", "__row2")
+    of_row = broadcast_under(of_row, of_row.count(), 500)
+    names = F.transform("__terms", lambda t: t["term"])
+    in_text = spans(F.col(text), F.lit(WORD), lambda m: F.array_contains(names, F.lower(m)))
     clear = F.filter(in_text, lambda s: ~F.exists("__spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    joined = found.join(of_doc, found[key].eqNullSafe(of_doc["__k"]), "left").drop("__k")
-    none = F.array().cast(_SPAN)
-    joined = joined.withColumn("__term", F.when(F.col("__terms").isNotNull(), clear).otherwise(none))
-    rest = base.where(F.size("__spans") == 0).withColumn("__term", none).withColumn(
-        "__terms", F.lit(None).cast("array<struct<term:string,action:string>>"))
-    return joined.unionByName(rest)
+    out = base.join(of_row, base["__row"] == of_row["__row2"], "left").drop("__row", "__row2")
+    out = out.withColumn("__term", F.when(F.col("__terms").isNotNull(), clear).otherwise(F.array().cast(_SPAN)))
+    if not keep_text:
+        out = out.withColumn(text, F.when((F.size("__spans") > 0) | (F.size("__term") > 0), F.col(text)))
+    return out
 
 
 def span_text(kinds=KINDS) -> Column:

@@ -100,6 +100,23 @@ def test_pii_disclosing_terms(spark):
     assert share[("0:z@y.xx", "about")] == pytest.approx(brute.log_share(2, 20, 2, 20))
 
 
+def test_pii_terms_go_in_texts_without_the_entity(spark):
+    # three documents hold the address and the name, five the name alone; ids repeat and are null
+    rows = [(i, f"write{i % 26 * 'x'} to Zephyr at z@y.xx today") for i in range(3)] + [(None if i % 2 else 1, f"so says Zephyr in note {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows + [(100 + i, "filler about text") for i in range(400)], "doc_id long, text string")
+    for salted in (False, True):
+        pii.broadcast_under, keep = (lambda df, *_: df) if salted else pii.broadcast_under, pii.broadcast_under
+        try:
+            got = pii.sanitise(docs).withColumn("clean", pii.cleaned()).select("text", "clean", "__terms").collect()
+        finally:
+            pii.broadcast_under = keep
+        assert len(got) == len(rows) + 400
+        for r in got:
+            assert "Zephyr" not in r.clean
+            assert {t.term for t in r["__terms"] or []} <= set(r.text.lower().split())
+            assert ("Zephyr" in r.text) == ("zephyr" in {t.term for t in r["__terms"] or []})
+
+
 def test_pii_copies_are_one_context(spark):
     docs = spark.createDataFrame([(i, "reach Quillon at a@b.cc now") for i in range(5)] + [(9, "other text")], "doc_id long, text string")
     assert pii.sanitise(docs).where("size(__term) > 0").count() == 0
