@@ -56,7 +56,7 @@ def conversation_records(spark, d):
     in one of two layouts (by conv_id)."""
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    t = F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"))))
+    t = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))))
     convs = rows.groupBy("conv_id").agg(t.alias("t"))
     roles, odd = F.transform("t", lambda x: x["role"]), F.col("conv_id") % 2 != 0
     pair = roles == F.array(F.lit("user"), F.lit("assistant"))

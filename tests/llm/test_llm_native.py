@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.llm import chat, mixing, multiset, pii, url_filter
-from evalspark.llm.queries import TRICKY
+from evalspark.llm.queries import TRICKY, conversation_records
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonMapInArrow")
 
@@ -203,6 +203,14 @@ def test_chat_layouts(spark):
     assert out.limit(0).count() == 0
 
 
+def test_chat_conversations_of_null_roles_alone(spark, tmp_path):
+    rows = [(1, 0, None, "odd"), (2, 0, None, "even"), (2, 1, None, "more"), (3, 0, None, "b"), (3, 0, "assistant", "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: (r.layout, [(t.role, t.text) for t in r.turns]) for r in chat.to_turns(conversation_records(spark, str(tmp_path))).collect()}
+    assert got[1] == ("share", [("user", "odd")]) and got[2] == ("messages", [("user", "even"), ("user", "more")])
+    assert got[3] == ("share", [("assistant", "a"), ("user", "b")])  # by turn, then role, as the SQL orders them
+
+
 # --- 9 ----------------------------------------------------------------------
 
 def fp(spark, *texts):
