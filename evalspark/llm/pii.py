@@ -4,12 +4,14 @@ Base spans are found with regular expressions, leftmost and non-overlapping per
 matches that fail their check (parts of an address, digits of a number, Luhn sum) are
 dropped without retries.  Their values are the protected entities.
 
-Information-theoretic part: a term is a word of letters in the context of an entity
-(``context`` code points to each side).  Over the whole corpus, with N documents, n_t
-holding the term, n_e the entity and n_te both in context, the point-wise mutual
-information log2(n_te N / (n_t n_e)) over the entity's information log2(N / n_e) is the
-share of the entity that the term discloses, at most 1.  Terms seen with the entity in
-at least ``support`` different contexts (copies of a text are one) are generalised from
+Information-theoretic part: a term is a run of letters of any length outside the base
+spans; in scripts without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) every two
+neighbouring letters, or a letter that stands alone.  Over the whole corpus, with N
+documents, n_t holding the term, n_e the entity and n_te both, at any distance, the
+point-wise mutual information log2(n_te N / (n_t n_e)) over the entity's information
+log2(N / n_e) is the share of the entity that the term discloses.  Terms seen with the
+entity in at least ``support`` documents whose contexts (``context`` code points to each
+side of the entity) differ, so that copies are one, are generalised from
 ``generalise_at`` on and removed from ``remove_at`` on, in every document that holds the
 term, with or without the entity; of two actions the stronger is taken.
 
@@ -41,7 +43,10 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 _MAY = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
         "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda t: t.contains("+")}
-WORD = r"(?<!\S)\p{L}[\p{L}'-]{2,}(?=[\s.,;:!?]|$)"
+_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}&&[\p{L}\p{M}]]"
+#: runs of letters; in dense scripts (without blanks) only those that stand alone
+WORD = rf"[\p{{L}}\p{{M}}&&[^{_DENSE}]]++|(?<!{_DENSE}){_DENSE}(?!{_DENSE})"
+PAIR = rf"(?=({_DENSE}{{2}}))"
 ACTIONS = {"generalise": "[TERM]", "remove": ""}  # the stronger sorts last
 SALT = 64
 
@@ -104,7 +109,30 @@ def _entity(s: Column) -> Column:
 
 def words(t: Column) -> Column:
     """Distinct words of a text, in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+    found = F.concat(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), F.regexp_extract_all(t, F.lit(PAIR), F.lit(1)))
+    return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
+
+
+def _pairs_in(text: Column, names: Column) -> Column:
+    """Spans of neighbouring letters that are one of ``names``; they may overlap."""
+    chars = F.split(text, "")
+    each = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+    each = F.transform(each, lambda v, i: F.struct(i.alias("start"), (i + 2).alias("end"), v.alias("value")))
+    return F.filter(each, lambda s: F.coalesce(F.array_contains(names, F.lower(s["value"])), F.lit(False)) & s["value"].rlike(PAIR))
+
+
+def _outside(text: Column) -> Column:
+    """The text with a blank for every base span."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.array(F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(""))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    rest = F.aggregate(ordered, zero, step, lambda acc: F.concat(
+        F.array_join(acc["out"], " "), F.lit(" "), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size("__spans") > 0, rest).otherwise(F.coalesce(text, F.lit("")))
 
 
 def by_term(held: DataFrame, terms: DataFrame, how: str) -> DataFrame:
@@ -130,22 +158,24 @@ def candidates(found: DataFrame, n: int, text: str, context: int, support: int,
     def pairs(s: Column) -> Column:
         return F.struct(_entity(s).alias("e"), near_text(s).alias("c"))
 
-    near = found.select("__row", F.array_distinct(F.transform("__spans", pairs)).alias("x"))
-    near = near.select(F.explode(F.transform("x", lambda p: F.struct(
-        p["e"].alias("e"), F.xxhash64(p["c"]).alias("c"), words(p["c"]).alias("t")))).alias("x"), "__row")
-    near = near.select("__row", "x.e", "x.c", F.explode("x.t").alias("t"))
-    seen = near.groupBy("e", "t", "c").agg(F.count_distinct("__row").alias("n"))
+    # one fingerprint of contexts for each entity of a row: copies of a text are one
+    own = found.select("__row", F.explode(F.array_distinct(F.transform("__spans", pairs))).alias("x"))
+    own = own.groupBy("__row", F.col("x.e").alias("e")).agg(F.xxhash64(F.array_sort(F.collect_set("x.c"))).alias("c"))
+    n_e = own.groupBy("e").agg(F.count("*").alias("n_e"), F.count_distinct("c").alias("contexts")).where(F.col("contexts") >= support).drop("contexts")
+    of_row = own.join(n_e, "e", "left_semi").groupBy("__row").agg(F.collect_list(F.struct("e", "c")).alias("es"))
+    near = found.select("__row", words(_outside(F.col(text))).alias("ts"))
+    # every pair of a row comes once, so counting rows needs no distinct
+    both = near.join(of_row, "__row").select(F.explode("es").alias("x"), "ts").select("x.e", "x.c", F.explode("ts").alias("t"))
+    seen = both.groupBy("e", "t", "c").agg(F.count("*").alias("n"))
     seen = seen.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    n_e = found.select(F.explode(F.array_distinct(F.transform("__spans", _entity))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    # a term is in at least as many documents as it is in contexts of: what falls short even so can't disclose
-    least_t = near.select("__row", "t").distinct().groupBy("t").agg(F.count("*").alias("least_t"))
+    # a term is in at least as many documents as it is in rows with spans: what falls short even so can't disclose
+    least_t = near.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("least_t"))
     return seen.join(n_e, "e").join(least_t, "t").where(_share(n, "least_t") >= generalise_at).select("e", "t", "n_te", "n_e")
 
 
 def _share(n: int, n_t: str) -> Column:
     own = F.log2(F.lit(float(n)) / F.col("n_e"))
-    n_te = F.least("n_te", n_t, "n_e")  # several contexts of one document count once
-    return F.when(own > 0, F.log2(n_te * F.lit(float(n)) / (F.col(n_t) * F.col("n_e"))) / own).otherwise(F.lit(0.0))
+    return F.when(own > 0, F.log2(F.col("n_te") * F.lit(float(n)) / (F.col(n_t) * F.col("n_e"))) / own).otherwise(F.lit(0.0))
 
 
 def _scored(base: DataFrame, text: str, context: int = 48, support: int = 2,
@@ -153,7 +183,7 @@ def _scored(base: DataFrame, text: str, context: int = 48, support: int = 2,
     """The scored terms, and ``__row, t`` for every candidate in the text of every row of ``base``."""
     n = base.count()
     seen = written(candidates(base.where(F.size("__spans") > 0), n, text, context, support, generalise_at), "pii-pairs")
-    every = base.select("__row", F.explode(words(F.col(text))).alias("t"))
+    every = base.select("__row", F.explode(words(_outside(F.col(text)))).alias("t"))
     held = written(by_term(every, seen.select("t").distinct(), "left_semi"), "pii-held")
     n_t = held.groupBy("t").agg(F.count("*").alias("n_t"))
     terms = (seen.join(n_t, "t").select(F.col("e").alias("entity"), F.col("t").alias("term"), _share(n, "n_t").alias("disclosure"))
@@ -184,6 +214,7 @@ def sanitise(docs: DataFrame, text: str = "text", keep_text: bool = True, **limi
     of_row = broadcast_under(of_row, of_row.count(), 500)
     names = F.transform("__terms", lambda t: t["term"])
     in_text = spans(F.col(text), F.lit(WORD), lambda m: F.array_contains(names, F.lower(m)))
+    in_text = F.concat(in_text, F.when(F.exists(names, lambda t: t.rlike(PAIR)), _pairs_in(F.col(text), names)).otherwise(F.array().cast(_SPAN)))
     clear = F.filter(in_text, lambda s: ~F.exists("__spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     out = base.join(of_row, base["__row"] == of_row["__row2"], "left").drop("__row", "__row2")
     out = out.withColumn("__term", F.when(F.col("__terms").isNotNull(), clear).otherwise(F.array().cast(_SPAN)))

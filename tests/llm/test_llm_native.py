@@ -117,6 +117,30 @@ def test_pii_terms_go_in_texts_without_the_entity(spark):
             assert ("Zephyr" in r.text) == ("zephyr" in {t.term for t in r["__terms"] or []})
 
 
+@pytest.mark.parametrize("one, term, gone", [
+    ('"Zephyr" <z@y.xx> wrote {}', "zephyr", "Zephyr"), ("see (Zephyr) z@y.xx {}", "zephyr", "Zephyr"), ("Name:Zephyr z@y.xx {}", "zephyr", "Zephyr"),
+    ("Li z@y.xx {}", "li", "Li"), ("{} z@y.xx " + "1 " * 200 + "Zephyr", "zephyr", "Zephyr"), ("z@y.xx {} 是王小明的信", "王小", "王小明")])
+def test_pii_words_by_letter_boundaries(spark, one, term, gone):
+    rows = [(i, one.format("abcd"[i] * 5)) for i in range(3)] + [(9, f"so {gone}, again")]
+    docs = spark.createDataFrame(rows + [(100 + i, "filler so again wrote see name") for i in range(400)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.sanitise(docs).withColumn("clean", pii.cleaned()).collect()}
+    for i, _ in rows:
+        assert term in {t.term for t in got[i]["__terms"]} and gone not in got[i].clean
+
+
+def test_pii_counts_documents_once(spark):
+    # in two of four documents with the address, one of them with two contexts
+    rows = [(0, "Zephyr z@y.xx one and far on " + "1 " * 60 + " Zephyr z@y.xx two"), (1, "Zephyr z@y.xx three"), (2, "z@y.xx four"), (3, "z@y.xx five")]
+    docs = spark.createDataFrame(rows + [(9 + i, "filler") for i in range(60)], "doc_id long, text string")
+    found = pii.detect(docs).withColumn("__spans", pii._all()).where("size(__spans) > 0")
+    share = {r.term: r.disclosure for r in pii.disclosing_terms(found, docs, generalise_at=-9.0).collect()}
+    assert share["zephyr"] == pytest.approx(brute.log_share(2, 2, 4, 64))
+    rows[3] = (3, "z@y.xx five Zephyr not in the span's 48 code points: " + "1 " * 60 + "Zephyr")
+    docs = spark.createDataFrame(rows + [(9 + i, "filler Zephyr" if i < 4 else "filler") for i in range(60)], "doc_id long, text string")
+    share = {r.term: r.disclosure for r in pii.disclosing_terms(found, docs, generalise_at=-9.0).collect()}
+    assert share["zephyr"] == pytest.approx(brute.log_share(3, 7, 4, 64))
+
+
 def test_pii_copies_are_one_context(spark):
     docs = spark.createDataFrame([(i, "reach Quillon at a@b.cc now") for i in range(5)] + [(9, "other text")], "doc_id long, text string")
     assert pii.sanitise(docs).where("size(__term) > 0").count() == 0
