@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8; documents that leak a benchmark item go."""
-    found = docs.withColumn("__items", decontam.leaks(docs, table(spark, sf_dir, "benchmark")))
+    found = decontam.mark(docs, table(spark, sf_dir, "benchmark"), "__items")
     return found.where(F.size("__items") == 0).select(*docs.columns)
 
 

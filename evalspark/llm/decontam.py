@@ -13,8 +13,8 @@ e + 1 neighbouring diagonals (document position minus window position).  So per
    alignment of the window with the band's region.
 
 The work is row by row over whole texts, with the benchmark's index at hand in every
-task.  The index is bounded: a benchmark of more than ``block_chars`` characters is
-taken in blocks (by hash of the item id), one column of results for each.
+task.  A benchmark of more than ``block_chars`` characters is taken in blocks (by hash of
+the item id): ``mark`` collects, runs, writes and releases one block before the next.
 
 Defined cases: a null or empty text leaks nothing; null, empty and repeated items and
 items under ``min_chars`` characters are ignored (the last would match by chance); an
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import workers
+from .util import workers, written
 
 Q = 8
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -207,15 +207,41 @@ def _column(index: Index, text: str) -> Column:
     return leaked_items(F.col(text))
 
 
+def _blocks(benchmark: DataFrame, item: str, item_text: str, window: int, rate: float, min_chars: int, block_chars: int):
+    """Number of blocks, and a function that builds the index of one; each holds ``block_chars``
+    characters, give or take an item."""
+    bench = benchmark.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null").distinct()
+    blocks = max(1, -(-(bench.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))
+
+    def index(b: int) -> Index:
+        rows = bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()
+        return build_index([(r["item"], r["t"]) for r in rows], window, rate, min_chars)
+    return blocks, index
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
           window: int = 120, rate: float = 0.1, min_chars: int = 40, block_chars: int = 1_000_000) -> Column:
-    """Column for ``docs``: ascending ids of the benchmark items that the row's text leaks."""
+    """Column for ``docs``: ascending ids of the benchmark items that the row's text leaks.  A column holds
+    all blocks at once; :func:`mark` takes one at a time."""
     workers(docs.sparkSession)
-    bench = benchmark.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null").distinct()
-    chars = bench.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    found = []
-    for b in range(blocks):  # each block is bounded by block_chars, give or take one item
-        rows = bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()
-        found.append(_column(build_index([(r["item"], r["t"]) for r in rows], window, rate, min_chars), text))
+    blocks, index = _blocks(benchmark, item, item_text, window, rate, min_chars, block_chars)
+    found = [_column(index(b), text) for b in range(blocks)]
     return found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "text", item: str = "item_id", item_text: str = "text",
+         window: int = 120, rate: float = 0.1, min_chars: int = 40, block_chars: int = 1_000_000) -> DataFrame:
+    """``docs`` with the column ``out`` of :func:`leaks`.  Of several blocks only one is in the driver and
+    the workers at a time; its hits are written before the next is built."""
+    workers(docs.sparkSession)
+    blocks, index = _blocks(benchmark, item, item_text, window, rate, min_chars, block_chars)
+    if blocks == 1:
+        return docs.withColumn(out, _column(index(0), text))
+    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
+    hits = None
+    for b in range(blocks):
+        one = written(base.select(F.col("__row").alias("__row2"), F.explode(_column(index(b), text)).alias("__item")), f"decontam-{b}")
+        hits = one if hits is None else hits.unionByName(one)
+    of_row = hits.groupBy("__row2").agg(F.array_sort(F.collect_set("__item")).alias("__found"))
+    joined = base.join(of_row, F.col("__row") == F.col("__row2"), "left")
+    return joined.withColumn(out, F.coalesce("__found", F.array().cast("array<bigint>"))).select(*[c for c in docs.columns if c != out], out)

@@ -141,7 +141,7 @@ def q_simhash(spark, d):
 @register("op8_decontaminate")
 def q_decontaminate(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    out = docs.select("doc_id", decontam.leaks(docs, table(spark, d, "benchmark")).alias("item_ids"))
+    out = decontam.mark(docs, table(spark, d, "benchmark"), "item_ids")
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 

@@ -136,6 +136,22 @@ def test_decontam_agrees_with_alignment_at_the_edge():
         assert bool(decontam.leaked(index, [text])[0]) == want, (k, n)
 
 
+def test_decontam_blocks_one_at_a_time(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [sentence(rng, 30) for _ in range(4)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, items[0] + " " + items[3]), (1, items[2]), (None, items[1]), (4, sentence(rng, 50))], DOCS)
+    most, write = [], decontam.written
+
+    def seen(df, name):
+        most.append(df._jdf.queryExecution().optimizedPlan().toString().count("leaked_items("))
+        return write(df, name)
+    monkeypatch.setattr(decontam, "written", seen)
+    got = decontam.mark(docs, bench, "x", block_chars=100).select("doc_id", "x").collect()
+    assert sorted((str(r.doc_id), r.x) for r in got) == [("1", [0, 3]), ("1", [2]), ("4", []), ("None", [1])]
+    assert len(most) > 2 and max(most) <= 1
+
+
 def test_decontam_defined_cases(spark):
     rng = random.Random(2)
     a, b = sentence(rng, 40), sentence(rng, 25)
