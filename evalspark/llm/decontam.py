@@ -1,24 +1,26 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are compared in lower case with runs of white space as one blank.  Every benchmark
-item is cut into overlapping windows of ``window`` characters (shorter items whole); a
-document leaks an item if some window aligns with a part of it within ``rate * length``
-edits.  Two strings within e edits share at least ``n + 1 - q (e + 1)`` q-grams, all on
-e + 1 neighbouring diagonals (document position minus window position).  So per document:
+Texts are compared in lower case with runs of white space as one blank.  Every stretch of
+``window`` characters of a benchmark item, at any start, is a window (items up to that
+length are one); a document leaks an item if some window aligns with a part of it within
+``rate * length`` edits.  Two strings within e edits share at least ``n + 1 - q (e + 1)``
+q-grams, all on e + 1 neighbouring diagonals (document position minus item position); q
+is halved until the lemma asks for at least one.  So per document:
 
 1. q-grams of the document are looked up; stretches with too few known q-grams go.
-2. Hits are counted by window and diagonal band.  Bands are 2 (e + 1) wide and start
-   every e + 1 diagonals, so any e + 1 neighbours lie within one band.
-3. Bands that reach the lemma's count are verified: exact containment, else banded
-   alignment of the window with the band's region.
+2. Hits are counted by item, cell of ``window`` item positions and diagonal band; a window
+   lies within two cells, any e + 1 neighbouring diagonals within two bands.
+3. Where these reach the lemma's count, a window is verified by banded alignment if e
+   stretches of q neighbouring q-grams (what e edits can break) hold all that it lacks.
 
 The work is row by row over whole texts, with the benchmark's index at hand in every
 task.  A benchmark of more than ``block_chars`` characters is taken in blocks (by hash of
 the item id): ``mark`` collects, runs, writes and releases one block before the next.
 
-Defined cases: a null or empty text leaks nothing; null, empty and repeated items and
-items under ``min_chars`` characters are ignored (the last would match by chance); an
-empty benchmark finds nothing; rows are kept as they are, repeated ids included.
+Defined cases: a null or empty text leaks nothing; null, empty and repeated items are
+ignored; items under ``min_chars`` characters must occur exactly and between word
+boundaries, and those under 8 are ignored (they would match by chance); an empty
+benchmark finds nothing; rows are kept as they are, repeated ids included.
 """
 
 from __future__ import annotations
@@ -40,17 +42,23 @@ CHUNK = 1 << 19  # characters taken at once
 @dataclass
 class Index:
     q: int
-    windows: list[str]
-    items: np.ndarray      # item id of each window
+    texts: list[np.ndarray]
+    items: np.ndarray      # item id of each text
+    exact: np.ndarray      # must it occur as it is?
+    width: np.ndarray      # of its windows
     budget: np.ndarray     # edits allowed
     need: np.ndarray       # q-grams that must be shared
+    hashes: list[np.ndarray]
+    cells: np.ndarray      # number of each text's first cell
+    cell: int              # positions in a cell
     grams: np.ndarray      # sorted distinct q-gram hashes
     first: np.ndarray      # start of each q-gram's places
-    where: np.ndarray      # window of each place
-    offset: np.ndarray     # position in the window
+    where: np.ndarray      # text of each place
+    offset: np.ndarray     # position in the text
     known: np.ndarray      # table of known q-grams by their top bits
     shift: int
     longest: int           # of the windows
+    reach: int             # of the texts
 
 
 def normal(text: str | None) -> str:
@@ -72,58 +80,95 @@ def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
 
 
 def build_index(items: list[tuple[int, str]], window: int, rate: float, min_chars: int, q: int = Q) -> Index:
-    seen, windows, ids = set(), [], []
+    seen, texts, ids = set(), [], []
     for item, text in sorted(items, key=lambda x: (x[0], x[1])):
         t = normal(text)
-        if len(t) < min_chars or (item, t) in seen:
+        if len(t) < Q or (item, t) in seen:
             continue
         seen.add((item, t))
-        starts = list(range(0, max(1, len(t) - window + 1), max(1, window // 2)))
-        if starts[-1] + window < len(t):
-            starts.append(len(t) - window)
-        for s in starts:
-            windows.append(t[s:s + window])
-            ids.append(item)
-    n = np.array([len(w) for w in windows], np.int64)
-    budget = np.floor(rate * n).astype(np.int64)
-    budget = np.minimum(budget, (n + 1 - q) // q - 1).clip(0)  # the lemma needs at least one shared q-gram
-    need = np.maximum(1, n + 1 - q * (budget + 1))
-    grams = [gram_hashes(codes(w), q) for w in windows]
-    flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-    where = np.repeat(np.arange(len(windows)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-    offset = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        texts.append(codes(t))
+        ids.append(item)
+    n = np.array([len(t) for t in texts], np.int64)
+    exact, width = n < min_chars, np.minimum(n, max(window, Q))
+    budget = np.where(exact, 0, np.floor(rate * width)).astype(np.int64)
+    while q > 1 and (budget > width // q - 1).any():  # the lemma needs at least one shared q-gram
+        q //= 2
+    need = np.maximum(1, width + 1 - q * (budget + 1))
+    hashes = [gram_hashes(t, q) for t in texts]
+    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    where = np.repeat(np.arange(len(texts)), [len(g) for g in hashes]) if hashes else np.zeros(0, np.int64)
+    offset = np.concatenate([np.arange(len(g)) for g in hashes]) if hashes else np.zeros(0, np.int64)
     order = np.argsort(flat, kind="stable")
     uniq, first = np.unique(flat[order], return_index=True)
     bits = max(16, int(len(uniq)).bit_length() + 5)
     known = np.zeros(1 << bits, bool)
     known[(uniq >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return Index(q, windows, np.array(ids, np.int64), budget, need, uniq, np.append(first, len(flat)),
-                 where[order], offset[order], known, 64 - bits, int(n.max(initial=0)))
+    longest = int(width.max(initial=1))
+    cells = np.cumsum(np.concatenate(([0], n // longest + 2)))  # one more than it has: the last has a next one
+    return Index(q, texts, np.array(ids, np.int64), exact, width, budget, need, hashes, cells, longest, uniq, np.append(first, len(flat)),
+                 where[order], offset[order], known, 64 - bits, longest, int(n.max(initial=0)))
 
 
-def band_distance(pattern: np.ndarray, regions: np.ndarray) -> np.ndarray:
-    """Least edit distance of the pattern to any substring of each region, rows of equal
-    width; the regions are narrow bands, so a row of the table is a band of the alignment."""
+def band_distance(patterns: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Least edit distance of each pattern (one for all, or one a row) to any substring of its
+    region, rows of equal width; the regions are narrow bands, so a row of the table is a band
+    of the alignment."""
     k = np.arange(regions.shape[1] + 1)
     row = np.zeros((len(regions), len(k)), np.int32)
-    for i, c in enumerate(pattern):
+    for i, c in enumerate(np.atleast_2d(patterns).T):
         new = np.empty_like(row)
         new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, :-1] + (regions != c), row[:, 1:] + 1)
+        new[:, 1:] = np.minimum(row[:, :-1] + (regions != c[:, None]), row[:, 1:] + 1)
         row = np.minimum.accumulate(new - k, axis=1) + k
     return row.min(axis=1)
 
 
-def _verify(ix: Index, c: np.ndarray, w: int, lows: np.ndarray) -> np.ndarray:
-    """For bands of window ``w`` that start at the diagonals ``lows``: does it align there?"""
-    e, pattern = int(ix.budget[w]), codes(ix.windows[w])
-    at = lows[:, None] - (e + 1) + np.arange(len(pattern) + 4 * (e + 1))
-    regions = np.where((at >= 0) & (at < len(c)), c[np.clip(at, 0, len(c) - 1)], 0)
-    found = np.array([ix.windows[w] in "".join(map(chr, r)) for r in regions.tolist()], bool)
-    left = np.flatnonzero(~found)
-    for i in range(0, len(left), 256):
-        found[left[i:i + 256]] = band_distance(pattern, regions[left[i:i + 256]]) <= e
-    return found
+def _verify(ix: Index, c: np.ndarray, h: np.ndarray, w: int, cell: int, low: int) -> int | None:
+    """Where in the document a window of text ``w`` aligns that starts in ``cell`` (of the text), on the
+    diagonals from ``low``; None if none does."""
+    e, n, t = int(ix.budget[w]), int(ix.width[w]), ix.texts[w]
+    if ix.exact[w]:
+        for d in (low, low + 1):
+            if d >= 0 and d + n <= len(c) and (c[d:d + n] == t).all():
+                before, after = (chr(c[x]) if 0 <= x < len(c) else " " for x in (d - 1, d + n))
+                if not (before.isalnum() and chr(t[0]).isalnum()) and not (after.isalnum() and chr(t[-1]).isalnum()):
+                    return d
+        return None
+    # windows that start in this cell, or before it with their q-grams in it
+    first, last = max(0, cell * ix.cell - n + 1), min(len(t) - n, (cell + 1) * ix.cell - 1)
+    own = ix.hashes[w][first:last + n]
+    if last < first or not len(own):
+        return None
+    at = low + np.arange(2 * (e + 1))[:, None] + np.arange(first, first + len(own))
+    same = (h[np.clip(at, 0, len(h) - 1)] == own) & (at >= 0) & (at < len(h))
+    starts = np.arange(first, last + 1)
+    total = np.concatenate(([0], np.cumsum(same.any(axis=0))))
+    starts = starts[total[starts - first + n - ix.q + 1] - total[starts - first] >= ix.need[w]]
+    if not len(starts):
+        return None
+    total = np.concatenate((np.zeros((1, len(own)), np.int64), np.cumsum(same, axis=0)))
+    shared = total[e + 1:] - total[:-e - 1] > 0  # on each e + 1 neighbouring diagonals
+    # an edit breaks at most q neighbouring q-grams: do e such stretches hold all that are broken?
+    places = np.arange(len(own) + 1)
+    broken = np.concatenate((np.where(shared, len(own), places[:-1]), np.full((len(shared), 1), len(own))), axis=1)
+    broken = np.minimum.accumulate(broken[:, ::-1], axis=1)[:, ::-1]  # the next broken one
+    line = np.arange(len(shared))[:, None]
+    pos = np.broadcast_to(starts - first, (len(shared), len(starts)))
+    for _ in range(e):
+        pos = np.minimum(broken[line, pos] + ix.q, len(own))
+    pos = broken[line, pos]
+    starts = starts[(pos > starts - first + n - ix.q).any(axis=0)]
+    starts = np.concatenate((starts[len(starts) // 2:], starts[:len(starts) // 2]))
+    done = 0
+    while done < len(starts):  # the middle one alone first
+        s = starts[done:done + (256 if done else 1)]
+        at = (s + low - (e + 1))[:, None] + np.arange(n + 4 * (e + 1))
+        regions = np.where((at >= 0) & (at < len(c)), c[np.clip(at, 0, len(c) - 1)], 0)
+        good = np.flatnonzero(band_distance(t[s[:, None] + np.arange(n)], regions) <= e)
+        if len(good):
+            return int(s[good[0]]) + low + n // 2
+        done += len(s)
+    return None
 
 
 def leaked(ix: Index, texts: list[str | None]) -> list[list[int]]:
@@ -143,7 +188,7 @@ def leaked(ix: Index, texts: list[str | None]) -> list[list[int]]:
 
     for i, text in enumerate(texts):
         t = normal(text)
-        for start in range(0, len(t) if len(t) >= ix.q and ix.windows else 0, CHUNK):
+        for start in range(0, len(t) if len(t) >= ix.q and ix.texts else 0, CHUNK):
             own.append(i)
             pieces.append(t[start:start + CHUNK + 2 * len(gap)])
             size += len(pieces[-1])
@@ -172,31 +217,42 @@ def _leaked(ix: Index, t: str, starts: np.ndarray) -> set[tuple[int, int]]:
     mark[least:least + len(tight)] -= tight
     dense = np.cumsum(mark[:-1]) > 0
     at, g = at[dense], g[dense]
-    keys, counts, span = [], [], len(c) + 4 * longest
+    keys, counts, span = [], [], len(c) + ix.reach + 4
     for i in range(0, len(at), 1 << 15):  # places of each hit
         a, n = at[i:i + (1 << 15)], ix.first[g[i:i + (1 << 15)] + 1] - ix.first[g[i:i + (1 << 15)]]
         place = np.repeat(ix.first[g[i:i + (1 << 15)]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        w = ix.where[place]
-        band = (np.repeat(a, n) - ix.offset[place] + longest) // (ix.budget[w] + 1) + 1
-        k, m = np.unique(w * span + band, return_counts=True)
+        w, o = ix.where[place], ix.offset[place]
+        band = (np.repeat(a, n) - o + ix.reach) // (ix.budget[w] + 1) + 1
+        k, m = np.unique((ix.cells[w] + o // ix.cell) * span + band, return_counts=True)
         keys.append(k)
         counts.append(m)
     if not keys:
         return set()
     key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     count = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-    # a band of 2 (e + 1) diagonals holds this stretch and the next one
-    following = np.searchsorted(key, key + 1)
-    both = count + np.where(key[np.minimum(following, len(key) - 1)] == key + 1, count[np.minimum(following, len(key) - 1)], 0)
-    w = key // span
-    pick = both >= ix.need[w]
-    key, w = key[pick], w[pick]
-    found = set()
-    for one in np.unique(w).tolist():
-        lows = (key[w == one] - one * span - 1) * (int(ix.budget[one]) + 1) - longest
-        hit = lows[_verify(ix, c, one, lows)]
-        docs = np.searchsorted(starts, hit + len(ix.windows[one]) // 2, side="right") - 1
-        found |= {(int(d), int(ix.items[one])) for d in np.maximum(docs, 0)}
+
+    def hits(k: np.ndarray) -> np.ndarray:
+        x = np.minimum(np.searchsorted(key, k), len(key) - 1)
+        return np.where(key[x] == k, count[x], 0)
+
+    # two bands of e + 1 diagonals and two cells: where only the second band or cell has hits, too
+    start = np.unique(np.concatenate((key, key - 1)))
+    both = hits(start) + hits(start + 1) + hits(start + span) + hits(start + span + 1)
+    w = np.searchsorted(ix.cells, start // span, side="right") - 1
+    pick = (both >= ix.need[w]) & ((hits(start) > 0) | (hits(start + span) > 0))  # else the next band holds the same
+    start, w = start[pick], w[pick]
+    cell, low = start // span - ix.cells[w], (start % span - 1) * (ix.budget[w] + 1) - ix.reach
+    found: set[tuple[int, int]] = set()
+    for one, x, d in zip(w.tolist(), cell.tolist(), low.tolist()):
+        # the piece by the middle of the two cells' reach: settled pairs need no second look
+        near = max(0, int(np.searchsorted(starts, d + x * ix.cell + ix.cell // 2, side="right")) - 1)
+        if (near, int(ix.items[one])) in found:
+            lo, hi = d + x * ix.cell - 2 * ix.cell, d + (x + 2) * ix.cell + 2 * ix.cell
+            if near == max(0, int(np.searchsorted(starts, lo, side="right")) - 1) == max(0, int(np.searchsorted(starts, hi, side="right")) - 1):
+                continue
+        hit = _verify(ix, c, h, one, x, d)
+        if hit is not None:
+            found.add((max(0, int(np.searchsorted(starts, hit, side="right")) - 1), int(ix.items[one])))
     return found
 
 

@@ -136,6 +136,37 @@ def test_decontam_agrees_with_alignment_at_the_edge():
         assert bool(decontam.leaked(index, [text])[0]) == want, (k, n)
 
 
+def test_decontam_windows_start_anywhere():
+    rng = random.Random(11)
+    item = sentence(rng, 200)
+    index = decontam.build_index([(1, item)], 120, 0.1, 40)
+    t = decontam.normal(item)
+    for start in range(1, 400, 13):
+        body = sentence(rng, 20)
+        assert decontam.leaked(index, [body + " " + t[start:start + 130] + " " + body]) == [[1]], start
+    assert decontam.leaked(index, [sentence(rng, 300)]) == [[]]
+
+
+@pytest.mark.parametrize("n", [40, 46, 50, 54, 60, 62, 70, 119])
+def test_decontam_short_items_have_their_whole_budget(n):
+    rng = random.Random(n)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    index = decontam.build_index([(1, item)], 120, 0.1, 40)
+    e = n // 10
+    assert index.budget[0] == e
+    for k in range(e + 3):  # edits as far apart as can be
+        changed = list(item)
+        for j in range(k):
+            changed[(j + 1) * n // (k + 1)] = "0"
+        assert decontam.leaked(index, ["lead " + "".join(changed) + " tail"]) == [[1] if k <= e else []]
+
+
+def test_decontam_items_under_40_characters_match_exactly():
+    index = decontam.build_index([(1, "What is 2+2?"), (2, "the red fox"), (3, "tiny")], 120, 0.1, 40)
+    texts = ['he asked "what  is 2+2?" twice', "what is 2+3?", "The red fox.", "the red foxes", "bathe red fox", "tiny"]
+    assert decontam.leaked(index, texts) == [[1], [], [2], [], [], []]
+
+
 def test_decontam_blocks_one_at_a_time(spark, monkeypatch):
     rng = random.Random(5)
     items = [sentence(rng, 30) for _ in range(4)]
