@@ -181,6 +181,22 @@ def test_mix_keeps_all_rows_and_target_shares(spark):
     assert not any(n in plan(out) for n in PYTHON_NODES)
 
 
+def test_mix_more_sources_than_one_expression_schedules(spark):
+    rng = random.Random(6)
+    for parts in [[1], [10, 3, 3]] + [[rng.randint(1, 9) for _ in range(rng.randint(2, 30))] for _ in range(20)]:
+        slots = list(mixing.schedule(parts))
+        assert [i for i, _, _ in slots] == brute.edf(parts)
+        assert all(k == sum(j == i for j, _, _ in slots[:t]) for i, k, t in slots)
+    n, d = 7001, 10 + 3 * 7000
+    assert d > mixing.MAX_PERIOD
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), F.col("id") % n).alias("source"), F.lit("t").alias("text"))
+    got = mixing.pfair_mix(docs, {"src0": 10}, 3, block_rows=1).collect()
+    assert len(got) == 2 * n and len({r.slot for r in got}) == 2 * n
+    for r in got:
+        p = 10 if r.source == "src0" else 3
+        assert (r.release, r.deadline) == (r.block * d // p, -(-(r.block + 1) * d // p)) and r.release <= r.slot < r.deadline
+
+
 def test_mix_empty_and_bad_parts(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.pfair_mix(empty).count() == 0
