@@ -110,6 +110,8 @@ def _entity(s: Column) -> Column:
 def words(t: Column) -> Column:
     """Distinct words of a text, in lower case."""
     found = F.concat(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), F.regexp_extract_all(t, F.lit(PAIR), F.lit(1)))
+    plain = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{M}]++"), F.lit(0))  # the same where no dense script can be, and faster
+    found = F.when(t.rlike(r"[^\x{0}-\x{DFF}\x{2000}-\x{20FF}]"), found).otherwise(plain)
     return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
 
 
