@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, multiset, pii, simhash, suffixes, toxicity, url_filter
+from . import align, chat, decontam, langid, mixing, multiset, pii, simhash, suffixes, toxicity, url_filter
 from .util import crc_mod, table
 
 QUERIES: dict = {}
@@ -198,3 +198,16 @@ def q_repeated_bytes(spark, d):
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
     out = suffixes.repeated(table(spark, d, "documents"))
     return out.select("doc_id", digest("text", "removed").alias("x")).select("doc_id", "x.*")
+
+
+# --- 12: cross-tokenizer alignment ------------------------------------------
+
+#: folder of the public tokenizers' files
+TOKENIZERS = "/opt/tokenizers"
+
+
+@register("op12_token_align")
+def q_token_align(spark, d):
+    a = align.Vocabulary.read("byte_bpe", f"{TOKENIZERS}/byte_bpe_50k.json")
+    b = align.Vocabulary.read("piece_bpe", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return align.align(table(spark, d, "documents"), a, b)
