@@ -7,8 +7,8 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from . import align, chat, decontam, langid, mixing, multiset, pii, simhash, suffixes, toxicity, url_filter
-from .util import crc_mod, table
+from . import align, chat, decontam, langid, mixing, multiset, pii, pivots, simhash, suffixes, toxicity, url_filter
+from .util import broadcast_under, crc_mod, table, written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -211,3 +211,24 @@ def q_token_align(spark, d):
     a = align.Vocabulary.read("byte_bpe", f"{TOKENIZERS}/byte_bpe_50k.json")
     b = align.Vocabulary.read("piece_bpe", f"{TOKENIZERS}/piece_bpe_32k.model")
     return align.align(table(spark, d, "documents"), a, b)
+
+
+# --- 11: vector code compression --------------------------------------------
+
+#: rows of one label are dealt to so many partitions where the labels' sums are too many to broadcast
+LABEL_SALTS = 16
+
+
+@register("op11_pivot_codes")
+def q_pivot_codes(spark, d):
+    rows, books = pivots.compress(table(spark, d, "embeddings").select("vec_id", "embedding", "label"))
+    rows = written(rows, "codes")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1)))
+    sums = written(rows.groupBy("label").agg(F.sum("__error").alias("label_error")), "label-errors")
+    by = sums.select(F.col("label").alias("of"), "label_error", salt.alias("salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", "__code"), F.lit(LABEL_SALTS)).cast("int"))
+    same = F.col("label").eqNullSafe(F.col("of")) & (dealt["salt"] == by["salt"])
+    out = dealt.join(broadcast_under(by, sums.count() * LABEL_SALTS, 24), same)
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    code = F.array_join(F.transform("__code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return out.select("vec_id", code.alias("code"), F.col("__error").alias("error"), "label_error", F.lit(digest).alias("codebooks_sha256"))
