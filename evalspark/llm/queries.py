@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from . import align, chat, decontam, langid, mixing, multiset, pii, pivots, simhash, suffixes, toxicity, url_filter
+from . import align, chat, decontam, langid, mixing, multiset, pii, pivots, projections, simhash, suffixes, toxicity, url_filter
 from .util import broadcast_under, crc_mod, table, written
 
 QUERIES: dict = {}
@@ -232,3 +232,11 @@ def q_pivot_codes(spark, d):
     digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
     code = F.array_join(F.transform("__code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
     return out.select("vec_id", code.alias("code"), F.col("__error").alias("error"), "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+# --- 13: embedding near-duplicates ------------------------------------------
+
+@register("op13_embedding_dedup")
+def q_embedding_dedup(spark, d):
+    out = projections.near_duplicates(table(spark, d, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
