@@ -12,6 +12,11 @@ from .common import col
 _END = "3f0c8a52-end-of-value"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` taken once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parse_json(c, control_chars: bool = False) -> Column:
     """The whole text as one JSON value (VARIANT), else null.
 
@@ -29,9 +34,11 @@ def parse_json(c, control_chars: bool = False) -> Column:
                                           "allowSingleQuotes": "false"})
     else:
         v = F.try_parse_json(held)
-    parts = F.try_variant_get(v, "$", "array<variant>")
-    whole = (F.size(parts) == 2) & (F.try_variant_get(F.get(parts, 1), "$", "string") == _END)
-    return F.when(whole, F.get(parts, 0))
+
+    def first(parts: Column) -> Column:
+        whole = (F.size(parts) == 2) & (F.try_variant_get(F.get(parts, 1), "$", "string") == _END)
+        return F.when(whole, F.get(parts, 0))
+    return bound(F.try_variant_get(v, "$", "array<variant>"), first)
 
 
 def lenient_variant(c) -> Column:
@@ -50,15 +57,11 @@ def lenient_object(c) -> Column:
 def parse_status(c) -> Column:
     """How C4 resolved the text: empty / object / object_requoted / not_object / invalid."""
     c = col(c)
-    direct = parse_json(c)
-    requoted = parse_json(F.replace(c, F.lit("'"), F.lit('"')))
-    is_obj = lambda v: v.try_cast("map<string,variant>").isNotNull()
-    return (F.when(c.isNull() | (c == ""), "empty")
-            .when(direct.isNotNull() & is_obj(direct), "object")
-            .when(direct.isNotNull(), "not_object")
-            .when(requoted.isNotNull() & is_obj(requoted), "object_requoted")
-            .when(requoted.isNotNull(), "not_object")
-            .otherwise("invalid"))
+
+    def kind(v: Column, name: str, otherwise) -> Column:
+        return F.when(v.isNull(), otherwise).when(v.try_cast("map<string,variant>").isNotNull(), name).otherwise("not_object")
+    requoted = bound(parse_json(F.replace(c, F.lit("'"), F.lit('"'))), lambda v: kind(v, "object_requoted", F.lit("invalid")))
+    return F.when(c.isNull() | (c == ""), "empty").otherwise(bound(parse_json(c), lambda v: kind(v, "object", requoted)))
 
 
 def type_name(vtype: Column) -> Column:

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import attach_one_row, materialize, ratio
-from ..functions.json import lenient_object, lenient_variant, parse_json, parse_status, py_text, type_name
+from ..functions.common import attach_one_row, evaluate_once, materialize, ratio
+from ..functions.json import bound, lenient_object, lenient_variant, parse_json, parse_status, py_text, type_name
 from ..functions.labels import PY_WHITESPACE
 
 TOP_ROLES = 30
@@ -26,10 +26,10 @@ def top_n_with_tail(counts: DataFrame, group_cols, value_col: str, n_col: str, t
 
     Skew-safe: ranks are first taken inside (group, hash bucket of the value), so
     a group with millions of distinct values never meets in one task, and only
-    ``buckets * top`` candidates per group meet.  The tail row (rank ``top + 1``)
-    carries the number of remaining values and the sum of their counts: group
-    totals less what is ranked.  ``counts`` is materialised once (checkpoint), so
-    ranks and totals read the aggregate, not the source.
+    ``buckets * top`` candidates per group meet.  A bucket's candidates bring its number of
+    values and its sum along (its first one counts), so the group's totals need no second
+    pass over the counts.  The tail row (rank ``top + 1``) carries the number of
+    remaining values and the sum of their counts: group totals less what is ranked.
 
     Output: ``group_cols..., rank, value, extra..., n, n_values, group_total, is_tail``
     (``extra`` is null in the tail).  ``tail_text(k)`` builds the tail row's value
@@ -37,22 +37,20 @@ def top_n_with_tail(counts: DataFrame, group_cols, value_col: str, n_col: str, t
     """
     g, extra = list(group_cols), list(extra)
     order = [F.desc(n_col), F.asc_nulls_first(value_col), *[F.asc_nulls_first(x) for x in extra]]
-    counts = materialize(counts)  # ranks and totals read it: one pass over the source
-    bucket = F.pmod(F.xxhash64(value_col, *extra), F.lit(buckets))
-    w1 = Window.partitionBy(*g, bucket).orderBy(*order)
-    cand = counts.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= top).drop("__r")
-    w2 = Window.partitionBy(*g).orderBy(*order) if g else Window.orderBy(*order)
-    ranked = cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= top)
-    ranked = ranked.withColumn("__top", F.sum(n_col).over(Window.partitionBy(*g)))
-    stats = (counts.groupBy(*g) if g else counts.groupBy()).agg(
-        F.count(F.lit(1)).alias("n_values"), F.sum(n_col).alias("group_total"))
-    out = ranked.join(stats, g) if g else attach_one_row(ranked, stats)
+    types = dict(counts.dtypes)
+    in_bucket = Window.partitionBy(*g, F.pmod(F.xxhash64(value_col, *extra), F.lit(buckets)))
+    cand = counts.withColumns({"__r": F.row_number().over(in_bucket.orderBy(*order)),
+                               "__bn": F.count(F.lit(1)).over(in_bucket), "__bs": F.sum(n_col).over(in_bucket)}).filter(F.col("__r") <= top)
+    of_group = Window.partitionBy(*g)
+    ranked = cand.withColumns({"rank": F.row_number().over(of_group.orderBy(*order)),
+                               "n_values": F.sum(F.when(F.col("__r") == 1, F.col("__bn"))).over(of_group),
+                               "group_total": F.sum(F.when(F.col("__r") == 1, F.col("__bs"))).over(of_group)}).filter(F.col("rank") <= top)
+    out = ranked.withColumn("__top", F.sum(n_col).over(of_group))
 
     def row(rank, value, others, n, tail: bool):
         return F.struct(rank.cast("bigint").alias("rank"), value.alias(value_col), *[o.alias(x) for x, o in zip(extra, others)],
                         n.alias(n_col), "n_values", "group_total", F.lit(tail).alias("is_tail"))
     own = row(F.col("rank"), F.col(value_col), [F.col(x) for x in extra], F.col(n_col), False)
-    types = dict(counts.dtypes)
     tail = row(F.lit(top + 1), tail_text(F.col("n_values") - top), [F.lit(None).cast(types[x]) for x in extra],
                F.col("group_total") - F.col("__top"), True)
     # the first ranked row of a group brings the group's tail along
@@ -163,6 +161,25 @@ def field_distinct(df: DataFrame, id_col: str, perm_col: str) -> DataFrame:
     return attach_one_row(per, nf)
 
 
+def distinct_sketches(df: DataFrame, batch_col: str, perm_col: str, log2_size: int = 14) -> DataFrame:
+    """P5, opt-in approximation: per batch and field a mergeable sketch of its values (HyperLogLog,
+    ``2**log2_size`` registers: standard error 0.8 % at 14) and its occurrences.  Stored per
+    batch, sketches are merged (:func:`merge_sketches`) without reading old rows again."""
+    rows = permission_entries(df, batch_col, perm_col).select(batch_col, F.inline(_value_rows(F.col("field"), F.col("v"), F.col("tname"))))
+    key = F.concat_ws(":", "value_kind", "value")  # 30 and "30" differ, as in the exact count
+    return rows.groupBy(batch_col, "field").agg(F.hll_sketch_agg(key, log2_size).alias("sketch"), F.count(F.lit(1)).alias("occurrences"))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """The sketches of all batches as one per field."""
+    return sketches.groupBy("field").agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("occurrences").alias("occurrences"))
+
+
+def approx_distinct(sketches: DataFrame) -> DataFrame:
+    """``field, approx_values, total_occurrences`` of merged sketches."""
+    return sketches.select("field", F.hll_sketch_estimate("sketch").alias("approx_values"), F.col("occurrences").alias("total_occurrences"))
+
+
 def mean_fields(df: DataFrame, perm_col: str) -> DataFrame:
     """Mean number of fields over rows whose parse gave a non-empty object."""
     sz = F.size(lenient_object(_permissions(df, perm_col)))
@@ -262,31 +279,46 @@ def permission_tokens(df: DataFrame, top: int = TOP_TOKENS, **kw) -> DataFrame:
 # K4: permission database as four tables
 # ---------------------------------------------------------------------------
 
+def _tagged(df: DataFrame, role_col: str, perm_col: str) -> DataFrame:
+    """``tag, a, b`` rows to count: (role, name, -) for every row, (type, field, type name) for
+    every field of an object and (value, field, text) for each of its values."""
+    parsed = evaluate_once(df.select(F.col(role_col).alias("role"), F.col(_permissions(df, perm_col)).alias("__p")), __m=lenient_object("__p"))
+
+    def row(tag: str, a, b):
+        return F.struct(F.lit(tag).alias("tag"), a.cast("string").alias("a"), b.cast("string").alias("b"))
+
+    def of_field(e):
+        tname = type_name(F.schema_of_variant(e["value"]))
+        values = F.transform(_value_rows(e["key"], e["value"], tname, False, False), lambda r: row("value", r["field"], r["value"]))
+        return F.concat(F.array(row("type", e["key"], tname)), values)
+
+    fields = F.flatten(F.transform(F.map_entries("__m"), of_field))
+    none = F.array().cast("array<struct<tag:string,a:string,b:string>>")
+    return parsed.select(F.inline(F.concat(F.array(row("role", F.col("role"), F.lit(None))), F.coalesce(fields, none))))
+
+
 def permission_database(df: DataFrame, id_col: str = "example_id", role_col: str = "user_role",
                         perm_col: str = "permissions") -> dict:
     """K4: ``metadata``, ``roles``, ``fields``, ``values`` and ``examples`` frames.
 
     Unlike P2, every value counts by its text (``30`` and ``"30"`` are one key),
-    there are no ``_count`` pseudo-fields, and empty roles are skipped.
+    there are no ``_count`` pseudo-fields, and empty roles are skipped.  One aggregate over
+    tagged rows, which parses each text once, counts roles, types and values together; the
+    other tables are parts of its result.  ``examples`` is one more pass, row by row.
     """
-    # one aggregate over every role (empty ones included) gives both the role
-    # counts and the row total
-    all_roles = materialize(df.groupBy(F.col(role_col).alias("role")).agg(F.count(F.lit(1)).alias("count")))
+    counts = materialize(_tagged(df, role_col, perm_col).groupBy("tag", "a", "b").agg(F.count(F.lit(1)).alias("count")))
+    all_roles = counts.filter(F.col("tag") == "role")  # null and empty roles included: their sum is the row count
     meta = all_roles.agg(F.sum("count").cast("bigint").alias("total_samples"))
-    roles = all_roles.filter(F.col("role").isNotNull() & (F.col("role") != ""))
+    roles = all_roles.filter(F.col("a").isNotNull() & (F.col("a") != "")).select(F.col("a").alias("role"), "count")
     roles = attach_one_row(roles, meta).select("role", "count", ratio("count", "total_samples", 100.0).alias("percentage"))
-    e = permission_entries(df, id_col, perm_col)
-    vals = materialize(e.select(F.inline(_value_rows(F.col("field"), F.col("v"), F.col("tname"), False, False)))
-                        .groupBy("field", "value").agg(F.count(F.lit(1)).alias("count")))
+    vals = counts.filter(F.col("tag") == "value").select(F.col("a").alias("field"), F.col("b").alias("value"), "count")
     per_field = vals.groupBy("field").agg(F.count(F.lit(1)).alias("unique_values"), F.sum("count").alias("field_total"))
     values = vals.join(per_field, "field").select(
         "field", "value", "count", ratio("count", "field_total", 100.0).alias("percentage"))
-    types = e.groupBy("field").agg(F.array_sort(F.collect_set("tname")).alias("types"))
+    types = counts.filter(F.col("tag") == "type").groupBy(F.col("a").alias("field")).agg(F.array_sort(F.collect_set("b")).alias("types"))
     types = types.select("field", F.array_join("types", ", ").alias("types"))
     fields = types.join(per_field, "field").select("field", "types", "unique_values")
-    m = lenient_object(perm_col)
-    examples = df.select(F.col(id_col).alias("index"), F.col(role_col).alias("user_role"),
-                         F.when(m.isNotNull(), F.to_json(lenient_variant(perm_col))).otherwise(F.lit("{}"))
-                         .alias("permissions"),
+    text = bound(lenient_variant(perm_col), lambda v: F.when(v.try_cast("map<string,variant>").isNotNull(), F.to_json(v)).otherwise(F.lit("{}")))
+    examples = df.select(F.col(id_col).alias("index"), F.col(role_col).alias("user_role"), text.alias("permissions"),
                          *[c for c in ("expected_response", "query") if c in df.columns])
     return {"metadata": meta, "roles": roles, "fields": fields, "values": values, "examples": examples}

@@ -338,6 +338,25 @@ SELECT field, CAST(unique_values AS BIGINT) AS unique_values, CAST(total_occurre
        CAST((SELECT count(*) FROM per) AS BIGINT) AS n_fields FROM per
 """)(lambda spark, d: P.field_distinct(B.examples(spark, d), "example_id", "permissions"))
 
+@register("field_distinct_sketches", f"""
+SELECT field, CAST(sum(n) AS BIGINT) AS total_occurrences, true AS any_grouping, true AS within_2_percent
+FROM ({O.value_counts_sql()}) GROUP BY field
+""")
+def _field_distinct_sketches(spark, d):
+    """P5 by sketches of 8 stored batches: merged at once, and first by halves; held against the exact count."""
+    ex, path = B.examples(spark, d), shared_dir(spark, "sketches")
+    P.distinct_sketches(ex.withColumn("batch", F.col("example_id") % 8), "batch", "permissions").write.parquet(path)
+    stored = spark.read.parquet(path)
+    once = P.approx_distinct(P.merge_sketches(stored))
+    halves = P.merge_sketches(stored.where("batch < 4")).unionByName(P.merge_sketches(stored.where("batch >= 4")))
+    twice = P.approx_distinct(P.merge_sketches(halves)).select("field", F.col("approx_values").alias("again"))
+    exact = P.field_distinct(ex, "example_id", "permissions").select("field", "unique_values")
+    off = F.abs(F.col("approx_values") - F.col("unique_values"))
+    return once.join(twice, "field").join(exact, "field").select(
+        "field", "total_occurrences", (F.col("approx_values") == F.col("again")).alias("any_grouping"),
+        (off <= 0.02 * F.col("unique_values")).alias("within_2_percent"))
+
+
 register("mean_fields", f"""
 SELECT count(*) AS n_rows_with_fields, round(avg(k), 6) AS mean_fields FROM (
   SELECT len(json_keys({O.lenient_object_sql('permissions')})) AS k FROM ({_ex})) WHERE k > 0
