@@ -570,7 +570,7 @@ from ..sources import sinks as K  # noqa: E402
 _NO_NULL_DROP = {"ignoreNullFields": "false"}
 
 
-def _jsonl_lines(spark, d):
+def _jsonl_lines(spark, d, keep_id: bool = False):
     """Examples as JSON Lines with defects: blank (% 43), truncated (% 41), no ``query`` key (% 37)."""
     ex = B.examples(spark, d)
     k = F.col("example_id")
@@ -581,7 +581,7 @@ def _jsonl_lines(spark, d):
             .when(k % 37 == 0, noq).otherwise(full))
     diff = F.when(F.col("expected_response") == "rejected", "hard").when(
         F.col("expected_response") == "partial", "medium").otherwise("easy")
-    return ex.select(line.alias("line"), diff.alias("difficulty"))
+    return ex.select(line.alias("line"), diff.alias("difficulty"), *([k] if keep_id else []))
 
 
 @register("jsonl_quarantine", f"""
@@ -603,6 +603,22 @@ def _jsonl_quarantine(spark, d):
                     "expected_response")
 
 
+_LINES = f"""(SELECT *, CAST(example_id % 16 AS INTEGER) AS part, row_number() OVER (PARTITION BY example_id % 16 ORDER BY example_id) AS line_no FROM ({_ex}))"""
+@register("jsonl_line_numbers", f"""
+SELECT part, line_no, CASE WHEN example_id % 41 = 0 THEN 'malformed' ELSE 'missing_fields' END AS reason
+FROM {_LINES} WHERE example_id % 43 <> 0 AND (example_id % 41 = 0 OR example_id % 37 = 0)
+""")
+def _jsonl_line_numbers(spark, d):
+    """File and line number of every quarantined line, in 16 files of ordered lines, some of them blank."""
+    path = shared_dir(spark, "jsonl-lines")
+    lines = _jsonl_lines(spark, d, keep_id=True).withColumn("part", F.col("example_id") % 16)
+    (lines.repartition(16, "part").sortWithinPartitions("part", "example_id").select("part", "line")
+     .write.partitionBy("part").text(path))
+    t = R.jsonl_numbered(spark, path)
+    part = F.regexp_extract("file_path", r"part=(\d+)", 1).cast("int")
+    return t.filter(F.col("reason").isNotNull()).select(part.alias("part"), F.col("line_no"), "reason")
+
+
 @register("jsonl_multi_file", f"""
 SELECT CAST(example_id AS VARCHAR) AS id, user_role, query
 FROM ({_ex}) WHERE expected_response = 'rejected' AND example_id % 43 <> 0 AND example_id % 41 <> 0
@@ -644,6 +660,31 @@ def _conform_and_merge(spark, d):
     return spark.read.parquet(f"{base}/v1").select("id", "user_role", "permissions", "query", "expected_response")
 
 
+@register("merge_append_only", f"""
+SELECT CAST(example_id AS VARCHAR) AS id, user_role, permissions, query, expected_response,
+       CASE WHEN example_id % 3 = 0 THEN 1 WHEN example_id % 3 = 1 THEN 2 ELSE 3 END AS entry
+FROM ({_ex}) WHERE example_id % 3 = 0 OR example_id % 37 <> 0
+""")
+def _merge_append_only(spark, d):
+    """K3 by commits: a first table and two merges; rows without a query are rejected by C1.
+    Each row is read back with the entry that brought it."""
+    from ..operators.clean import EXAMPLE_SCHEMA, conform
+    from ..sources import commits
+    base = shared_dir(spark, "merge-append")
+    ex = B.examples(spark, d)
+    fields = [F.col("example_id").cast("string").alias("id"), "user_role", "permissions", "expected_response"]
+    rec = F.parse_json(F.when((F.col("example_id") % 3 != 0) & (F.col("example_id") % 37 == 0), F.to_json(F.struct(*fields), _NO_NULL_DROP))
+                       .otherwise(F.to_json(F.struct(*fields, "query"), _NO_NULL_DROP)))
+    commits.append(ex.where("example_id % 3 = 0").select(*conform(rec, EXAMPLE_SCHEMA)), base)
+    for part in (1, 2):
+        K.merge_append(spark, base, ex.where(F.col("example_id") % 3 == part).select(rec.alias("record")), "record")
+    names = [b for b, _ in commits.last(spark, base).batches]
+    entry = F.create_map(*[F.lit(x) for i, b in enumerate(names, 1) for x in (b, i)])
+    live = commits.read(spark, base)
+    return live.select("id", "user_role", "permissions", "query", "expected_response",
+                       F.try_element_at(entry, F.regexp_extract("_metadata.file_path", "batch-[0-9a-f]+", 0)).alias("entry"))
+
+
 register("versioned_replace", f"""
 SELECT id, {O.normalize('expected_response', 'repair')} AS expected_response, expected_response AS expected_response_raw
 FROM ({O.labelled_orders_sql()})

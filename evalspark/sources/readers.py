@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -50,6 +50,22 @@ def split_paths(base: str, mode: str = "data", splits=DIFFICULTIES) -> dict:
     return {s: tpl.format(base=base, split=s) for s in splits}
 
 
+def _text_lines(spark: SparkSession, path: str, glob: str | None, name_filter: str | None) -> DataFrame:
+    """Every line with its ``file_path`` and the byte its input split starts at (``block``)."""
+    r = spark.read
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    lines = r.option("recursiveFileLookup", "true").text(path)
+    if name_filter:
+        lines = lines.filter(F.lower(F.col("_metadata.file_name")).contains(name_filter.lower()))
+    return lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+                        F.col("value").alias("line"))
+
+
+def _not_blank(line):
+    return F.btrim(line, F.lit(PY_WHITESPACE)) != ""
+
+
 def read_jsonl_lines(spark: SparkSession, path: str, glob: str | None = None,
                      name_filter: str | None = None) -> DataFrame:
     """S2/S3 scan: one row per non-blank line with ``file_path`` and ``record``.
@@ -57,23 +73,46 @@ def read_jsonl_lines(spark: SparkSession, path: str, glob: str | None = None,
     ``record`` is the strict parse (single quotes are not JSON); ``name_filter``
     keeps files whose lower-cased name contains it (S3's difficulty filter).
     """
-    r = spark.read
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    lines = r.option("recursiveFileLookup", "true").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("__name"),
-                         F.col("value").alias("line"))
-    lines = lines.filter(F.btrim(F.col("line"), F.lit(PY_WHITESPACE)) != "")
-    if name_filter:
-        lines = lines.filter(F.lower(F.col("__name")).contains(name_filter.lower()))
-    return lines.drop("__name").withColumn("record", parse_json("line"))
+    lines = _text_lines(spark, path, glob, name_filter).drop("block")
+    return lines.filter(_not_blank(F.col("line"))).withColumn("record", parse_json("line"))
+
+
+def with_line_numbers(lines: DataFrame) -> DataFrame:
+    """``line_no`` (from 1, blank lines count) of the lines of :func:`_text_lines`.
+
+    A split's lines stand in the file's order in one task, so a row's number within its
+    (file, split) is its running id less the split's first.  The lines are written once with that
+    id, whatever the splits of a later scan; splits are counted, counts are summed
+    up along each file (a row per split), and every line adds its split's sum.
+    """
+    from ..session import shared_dir
+    spark = lines.sparkSession
+    path = shared_dir(spark, "numbered-lines")
+    numbered = lines.withColumn("__at", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    numbered = spark.read.schema(numbered.schema).parquet(path)
+    splits = numbered.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    along = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(along), F.lit(0)))
+    out = numbered.join(splits, ["file_path", "block"])  # a row per split: planned by its size
+    return out.select(*lines.columns, (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("line_no"))
+
+
+def jsonl_numbered(spark: SparkSession, path: str, glob: str | None = None, name_filter: str | None = None,
+                   required=REQUIRED_FIELDS) -> DataFrame:
+    """:func:`jsonl_tagged` with ``line_no``, the line's number in its file as an editor shows it."""
+    lines = with_line_numbers(_text_lines(spark, path, glob, name_filter)).drop("block")
+    return _tagged(lines.filter(_not_blank(F.col("line"))).withColumn("record", parse_json("line")), required)
 
 
 def jsonl_tagged(spark: SparkSession, path: str, glob: str | None = None, name_filter: str | None = None,
                  required=REQUIRED_FIELDS) -> DataFrame:
     """S2 + C1 in one pass: every non-blank line with ``record`` (VARIANT),
     ``reason`` (null, ``malformed`` or ``missing_fields``) and ``missing``."""
-    lines = read_jsonl_lines(spark, path, glob, name_filter)
+    return _tagged(read_jsonl_lines(spark, path, glob, name_filter), required)
+
+
+def _tagged(lines: DataFrame, required) -> DataFrame:
     is_obj = F.col("record").try_cast("map<string,variant>").isNotNull()
     miss = missing_fields(F.col("record"), required)
     return lines.withColumn("missing", F.when(is_obj, miss)).withColumn(
@@ -86,7 +125,8 @@ def conform_tagged(tagged: DataFrame, schema: T.StructType = CORE_SCHEMA) -> Dat
     (null for quarantined ones) next to ``reason`` and the ``missing`` list."""
     good = F.col("reason").isNull()
     cols = [F.when(good, c).alias(f.name) for f, c in zip(schema.fields, conform(F.col("record"), schema))]
-    return tagged.select("file_path", "line", "record", "reason",
+    number = ["line_no"] if "line_no" in tagged.columns else []
+    return tagged.select("file_path", *number, "line", "record", "reason",
                          F.array_join(F.coalesce("missing", F.array().cast("array<string>")), ",").alias("missing"),
                          *cols)
 

@@ -3,12 +3,16 @@ is collected.  Versioned outputs never overwrite the path being read."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.common import materialize
 from ..operators.clean import REQUIRED_FIELDS, conform, missing_fields
+from . import commits
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
@@ -28,9 +32,10 @@ def save_output(df: DataFrame, path: str, fmt: str = "jsonl", mode: str = "overw
 
 
 def merge_into(existing: DataFrame, new_records: DataFrame, record_col: str, out_path: str, required=REQUIRED_FIELDS) -> int:
-    """K3: reject records without the required fields (C1), conform the others to
+    """K3 as a whole new version: reject records without the required fields (C1), conform the others to
     the existing schema (C3), and write them with the existing rows to ``out_path``
-    (a new version directory, since Spark cannot overwrite a path it reads).
+    (a new version directory, since Spark cannot overwrite a path it reads).  Every old
+    row is written again; :func:`merge_append` only writes the new ones.
 
     Returns the number of appended rows; zero valid rows means nothing is written.
     """
@@ -43,6 +48,24 @@ def merge_into(existing: DataFrame, new_records: DataFrame, record_col: str, out
     return n_new
 
 
+def merge_append(spark: SparkSession, base: str, new_records: DataFrame, record_col: str, required=REQUIRED_FIELDS,
+                 before="last") -> tuple:
+    """K3 at the cost of the new rows: reject records without the required fields (C1), conform
+    the others to the table's schema (C3), and commit them as one more batch of the table below
+    ``base`` (:mod:`.commits`).  Old files are neither read nor written.
+
+    Returns ``(entry, appended rows)``; zero valid rows means nothing is committed (entry
+    None).  Another writer in between raises ``CommitConflict`` where ``before`` is given.
+    """
+    at = commits.last(spark, base) if before == "last" else before
+    if at is None:
+        raise ValueError(f"no commits under {base}")
+    schema = T.StructType.fromJson(json.loads(at.schema))
+    known = F.col(record_col).isNotNull() & (F.size(missing_fields(F.col(record_col), required)) == 0)
+    done = commits.append(new_records.where(known).select(*conform(F.col(record_col), schema)), base, at)
+    return done, (done.rows - at.rows if done else 0)
+
+
 def versioned_write(spark: SparkSession, df: DataFrame, base: str, keep_backup: bool = True) -> str:
     """K5: write ``df`` as a new version below ``base`` and point ``_current`` at it.
 
