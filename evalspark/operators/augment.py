@@ -262,11 +262,12 @@ def balanced_union(original: DataFrame, synthetic: DataFrame, label_col: str = "
             label_distribution(repaired, label_col, "distribution"))
 
 
-def generation_outcomes(df: DataFrame, response_col: str = "response", draw_col: str = "draw_no") -> DataFrame:
-    """Attempt outcomes for one generation run.
+def generation_outcomes(df: DataFrame, response_col: str = "response", draw_col: str = "draw_no",
+                        seen: DataFrame | None = None) -> DataFrame:
+    """Attempt outcomes for one generation run, or for a part of it after the successes whose keys are ``seen``.
 
     ``failed_api`` (no response, or one without a parseable, non-empty value),
-    ``failed_validation`` (C9 reject), ``duplicate`` (same C10 key as an earlier valid attempt of this run)
+    ``failed_validation`` (C9 reject), ``duplicate`` (same C10 key as an earlier valid attempt of this run, or a seen one)
     or ``success``.  The first valid attempt per key wins; winners are matched
     back on (key, draw), which is unique, so a hot key never meets in one task.
     """
@@ -280,6 +281,8 @@ def generation_outcomes(df: DataFrame, response_col: str = "response", draw_col:
     valid = F.col(response_col).isNotNull() & F.col("reject_reason").isNull()
     winners = (g.filter(valid).groupBy("query_hash").agg(F.min(draw_col).alias(draw_col))
                 .withColumn("__first", F.lit(True)))
+    if seen is not None:
+        winners = winners.join(seen.select("query_hash").distinct(), "query_hash", "left_anti")
     j = g.join(winners, ["query_hash", draw_col], "left")
     nothing = F.col("generated").isNull() | F.to_json("generated").isin("{}", "[]", "null", '""', "0", "false")
     outcome = (F.when(F.col(response_col).isNull() | nothing, "failed_api")

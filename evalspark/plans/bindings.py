@@ -229,3 +229,29 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.select(F.col("doc_id").alias("id"), F.col("source").alias("run"), perms.alias("permissions"),
                     F.col("text").alias("query"))
     return rows.join(truth(spark, sf_dir), "id")
+
+
+# Fixed values (test inputs) of the offline generator: upper ends of the shares of prompts that
+# always fail, fail on the first call, never give JSON, and give another label than ``full``.
+GENERATOR_SHARES = (0.04, 0.10, 0.14, 0.24)
+
+
+class RuleGenerator:
+    """Offline stand-in for the generation model (picklable): reads role and permission
+    fields from the prompt's last JSON part and answers by the md5 of both."""
+
+    def __call__(self, messages, attempt):
+        import hashlib
+        import json
+
+        from ..operators.prompts import GENERATION_HEAD, GENERATION_SUFFIX
+        given = json.loads(messages[-1]["content"].rpartition(GENERATION_HEAD)[2].partition(GENERATION_SUFFIX)[0])
+        role, fields = given["user_role"], ",".join(sorted(given["permissions"]))
+        share = int(hashlib.md5(f"{role}:{fields}".encode()).hexdigest()[:8], 16) / 2 ** 32
+        fails, once, no_json, label = GENERATOR_SHARES
+        if share < fails or (share < once and attempt == 1):
+            raise TimeoutError("model unavailable")
+        if share < no_json and share >= once:
+            return "I cannot answer in that form."
+        return "```json\n" + json.dumps({**given, "query": f"As {role} I need {fields}", "rationale": REPLY_RATIONALE,
+                                         "expected_response": "partial" if no_json <= share < label else "full"}) + "\n```"

@@ -746,20 +746,24 @@ TRACKING_KEY = A.tracking_key("examples.parquet")
 
 
 def _unused(spark, d, track: str | None = None, level: str = "hard"):
-    """Examples, eligible sources (checkpointed once) and the unused ones.
+    """Examples, the ids of eligible sources (checkpointed once) and the unused ones.
 
     The tracking table starts with the sources an earlier run used (customers
     with a fulfilled order)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
+    from ..functions.common import materialize
     ex = B.examples(spark, d)
-    elig = A.eligible_sources(ex, "permissions", level).select(
-        "example_id", "user_role", "permissions", "query", "n_fields").checkpoint()
+    elig = materialize(A.eligible_sources(ex, "permissions", level).select("example_id"))
     track = track or shared_dir(spark, "tracking")
     A.record_attempts(B.used_sources(spark, d), track, TRACKING_KEY)
     return ex, elig, A.unused_sources(elig, A.read_used(spark, track, TRACKING_KEY), "example_id")
 
 
+def _drawn(ex, draws):
+    """Draws with their source's columns."""
+    cols = ex.select(F.col("example_id").alias("source_id"), "user_role", "permissions", "query")
+    return draws.join(cols, "source_id")
+
+
 def augment_run(spark, d, seed: int = 42):
     """Draw sources (n = number of unused sources), sample permissions, build the
     generation prompt, get the offline reply and classify each attempt.  The
@@ -768,8 +772,7 @@ def augment_run(spark, d, seed: int = 42):
     ex, elig, unused = _unused(spark, d, track)
     n_examples = unused.count()
     draws = A.draw_sources(spark, unused, elig, "example_id", n_examples, seed, n_unused=n_examples)
-    src = draws.join(elig.withColumnRenamed("example_id", "source_id"), "source_id")
-    s = A.sample_permissions(A.assign_strategy(src, "draw_no", seed, "hard"), "permissions", "strategy",
+    s = A.sample_permissions(A.assign_strategy(_drawn(ex, draws), "draw_no", seed, "hard"), "permissions", "strategy",
                              "draw_no", seed, "hard")
     s = s.withColumn("prompt", G.generation_prompt("user_role", "modified_permissions"))
     s = s.withColumn("response", B.rule_reply(seed))
@@ -896,8 +899,7 @@ def _augment_permissions(spark, d, level: str = "hard"):
     ex, elig, unused = _unused(spark, d, level=level)
     n = unused.count()
     draws = A.draw_sources(spark, unused, elig, "example_id", n, 42, n_unused=n)
-    src = draws.join(elig.withColumnRenamed("example_id", "source_id"), "source_id")
-    s = A.sample_permissions(A.assign_strategy(src, "draw_no", 42, level), "permissions", "strategy", "draw_no", 42,
+    s = A.sample_permissions(A.assign_strategy(_drawn(ex, draws), "draw_no", 42, level), "permissions", "strategy", "draw_no", 42,
                              level)
     before = lenient_object("permissions")
     after = lenient_object("modified_permissions")
@@ -951,6 +953,48 @@ def _first_n(spark, d):
     return A.first_n_successes(att, n_examples).select("draw_no", "source_id")
 
 
+from ..operators import generate as N  # noqa: E402
+
+_SHARE = "(('0x' || substr(md5(user_role || ':' || fields_after), 1, 8))::BIGINT / 4294967296.0)"
+_F1, _F2, _F3, _F4 = (f"{x}::DOUBLE" for x in B.GENERATOR_SHARES)
+_RUN = f"""
+WITH un AS (SELECT count(*) AS n FROM ({_UNUSED})),
+a AS (SELECT draw_no, source_id, reused, strategy_used, {_SHARE} AS share, md5(lower('As ' || user_role || ' I need ' || fields_after)) AS h,
+             (SELECT n * 3 // 4 FROM un) AS target FROM ({_AUG}) WHERE draw_no < 2 * (SELECT n * 3 // 4 FROM un)),
+w AS (SELECT h, min(draw_no) AS first_draw FROM a WHERE share >= {_F1} AND (share < {_F2} OR share >= {_F4}) GROUP BY h),
+o AS (SELECT a.*, CASE WHEN share < {_F1} OR (share >= {_F2} AND share < {_F3}) THEN 'failed_api'
+                       WHEN share >= {_F3} AND share < {_F4} THEN 'failed_validation'
+                       WHEN draw_no = first_draw THEN 'success' ELSE 'duplicate' END AS outcome,
+             CASE WHEN share < {_F1} OR (share >= {_F2} AND share < {_F3}) THEN 5 WHEN share < {_F2} THEN 2 ELSE 1 END AS calls
+      FROM a LEFT JOIN w USING (h)),
+r AS (SELECT *, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) OVER (ORDER BY draw_no) - CASE WHEN outcome = 'success' THEN 1 ELSE 0 END AS before FROM o)
+SELECT * FROM r WHERE before < target"""
+
+
+def _generation_run(spark, d):
+    """A2 + A7 + A8: three quarters of the unused sources as target, prompts answered through I1."""
+    track, base = shared_dir(spark, "tracking"), shared_dir(spark, "generation")
+    ex, elig, unused = _unused(spark, d, track)
+    target = unused.count() * 3 // 4
+    draws = A.draw_sources(spark, unused, elig, "example_id", target, 42)
+    s = A.sample_permissions(A.assign_strategy(_drawn(ex, draws), "draw_no", 42, "hard"), "permissions", "strategy", "draw_no", 42, "hard")
+    prompt = F.struct(F.lit("user").alias("role"), G.generation_prompt("user_role", "modified_permissions").alias("content"))
+    s = s.select("draw_no", "source_id", "reused", "strategy_used", F.array(prompt).alias("messages"))
+    path = shared_dir(spark, "draws")
+    s.write.parquet(path)
+    N.generation_run(spark.read.parquet(path), B.RuleGenerator(), base, target, track, TRACKING_KEY, retry_delay=0, partitions=8)
+    return N.attempts(spark, base), A.read_used(spark, track, TRACKING_KEY)
+
+
+register("generation_run", f"SELECT CAST(draw_no AS BIGINT) AS draw_no, source_id, reused, strategy_used, outcome, CAST(calls AS INTEGER) AS calls FROM ({_RUN})")(
+    lambda spark, d: _generation_run(spark, d)[0].select("draw_no", "source_id", "reused", "strategy_used", "outcome", "calls"))
+
+register("generation_run_tracking", f"""
+SELECT DISTINCT o_custkey AS source_id FROM orders WHERE o_orderstatus = 'F'
+UNION SELECT CAST(source_id AS BIGINT) FROM ({_RUN})
+""")(lambda spark, d: _generation_run(spark, d)[1])
+
+
 register("provenance", f"""
 SELECT CAST(draw_no AS BIGINT) AS draw_no, CAST(source_id AS INTEGER) AS source_index, strategy_used AS generation_strategy,
        true AS synthetic FROM ({_OUT}) WHERE outcome = 'success'
