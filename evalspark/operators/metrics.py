@@ -238,3 +238,11 @@ def error_categories(df: DataFrame, truth: str = "truth", pred: str = "predictio
     """M13 error categories: counts of each (truth, prediction) pair that is wrong."""
     by = list(by)
     return confusion_matrix(df, truth, pred, by).filter((F.col("truth") != F.col("prediction")) & (F.col("n") > 0))
+
+
+def ablation_metrics(df: DataFrame, subsets: dict, truth: str = "truth", pred: str = "prediction") -> DataFrame:
+    """M13 ablation: summary metrics of every named subset (name -> predicate) of the scored rows,
+    which may overlap, in one aggregate.  A subset without rows has no line."""
+    names = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in subsets.items()]))
+    tagged = df.select(truth, pred, F.explode(names).alias("subset"))
+    return summary_from_counts(confusion_counts(tagged, truth, pred, ["subset"]), ["subset"])

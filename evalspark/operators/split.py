@@ -112,3 +112,55 @@ def three_way_split(df: DataFrame, id_col: str, stratum_col: str, holdout_strata
 def head_n(df: DataFrame, order_col: str, n: int) -> DataFrame:
     """T5: first ``n`` rows by ordinal, clamped to the table size (TakeOrdered)."""
     return df.orderBy(order_col).limit(n)
+
+
+def nested_subsets(df: DataFrame, id_col: str, stratum_col: str, fractions, seed: int = 42, out_col: str = "subset",
+                   bucket_bits: int = BUCKET_BITS) -> DataFrame:
+    """M13 samples: ``out_col`` is the smallest of the ``fractions`` whose sample holds the row (null: none).
+
+    The sample of a fraction f is the first ``floor(n * f)`` rows of each stratum in one seeded
+    order, so sizes are exact and a smaller sample lies in every larger one.  All
+    thresholds come from one count of the buckets and one ranking of the boundary buckets'
+    rows; the rows themselves are flagged in one pass.  Ids must be unique.
+    """
+    fractions, g = sorted(fractions), [stratum_col]
+    keyed = _keyed(df, id_col, F.col(stratum_col), seed, "subset", bucket_bits, "__h", "__bucket")
+    members = keyed.select(id_col, *g, "__h", "__bucket")
+    along = Window.partitionBy(*g).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (members.groupBy(*g, "__bucket").agg(F.count(F.lit(1)).alias("__nb"))
+           .withColumns({"__cum": F.sum("__nb").over(along), "__n": F.sum("__nb").over(Window.partitionBy(*g))}))
+    cuts = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.floor(F.col("__n") * F.lit(float(f))).cast("bigint").alias("k"))
+                               for i, f in enumerate(fractions)]))
+    boundary = (cum.withColumn("__c", cuts).where((F.col("__cum") >= F.col("__c.k")) & (F.col("__cum") - F.col("__nb") < F.col("__c.k")))
+                .select(*g, "__bucket", F.col("__c.f").alias("__f"), (F.col("__c.k") - F.col("__cum") + F.col("__nb")).alias("__need")))
+    ranked = members.join(boundary, [*g, "__bucket"]).withColumn(
+        "__r", F.row_number().over(Window.partitionBy(*g, "__f").orderBy("__h", id_col)))
+    pair = F.struct(F.col("__h").alias("h"), F.col(id_col).alias("i"))
+    last = ranked.where(F.col("__r") == F.col("__need")).groupBy(*g).agg(
+        *[F.max(F.when(F.col("__f") == i, pair)).alias(f"__cut{i}") for i in range(len(fractions))])
+    flagged = keyed.join(materialize(last), g, "left")
+    smallest = F.coalesce(*[F.when(pair <= F.col(f"__cut{i}"), F.lit(float(f))) for i, f in enumerate(fractions)])
+    return flagged.withColumn(out_col, smallest).drop("__h", "__bucket", *[f"__cut{i}" for i in range(len(fractions))])
+
+
+def seeded_shuffle(df: DataFrame, id_col: str, path: str, seed: int = 42, label: str = "all", partitions: int | None = None) -> DataFrame:
+    """T1 as an output: the rows of ``df`` in the seeded order, written below ``path`` with
+    ``ordinal`` (0, 1, ... without gaps, ties of the key by id).
+
+    Rows are dealt into ranges of the 60-bit key and sorted there (the only shuffle); a row's ordinal
+    is its place in its range, which the running id gives, plus the rows of the ranges before.  Only the
+    ranges' counts, a row for each, are summed up in one place.
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("__h", shuffle_key(seed, F.lit(label), F.col(id_col)))
+    ranged = keyed.repartitionByRange(parts, "__h", id_col).sortWithinPartitions("__h", id_col).drop("__h")
+    staged = ranged.withColumn("__at", F.monotonically_increasing_id())
+    staged.write.parquet(f"{path}/ranges")
+    staged = spark.read.schema(staged.schema).parquet(f"{path}/ranges").withColumn("__range", F.shiftright("__at", 33))
+    sizes = staged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = F.broadcast(sizes.select("__range", before.alias("__before")))  # a row per range: at most ``parts``
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    staged.join(sizes, "__range").select(place.alias("ordinal"), *df.columns).write.parquet(f"{path}/rows")
+    return spark.read.parquet(f"{path}/rows")

@@ -212,12 +212,12 @@ UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), roun
 """)(lambda spark, d: M.classification_report(scored(spark, d)))
 
 
-def _summary_sql(by: str = "") -> str:
+def _summary_sql(by: str = "", scored_rows: str = "") -> str:
     sel = f"{by}, " if by else ""
     grp = f"GROUP BY {by}" if by else ""
     on = f"USING ({by})" if by else "ON TRUE"
     return f"""
-WITH s AS ({O.scored_sql()}),
+WITH s AS ({scored_rows or O.scored_sql()}),
 k AS (SELECT {sel}c.label,
         count(*) FILTER (WHERE truth = c.label AND prediction = c.label) AS tp,
         count(*) FILTER (WHERE truth = c.label) AS support,
@@ -439,6 +439,7 @@ SELECT field, types, CAST(unique_values AS BIGINT) AS unique_values FROM ty JOIN
 # ---------------------------------------------------------------------------
 
 from ..operators import split as T  # noqa: E402
+from ..session import shared_dir  # noqa: E402
 
 
 def _h_sql(*parts) -> str:
@@ -474,6 +475,45 @@ SELECT p_partkey, p_type, rn <= floor(n * 0.7::DOUBLE) AS in_first FROM (
 """)(lambda spark, d: T.exact_cut(B.read(spark, d, "part").select("p_partkey", "p_type"),
                                   "p_partkey", "p_type", 0.70, seed=7).select("p_partkey", "p_type", "in_first"))
 
+FRACTIONS = (0.10, 0.25, 0.50)
+_SUBSET_SQL = f"""
+SELECT doc_id, lang, CASE WHEN rn <= floor(n * 0.1::DOUBLE) THEN 0.1::DOUBLE WHEN rn <= floor(n * 0.25::DOUBLE) THEN 0.25::DOUBLE
+                          WHEN rn <= floor(n * 0.5::DOUBLE) THEN 0.5::DOUBLE END AS subset
+FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_h_sql("'42'", "'subset'", 'lang', 'CAST(doc_id AS VARCHAR)')}, doc_id) AS rn,
+             count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IS NOT NULL)"""
+
+
+def _subsets(spark, d):
+    docs = B.read(spark, d, "documents").select("doc_id", "lang").where("lang IS NOT NULL")
+    return T.nested_subsets(docs, "doc_id", "lang", FRACTIONS)
+
+
+register("nested_subsets", _SUBSET_SQL)(lambda spark, d: _subsets(spark, d).select("doc_id", "lang", "subset"))
+
+_ABLATION_ROWS = f"""
+SELECT x.name AS subset, s.truth, s.prediction FROM ({O.scored_sql()}) s JOIN ({_SUBSET_SQL}) u ON u.doc_id = s.id,
+     (VALUES ('p10', 0.1, NULL), ('p25', 0.25, NULL), ('p50', 0.5, NULL), ('en only', 1.0, 'en'), ('de only', 1.0, 'de'), ('combined', 1.0, NULL)) x(name, f, l)
+WHERE coalesce(u.subset, 1.0) <= x.f AND (x.l IS NULL OR x.l = u.lang)"""
+
+
+@register("ablation_metrics", _summary_sql("subset", _ABLATION_ROWS))
+def _ablation(spark, d):
+    """Metrics of nested samples of 10, 25 and 50 % per language, of single languages, and of all."""
+    s = scored(spark, d).join(_subsets(spark, d).select(F.col("doc_id").alias("id"), "lang", F.col("subset").alias("least")), "id")
+    least = F.coalesce("least", F.lit(1.0))
+    return M.ablation_metrics(s, {"p10": least <= 0.10, "p25": least <= 0.25, "p50": least <= 0.50, "en only": F.col("lang") == "en",
+                                  "de only": F.col("lang") == "de", "combined": F.lit(True)})
+
+
+@register("seeded_shuffle", f"""
+SELECT CAST(row_number() OVER (ORDER BY {_h_sql("'42'", "'all'", 'CAST(id AS VARCHAR)')}, id) - 1 AS BIGINT) AS ordinal, id, split
+FROM ({O.labelled_orders_sql()})
+""")
+def _seeded_shuffle(spark, d):
+    rows = B.labelled_orders(spark, d).select("id", "split")
+    return T.seeded_shuffle(rows, "id", shared_dir(spark, "shuffled"), partitions=16)
+
+
 @register("split_manifest", f"""
 WITH s AS ({_SPLIT_SQL}), t AS ({O.truth_sql()})
 SELECT split, CAST(42 AS BIGINT) AS seed, count(*) AS total,
@@ -563,7 +603,6 @@ FROM (SELECT md5(lower(trim(text, {_ws}))) AS h FROM documents)
 
 from ..operators.profile import permission_database  # noqa: E402
 from ..functions.json import lenient_object  # noqa: E402
-from ..session import shared_dir  # noqa: E402
 from ..sources import readers as R  # noqa: E402
 from ..sources import sinks as K  # noqa: E402
 
