@@ -1236,6 +1236,30 @@ def _stream_running_metrics(spark, d):
         "run", "n_total", "accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
 
 
+@register("stream_run_metrics", f"SELECT run, n_total, accuracy, f1_macro, f1_weighted, precision_macro, recall_macro FROM ({_summary_sql('run')})")
+def _stream_run_metrics(spark, d):
+    base = shared_dir(spark, "stream-runs")
+    sc = scored(spark, d).select("id", "run", "truth", "prediction")
+    sc.repartition(6, "id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", 3).parquet(f"{base}/in")
+    S.start_run_metrics(stream, f"{base}/ckpt", f"{base}/runs").awaitTermination()
+    return S.run_metrics(spark, f"{base}/runs").select(
+        "run", "n_total", "accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
+
+
+@register("stream_dedup_bounded", f"""
+SELECT DISTINCT md5(lower(trim(text, {_ws}))) AS query_hash FROM documents
+""")
+def _stream_dedup_bounded(spark, d):
+    from ..sources import commits
+    base = shared_dir(spark, "stream-dedup-bounded")
+    docs = B.read(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(6, "doc_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    S.start_bounded_dedup(stream, "text", f"{base}/ckpt", f"{base}/out", recent="1 second").awaitTermination()
+    return commits.read(spark, f"{base}/out").select("query_hash")
+
+
 @register("stream_dedup", f"""
 SELECT DISTINCT md5(lower(trim(text, {_ws}))) AS query_hash FROM documents
 """)

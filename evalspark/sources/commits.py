@@ -123,3 +123,16 @@ def compact(spark: SparkSession, base: str, least: int = 2, most_rows: int | Non
     merged = write_batch(spark.read.schema(schema).parquet(*[f"{base}/{b}" for b, _ in small]), base)
     kept = [b for b in at.batches if b not in small and b[1]]
     return commit(spark, base, [*kept, merged], schema, at, at.meta)
+
+
+def replace(df: DataFrame, base: str, before: Entry | None, meta: dict | None = None, keep: int = 2) -> Entry:
+    """Commit ``df`` as the only live batch; batches that none of the last ``keep`` entries lists are removed."""
+    spark = df.sparkSession
+    batch = write_batch(df, base)
+    new = commit(spark, base, [batch], df.schema, before, meta)
+    recent = {b for n in range(max(1, new.number - keep + 1), new.number + 1) for b, _ in entry(spark, base, n).batches}
+    old = {b for b, _ in entry(spark, base, new.number - keep).batches} if new.number > keep else set()
+    for name in old - recent:
+        folder, fs = _fs(spark, f"{base}/{name}")
+        fs.delete(folder, True)
+    return new
