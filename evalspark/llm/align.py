@@ -8,10 +8,11 @@ counts as often as a link holds it in the whole corpus.
 The pipeline is Arrow's within a task and Spark's between tasks.  A batch of token lists is
 flattened to one column with its parent indices; token lengths, looked up by id, are summed
 cumulatively and set back at each document's start; an Acero hash join on (document, end)
-gives the links; ``Table.group_by`` counts id pairs, and Spark adds these partial counts up.
-Texts are tokenized once: the token lists are written and read by the later passes.
+gives the links.  Texts are tokenized and linked once: what is written are each document's
+totals and its id pairs with their occurrences.  ``Table.group_by`` adds these up within a task, and
+Spark adds the partial counts.
 
-Each link's corpus count is looked up by a second hash join.  The pairs of the highest counts
+Each pair's corpus count is looked up by a second hash join.  The pairs of the highest counts
 go to every task, at most ``hot_rows`` of them (17 bytes each); the rest of a document's pairs
 leave the task as (pair, occurrences) rows and meet their counts in a Spark join, so every
 pair is counted whatever the vocabulary's size.
@@ -25,6 +26,7 @@ has its own result); an empty table gives no rows; other columns are not looked
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .util import broadcast_under, workers, written
 
-#: bytes of text that a worker tokenizes at once (a longer text is taken alone)
-CHUNK_BYTES = 4 << 20
+#: characters of text that a worker tokenizes and aligns at once (a longer text is taken alone)
+CHUNK_CHARS = 1 << 20
 #: partial pair counts that a task holds before it hands them on
 PARTIAL_ROWS = 1 << 20
 
@@ -65,19 +67,49 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# Fixed value: how byte-level pre-tokenizers split texts.
+BYTE_LEVEL_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: beyond these letters the classes of characters differ between versions of Unicode
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+
+
+def byte_bpe(content: bytes):
+    """``encode`` and the pieces of a tokenizers JSON file.  Where its merges are in the order of
+    the ids they make, merging by ids is the same and much faster: Latin texts are encoded so."""
+    import tiktoken
+    from tokenizers import Tokenizer
+    spec, tok = json.loads(content), Tokenizer.from_str(content.decode())
+    tok.encode_special_tokens = True
+    bytes_of = byte_alphabet()
+
+    def raw(piece):
+        return bytes(bytes_of[c] for c in piece)
+    added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    pieces = [b""] * tok.get_vocab_size(with_added_tokens=True)
+    for piece, i in spec["model"]["vocab"].items():
+        if i not in added:
+            pieces[i] = raw(piece)
+    for i, piece in added.items():
+        pieces[i] = piece
+    vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    made = [vocab["".join(m)] for m in merges]
+    usual = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if made != sorted(set(made)) or not usual or spec["normalizer"] is not None:
+        return lambda texts: [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], pieces
+    by_rank = tiktoken.Encoding("by_rank", pat_str=BYTE_LEVEL_WORDS, special_tokens={},
+                                mergeable_ranks={p: i for i, p in enumerate(pieces) if i not in added})
+
+    def encode(texts):
+        return [tok.encode(" " + t, add_special_tokens=False).ids if BEYOND_LATIN.search(t) else by_rank.encode_to_numpy(" " + t) for t in texts]
+    return encode, pieces
+
+
 class Loaded:
     """A tokenizer at work: ``encode`` of texts, and ``pieces``, the bytes of every id."""
 
     def __init__(self, v: Vocabulary):
         if v.kind == "byte_bpe":
-            from tokenizers import Tokenizer
-            tok = Tokenizer.from_str(v.content.decode())
-            tok.encode_special_tokens = True
-            bytes_of = byte_alphabet()
-            pieces = [b""] * tok.get_vocab_size(with_added_tokens=True)
-            for piece, i in tok.get_vocab(with_added_tokens=True).items():
-                pieces[i] = bytes(bytes_of[c] for c in piece) if all(c in bytes_of for c in piece) else piece.encode()
-            self.encode = lambda texts: [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            self.encode, pieces = byte_bpe(v.content)
         else:
             from sentencepiece import SentencePieceProcessor
             sp = SentencePieceProcessor(model_proto=v.content)
@@ -86,7 +118,7 @@ class Loaded:
                 p = sp.id_to_piece(i)
                 one = re.fullmatch("<0x([0-9A-F]{2})>", p) if sp.is_byte(i) else None
                 pieces.append(bytes([int(one[1], 16)]) if one else p.replace("▁", " ").encode())
-            self.encode = lambda texts: sp.encode(texts, num_threads=1)
+            self.encode = lambda texts: [sp.encode_as_numpy(t) for t in texts]
         self.pieces = pa.array(pieces, pa.binary())
         self.lengths = pc.cast(pc.binary_length(self.pieces), pa.int64())
         self.names = pc.cast(pa.array(range(len(pieces)), pa.int32()), pa.string())
@@ -97,12 +129,24 @@ def loaded(v: Vocabulary) -> Loaded:
     return Loaded(v)
 
 
-def lists(rows: list, kind: pa.DataType) -> pa.ListArray:
-    """A list column of many short Python lists, by way of one flat array."""
+def lists(rows: list) -> pa.ListArray:
+    """A list column of one sequence of ids per row."""
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter((x for r in rows for x in r), np.int32, offsets[-1])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(r, np.int32) for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+
+
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of at most ``most`` in size, a row that is larger alone."""
+    start = size = 0
+    for i, n in enumerate(sizes):
+        if i > start and size + n > most:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < len(batch):
+        yield batch.slice(start)
 
 
 def joined_bytes(tokens: pa.ListArray, v: Loaded) -> pa.Array:
@@ -114,33 +158,13 @@ def encode(texts: list[str], a: Loaded, b: Loaded) -> tuple[pa.ListArray, pa.Lis
     """Token lists of both tokenizers; empty where either's bytes are not space and text."""
     both = (a.encode(texts), b.encode(texts))
     whole = pa.array([b" " + t.encode() if t else None for t in texts], pa.binary())
-    cols = [lists(x, pa.int32()) for x in both]
+    cols = [lists(x) for x in both]
     good = pc.fill_null(pc.and_(pc.equal(joined_bytes(cols[0], a), whole), pc.equal(joined_bytes(cols[1], b), whole)), False).to_pylist()
     if not all(good):
-        cols = [lists([r if g else [] for r, g in zip(x, good)], pa.int32()) for x in both]
+        cols = [lists([r if g else [] for r, g in zip(x, good)]) for x in both]
     return cols[0], cols[1]
 
 
-def tokens(docs: DataFrame, a: Vocabulary, b: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, a, b``: the token ids of every text."""
-    workers(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        va, vb = loaded(a), loaded(b)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            start = size = 0
-            for i, t in enumerate(texts):
-                if i > start and size + len(t) > CHUNK_BYTES:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[start:i], *encode(texts[start:i], va, vb)], ["k", "a", "b"])
-                    start, size = i, 0
-                size += len(t)
-            if start < len(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[start:], *encode(texts[start:], va, vb)], ["k", "a", "b"])
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, a array<int>, b array<int>")
-
-
 def ends(tokens_: pa.ListArray, v: Loaded) -> pa.Table:
     """One row per token: ``doc`` (parent index), ``end`` (bytes from the document's start), ``id``, ``at``."""
     ids, doc = pc.list_flatten(tokens_), pc.list_parent_indices(tokens_)
@@ -160,13 +184,51 @@ def links(a: pa.ListArray, b: pa.ListArray, va: Loaded, vb: Loaded) -> pa.Table:
     return t.append_column("pair", pair)
 
 
-def pair_counts(toks: DataFrame, a: Vocabulary, b: Vocabulary) -> DataFrame:
+_PAIRS = pa.struct([("pair", pa.int64()), ("times", pa.int64())])
+
+
+def pair_lists(t: pa.Table, n: int) -> pa.ListArray:
+    """The rows (doc, pair, times) of ``t`` as a list for each of ``n`` documents."""
+    t = t.sort_by("doc").combine_chunks()
+    at = np.searchsorted(t["doc"].to_numpy(), np.arange(n + 1)).astype(np.int32)
+    each = [pa.concat_arrays([pa.array([], pa.int64()), *t[c].chunks]) for c in ("pair", "times")]
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(each, fields=list(_PAIRS)))
+
+
+def aligned(docs: DataFrame, a: Vocabulary, b: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k`` (the key), ``n_a, n_b, n_groups, groups_sha256`` and ``pairs``, the links' id pairs
+    (A's id times 2^32 plus B's) with their occurrences, of every text."""
+    workers(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        va, vb = loaded(a), loaded(b)
+        for batch in batches:
+            for part in slices(batch, pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(), CHUNK_CHARS):
+                ta, tb = encode([t or "" for t in part.column(1).to_pylist()], va, vb)
+                t = links(ta, tb, va, vb)
+                n_groups = np.bincount(t["doc"].to_numpy(), minlength=len(part))
+                times = t.group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["doc", "pair", "times"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pc.cast(pc.list_value_length(ta), pa.int64()), pc.cast(pc.list_value_length(tb), pa.int64()),
+                     pa.array(n_groups), digests(t, ta, tb, va, vb, n_groups), pair_lists(times, len(part))],
+                    ["k", "n_a", "n_b", "n_groups", "groups_sha256", "pairs"])
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(
+        run, f"k {kind}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, pairs array<struct<pair:bigint,times:bigint>>")
+
+
+def flat_pairs(pairs: pa.ListArray) -> pa.Table:
+    flat = pc.list_flatten(pairs)
+    return pa.table({"doc": pc.cast(pc.list_parent_indices(pairs), pa.int64()), "pair": pc.struct_field(flat, "pair"),
+                     "times": pc.struct_field(flat, "times")})
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
     """``pair, b, n``: how many links of the corpus hold a pair of ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        va, vb, held = loaded(a), loaded(b), []
+        held: list[pa.Table] = []
         for batch in batches:
-            t = links(batch.column(0), batch.column(1), va, vb)
-            held.append(t.group_by("pair", use_threads=False).aggregate([([], "count_all")]).rename_columns(["pair", "n"]))
+            held.append(added([flat_pairs(batch.column(0)).select(["pair", "times"])]))
             if sum(len(x) for x in held) > PARTIAL_ROWS:
                 held = [added(held)]
                 if len(held[0]) > PARTIAL_ROWS // 2:
@@ -175,11 +237,11 @@ def pair_counts(toks: DataFrame, a: Vocabulary, b: Vocabulary) -> DataFrame:
             yield from added(held).to_batches(10_000)
 
     def added(parts: list[pa.Table]) -> pa.Table:
-        t = pa.concat_tables(parts).group_by("pair", use_threads=False).aggregate([("n", "sum")])
-        return t.rename_columns(["pair", "n"]).select(["pair", "n"]).combine_chunks()
+        t = pa.concat_tables(parts).group_by("pair", use_threads=False).aggregate([("times", "sum")])
+        return t.rename_columns(["pair", "times"]).combine_chunks()
 
-    partial = toks.select("a", "b").mapInArrow(run, "pair bigint, n bigint")
-    return partial.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair") % (1 << 32))
+    partial = docs.select("pairs").mapInArrow(run, "pair bigint, times bigint")
+    return partial.groupBy("pair").agg(F.sum("times").alias("n")).withColumn("b", F.col("pair") % (1 << 32))
 
 
 def scored_pairs(counts: DataFrame, b_size: int) -> DataFrame:
@@ -201,56 +263,41 @@ def most_frequent(pairs: DataFrame, hot_rows: int) -> tuple[pa.Table, int]:
 
 
 def align(docs: DataFrame, a: Vocabulary, b: Vocabulary, key: str = "doc_id", text: str = "text", hot_rows: int = 1 << 18) -> DataFrame:
-    """One row per document: its key, ``n_a, n_b`` tokens, ``n_groups``, ``n_links``, ``n_best``
-    (links whose pair counts as high as any of its B id), ``count_sum`` (of the links' pairs) and
+    """One row per document: its key, ``n_a, n_b`` tokens, ``n_groups``, ``n_links`` (no token is
+    empty: every common end ends one group and makes one link), ``n_best`` (links whose pair
+    counts as high as any of its B id), ``count_sum`` (of the links' pairs) and
     ``groups_sha256`` (of the ids by group; '' without tokens)."""
-    toks = written(tokens(docs, a, b, key, text).withColumn("rid", F.monotonically_increasing_id()), "align-tokens")
-    pairs = written(scored_pairs(written(pair_counts(toks, a, b), "align-counts"), len(loaded(b).pieces)), "align-pairs")
+    rows = written(aligned(docs, a, b, key, text).withColumn("rid", F.monotonically_increasing_id()), "align-pairs")
+    pairs = written(scored_pairs(written(pair_counts(rows), "align-counts"), len(loaded(b).pieces)), "align-scores")
     hot, floor = most_frequent(pairs, hot_rows)
-    kind = toks.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        va, vb = loaded(a), loaded(b)
         for batch in batches:
-            yield report(batch, va, vb, hot)
+            sums = [batch.column(c) for c in range(len(plain))] + looked_up(batch.column("pairs"), hot)
+            yield pa.RecordBatch.from_arrays(sums, [*plain, "n_best", "count_sum", "rare"])
 
-    schema = (f"rid bigint, k {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
-              "groups_sha256 string, rare array<struct<pair:bigint,times:bigint>>")
-    out = toks.select("rid", "k", "a", "b").mapInArrow(run, schema)
+    plain = ["rid", "k", "n_a", "n_b", "n_groups", "groups_sha256"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in plain)
+    out = rows.select(*plain, "pairs").mapInArrow(run, f"{kinds}, n_best bigint, count_sum bigint, rare array<struct<pair:bigint,times:bigint>>")
     if floor > 1:  # pairs below the floor meet their counts here
         out = written(out, "align-reports")
         rare = out.select("rid", F.inline("rare")).join(pairs.where(F.col("n") < floor), "pair")
         more = rare.groupBy("rid").agg(F.sum(F.col("times") * F.col("n")).alias("s"), F.sum(F.col("times") * F.col("best")).alias("t"))
         out = out.join(more, "rid", "left").withColumns({
             "count_sum": F.col("count_sum") + F.coalesce("s", F.lit(0)), "n_best": F.col("n_best") + F.coalesce("t", F.lit(0))})
-    return out.select(F.col("k").alias(key), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-
-
-def report(batch: pa.RecordBatch, va: Loaded, vb: Loaded, hot: pa.Table) -> pa.RecordBatch:
-    """Rows of ``align`` for a batch of (rid, k, a, b), with the pairs that ``hot`` lacks."""
-    n, (a, b) = len(batch), (batch.column(2), batch.column(3))
-    t = links(a, b, va, vb)
-    times = t.group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["doc", "pair", "times"])
-    times = times.join(hot, keys="pair", join_type="left outer", use_threads=False)
-    doc, times_of = times["doc"].to_numpy(), times["times"].to_numpy()
-    count, best = (pc.fill_null(times[c], 0).to_numpy() for c in ("n", "best"))
-
-    def per_doc(x):
-        out = np.zeros(n, np.int64)
-        np.add.at(out, doc, x)
-        return out
-
-    rare = times.filter(pc.is_null(times["n"])).sort_by("doc")
-    rare_at = np.searchsorted(rare["doc"].to_numpy(), np.arange(n + 1)).astype(np.int32)
-    rare_rows = pa.StructArray.from_arrays([rare[c].combine_chunks() if rare.num_rows else pa.array([], pa.int64()) for c in ("pair", "times")],
-                                           ["pair", "times"])
-    n_links = np.bincount(t["doc"].to_numpy(), minlength=n)
-    cols = {"rid": batch.column(0), "k": batch.column(1),
-            "n_a": pc.cast(pc.list_value_length(a), pa.int64()), "n_b": pc.cast(pc.list_value_length(b), pa.int64()),
-            "n_groups": pa.array(n_links), "n_links": pa.array(n_links), "n_best": pa.array(per_doc(times_of * best)),
-            "count_sum": pa.array(per_doc(times_of * count)), "groups_sha256": digests(t, a, b, va, vb, n_links),
-            "rare": pa.ListArray.from_arrays(pa.array(rare_at), rare_rows)}
-    return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+    return out.select(F.col("k").alias(key), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+
+
+def looked_up(pairs: pa.ListArray, hot: pa.Table) -> list[pa.Array]:
+    """For every document ``n_best`` and ``count_sum`` over its pairs in ``hot``, and the list of those that it lacks."""
+    t = flat_pairs(pairs).join(hot, keys="pair", join_type="left outer", use_threads=False)
+    doc, times = t["doc"].to_numpy(), t["times"].to_numpy()
+    out = []
+    for c in ("best", "n"):
+        total = np.zeros(len(pairs), np.int64)
+        np.add.at(total, doc, times * pc.fill_null(t[c], 0).to_numpy())
+        out.append(pa.array(total))
+    return [*out, pair_lists(t.filter(pc.is_null(t["n"])), len(pairs))]
 
 
 def digests(t: pa.Table, a: pa.ListArray, b: pa.ListArray, va: Loaded, vb: Loaded, n_groups: np.ndarray) -> pa.Array:
