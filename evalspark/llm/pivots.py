@@ -47,7 +47,7 @@ def usable(vec: Column) -> Column:
 
 
 def integers(vec: Column) -> Column:
-    return F.transform(vec, lambda x: F.floor(x.cast("double") * SCALE).cast("int"))
+    return F.transform(vec, lambda x: F.floor(x.cast("double") * SCALE).try_cast("int"))  # unusable vectors may pass here before they are dropped
 
 
 def matrix(column: pa.Array, kind) -> np.ndarray:

@@ -168,7 +168,7 @@ def dealt(sk: DataFrame, plan: Plan, most: int) -> DataFrame:
     n_parts = of_ball.count()
     if n_parts == 0:
         return rows.withColumns({"block": F.lit(""), "side": F.lit(0)})
-    chunk = parts.select(*RUN, F.struct("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i")).alias("c"))
+    chunk = parts.select(*RUN, "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i")).select(*RUN, F.struct("part", "i").alias("c"))
     two = chunk.withColumnRenamed("c", "l").join(chunk.withColumnRenamed("c", "r"), RUN)
     two = two.where((F.col("l") <= F.col("r")) & ~((F.col("l.part") >= 0) & (F.col("l.part") == F.col("r.part"))))
     block = F.concat_ws(":", "l.part", "l.i", "r.part", "r.i")
@@ -178,8 +178,9 @@ def dealt(sk: DataFrame, plan: Plan, most: int) -> DataFrame:
     goes = written(goes.groupBy(*RUN, "part", "i").agg(F.collect_list(F.struct("block", "side")).alias("goes")), "blocks")
     rows = rows.join(broadcast_under(of_ball, n_parts, 40), [*RUN, "ball"], "left")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int"))
-    split = rows.where("chunks IS NOT NULL").join(goes, [*RUN, "part", "i"]).select(*sk.columns, *RUN, F.inline("goes"))
-    return rows.where("chunks IS NULL").select(*sk.columns, *RUN, F.lit("").alias("block"), F.lit(0).alias("side")).unionByName(split)
+    own = [*sk.columns, "run_order", "cell"]
+    split = rows.where("chunks IS NOT NULL").join(goes, [*RUN, "part", "i"]).select(*own, F.inline("goes"))
+    return rows.where("chunks IS NULL").select(*own, F.lit("").alias("block"), F.lit(0).alias("side")).unionByName(split)
 
 
 def hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
