@@ -15,9 +15,15 @@ side of the entity) differ, so that copies are one, are generalised from
 ``generalise_at`` on and removed from ``remove_at`` on, in every document that holds the
 term, with or without the entity; of two actions the stronger is taken.
 
-Everything is DataFrame functions.  The words of all texts are exploded once and only those
-that may disclose are kept (joined by term; salted where the terms are too many to
-broadcast); corpus counts and each row's own terms come from what is kept.
+Chance: two long documents share rare words.  With ``chance`` set, a pair counts only if it
+is unlikely under independence: of W words in all documents (distinct in each), W_e stand in the
+entity's, so the term is expected there n_t W_e / W times.  The Poisson tail of the number of differing
+contexts (Chernoff's bound) must be below ``chance`` over the number of pairs that could be
+tried, entities times terms.
+
+Everything is DataFrame functions.  Words of all texts are counted once (combined on the map
+side).  Where the terms are at most ``LITERAL_TERMS`` every row looks its own words up in
+the plan's constant set, and no text is shuffled; beyond it rows and terms are joined.
 
 Defined cases: null text is empty (no spans); an entity in every document has nothing to
 disclose; every row has the terms of its own text, whatever its id; repeated rows are kept
@@ -26,11 +32,16 @@ and counted; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import evaluate_once
+from ..functions.json import bound
 from .util import broadcast_under, written
 
+_TERMS = "array<struct<term:string,action:string>>"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 #: the four kinds in order.  A match starts where its run of characters starts, or where the
 #: last match ended, so a run is tried once; possessive parts never need to give back.
@@ -49,6 +60,8 @@ WORD = rf"[\p{{L}}\p{{M}}&&[^{_DENSE}]]++|(?<!{_DENSE}){_DENSE}(?!{_DENSE})"
 PAIR = rf"(?=({_DENSE}{{2}}))"
 ACTIONS = {"generalise": "[TERM]", "remove": ""}  # the stronger sorts last
 SALT = 64
+#: so many terms stand in the plan as a constant set
+LITERAL_TERMS = 2000
 
 
 def _digits(m: Column) -> Column:
@@ -91,8 +104,8 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add one column of spans for each kind, named ``__email`` and so on."""
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(_SPAN)
-    return docs.select("*", *[F.when(_MAY[k](t), spans(t, F.lit(PATTERNS[k]), lambda m, k=k: _valid(k, m))).otherwise(none).alias(f"__{k}")
-                              for k in KINDS])
+    return evaluate_once(docs, **{f"__{k}": F.when(_MAY[k](t), spans(t, F.lit(PATTERNS[k]), lambda m, k=k: _valid(k, m))).otherwise(none)
+                                  for k in KINDS})
 
 
 def _all(kinds=KINDS) -> Column:
@@ -147,8 +160,9 @@ def by_term(held: DataFrame, terms: DataFrame, how: str) -> DataFrame:
     return held.withColumn("__salt", F.pmod("__row", F.lit(SALT)).cast("int")).join(salted, ["t", "__salt"], how).drop("__salt")
 
 
-def candidates(found: DataFrame, n: int, text: str, context: int, support: int, generalise_at: float) -> DataFrame:
-    """``e, t, n_te, n_e`` that may disclose, from the rows with spans (``found``) among ``n`` rows."""
+def with_entities(docs: DataFrame, text: str, context: int) -> DataFrame:
+    """``__row, es, ts`` of the rows with base spans: their entities, each with one fingerprint of
+    its contexts (copies of a text have the same), and their distinct words."""
     def near_text(s: Column) -> Column:
         from_ = F.greatest(F.lit(1), s["start"] + 1 - context)
         left = F.substring(F.col(text), from_, s["start"] + 1 - from_)
@@ -157,68 +171,100 @@ def candidates(found: DataFrame, n: int, text: str, context: int, support: int,
         right = F.when(F.length(right) == context, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
         return F.concat(left, F.lit(" "), right)
 
-    def pairs(s: Column) -> Column:
-        return F.struct(_entity(s).alias("e"), near_text(s).alias("c"))
-
-    # one fingerprint of contexts for each entity of a row: copies of a text are one
-    own = found.select("__row", F.explode(F.array_distinct(F.transform("__spans", pairs))).alias("x"))
-    own = own.groupBy("__row", F.col("x.e").alias("e")).agg(F.xxhash64(F.array_sort(F.collect_set("x.c"))).alias("c"))
-    n_e = own.groupBy("e").agg(F.count("*").alias("n_e"), F.count_distinct("c").alias("contexts")).where(F.col("contexts") >= support).drop("contexts")
-    of_row = own.join(n_e, "e", "left_semi").groupBy("__row").agg(F.collect_list(F.struct("e", "c")).alias("es"))
-    near = found.select("__row", words(_outside(F.col(text))).alias("ts"))
+    each = F.array_sort(F.array_distinct(F.transform("__spans", lambda s: F.struct(
+        _entity(s).alias("e"), F.xxhash64(near_text(s)).alias("c")))))
+    first = bound(each, lambda es: F.filter(es, lambda x, i: (i == 0) | (F.get(es, i - 1)["e"] != x["e"])))
+    found = detect(docs, text).withColumn("__spans", _all()).where(F.size("__spans") > 0)
+    return found.select(F.monotonically_increasing_id().alias("__row"), first.alias("es"), words(_outside(F.col(text))).alias("ts"))
+
+
+def word_counts(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """``t, n_t``: documents that hold each word outside base spans."""
+    rest = detect(docs, text).withColumn("__spans", _all()).where(F.size("__spans") == 0)
+    every = rest.select(words(F.coalesce(F.col(text), F.lit(""))).alias("ts")).unionByName(found.select("ts"))
+    return every.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+
+
+def together(found: DataFrame, entities: DataFrame, support: int) -> DataFrame:
+    """``e, t, n_te, contexts`` for the entities that are kept."""
+    n = entities.count()
+    if n * 100 > 8 << 20:  # too many to send: regroup by row, so that words are dealt by row, not by entity
+        of_row = (found.select("__row", F.inline("es")).join(entities.select("e"), "e", "left_semi")
+                  .groupBy("__row").agg(F.collect_list(F.struct("e", "c")).alias("kept")))
+        both = found.join(of_row, "__row").select("ts", F.inline("kept"))
+    else:
+        both = found.select("ts", F.inline("es")).join(broadcast_under(entities.select("e"), n, 100), "e", "left_semi")
     # every pair of a row comes once, so counting rows needs no distinct
-    both = near.join(of_row, "__row").select(F.explode("es").alias("x"), "ts").select("x.e", "x.c", F.explode("ts").alias("t"))
-    seen = both.groupBy("e", "t", "c").agg(F.count("*").alias("n"))
-    seen = seen.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    # a term is in at least as many documents as it is in rows with spans: what falls short even so can't disclose
-    least_t = near.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("least_t"))
-    return seen.join(n_e, "e").join(least_t, "t").where(_share(n, "least_t") >= generalise_at).select("e", "t", "n_te", "n_e")
+    seen = both.select("e", "c", F.explode("ts").alias("t")).groupBy("e", "t", "c").agg(F.count("*").alias("n"))
+    return seen.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
 
 
-def _share(n: int, n_t: str) -> Column:
+def _share(n: int) -> Column:
     own = F.log2(F.lit(float(n)) / F.col("n_e"))
-    return F.when(own > 0, F.log2(F.col("n_te") * F.lit(float(n)) / (F.col(n_t) * F.col("n_e"))) / own).otherwise(F.lit(0.0))
-
-
-def _scored(base: DataFrame, text: str, context: int = 48, support: int = 2,
-            generalise_at: float = 0.7, remove_at: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """The scored terms, and ``__row, t`` for every candidate in the text of every row of ``base``."""
-    n = base.count()
-    seen = written(candidates(base.where(F.size("__spans") > 0), n, text, context, support, generalise_at), "pii-pairs")
-    every = base.select("__row", F.explode(words(_outside(F.col(text)))).alias("t"))
-    held = written(by_term(every, seen.select("t").distinct(), "left_semi"), "pii-held")
-    n_t = held.groupBy("t").agg(F.count("*").alias("n_t"))
-    terms = (seen.join(n_t, "t").select(F.col("e").alias("entity"), F.col("t").alias("term"), _share(n, "n_t").alias("disclosure"))
-             .where(F.col("disclosure") >= generalise_at)
-             .withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")))
-    return terms, held
+    return F.when(own > 0, F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / own).otherwise(F.lit(0.0))
+
+
+def scored_terms(docs: DataFrame, text: str = "text", context: int = 48, support: int = 2, generalise_at: float = 0.7,
+                 remove_at: float = 0.9, chance: float | None = None) -> DataFrame:
+    """``entity, term, disclosure, action`` over all ``docs``."""
+    found = written(with_entities(docs, text, context), "pii-found")
+    counts = written(word_counts(docs, found, text), "pii-words")
+    per_context = found.select(F.inline("es"), F.size("ts").alias("w")).groupBy("e", "c").agg(F.count("*").alias("n"), F.max("w").alias("w"))
+    entities = per_context.groupBy("e").agg(F.sum("n").alias("n_e"), F.count("*").alias("contexts"), F.sum("w").alias("w_e"))
+    entities = written(entities.where(F.col("contexts") >= support).drop("contexts"), "pii-entities")
+    n = docs.count()
+    pairs = together(found, entities, support).join(counts, "t").join(entities, "e").withColumn("disclosure", _share(n))
+    pairs = pairs.where(F.col("disclosure") >= generalise_at)
+    if chance is not None:
+        n_terms, n_words = counts.agg(F.count("*"), F.sum("n_t")).first()
+        tried = math.log(max(1, entities.count() * n_terms) / chance)
+        k, expected = F.col("contexts"), F.col("n_t") * F.col("w_e") / F.lit(float(n_words or 1))
+        pairs = pairs.where((k > expected) & (k * F.log(k / expected) - k + expected >= tried))
+    return pairs.select(F.col("e").alias("entity"), F.col("t").alias("term"), "disclosure",
+                        F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """``entity, term, disclosure, action`` over all ``docs`` (``found``, the rows with spans, follow from them)."""
-    return _scored(_base(docs, text), text, **limits)[0]
+    return scored_terms(docs, text, **limits)
 
 
-def _base(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with base spans and a number for each row."""
-    return written(detect(docs, text).withColumn("__spans", _all()).withColumn("__row", F.monotonically_increasing_id()), "pii-base")
+def _looked_up(docs: DataFrame, text: str, actions: dict[str, str]) -> DataFrame:
+    """``__terms`` of every row from the constant ``actions``; null where a row has none."""
+    if not actions:
+        return docs.withColumn("__terms", F.lit(None).cast(_TERMS))
+    stronger = [t for t, a in actions.items() if a == "remove"]
+    one = F.filter(words(_outside(F.col(text))), lambda w: w.isin(list(actions)))
+    action = (lambda w: F.when(w.isin(stronger), "remove").otherwise("generalise")) if stronger else (lambda w: F.lit("generalise"))
+    return docs.withColumn("__terms", bound(one, lambda ts: F.when(F.size(ts) > 0, F.transform(
+        ts, lambda w: F.struct(w.alias("term"), action(w).alias("action"))))))
 
 
-def sanitise(docs: DataFrame, text: str = "text", keep_text: bool = True, **limits) -> DataFrame:
-    """``docs`` with ``__email .. __phone``, ``__term`` spans; rows without any spans keep their
-    text only if ``keep_text``."""
-    base = _base(docs, text)
-    scored, held = _scored(base, text, **limits)
-    terms = written(scored.groupBy(F.col("term").alias("t")).agg(F.max("action").alias("action")), "pii-terms")
-    of_row = (by_term(held, terms, "inner").groupBy("__row")
+def _joined(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """``__terms`` by joining every row's words with the terms."""
+    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pii-base")
+    every = base.select("__row", F.explode(words(_outside(F.col(text)))).alias("t"))
+    of_row = (by_term(every, terms, "inner").groupBy("__row")
               .agg(F.collect_list(F.struct(F.col("t").alias("term"), "action")).alias("__terms")))
     of_row = written(of_row, "pii-rows").withColumnRenamed("__row", "__row2")
     of_row = broadcast_under(of_row, of_row.count(), 500)
+    return base.join(of_row, base["__row"] == of_row["__row2"], "left").drop("__row", "__row2")
+
+
+def sanitise(docs: DataFrame, text: str = "text", keep_text: bool = True, literal_terms: int | None = None, **limits) -> DataFrame:
+    """``docs`` with ``__email .. __phone``, ``__term`` spans; rows without any spans keep their
+    text only if ``keep_text``."""
+    terms = scored_terms(docs, text, **limits).groupBy(F.col("term").alias("t")).agg(F.max("action").alias("action"))
+    terms = written(terms, "pii-terms")
+    base = detect(docs, text).withColumn("__spans", _all())
+    if terms.count() <= (LITERAL_TERMS if literal_terms is None else literal_terms):
+        out = _looked_up(base, text, {r["t"]: r["action"] for r in terms.collect()})  # at most LITERAL_TERMS
+    else:
+        out = _joined(base, text, terms)
     names = F.transform("__terms", lambda t: t["term"])
     in_text = spans(F.col(text), F.lit(WORD), lambda m: F.array_contains(names, F.lower(m)))
     in_text = F.concat(in_text, F.when(F.exists(names, lambda t: t.rlike(PAIR)), _pairs_in(F.col(text), names)).otherwise(F.array().cast(_SPAN)))
     clear = F.filter(in_text, lambda s: ~F.exists("__spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    out = base.join(of_row, base["__row"] == of_row["__row2"], "left").drop("__row", "__row2")
     out = out.withColumn("__term", F.when(F.col("__terms").isNotNull(), clear).otherwise(F.array().cast(_SPAN)))
     if not keep_text:
         out = out.withColumn(text, F.when((F.size("__spans") > 0) | (F.size("__term") > 0), F.col(text)))
@@ -235,7 +281,7 @@ def span_text(kinds=KINDS) -> Column:
 def cleaned(text: str = "text") -> Column:
     """The text with every base span as ``[KIND]`` and every term as its action says;
     overlapping spans become one."""
-    act = F.map_from_entries(F.coalesce("__terms", F.array().cast("array<struct<term:string,action:string>>")))
+    act = F.map_from_entries(F.coalesce("__terms", F.array().cast(_TERMS)))
     marks = F.map_from_arrays(F.array(*[F.lit(a) for a in ACTIONS]), F.array(*[F.lit(x) for x in ACTIONS.values()]))
 
     def marked(k: str) -> Column:

@@ -59,6 +59,7 @@ def conversation_records(spark, d):
     t = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))))
     convs = rows.groupBy("conv_id").agg(t.alias("t"))
     roles, odd = F.transform("t", lambda x: x["role"]), F.col("conv_id") % 2 != 0
+    aliases = F.exists(roles, lambda r: r.isin(*chat.ROLES))  # the shared layout would rename these
     pair = roles == F.array(F.lit("user"), F.lit("assistant"))
     triple = (roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))) & (F.get("t", 0)["content"] != "")
 
@@ -67,7 +68,7 @@ def conversation_records(spark, d):
     record = (F.when(pair & odd, F.to_json(F.struct(at(0).alias("prompt"), at(1).alias("response"))))
               .when(pair, F.to_json(F.struct(at(0).alias("instruction"), at(1).alias("output"))))
               .when(triple, F.to_json(F.struct(at(0).alias("system"), at(1).alias("prompt"), at(2).alias("response"))))
-              .when(odd, F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("from"), x["content"].alias("value"))).alias("conversations"))))
+              .when(odd & ~aliases, F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("from"), x["content"].alias("value"))).alias("conversations"))))
               .otherwise(F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"], x["content"])).alias("messages")))))
     return convs.select("conv_id", record.alias("record"))
 
@@ -83,7 +84,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """)
 def q_chat_format(spark, d):
-    out = chat.format_chat(chat.to_turns(conversation_records(spark, d)))
+    out = chat.to_turns(conversation_records(spark, d), strict=True)
+    out = chat.format_chat(out.where(F.col("problem").isNull()))  # a problem is an error
     out = (out.withColumn("back", chat.read_back(F.col("formatted")))
            .withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_mask"))))
     digest = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -154,9 +156,13 @@ def q_multiset_hash(spark, d):
 
 # --- 2: personal data -------------------------------------------------------
 
+#: terms must stand with their entity against chance at this level over all pairs
+PII = {"chance": 0.01}
+
+
 @register("op2_pii")
 def q_pii(spark, d):
-    out = pii.sanitise(table(spark, d, "documents").select("doc_id", "text"), keep_text=False)
+    out = pii.sanitise(table(spark, d, "documents").select("doc_id", "text"), keep_text=False, **PII)
     base = F.sha2(pii.span_text(), 256)
     return out.select("doc_id", *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS], base.alias("base_sha256"),
                       pii.span_text((*pii.KINDS, "term")).alias("spans"), F.size("__term").cast("long").alias("n_term"))
