@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import decontam, langid, mixing, pii, simhash
-from evalspark.llm.queries import MIX_BLOCK, MIX_DEFAULT, MIX_PARTS, SIMHASH
+from evalspark.llm.queries import MIX_BLOCK, MIX_DEFAULT, MIX_PARTS, PII, SIMHASH
 from evalspark.llm.util import table, written
 
 #: a text whose best language has less than this share of its words' mass is rejected
@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2; spans are replaced in the text, and ``n_chars`` counts the new text."""
-    clean = pii.sanitise(docs).withColumn("text", pii.cleaned())
+    clean = pii.sanitise(docs, **PII).withColumn("text", pii.cleaned())
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast("long"))
     return clean.select(*docs.columns)
