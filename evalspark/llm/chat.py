@@ -8,8 +8,8 @@ control characters inside texts so that the result can be read back exactly:
 backslash, ``<`` and ``#`` (``:`` too in roles) become two-character escapes, so
 neither the turn head ``### `` nor the turn end ``</turn>`` can occur in a text.
 
-Defined cases: null or unparseable records and unknown fingerprints have no turns and
-``layout`` null; null texts are empty; a null role is ``user``; fields that no layout
+Defined cases: null or unparseable records and unknown fingerprints have no turns,
+``layout`` null and ``problem`` says why; null texts are empty; a null role is ``user``; fields that no layout
 names are ignored; an empty list of messages has no turns and a zero-length format.
 """
 
@@ -24,7 +24,7 @@ HEAD, MID, TAIL = "### ", ": ", "</turn>\n"
 
 _MESSAGE = "array<struct<role:string,content:string>>"
 _SHARE = "array<struct<`from`:string,value:string>>"
-#: aliases of the roles in the layouts (fixed values)
+#: names of the roles in the layout of shared conversations (fixed values); other layouts name roles as they are
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -42,19 +42,19 @@ def _text(rec: Column, path: str) -> Column:
     return F.try_variant_get(rec, f"$.{path}", "string")
 
 
-def _list(path: str, kind: str, role: str, text: str):
+def _list(path: str, kind: str, role: str, text: str, aliases: dict | None = None):
     def turns(rec: Column) -> Column:
-        names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+        names = F.create_map(*[F.lit(x) for kv in (aliases or {}).items() for x in kv]) if aliases else None
+        own = (lambda r: F.coalesce(F.try_element_at(names, r), r, F.lit("user"))) if aliases else (lambda r: F.coalesce(r, F.lit("user")))
         return F.transform(F.try_variant_get(rec, f"$.{path}", kind), lambda t: F.struct(
-            F.coalesce(F.try_element_at(names, t[role]), t[role], F.lit("user")).alias("role"),
-            F.coalesce(t[text], F.lit("")).alias("text")))
+            own(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
     return turns
 
 
 #: layout -> (field paths, mapping); a path ``a[].b`` is field b of the objects in list a
 LAYOUTS = {
     "messages": (("messages[].content", "messages[].role"), _list("messages", _MESSAGE, "role", "content")),
-    "share": (("conversations[].from", "conversations[].value"), _list("conversations", _SHARE, "from", "value")),
+    "share": (("conversations[].from", "conversations[].value"), _list("conversations", _SHARE, "from", "value", ROLES)),
     "prompt_response": (("prompt", "response"), _fixed(("user", "prompt", False), ("assistant", "response", False))),
     "prompt_completion": (("prompt", "completion"), _fixed(("user", "prompt", False), ("assistant", "completion", False))),
     "instruction": (("instruction", "output"), _fixed(("user", "instruction", False), ("assistant", "output", False))),
@@ -94,8 +94,10 @@ def unescape(c: Column) -> Column:
     return F.array_join(pieces, "\\")
 
 
-def to_turns(df: DataFrame, record: str = "record") -> DataFrame:
-    """Add ``layout`` and canonical ``turns`` to rows with a JSON text."""
+def to_turns(df: DataFrame, record: str = "record", strict: bool = False) -> DataFrame:
+    """Add ``layout``, canonical ``turns`` and ``problem`` to rows with a JSON text: why a row has
+    no layout (``null``, ``unparsed``: no JSON, or more than Spark's variants hold (128 MiB),
+    or ``unknown layout``).  ``strict`` makes any problem an error, so that no text can go unseen."""
     parsed = df.withColumn("__rec", F.try_parse_json(F.col(record))).withColumn("__fp", fingerprint(F.col("__rec")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for name, (paths, mapping) in LAYOUTS.items():
@@ -103,8 +105,11 @@ def to_turns(df: DataFrame, record: str = "record") -> DataFrame:
         layout = F.when(hit, F.lit(name)).otherwise(layout)
         turns = F.when(hit, mapping(F.col("__rec"))).otherwise(turns)
     none = F.array().cast("array<struct<role:string,text:string>>")
-    return (parsed.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, none))
-            .drop("__rec", "__fp"))
+    problem = (F.when(F.col(record).isNull(), "null").when(F.col("__rec").isNull(), "unparsed")
+               .when(layout.isNull(), "unknown layout"))
+    if strict:
+        problem = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("chat record: "), problem)).cast("string"))
+    return parsed.withColumns({"layout": layout, "turns": F.coalesce(turns, none), "problem": problem}).drop("__rec", "__fp")
 
 
 def format_chat(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
