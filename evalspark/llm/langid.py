@@ -10,12 +10,12 @@ language is the one with the most posterior mass, its score the share of that ma
 Training maximises the conditional likelihood (AdaGrad on expected minus observed
 features) over chains of ``CHAIN`` words which are spliced from runs of several sampled
 documents, so that transitions between languages are seen.  The sample is bounded:
-about ``per_lang`` documents of each language, drawn by text hash, of at most
-``max_chars`` characters each.  A document of the sample whose words are mostly given another
+about ``per_lang`` documents of each language, drawn by text hash, each with its first
+``max_chars`` characters at most (scoring reads whole texts).  A document of the sample whose words are mostly given another
 language by a first fit is left out of the second fit.
 
-The model, a table of ``1 << HASH_BITS`` rows by languages, goes to every task; texts are
-labelled row by row in bounded pieces, and chains of ``CHAIN`` words are taken at a time.
+The model, a table of ``1 << HASH_BITS`` rows by languages (each labelled language is
+learned), goes to every task; texts are labelled row by row in bounded pieces, cut at blanks, and chains of ``CHAIN`` words are taken at a time.
 
 Defined cases: null text, and text without letters: ``und``, score 0.  No labelled rows:
 every text with letters is ``und`` too.  Ties go to the alphabetically first language.
@@ -36,7 +36,6 @@ from .util import crc_mod, workers
 HASH_BITS, CHAIN = 17, 128
 PIECE = 1 << 16       # characters labelled at once
 GRAMS = (2, 3, 4)
-MAX_LANGS = 200
 _LETTER: np.ndarray | None = None
 
 
@@ -162,9 +161,9 @@ def label(model: Model, texts: list[str]) -> np.ndarray:
 
     size = 0
     for i, t in enumerate(texts):
-        for at in range(0, len(t), PIECE):
-            group.append((i, t[at:at + PIECE]))
-            size += len(group[-1][1])
+        for piece in pieces(t):
+            group.append((i, piece))
+            size += len(piece)
             if size >= PIECE:
                 flush()
                 size = 0
@@ -172,6 +171,19 @@ def label(model: Model, texts: list[str]) -> np.ndarray:
     return mass
 
 
+def pieces(text: str):
+    """Parts of at most ``PIECE`` characters that end before a blank, so that no word is cut
+    (one of more than ``PIECE`` characters without any is)."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = max(text.rfind(b, at + 1, at + PIECE + 1) for b in " \n\t")
+        end = end if end > at else at + PIECE
+        yield text[at:end]
+        at = end
+    if at < len(text):
+        yield text[at:]
+
+
 def features_first(text: str) -> np.ndarray:
     """Word starts alone."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -258,13 +270,13 @@ def _fit(model: Model, docs: list, epochs: int, batch: int, seed: int) -> None:
 
 def sample(docs: DataFrame, per_lang: int, max_chars: int, text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """About ``per_lang`` labelled rows of each language, by text hash; at most 4 per_lang x languages."""
-    known = docs.where(F.col(lang).isNotNull() & (F.length(text) <= max_chars))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect()}
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # a row per language, as the model has
     if not counts:
         return []
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
     draw = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / float(1 << 30)
-    rows = (known.where(draw < F.try_element_at(share, F.col(lang))).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    rows = (known.where(draw < F.try_element_at(share, F.col(lang))).select(F.substring(text, 1, max_chars).alias("t"), F.col(lang).alias("l"))
             .distinct().limit(4 * per_lang * len(counts)).collect())
     return sorted((r["t"], r["l"]) for r in rows)
 
