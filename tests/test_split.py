@@ -1,6 +1,8 @@
 """Exact sizes (FIXTURES 3.3), disjoint + complete, partition independence,
 equality with the row_number definition."""
 
+from collections import Counter
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,32 @@ def test_head_n_clamps(spark):
     df = spark.range(10)
     assert [r["id"] for r in T.head_n(df, "id", 3).collect()] == [0, 1, 2]
     assert T.head_n(df, "id", 50).count() == 10
+
+
+def test_nested_subsets_are_exact_and_nested(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(3001)] + [(9000, "one")]
+    df = spark.createDataFrame(rows, "id long, s string").repartition(7)
+    for bits in (3, 20):
+        out = T.nested_subsets(df, "id", "s", [0.5, 0.1, 0.25], bucket_bits=bits).collect()
+        sizes, got = Counter(s for _, s in rows), Counter((r.s, r.subset) for r in out)
+        assert len(out) == len(rows)
+        for s, n in sizes.items():
+            cum = 0
+            for f in (0.1, 0.25, 0.5):
+                cum += got[(s, f)]
+                assert cum == int(n * f)
+    order = {r.id: (r.h, r.id) for r in df.select("id", T.shuffle_key(42, F.col("s"), F.col("id"), "subset").alias("h")).collect()}
+    for s in sizes:
+        ranked = sorted((order[r.id], r.subset or 1.0) for r in out if r.s == s)
+        assert [f for _, f in ranked] == sorted(f for _, f in ranked)  # the first of one order
+
+
+def test_seeded_shuffle_is_a_permutation(spark, tmp_path):
+    df = spark.range(5000, numPartitions=5).withColumn("x", F.col("id") * 2)
+    out = T.seeded_shuffle(df, "id", str(tmp_path / "s"), seed=3, partitions=7)
+    rows = out.withColumn("h", T.shuffle_key(3, F.lit("all"), F.col("id"))).collect()
+    assert [r.id for r in sorted(rows, key=lambda r: r.ordinal)] == [r.id for r in sorted(rows, key=lambda r: (r.h, r.id))]
+    assert sorted(r.ordinal for r in rows) == list(range(5000)) and all(r.x == 2 * r.id for r in rows)
+    again = T.seeded_shuffle(df.repartition(3), "id", str(tmp_path / "t"), seed=3, partitions=2)
+    assert {(r.ordinal, r.id) for r in again.collect()} == {(r.ordinal, r.id) for r in rows}
+    assert T.seeded_shuffle(df.limit(0), "id", str(tmp_path / "e"), partitions=2).count() == 0
