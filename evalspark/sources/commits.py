@@ -103,14 +103,14 @@ def commit(spark: SparkSession, base: str, batches, schema: T.StructType, before
 
 def append(df: DataFrame, base: str, before: Entry | None | str = "last", meta: dict | None = None) -> Entry | None:
     """Write ``df`` as a new batch and commit it after ``before`` (default: the newest entry now).
-    A batch without rows is not committed, unless it is the first or brings ``meta``."""
+    Without rows there is no commit, unless it is the first or brings ``meta``; its batch is not listed."""
     spark = df.sparkSession
     at = last(spark, base) if before == "last" else before
     name, n = write_batch(df, base)
     if n == 0 and at is not None and not meta:
         return None
     schema = T.StructType.fromJson(json.loads(at.schema)) if at else df.schema
-    return commit(spark, base, [*(at.batches if at else ()), (name, n)], schema, at, meta)
+    return commit(spark, base, [*(at.batches if at else ()), *([(name, n)] if n else [])], schema, at, meta)
 
 
 def compact(spark: SparkSession, base: str, least: int = 2, most_rows: int | None = None) -> Entry | None:

@@ -105,7 +105,7 @@ class _Stopped(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event):
-        if event.runId != self.run_id:
+        if str(event.runId) != self.run_id:
             return
         self.spark.streams.removeListener(self)
         at = commits.last(self.spark, self.base)
@@ -136,12 +136,11 @@ def start_run_metrics(stream: DataFrame, checkpoint: str, base: str, run_col: st
         "update", GroupStateTimeout.ProcessingTimeTimeout)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        here = batch.sparkSession
+        here, staged = batch.sparkSession, f"{base}/staged"
+        batch.write.mode("overwrite").parquet(staged)  # computed once, and whole even where it was committed before
         at = commits.last(here, base)
         if at is not None and at.meta.get("batch", -1) >= batch_id:
             return
-        staged = f"{base}/staged"
-        batch.write.mode("overwrite").parquet(staged)  # a batch is computed once
         new = here.read.schema(batch.schema).parquet(staged)
         if at is not None:  # rows of (run, shard) that this batch did not touch stay as they are
             new = new.unionByName(commits.read(here, base).join(new, ["run", "shard"], "left_anti"))
@@ -157,7 +156,7 @@ def start_run_metrics(stream: DataFrame, checkpoint: str, base: str, run_col: st
         spark.conf.set(NO_DATA, "false")
         query = w.trigger(availableNow=True).start()  # has its own copy of the settings from here on
         spark.conf.set(NO_DATA, own)
-    listener.run_id = query.runId
+    listener.run_id = str(query.runId)
     return query
 
 
@@ -208,12 +207,11 @@ def start_bounded_dedup(stream: DataFrame, text_col: str, checkpoint: str, base:
     fresh = arrived.withWatermark("__arrived", recent).dropDuplicatesWithinWatermark(["query_hash"]).drop("__arrived")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        here = batch.sparkSession
+        here, staged = batch.sparkSession, f"{base}/staged"
+        batch.write.mode("overwrite").parquet(staged)  # computed once, and whole even where it was committed before
         at = commits.last(here, base)
         if at is not None and at.meta.get("batch", -1) >= batch_id:
             return
-        staged = f"{base}/staged"
-        batch.write.mode("overwrite").parquet(staged)  # a batch is computed once
         new = here.read.schema(batch.schema).parquet(staged)
         if at is not None:
             stored = commits.read(here, base).select("query_hash").join(new.select("query_hash"), "query_hash", "left_semi")

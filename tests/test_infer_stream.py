@@ -1,6 +1,8 @@
 """I1 retries / failures, I3, R1 resume from checkpoint, R2 dedup."""
 
+import json
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -74,3 +76,90 @@ def test_stream_dedup(spark, tmp_path):
     S.start_dedup(stream, "text", f"{base}/ck", f"{base}/out").awaitTermination()
     assert spark.read.parquet(f"{base}/out").select("query_hash").distinct().count() == 3
     assert spark.read.parquet(f"{base}/out").count() == 3
+
+
+def scored_rows(spark, n, shift=0):
+    classes = ["full", "partial", "rejected"]
+    rows = [(i, f"run{i % 3}", classes[i % 3], (classes + ["other", None])[(i // 2) % 5]) for i in range(shift, shift + n)]
+    return spark.createDataFrame(rows, "id long, run string, truth string, prediction string")
+
+
+def summary(spark, df):
+    from evalspark.operators.metrics import summary_metrics
+    return {r["run"]: (r["n_total"], r["accuracy"], r["f1_macro"]) for r in summary_metrics(df, by=["run"]).collect()}
+
+
+def test_run_metrics_after_a_stop(spark, tmp_path):
+    """Stopped between batches and started again: the metrics of one run; stopped runs are marked without a caller."""
+    base = str(tmp_path)
+    df = scored_rows(spark, 400)
+    df.repartition(8, "id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = S.start_run_metrics(stream, f"{base}/ck", f"{base}/runs", processing_time="0 seconds", idle=3600)
+    while not q.recentProgress or q.recentProgress[-1]["batchId"] < 1:
+        time.sleep(0.1)
+    q.stop()
+    wait_for(lambda: {r.status for r in S.run_metrics(spark, f"{base}/runs").collect()} == {"interrupted"})
+    S.start_run_metrics(stream, f"{base}/ck", f"{base}/runs", idle=3600).awaitTermination()
+    got = {r.run: (r.n_total, r.accuracy, r.f1_macro) for r in S.run_metrics(spark, f"{base}/runs").collect()}
+    assert got == summary(spark, df)
+    assert len([f for f in os.listdir(f"{base}/runs") if f.startswith("batch-")]) <= 3  # old snapshots are removed
+
+
+def test_run_metrics_are_closed_by_the_timer(spark, tmp_path):
+    base = str(tmp_path)
+    df = scored_rows(spark, 60)
+    df.coalesce(2).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
+    q = S.start_run_metrics(stream, f"{base}/ck", f"{base}/runs", processing_time="0 seconds", idle=0.5)
+    try:
+        wait_for(lambda: statuses(spark, f"{base}/runs") == {"complete"})
+        scored_rows(spark, 9, 60).coalesce(1).write.mode("append").parquet(f"{base}/in")  # a closed run that goes on
+        wait_for(lambda: sum(r.n_total for r in S.run_metrics(spark, f"{base}/runs").collect()) == 69)
+        wait_for(lambda: statuses(spark, f"{base}/runs") == {"complete"})
+    finally:
+        q.stop()
+    got = {r.run: (r.n_total, r.accuracy, r.f1_macro) for r in S.run_metrics(spark, f"{base}/runs").collect()}
+    assert got == summary(spark, scored_rows(spark, 69))
+
+
+def statuses(spark, base):
+    from evalspark.sources import commits
+    return {r.status for r in S.run_metrics(spark, base).collect()} if commits.last(spark, base) else set()
+
+
+def wait_for(condition, seconds=60):
+    end = time.time() + seconds
+    while True:
+        try:
+            if condition():
+                return
+        except Exception:  # noqa: BLE001 - a snapshot was replaced while it was read
+            pass
+        assert time.time() < end, "condition not met in time"
+        time.sleep(0.3)
+
+
+def test_bounded_dedup_over_many_batches(spark, tmp_path):
+    """State stays bounded, stored keys stop old copies, batches that ran before count once."""
+    from evalspark.sources import commits
+    base, n = str(tmp_path), 50
+    texts = {}
+    os.makedirs(f"{base}/in")
+    for i in range(n):
+        rows = [(i * 100 + j, f"Text {(i * 7 + j * j) % 90}" + " " * (j % 3)) for j in range(12)]
+        texts.update({t.lower().strip(): None for _, t in rows})
+        with open(f"{base}/in/{i:03d}.json", "w") as f:
+            f.writelines(json.dumps({"id": k, "text": t}) + "\n" for k, t in rows)
+    stream = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    q = S.start_bounded_dedup(stream, "text", f"{base}/ck", f"{base}/out", recent="0 seconds", compact_after=12)
+    q.awaitTermination()
+    rows = commits.read(spark, f"{base}/out").collect()
+    assert sorted(r.text.lower().strip() for r in rows) == sorted(texts)
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert len(states) >= n and max(states) <= 3 * 12 < len(texts)
+    assert len(commits.last(spark, f"{base}/out").batches) < 14
+    before = commits.last(spark, f"{base}/out").number
+    os.rename(f"{base}/ck", f"{base}/ck-lost")  # every batch comes again
+    S.start_bounded_dedup(stream, "text", f"{base}/ck", f"{base}/out", recent="0 seconds").awaitTermination()
+    assert commits.read(spark, f"{base}/out").count() == len(rows) and commits.last(spark, f"{base}/out").number <= before + 2
