@@ -3,7 +3,8 @@
 Features of a text: densities of a fixed lexicon of insults and of a learned one, how many
 hits stand near the second person, rates of second person, capitals, shouted words,
 punctuation, repeated marks and obfuscated words (letters swapped for digits or signs,
-or set apart by signs; those that read as a lexicon word once undone count as hits).
+or set apart by signs; those that read as a lexicon word once undone count as hits; what
+slashes or brackets set apart is judged by itself, at any length).
 
 Learning takes a bounded sample of the labelled rows outside the held-out fold: at most
 ``max_rows``, drawn by hash of the id, so all that is learned (lexicon, trees,
@@ -46,7 +47,7 @@ tú ti tus usted ustedes vosotros vuestro vuestra
 """.split())
 UNDO = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 WORD = re.compile(r"[^\W\d_]+")
-SIGN, LATIN, MAX_MIXED = re.compile(r"[@$*!|0134570._-]"), re.compile("[A-Za-z]"), 32
+SIGN, LATIN, APART = re.compile(r"[@$*!|0134570._-]"), re.compile("[A-Za-z]"), re.compile(r"[/\\()\[\]{}<>]+")
 RUNS = re.compile(r"[!?.]{2,}|[*#$%&@]{2,}")
 MAX_LEXICON, MAX_CANDIDATES, NEAR, DEPTH = 200, 20_000, 5, 2
 STEMS = (4, 5, 6)
@@ -86,7 +87,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     hits = sorted({*insult, *learned})
     at = np.array(person)
     near = sum(bool(len(at)) and bool(np.abs(at - i).min() <= NEAR) for i in hits)
-    mixed = [c for t in text.split() if not t.isalpha() and _is_mixed(c := t.strip(".,;:!?\"'()"))] if _may_mix(raw) else []
+    mixed = [c for t in text.split() if not t.isalpha() for p in APART.split(t) if _is_mixed(c := p.strip(".,;:!?\"'"))] if _may_mix(raw) else []
     undone = [re.sub(r"[^a-z]", "", m.lower().translate(UNDO)) for m in mixed]
     hidden = sum(u in INSULTS or bool(weight(u, lexicon)) for u in undone)
     shouted = sum(len(w) > 2 and w.isupper() for w in words)
@@ -98,7 +99,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
 
 
 def _is_mixed(token: str) -> bool:
-    return 3 <= len(token) <= MAX_MIXED and not token.isalpha() and bool(SIGN.search(token)) and bool(LATIN.search(token))
+    return len(token) >= 3 and not token.isalpha() and bool(SIGN.search(token)) and bool(LATIN.search(token))
 
 
 def _may_mix(raw: np.ndarray) -> bool:
