@@ -63,10 +63,10 @@ def top_n_with_tail(counts: DataFrame, group_cols, value_col: str, n_col: str, t
 
 def lenient_json_parse(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """C4 per row: ``id, parse_status, n_fields, field_names`` (sorted, comma-joined)."""
-    m = lenient_object(text_col)
-    return df.select(id_col, parse_status(text_col).alias("parse_status"),
-                     F.coalesce(F.size(m), F.lit(0)).alias("n_fields"),
-                     F.coalesce(F.array_join(F.array_sort(F.map_keys(m)), ","), F.lit("")).alias("field_names"))
+    out = evaluate_once(df, __m=lenient_object(text_col))
+    return out.select(id_col, parse_status(text_col).alias("parse_status"),
+                      F.coalesce(F.size("__m"), F.lit(0)).alias("n_fields"),
+                      F.coalesce(F.array_join(F.array_sort(F.map_keys("__m")), ","), F.lit("")).alias("field_names"))
 
 
 # ---------------------------------------------------------------------------
@@ -182,8 +182,8 @@ def approx_distinct(sketches: DataFrame) -> DataFrame:
 
 def mean_fields(df: DataFrame, perm_col: str) -> DataFrame:
     """Mean number of fields over rows whose parse gave a non-empty object."""
-    sz = F.size(lenient_object(_permissions(df, perm_col)))
-    return df.select(sz.alias("k")).filter(F.col("k") > 0).agg(
+    sizes = evaluate_once(df.select(F.col(_permissions(df, perm_col)).alias("__p")), k=F.size(lenient_object("__p")))
+    return sizes.filter(F.col("k") > 0).agg(
         F.count(F.lit(1)).alias("n_rows_with_fields"), F.round(F.avg("k"), 6).alias("mean_fields"))
 
 
@@ -224,24 +224,24 @@ def permission_token_lists(df: DataFrame, perm_col: str = "permissions", request
     "permissions" whose content matches.
     """
     p = F.col(perm_col)
-    v = parse_json(p)
-    as_list = v.try_cast("array<variant>")
-    as_obj = v.try_cast("map<string,variant>")
     empty = F.array().cast("array<string>")
     none = F.lit(None).cast("array<string>")
-    list_tokens = F.transform(as_list, lambda x: x.cast("string"))
     if split_mode == "json":
         fallback = F.array(p)
     elif split_mode == "comma":
         fallback = F.transform(F.split(p, ","), lambda x: F.btrim(x, F.lit(PY_WHITESPACE)))
     else:
         raise ValueError(split_mode)
+
+    def of_value(v):
+        as_list, as_obj = v.try_cast("array<variant>"), v.try_cast("map<string,variant>")
+        listed = F.transform(as_list, lambda x: x.cast("string"))
+        return (F.when(v.isNull(), fallback)
+                .when(as_list.isNotNull(), F.when(F.size(as_list) > 0, listed).otherwise(none))
+                .when(as_obj.isNotNull(), F.when(F.size(as_obj) > 0, empty).otherwise(none))
+                .otherwise(empty))
     # null = undecided (falsy in the reference): try the next source
-    tokens = (F.when(p.isNull() | (p == ""), none)
-              .when(v.isNull(), fallback)
-              .when(as_list.isNotNull(), F.when(F.size(as_list) > 0, list_tokens).otherwise(none))
-              .when(as_obj.isNotNull(), F.when(F.size(as_obj) > 0, empty).otherwise(none))
-              .otherwise(empty))
+    tokens = F.when(p.isNull() | (p == ""), none).otherwise(bound(parse_json(p), of_value))
     if request_col:
         m = F.regexp_extract(F.col(request_col), PERMISSION_LIST_PATTERN, 1)
         tokens = F.coalesce(tokens, F.when(F.coalesce(m, F.lit("")) != "", _split_tokens(m)))
