@@ -97,18 +97,19 @@ def unescape(c: Column) -> Column:
 def to_turns(df: DataFrame, record: str = "record", strict: bool = False) -> DataFrame:
     """Add ``layout``, canonical ``turns`` and ``problem`` to rows with a JSON text: why a row has
     no layout (``null``, ``unparsed``: no JSON, or more than Spark's variants hold (128 MiB),
-    or ``unknown layout``).  ``strict`` makes any problem an error, so that no text can go unseen."""
+    or ``unknown layout``).  With ``strict`` the turns of such a row are an error, so that no text
+    can go unseen."""
     parsed = df.withColumn("__rec", F.try_parse_json(F.col(record))).withColumn("__fp", fingerprint(F.col("__rec")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
+    kind = "array<struct<role:string,text:string>>"
+    layout = F.lit(None).cast("string")
+    turns = F.raise_error(F.lit("a chat record has no known layout")).cast(kind) if strict else F.lit(None).cast(kind)
     for name, (paths, mapping) in LAYOUTS.items():
         hit = F.col("__fp") == fingerprint_of(paths)
         layout = F.when(hit, F.lit(name)).otherwise(layout)
         turns = F.when(hit, mapping(F.col("__rec"))).otherwise(turns)
-    none = F.array().cast("array<struct<role:string,text:string>>")
+    none = F.array().cast(kind)
     problem = (F.when(F.col(record).isNull(), "null").when(F.col("__rec").isNull(), "unparsed")
                .when(layout.isNull(), "unknown layout"))
-    if strict:
-        problem = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("chat record: "), problem)).cast("string"))
     return parsed.withColumns({"layout": layout, "turns": F.coalesce(turns, none), "problem": problem}).drop("__rec", "__fp")
 
 

@@ -84,8 +84,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """)
 def q_chat_format(spark, d):
-    out = chat.to_turns(conversation_records(spark, d), strict=True)
-    out = chat.format_chat(out.where(F.col("problem").isNull()))  # a problem is an error
+    out = chat.format_chat(chat.to_turns(conversation_records(spark, d), strict=True))
     out = (out.withColumn("back", chat.read_back(F.col("formatted")))
            .withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_mask"))))
     digest = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
