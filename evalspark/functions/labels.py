@@ -85,7 +85,6 @@ REPAIR_MAP = {
 REPAIR_APPROVE_WORDS = ["approve", "allow", "accept", "grant", "permit", "authorize", "execute"]
 REPAIR_REJECT_WORDS = ["deny", "reject", "refuse", "block", "restrict"]
 REPAIR_PARTIAL_WORDS = ["partial", "limited", "only"]
-REPAIR_HINT_WORDS = ["provide", "deploy", "summary"]
 
 # Generated-row validation (C9): accepted spellings of 'full'.
 GENERATED_FULL_WORDS = ["full", "f", "allow", "approve"]
@@ -169,7 +168,6 @@ def normalize_label(c, dialect: str) -> Column:
                 .when((appr & rej) | part, "partial")
                 .when(appr, "full")
                 .when(rej, "rejected")
-                .when(_any_contains(t, REPAIR_HINT_WORDS), "partial")
                 .otherwise("partial"))
     if dialect == "conservative":
         t = lower_strip(raw)

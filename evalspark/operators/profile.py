@@ -15,11 +15,17 @@ from ..functions.common import attach_one_row, evaluate_once, materialize, ratio
 from ..functions.json import bound, lenient_object, lenient_variant, parse_json, parse_status, py_text, type_name
 from ..functions.labels import PY_WHITESPACE
 
+# How many values a report ranks, and what its last line says of the others.
+TAIL, TAIL_ROLES, TAIL_TOKENS = " more", " more roles", " more permissions"
 TOP_ROLES = 30
 TOP_VALUES = 20
 TOP_TOKENS = 20
 
 
+def _tail(what: str):
+    return lambda k: F.concat(F.lit("... and "), k.cast("string"), F.lit(what))
+
+
 def top_n_with_tail(counts: DataFrame, group_cols, value_col: str, n_col: str, top: int,
                     tail_text, extra=(), buckets: int = 64) -> DataFrame:
     """Exact top-``top`` rows per group by (count desc, value asc, ``extra`` asc) plus one tail row.
@@ -128,7 +134,7 @@ def field_value_top_n(df: DataFrame, id_col: str, perm_col: str, top: int = TOP_
     """
     counts = field_value_counts(permission_entries(df, id_col, perm_col))
     t = top_n_with_tail(counts, ["field"], "value", "n", top,
-                        lambda k: F.concat(F.lit("... and "), k.cast("string"), F.lit(" more")), extra=["value_kind"])
+                        _tail(TAIL), extra=["value_kind"])
     return t.select("field", "rank", "value",
                     F.when(F.col("is_tail"), F.lit("tail")).otherwise(F.col("value_kind")).alias("value_kind"),
                     "n", ratio("n", "group_total", 100.0).alias("pct"),
@@ -194,7 +200,7 @@ def role_top_n(df: DataFrame, role_col: str = "user_role", top: int = TOP_ROLES)
     """
     counts = df.groupBy(F.col(role_col).alias("role")).agg(F.count(F.lit(1)).alias("n"))
     t = top_n_with_tail(counts, [], "role", "n", top,
-                        lambda k: F.concat(F.lit("... and "), k.cast("string"), F.lit(" more roles")))
+                        _tail(TAIL_ROLES))
     return t.select("rank", "role", "n", ratio("n", "group_total", 100.0).alias("pct"),
                     F.col("n_values").alias("n_roles"))
 
@@ -268,7 +274,7 @@ def permission_tokens(df: DataFrame, top: int = TOP_TOKENS, **kw) -> DataFrame:
     rows = all_counts.filter(F.col("token").isNull()).select(F.col("n").alias("n_rows"))
     counts = all_counts.filter(F.col("token").isNotNull())
     ranked = top_n_with_tail(counts, [], "token", "n", top,
-                             lambda k: F.concat(F.lit("... and "), k.cast("string"), F.lit(" more permissions")))
+                             _tail(TAIL_TOKENS))
     ranked = attach_one_row(ranked.filter(~F.col("is_tail")), rows)
     return ranked.select("rank", "token", "n", ratio("n", "n_rows", 100.0).alias("pct"),
                          F.col("n_values").alias("n_tokens"), F.col("group_total").alias("total_occurrences"),

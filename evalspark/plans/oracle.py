@@ -7,13 +7,27 @@ the Spark query registered under the same name.
 
 from __future__ import annotations
 
-from ..functions.labels import (
-    PY_WHITESPACE, REPAIR_APPROVE_WORDS, REPAIR_HINT_WORDS, REPAIR_MAP, REPAIR_PARTIAL_WORDS, REPAIR_REJECT_WORDS,
-    RESULTS_FULL_WORDS, RESULTS_MAP, RESULTS_PARTIAL_WORDS, RESULTS_REJECT_WORDS, SHORT_MAP,
-)
 from .bindings import DIRTY_LABELS
 
-WS = "||".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
+# ---------------------------------------------------------------------------
+# Fixed values, typed in here a second time, so that the check does not read the
+# tables that it checks: code points of white space, and the spellings of each
+# class in the dialects.
+# ---------------------------------------------------------------------------
+SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199,
+          8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288]
+SHORT = {"full": ["full", "f"], "partial": ["partial", "p"], "rejected": ["rejected", "r"]}
+RESULTS = {"full": ["full", "f", "allow", "approve", "complete"], "partial": ["partial", "p", "approve_partial"],
+           "rejected": ["rejected", "r", "deny", "reject"]}
+RESULTS_PARTS = [("full", ["approve", "allow", "complete"]), ("rejected", ["reject", "deny"]), ("partial", ["partial"])]
+REPAIR = {"full": ["full", "f", "approve", "approved", "allow", "allowed", "accept", "complete", "grant", "permitted", "execute", "authorize"],
+          "partial": ["partial", "p", "summary_only", "limited", "require_approval"],
+          "rejected": ["rejected", "r", "reject", "deny", "denied", "refuse", "block", "blocked", "restrict"]}
+REPAIR_FULL_PARTS = ["approve", "allow", "accept", "grant", "permit", "authorize", "execute"]
+REPAIR_REJECTED_PARTS = ["deny", "reject", "refuse", "block", "restrict"]
+REPAIR_PARTIAL_PARTS = ["partial", "limited", "only"]
+
+WS = "||".join(f"chr({c})" for c in SPACES)
 
 
 def q(s) -> str:
@@ -26,8 +40,8 @@ def strip_lower(x: str) -> str:
     return f"lower(trim({x}, {WS}))"
 
 
-def case_map(x: str, table: dict, default: str) -> str:
-    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items())
+def case_map(x: str, spellings: dict, default: str) -> str:
+    whens = " ".join(f"WHEN {q(word)} THEN {q(label)}" for label, words in spellings.items() for word in words)
     return f"(CASE {x} {whens} ELSE {default} END)"
 
 
@@ -38,27 +52,21 @@ def any_contains(x: str, words) -> str:
 def normalize(x: str, dialect: str) -> str:
     if dialect == "distribution":
         t = strip_lower(x)
-        return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN NULL ELSE {case_map(t, SHORT_MAP, t)} END)"
+        return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN NULL ELSE {case_map(t, SHORT, t)} END)"
     if dialect == "eval":
-        return f"coalesce({case_map(x, SHORT_MAP, 'NULL')}, 'rejected')"
+        return f"coalesce({case_map(x, SHORT, 'NULL')}, 'rejected')"
     if dialect == "results":
         t = f"coalesce({strip_lower(x)}, 'none')"
-        return (f"(CASE WHEN {case_map(t, RESULTS_MAP, 'NULL')} IS NOT NULL THEN {case_map(t, RESULTS_MAP, 'NULL')} "
-                f"WHEN {any_contains(t, RESULTS_FULL_WORDS)} THEN 'full' "
-                f"WHEN {any_contains(t, RESULTS_REJECT_WORDS)} THEN 'rejected' "
-                f"WHEN {any_contains(t, RESULTS_PARTIAL_WORDS)} THEN 'partial' ELSE {t} END)")
+        parts = " ".join(f"WHEN {any_contains(t, words)} THEN {q(label)}" for label, words in RESULTS_PARTS)
+        return f"coalesce({case_map(t, RESULTS, 'NULL')}, CASE {parts} ELSE {t} END)"
     if dialect == "repair":
         t = strip_lower(x)
-        a, r, p = (any_contains(t, REPAIR_APPROVE_WORDS), any_contains(t, REPAIR_REJECT_WORDS),
-                   any_contains(t, REPAIR_PARTIAL_WORDS))
-        return (f"(CASE WHEN {x} IS NULL OR {x} = '' THEN 'rejected' "
-                f"WHEN {case_map(t, REPAIR_MAP, 'NULL')} IS NOT NULL THEN {case_map(t, REPAIR_MAP, 'NULL')} "
-                f"WHEN ({a} AND {r}) OR {p} THEN 'partial' WHEN {a} THEN 'full' WHEN {r} THEN 'rejected' "
-                f"WHEN {any_contains(t, REPAIR_HINT_WORDS)} THEN 'partial' ELSE 'partial' END)")
+        a, r, p = (any_contains(t, words) for words in (REPAIR_FULL_PARTS, REPAIR_REJECTED_PARTS, REPAIR_PARTIAL_PARTS))
+        return (f"(CASE WHEN {x} IS NULL OR {x} = '' THEN 'rejected' ELSE coalesce({case_map(t, REPAIR, 'NULL')}, "
+                f"CASE WHEN ({a} AND {r}) OR {p} THEN 'partial' WHEN {a} THEN 'full' WHEN {r} THEN 'rejected' ELSE 'partial' END) END)")
     if dialect == "conservative":
         t = strip_lower(x)
-        return (f"(CASE WHEN {x} IS NULL OR {x} = '' THEN 'rejected' "
-                f"ELSE coalesce({case_map(t, REPAIR_MAP, 'NULL')}, {x}) END)")
+        return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN 'rejected' ELSE coalesce({case_map(t, REPAIR, 'NULL')}, {x}) END)"
     raise ValueError(dialect)
 
 

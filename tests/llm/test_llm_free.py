@@ -255,8 +255,43 @@ def test_langid_code_switch():
     assert 0.5 < mass[0, 0] / mass[0].sum() < 0.8 and mass[1, 1] / mass[1].sum() > 0.95
 
 
+def test_langid_learns_every_language_and_long_texts(spark):
+    """More than 200 languages, one of them in long texts only."""
+    rng = random.Random(2)
+    langs = [f"l{i:03d}" for i in range(210)]
+    stems = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for x in langs}
+
+    def text(x, n):
+        return " ".join(rng.choice(stems[x]) for _ in range(n))
+    rows = [(i, text(x, 30 if x != "l007" else 900), x) for i, x in enumerate(langs * 3)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS + ", lang string"), folds=1, held=1, per_lang=3, max_chars=2000)
+    assert model.langs == langs
+    mass = langid.label(model, [text("l007", 40), text("l209", 40)])
+    assert [model.langs[i] for i in mass.argmax(axis=1)] == ["l007", "l209"]
+
+
+def test_langid_pieces_end_at_blanks(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 50)
+    rng = random.Random(3)
+    text = " ".join("w" * rng.randint(1, 30) for _ in range(400)) + "\n" + "y" * 130 + " z"
+    parts = list(langid.pieces(text))
+    assert "".join(parts) == text and all(len(p) <= 50 for p in parts)
+    cut = [a for a, b in zip(parts, parts[1:]) if not a[-1].isspace() and not b[0].isspace()]
+    assert all(set(p) <= {"y", "\n"} for p in cut)  # only the word that is longer than a piece
+    assert list(langid.pieces("")) == []
+
+
 # --- 3 ----------------------------------------------------------------------
 
+def test_toxicity_pieces_of_any_length():
+    def hits(text):
+        return dict(zip(toxicity.NAMES, toxicity.features(text, {})))["obfuscated_hits"]
+    plain = hits("you 1d10t now")
+    assert plain > 0 and hits("you/1d10t now") == plain and hits("(1d10t) now") == plain and hits("[see]/x/{1d10t} now") == plain
+    assert hits("m" + "." * 60 + "o.r.o.n now") == plain  # one word, set apart widely
+    assert hits("https://a1.example/b2/c3 now") == 0
+
+
 def test_toxicity_features():
     f = dict(zip(toxicity.NAMES, toxicity.features("You IDIOT!!! you 1d10t, m.o.r.o.n", {"blorf": 2.0, "grum*": 3.0})))
     assert f["insult_hits"] > 0 and f["obfuscated_hits"] > 0 and f["near_person"] > 0 and f["exclaims"] > 0 and f["shouted"] > 0

@@ -1,7 +1,10 @@
 """URL filter, PII, mixing, chat formatting and fingerprints: brute force and defined cases."""
 
+import hashlib
+import itertools
 import json
 import random
+from collections import Counter
 
 import brute
 import pytest
@@ -146,6 +149,63 @@ def test_pii_copies_are_one_context(spark):
     assert pii.sanitise(docs).where("size(__term) > 0").count() == 0
 
 
+def chance_corpus(rng, n=2500):
+    """Texts of words drawn by rank (Zipf) that know nothing of the 200 addresses in two of them each,
+    and 12 names, each with its own address in five texts and once alone."""
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(9000)]
+    weights = list(itertools.accumulate(1 / (i + 1) for i in range(len(words))))
+    rows = []
+    for i in range(n):
+        t = rng.choices(words, cum_weights=weights, k=rng.randint(20, 250))
+        if i < 400:
+            t.insert(rng.randrange(len(t)), f"p{i // 2}@mail.xx")
+        elif i < 472:
+            k = (i - 400) // 6
+            t.insert(rng.randrange(len(t)), "zzname" + chr(97 + k))
+            if (i - 400) % 6 < 5:
+                t.insert(rng.randrange(len(t)), f"n{k}@own.yy")
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("literal_terms", [2000, 0])  # terms in the plan, and joined
+def test_pii_terms_against_chance(spark, literal_terms):
+    rows = chance_corpus(random.Random(5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = pii.sanitise(docs, chance=0.01, literal_terms=literal_terms).select("doc_id", "__term", pii.cleaned().alias("clean"), "text").collect()
+    clean = [r for r in out if r.doc_id >= 472]
+    assert sum(r.clean != r.text for r in clean) < 0.01 * len(clean)
+    named = [r for r in out if 400 <= r.doc_id < 472]
+    assert sum("zzname" not in r.clean for r in named) >= 0.9 * len(named)
+    if literal_terms:  # without the test, words that two texts share by chance go
+        loose = pii.sanitise(docs).where("doc_id >= 472 AND size(__term) > 0").count()
+        assert loose > 0.01 * len(clean)
+
+
+def test_pii_counts_on_a_random_corpus(spark):
+    """Counts and disclosure of every pair against plain Python."""
+    rng = random.Random(11)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "zu") for b in ("r", "st", "n", "ph", "x")]
+    rows = []
+    for i in range(160):
+        t = rng.choices(vocab, k=rng.randint(2, 14))
+        for e in rng.sample(["a@b.cc", "c@d.ee", "+491234567890"], rng.choice([0, 0, 1, 1, 2])):
+            t.insert(rng.randrange(len(t) + 1), e)
+        rows.append((i, " ".join(t)))
+    n, has_e, has_t, both = len(rows), Counter(), Counter(), Counter()
+    for _, t in rows:
+        es = {f"{3 if w[0] == '+' else 0}:{w}" for w in t.split() if w[0] == "+" or "@" in w}
+        ts = {w for w in t.split() if w.isalpha()}
+        has_e.update(es)
+        has_t.update(ts)
+        both.update(itertools.product(es, ts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.entity, r.term): r.disclosure for r in pii.scored_terms(docs, generalise_at=-99.0, support=1).collect()}
+    assert got.keys() == both.keys()
+    for (e, t), share in got.items():
+        assert share == pytest.approx(brute.log_share(both[(e, t)], has_t[t], has_e[e], n))
+
+
 # --- 4 ----------------------------------------------------------------------
 
 def test_pattern_is_edf(spark):
@@ -306,3 +366,28 @@ def test_likeness_follows_shared_text(spark):
     for x, want in zip(near[1:], (0.75, 0.5, 0.0)):
         assert abs(x - want) < 0.3
     assert near[1] > near[2] > near[3]
+
+
+def test_chat_problems_and_role_names(spark):
+    rows = [(0, '{"messages": [{"role": "human", "content": "a"}, {"role": "bot", "content": "b"}]}'),
+            (1, '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}'),
+            (2, None), (3, "no JSON"), (4, '{"other": 1}')]
+    df = spark.createDataFrame(rows, "i int, record string")
+    got = {r.i: (r.layout, [t.role for t in r.turns], r.problem) for r in chat.to_turns(df).collect()}
+    assert got == {0: ("messages", ["human", "bot"], None), 1: ("share", ["user", "assistant"], None), 2: (None, [], "null"),
+                   3: (None, [], "unparsed"), 4: (None, [], "unknown layout")}
+    assert chat.to_turns(df.where("i < 2"), strict=True).count() == 2
+    for i in (2, 3, 4):
+        with pytest.raises(Exception, match="no known layout"):
+            chat.to_turns(df.where(f"i = {i}"), strict=True).select("turns").collect()
+
+
+def test_chat_query_keeps_role_names(spark, tmp_path):
+    convs = [(c, t, r, f"text {c} {t}") for c in range(4) for t, r in enumerate(["human", "gpt", "tool"] if c < 2 else ["user", "model"])]
+    spark.createDataFrame(convs, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    from evalspark.llm.queries import QUERIES
+    got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in QUERIES["op6_chat_format"](spark, str(tmp_path)).collect()}
+    for c in range(4):
+        own = [(r, x) for k, _, r, x in convs if k == c]
+        assert got[c] == (len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest())
+    assert len(got) == 5
