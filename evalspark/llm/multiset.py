@@ -14,7 +14,8 @@ Sums do not depend on order of paragraphs, and a paragraph is inserted or delete
 subtracting its vector (:func:`add`, :func:`subtract`); texts need not be read again.
 The sums of signs estimate likeness: with squared norms a, b of two fingerprints and d
 of their difference, it is 1 - d / (a + b), cut to 0..1 (standard error about 0.09), and
-1 for equal fingerprints.
+1 for equal fingerprints.  A lane counts up to 2^20 runs: the likeness (not the equality) of texts or
+unions of more runs than that is unreliable.
 
 The next document is found without ranking all rows in one place: ids are counted in
 cells of equal width, neighbouring cells are joined to buckets of about ``bucket_rows``
