@@ -17,9 +17,12 @@ term, with or without the entity; of two actions the stronger is taken.
 
 Chance: two long documents share rare words.  With ``chance`` set, a pair counts only if it
 is unlikely under independence: of W words in all documents (distinct in each), W_e stand in the
-entity's, so the term is expected there n_t W_e / W times.  The Poisson tail of the number of differing
-contexts (Chernoff's bound) must be below ``chance`` over the number of pairs that could be
-tried, entities times terms.
+entity's, so the term is expected there n_t W_e / W times.  The Poisson tail of the number of
+independent documents (Chernoff's bound) must be below ``chance`` over the number of pairs that
+could be tried, entities times terms.  Near copies are not independent: the documents of an entity
+are grouped by a signature (its contexts, or one of ``SIGNATURES`` min-hashes of neighbouring words,
+whichever puts most together), and groups of n_i documents count as
+(sum n_i)^2 / sum n_i^2 documents.
 
 Everything is DataFrame functions.  Words of all texts are counted once (combined on the map
 side).  Where the terms are at most ``LITERAL_TERMS`` every row looks its own words up in
@@ -60,6 +63,7 @@ WORD = rf"[\p{{L}}\p{{M}}&&[^{_DENSE}]]++|(?<!{_DENSE}){_DENSE}(?!{_DENSE})"
 PAIR = rf"(?=({_DENSE}{{2}}))"
 ACTIONS = {"generalise": "[TERM]", "remove": ""}  # the stronger sorts last
 SALT = 64
+SIGNATURES = 6
 #: so many terms stand in the plan as a constant set
 LITERAL_TERMS = 2000
 
@@ -175,7 +179,11 @@ def with_entities(docs: DataFrame, text: str, context: int) -> DataFrame:
         _entity(s).alias("e"), F.xxhash64(near_text(s)).alias("c")))))
     first = bound(each, lambda es: F.filter(es, lambda x, i: (i == 0) | (F.get(es, i - 1)["e"] != x["e"])))
     found = detect(docs, text).withColumn("__spans", _all()).where(F.size("__spans") > 0)
-    return found.select(F.monotonically_increasing_id().alias("__row"), first.alias("es"), words(_outside(F.col(text))).alias("ts"))
+    found = evaluate_once(found.select(F.monotonically_increasing_id().alias("__row"), first.alias("es"), F.col(text), "__spans"),
+                          ts=words(_outside(F.col(text)))).drop(text, "__spans")
+    beside = F.zip_with("ts", F.slice("ts", 2, F.greatest(F.size("ts"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return found.withColumn("sigs", F.array(*[F.array_min(F.transform(beside, lambda p, j=j: F.xxhash64(F.lit(j), p["a"], p["b"])))
+                                              for j in range(SIGNATURES)]))
 
 
 def word_counts(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
@@ -185,18 +193,29 @@ def word_counts(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     return every.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
 
 
+def signature_of(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """``e, j``: which signature (0: contexts, else a min-hash) puts most of the entity's documents together."""
+    each = F.posexplode(F.concat(F.array("c"), "sigs")).alias("j", "s")
+    rows = found.select("sigs", F.inline("es")).join(entities.select("e"), "e", "left_semi").select("e", each)
+    sizes = rows.groupBy("e", "j", "s").agg(F.count("*").alias("n")).groupBy("e", "j").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
+    return sizes.groupBy("e").agg(F.max_by("j", F.struct("q", -F.col("j"))).alias("j"))
+
+
 def together(found: DataFrame, entities: DataFrame, support: int) -> DataFrame:
-    """``e, t, n_te, contexts`` for the entities that are kept."""
+    """``e, t, n_te, contexts, documents`` (how many independent ones) for the entities that are kept,
+    their documents told apart by signature ``j``."""
     n = entities.count()
+    own = F.when(F.col("j") == 0, F.col("c")).otherwise(F.get("sigs", F.col("j") - 1)).alias("c")
     if n * 100 > 8 << 20:  # too many to send: regroup by row, so that words are dealt by row, not by entity
-        of_row = (found.select("__row", F.inline("es")).join(entities.select("e"), "e", "left_semi")
+        of_row = (found.select("__row", "sigs", F.inline("es")).join(entities.select("e", "j"), "e").select("__row", "e", own)
                   .groupBy("__row").agg(F.collect_list(F.struct("e", "c")).alias("kept")))
         both = found.join(of_row, "__row").select("ts", F.inline("kept"))
     else:
-        both = found.select("ts", F.inline("es")).join(broadcast_under(entities.select("e"), n, 100), "e", "left_semi")
+        both = found.select("ts", "sigs", F.inline("es")).join(broadcast_under(entities.select("e", "j"), n, 100), "e").select("ts", "e", own)
     # every pair of a row comes once, so counting rows needs no distinct
     seen = both.select("e", "c", F.explode("ts").alias("t")).groupBy("e", "t", "c").agg(F.count("*").alias("n"))
-    return seen.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    alike = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))
+    return seen.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts"), alike.alias("documents")).where(F.col("contexts") >= support)
 
 
 def _share(n: int) -> Column:
@@ -213,12 +232,16 @@ def scored_terms(docs: DataFrame, text: str = "text", context: int = 48, support
     entities = per_context.groupBy("e").agg(F.sum("n").alias("n_e"), F.count("*").alias("contexts"), F.sum("w").alias("w_e"))
     entities = written(entities.where(F.col("contexts") >= support).drop("contexts"), "pii-entities")
     n = docs.count()
+    if chance is None:
+        entities = entities.withColumn("j", F.lit(0))
+    else:
+        entities = written(entities.join(signature_of(found, entities), "e"), "pii-signatures")
     pairs = together(found, entities, support).join(counts, "t").join(entities, "e").withColumn("disclosure", _share(n))
     pairs = pairs.where(F.col("disclosure") >= generalise_at)
     if chance is not None:
         n_terms, n_words = counts.agg(F.count("*"), F.sum("n_t")).first()
         tried = math.log(max(1, entities.count() * n_terms) / chance)
-        k, expected = F.col("contexts"), F.col("n_t") * F.col("w_e") / F.lit(float(n_words or 1))
+        k, expected = F.col("documents"), F.col("n_t") * F.col("w_e") / F.lit(float(n_words or 1))
         pairs = pairs.where((k > expected) & (k * F.log(k / expected) - k + expected >= tried))
     return pairs.select(F.col("e").alias("entity"), F.col("t").alias("term"), "disclosure",
                         F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
