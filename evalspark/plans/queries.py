@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import evaluate_once
+from ..functions.common import evaluate_once, materialize
 from ..functions.labels import DIALECTS, normalize_label
 from ..operators import labels as L
 from ..operators import metrics as M
@@ -349,7 +349,7 @@ def _field_distinct_sketches(spark, d):
     stored = spark.read.parquet(path)
     once = P.approx_distinct(P.merge_sketches(stored))
     halves = P.merge_sketches(stored.where("batch < 4")).unionByName(P.merge_sketches(stored.where("batch >= 4")))
-    twice = P.approx_distinct(P.merge_sketches(halves)).select("field", F.col("approx_values").alias("again"))
+    twice = P.approx_distinct(P.merge_sketches(materialize(halves))).select("field", F.col("approx_values").alias("again"))
     exact = P.field_distinct(ex, "example_id", "permissions").select("field", "unique_values")
     off = F.abs(F.col("approx_values") - F.col("unique_values"))
     return once.join(twice, "field").join(exact, "field").select(
@@ -499,7 +499,8 @@ WHERE coalesce(u.subset, 1.0) <= x.f AND (x.l IS NULL OR x.l = u.lang)"""
 @register("ablation_metrics", _summary_sql("subset", _ABLATION_ROWS))
 def _ablation(spark, d):
     """Metrics of nested samples of 10, 25 and 50 % per language, of single languages, and of all."""
-    s = scored(spark, d).join(_subsets(spark, d).select(F.col("doc_id").alias("id"), "lang", F.col("subset").alias("least")), "id")
+    subsets = materialize(_subsets(spark, d).select(F.col("doc_id").alias("id"), "lang", F.col("subset").alias("least")))
+    s = scored(spark, d).join(subsets, "id")
     least = F.coalesce("least", F.lit(1.0))
     return M.ablation_metrics(s, {"p10": least <= 0.10, "p25": least <= 0.25, "p50": least <= 0.50, "en only": F.col("lang") == "en",
                                   "de only": F.col("lang") == "de", "combined": F.lit(True)})
@@ -789,7 +790,6 @@ def _unused(spark, d, track: str | None = None, level: str = "hard"):
 
     The tracking table starts with the sources an earlier run used (customers
     with a fulfilled order)."""
-    from ..functions.common import materialize
     ex = B.examples(spark, d)
     elig = materialize(A.eligible_sources(ex, "permissions", level).select("example_id"))
     track = track or shared_dir(spark, "tracking")

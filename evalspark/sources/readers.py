@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.common import materialize
 from ..functions.json import parse_json
 from ..functions.labels import PY_WHITESPACE, normalize_label
 from ..operators.clean import CORE_SCHEMA, REQUIRED_FIELDS, conform, missing_fields
@@ -94,7 +95,7 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     splits = numbered.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     along = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(along), F.lit(0)))
-    out = numbered.join(splits, ["file_path", "block"])  # a row per split: planned by its size
+    out = numbered.join(materialize(splits), ["file_path", "block"])  # a row per split: planned by its size
     return out.select(*lines.columns, (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("line_no"))
 
 
