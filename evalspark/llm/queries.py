@@ -224,7 +224,32 @@ def q_token_align(spark, d):
 LABEL_SALTS = 16
 
 
-@register("op11_pivot_codes")
+def _assign_sql(books: str) -> str:
+    """Every part with the least (distance, entry) of its position's codebook."""
+    return f"""SELECT vec_id, label, p, any_value(x) AS x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS m
+               FROM parts JOIN {books} USING (p) GROUP BY vec_id, label, p"""
+
+
+def _improve_sql(books: str, assigned: str) -> str:
+    """Entries as the floor of their parts' means; unused ones stay."""
+    return f"""SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM {books} b LEFT JOIN (
+                 SELECT p, e, list(v ORDER BY i) AS c FROM (
+                   SELECT p, m.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS v FROM {assigned}, range(1, 5) t(i) GROUP BY p, m.e, i) GROUP BY p, e) n
+               ON n.p = b.p AND n.e = b.e"""
+
+
+@register("op11_pivot_codes", f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, p, v[p * 4 + 1 : p * 4 + 4] AS x FROM k, range(16) t(p)),
+b0 AS (SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 64),
+a0 AS ({_assign_sql('b0')}), b1 AS ({_improve_sql('b0', 'a0')}),
+a1 AS ({_assign_sql('b1')}), b2 AS ({_improve_sql('b1', 'a1')}),
+a2 AS ({_assign_sql('b2')}),
+r AS (SELECT vec_id, label, string_agg(format('{{:02x}}', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM r
+""")
 def q_pivot_codes(spark, d):
     rows, books = pivots.compress(table(spark, d, "embeddings").select("vec_id", "embedding", "label"))
     rows = written(rows, "codes")
