@@ -49,6 +49,34 @@ def test_batch_inference_calls_overlap_in_order(spark):
     assert all(r["response"].startswith(f"row {r['id']} ") and r["attempts"] == 1 + (r["id"] % 10 == 7) for r in res)
 
 
+def test_batch_inference_holds_small_batches_of_long_texts(spark):
+    class Held:
+        def __call__(self, messages, attempt):
+            with open("/proc/self/status") as f:
+                return next(x.split()[1] for x in f if x.startswith("RssAnon"))
+
+    text = F.repeat(F.lit("0123456789"), 300)  # 20000 rows of 6 KB with the passthrough
+    rows = spark.range(0, 20000, 1, 1).select("id", F.concat(text, F.col("id").cast("string")).alias("query"))
+    df = rows.select("id", "query", F.array(F.struct(F.lit("user").alias("role"), F.col("query").alias("content"))).alias("messages"))
+    res = I.batch_inference(df, Held(), retry_delay=0.0, passthrough=("query",))
+    kb, ids, texts = res.agg(F.max(F.col("response").cast("int")), F.count_distinct("id"),
+                             F.sum((F.substring("query", 3001, 9) == F.col("id").cast("string")).cast("int"))).first()
+    assert ids == texts == 20000
+    assert kb < 200_000
+
+
+def test_batch_inference_keeps_columns_and_nulls(spark):
+    rows = [(1, "a", None, [1, None], [("user", "x")]), (2, None, 5, None, [("system", ""), ("user", "é\U0001f600")])]
+    df = spark.createDataFrame(rows, "id int, s string, n int, l array<int>, messages array<struct<role string, content string>>")
+
+    class Echo:
+        def __call__(self, messages, attempt):
+            return f"{[tuple(m.items()) for m in messages]}"
+    got = sorted(I.batch_inference(df, Echo(), retry_delay=0.0, passthrough=("s", "n", "l")).collect())
+    assert [(r["id"], r["s"], r["n"], r["l"], r["error"]) for r in got] == [(1, "a", None, [1, None], None), (2, None, 5, None, None)]
+    assert got[1]["response"] == str([(("role", "system"), ("content", "")), (("role", "user"), ("content", "é\U0001f600"))])
+
+
 def test_running_metrics_resume(spark, tmp_path):
     base = str(tmp_path)
     rows = [(i, "r", ["full", "partial", "rejected"][i % 3], ["full", "partial", "rejected"][(i // 2) % 3])
