@@ -78,3 +78,26 @@ def test_sequence_percentiles(spark):
     df = spark.createDataFrame([(" ".join(["w"] * n),) for n in range(1, 101)], "t string")
     p = G.sequence_percentiles(df, "t").collect()[0]["p"]
     assert p == [50, 95, 99]
+
+
+def _one_split(spark, n):
+    """``n`` rows in one partition: a list, a number, and text that is requoted or no JSON."""
+    text = F.when(F.col("example_id") % 7 == 0, "nope").when(F.col("example_id") % 3 == 0, "{'d': ['a', 1.5], 'k': 'x'}").otherwise(
+        F.concat(F.lit('{"d": ["a", "b"], "k": '), F.col("example_id") % 5, F.lit("}")))
+    return spark.range(0, n, 1, 1).select(F.col("id").alias("example_id"), F.lit("r").alias("user_role"), text.alias("permissions"))
+
+
+def test_permission_database_deals_the_rows_of_one_split(spark):
+    df = _one_split(spark, 2100)
+    db = P.permission_database(df)
+    assert P._tagged(df, "user_role", "permissions").rdd.getNumPartitions() == 4  # the session's shuffle partitions
+    assert db["examples"].rdd.getNumPartitions() == 4
+    got = {(r["field"], r["value"]): r["count"] for r in db["values"].collect()}
+    assert got == {("d", "a"): 1800, ("d", "1.5"): 600, ("d", "b"): 1200, ("k", "x"): 600, **{("k", str(i)): 240 for i in range(5)}}
+    assert db["metadata"].first()["total_samples"] == db["examples"].select("index").distinct().count() == 2100
+
+
+def test_type_of_a_value_is_read_once(spark):
+    one = P._tagged(_one_split(spark, 3), "user_role", "permissions")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert one.replace("_", "").count("schemaofvariant(") == 2  # of a field, and of a list's element
+
