@@ -101,3 +101,11 @@ def test_type_of_a_value_is_read_once(spark):
     one = P._tagged(_one_split(spark, 3), "user_role", "permissions")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert one.replace("_", "").count("schemaofvariant(") == 2  # of a field, and of a list's element
 
+
+def test_field_entries_deal_the_rows_of_one_split(spark):
+    df = _one_split(spark, 2100)
+    assert P.permission_entries(df, "example_id", "permissions").rdd.getNumPartitions() == 4
+    sketches = P.distinct_sketches(df.withColumn("batch", F.col("example_id") % 8), "batch", "permissions")
+    got = {r["field"]: (r["approx_values"], r["total_occurrences"]) for r in P.approx_distinct(P.merge_sketches(sketches)).collect()}
+    assert got == {"d": (3, 3600), "d_count": (1, 1800), "k": (6, 1800)}
+
