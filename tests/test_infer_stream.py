@@ -77,6 +77,26 @@ def test_batch_inference_keeps_columns_and_nulls(spark):
     assert got[1]["response"] == str([(("role", "system"), ("content", "")), (("role", "user"), ("content", "é\U0001f600"))])
 
 
+def test_details_profile_holds_small_batches_of_long_texts(spark, tmp_path, monkeypatch):
+    from evalspark.plans import queries as Q
+
+    class Held:  # a call fails, and its row is not counted, where the worker holds too much
+        def __call__(self, messages, attempt):
+            with open("/proc/self/status") as f:
+                kb = next(int(x.split()[1]) for x in f if x.startswith("RssAnon"))
+            if kb >= 200_000:
+                raise MemoryError(f"{kb} kB")
+            return "Fully approved"
+
+    ids = spark.range(0, 10000, 1, 1).withColumnRenamed("id", "doc_id")
+    text = F.concat(F.repeat(F.lit("0123456789"), 300), F.col("doc_id").cast("string"))
+    docs = ids.select("doc_id", text.alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("doc_id") % 3).alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(Q.B, "RulePredictor", Held)
+    assert [tuple(r) for r in Q.QUERIES["details_profile"](spark, str(tmp_path)).collect()] == [(10000, 2.0)]
+
+
 def test_running_metrics_resume(spark, tmp_path):
     base = str(tmp_path)
     rows = [(i, "r", ["full", "partial", "rejected"][i % 3], ["full", "partial", "rejected"][(i // 2) % 3])
